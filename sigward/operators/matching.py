@@ -47,14 +47,15 @@ def bounded_rows(df: DataFrame, limit: int) -> list | None:
     return rows if len(rows) <= limit else None
 
 
-def literal_array(rows, binary: bool) -> Column:
-    """The rule strings as one constant array; patterns as bytes where the contents are bytes."""
-    items = []
-    for r in rows:
-        needle = bytes(r["needle"]) if binary else bytes(r["needle"]).decode("utf-8")
-        items.append(F.struct(F.lit(r["rule_name"]).alias("rule_name"), F.lit(r["string_id"]).alias("string_id"),
-                              F.lit(needle).alias("needle")))
-    return F.array(*items)
+def needle_tests(rows, binary: bool, content="content") -> dict[bytes, Column]:
+    """One occurrence test per distinct needle: on text where both sides are text, else on bytes."""
+    tests = {}
+    for needle in {bytes(r["needle"]): None for r in rows}:
+        if not binary and is_text(needle):
+            tests[needle] = F.contains(X.col(content), F.lit(needle.decode("utf-8")))
+        else:
+            tests[needle] = F.contains(X.col(content).cast("binary"), F.lit(needle))
+    return tests
 
 
 def is_text(needle: bytes) -> bool:
@@ -65,39 +66,57 @@ def is_text(needle: bytes) -> bool:
         return False
 
 
-def hit_array(rows, binary: bool, content="content") -> Column:
-    """Array of (rule_name, string_id) of the strings found in one content."""
-    text = [] if binary else [r for r in rows if is_text(bytes(r["needle"]))]
-    raw = [r for r in rows if r not in text]
-    parts = []
-    if text:
-        parts.append(F.filter(literal_array(text, False), lambda s: F.contains(X.col(content), s["needle"])))
-    if raw:
-        data = X.col(content).cast("binary")
-        parts.append(F.filter(literal_array(raw, True), lambda s: F.contains(data, s["needle"])))
-    named = [F.transform(p, lambda s: F.struct(s["rule_name"], s["string_id"])) for p in parts]
-    return F.concat(*named) if len(named) > 1 else named[0]
+def with_needle_flags(files: DataFrame, rows) -> tuple[DataFrame, dict[bytes, Column]]:
+    """path and one boolean column per distinct needle, and the column of each needle."""
+    tests = needle_tests(rows, content_is_binary(files))
+    names = {needle: f"_n{i}" for i, needle in enumerate(tests)}
+    flags = files.select("path", *[test.alias(names[needle]) for needle, test in tests.items()])
+    return flags, {needle: F.col(name) for needle, name in names.items()}
+
+
+def with_needles(rule_strings: DataFrame) -> DataFrame:
+    strings = rule_strings.select("rule_name", "string_id", "kind", "pattern", pattern_bytes().alias("needle"))
+    return strings.where(F.octet_length("needle") > 0)
 
 
 def prepared(rule_strings: DataFrame) -> DataFrame:
-    """Non-empty rule strings with their bytes, one per rule and string id."""
-    one = rule_strings.groupBy("rule_name", "string_id").agg(F.min(F.struct("kind", "pattern")).alias("s"))
-    named = one.select("rule_name", "string_id", "s.kind", "s.pattern")
-    return named.withColumn("needle", pattern_bytes()).where(F.octet_length("needle") > 0)
+    """Non-empty rule strings with their bytes, one per rule and string id (the smallest if there are several)."""
+    one = with_needles(rule_strings).groupBy("rule_name", "string_id").agg(
+        F.min(F.struct("kind", "pattern", "needle")).alias("s")
+    )
+    return one.select("rule_name", "string_id", "s.kind", "s.pattern", "s.needle")
+
+
+def literal_rows(rule_strings: DataFrame) -> list | None:
+    """The prepared strings as rows, or None when there are more than LITERAL_STRINGS."""
+    rows = bounded_rows(with_needles(rule_strings), session.LITERAL_STRINGS)
+    if rows is None:
+        return None
+    one = {}
+    for r in sorted(rows, key=lambda r: (r["kind"], r["pattern"])):
+        one.setdefault((r["rule_name"], r["string_id"]), r)
+    return list(one.values())
 
 
 def match_literals(files: DataFrame, rows) -> DataFrame:
-    """Hits of a bounded list of strings: one narrow pass."""
-    spark = files.sparkSession
+    """Hits of a bounded list of strings: one narrow pass, every needle tested once per file."""
     if not rows:
-        return spark.createDataFrame([], "path STRING, rule_name STRING, string_id STRING")
-    hits = hit_array(rows, content_is_binary(files))
-    return files.select("path", F.explode(hits).alias("h")).select("path", "h.rule_name", "h.string_id")
+        return files.sparkSession.createDataFrame([], "path STRING, rule_name STRING, string_id STRING")
+    flags, found = with_needle_flags(files, rows)
+    named = [
+        F.when(
+            found[bytes(r["needle"])],
+            F.struct(F.lit(r["rule_name"]).alias("rule_name"), F.lit(r["string_id"]).alias("string_id")),
+        )
+        for r in rows
+    ]
+    hits = flags.select("path", F.explode(F.array_compact(F.array(*named))).alias("h"))
+    return hits.select("path", "h.rule_name", "h.string_id")
 
 
 def match_strings(files: DataFrame, rule_strings: DataFrame) -> DataFrame:
     """(path, rule_name, string_id): which rule strings occur in which file, case kept, overlaps counted."""
-    rows = bounded_rows(prepared(rule_strings), session.LITERAL_STRINGS)
+    rows = literal_rows(rule_strings)
     if rows is not None:
         return match_literals(files, rows)
     return match_strings_indexed(files, rule_strings)
@@ -251,31 +270,32 @@ def scan(
     narrow pass without a shuffle; otherwise string hits are found by index and grouped per file and rule.
     """
     wanted = filters.exclude_names(filters.exclude_dirs(files, excluded_dirs), excluded_names)
-    rule_strings = rule_strings.join(rules.select("rule_name"), "rule_name", "left_semi")
-    rows = bounded_rows(prepared(rule_strings), session.LITERAL_STRINGS)
     rule_rows = bounded_rows(rules.select("rule_name", "min_hits", "only_id"), session.LITERAL_STRINGS)
-    if rows is None or rule_rows is None:
-        return eval_conditions(match_strings(wanted, rule_strings), rules)
-    if not rows or not rule_rows:
-        return files.sparkSession.createDataFrame([], "rule_name STRING, path STRING")
-    return fired_rules(wanted, rule_rows, rows)
+    if rule_rows is not None:
+        mine = rule_strings.where(F.col("rule_name").isin([r["rule_name"] for r in rule_rows]))
+        rows = literal_rows(mine)
+        if rows is not None:
+            return fired_rules(wanted, rule_rows, rows)
+    mine = rule_strings.join(rules.select("rule_name"), "rule_name", "left_semi")
+    return eval_conditions(match_strings_indexed(wanted, mine), rules)
 
 
 def fired_rules(files: DataFrame, rules, rows) -> DataFrame:
-    """One row per fired rule; the hits of a file are found once and counted per rule within the row."""
-    hits = files.select("path", hit_array(rows, content_is_binary(files)).alias("hits"))
-    fired = hits.select("path", F.explode(conditions_in_row(rules, "hits")).alias("rule_name"))
-    return fired.select("rule_name", "path")
-
-
-def conditions_in_row(rules, hits: str) -> Column:
-    def fires(r) -> Column:
-        mine = F.filter(F.col(hits), lambda h: h["rule_name"] == r["rule_name"])
-        if r["only_id"] is not None:
-            return F.exists(mine, lambda h: h["string_id"] == r["only_id"])
-        return F.size(mine) >= r["min_hits"]
-
-    return F.array_compact(F.array(*[F.when(fires(r), F.lit(r["rule_name"])) for r in rules]))
+    """One row per fired rule: needles are tested once per file, conditions are sums of those tests in the same row."""
+    if not rules or not rows:
+        return files.sparkSession.createDataFrame([], "rule_name STRING, path STRING")
+    flags, found = with_needle_flags(files, rows)
+
+    def fires(rule) -> Column:
+        mine = [r for r in rows if r["rule_name"] == rule["rule_name"]]
+        if rule["only_id"] is not None:
+            mine = [r for r in mine if r["string_id"] == rule["only_id"]]
+        if not mine or rule["min_hits"] is None:
+            return F.lit(False)
+        return sum((found[bytes(r["needle"])].cast("int") for r in mine), F.lit(0)) >= rule["min_hits"]
+
+    names = F.array_compact(F.array(*[F.when(fires(r), F.lit(r["rule_name"])) for r in rules]))
+    return flags.select(F.explode(names).alias("rule_name"), "path")
 
 
 def quick_scan(

@@ -42,8 +42,9 @@ def document_lines(files: DataFrame, ident: str, content="content") -> DataFrame
 
 def body_key(body="body") -> Column:
     """Hash of a rule body without its name and with white space evened out."""
-    nameless = F.regexp_replace(X.col(body), r"^rule\s+\w+\s*", "")
-    return F.sha2(X.strip(F.regexp_replace(nameless, r"\s+", " ")), 256)
+    body = X.col(body)
+    nameless = F.when(body.rlike(r"\Arule\s"), F.regexp_replace(body, r"\Arule\s+\w+\s*", "")).otherwise(body)
+    return F.sha2(F.trim(F.regexp_replace(nameless, r"\s+", " ")), 256)
 
 
 def dedupe_rules(rules: DataFrame, by: str = "name", priority="priority", tie=("file_name", "rule_no")) -> DataFrame:

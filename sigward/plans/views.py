@@ -6,6 +6,7 @@ name), so that a query and its twin start from the same rows.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +52,8 @@ def case(column: str, pairs, default: str, like: str = "{}") -> str:
 
 def files(t: Tables) -> DataFrame:
     d = session.spread_small(t.documents)
-    path = F.format_string("/%s/%s/doc_%d.txt", "source", "lang", "doc_id")
+    ident = F.col("doc_id").cast("string")
+    path = F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/doc_"), ident, F.lit(".txt"))
     mtime = as_of() - F.make_dt_interval((F.col("doc_id") % 60).cast("int"))
     cols = readers.file_columns(path, "text", F.octet_length("text"), mtime)
     return d.select("doc_id", "source", "lang", *cols)
@@ -126,15 +128,22 @@ def needed(condition: str) -> int:
     return int(condition.split()[0]) if condition[0].isdigit() else 1
 
 
+def local_table(t: Tables, columns: list[str], rows) -> DataFrame:
+    """A few literal rows as a local relation: the driver can read them back without a job."""
+    numbers = {"min_hits": pa.int32()}
+    schema = pa.schema([(c, numbers.get(c, pa.string())) for c in columns])
+    arrays = [pa.array(list(values), type=schema.field(c).type) for c, values in zip(columns, zip(*rows))]
+    return t.spark.createDataFrame(pa.Table.from_arrays(arrays, schema=schema))
+
+
 def fixture_rules(t: Tables) -> DataFrame:
     rows = [(n, f"{n}.yar", "", c, needed(c), c if c.startswith("$") else None) for n, c, _ in FIXTURE]
-    schema = "rule_name STRING, file_name STRING, body STRING, condition STRING, min_hits INT, only_id STRING"
-    return t.spark.createDataFrame(rows, schema)
+    return local_table(t, ["rule_name", "file_name", "body", "condition", "min_hits", "only_id"], rows)
 
 
 def fixture_strings(t: Tables) -> DataFrame:
     rows = [(n, i, k, p) for n, _, strings in FIXTURE for i, k, p in strings]
-    return t.spark.createDataFrame(rows, "rule_name STRING, string_id STRING, kind STRING, pattern STRING")
+    return local_table(t, ["rule_name", "string_id", "kind", "pattern"], rows)
 
 
 def text_of(kind: str, pattern: str) -> str:
@@ -236,7 +245,7 @@ def corpus(t: Tables) -> DataFrame:
         F.lit('"\n        severity = "high"\n    strings:\n        $a = "'), line,
         F.lit('"\n        $b = {6D 61 6C}\n    condition:\n        '), condition, F.lit("\n}"),
     )
-    return t.documents.select(
+    return session.spread_small(t.documents).select(
         n.alias("rule_no"),
         name.alias("rule_name"),
         F.col("source").alias("feed"),
