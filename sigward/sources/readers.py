@@ -156,8 +156,8 @@ def parse_rules(df: DataFrame, text="value", feed="feed", file_name="file_name")
         X.col(file_name).alias("file_name"),
         F.posexplode(F.regexp_extract_all(X.col(text), F.lit(RULE_PATTERN), F.lit(0))).alias("rule_no", "body"),
     )
-    meta_part = F.regexp_extract("body", r"(?s)meta:(.*?)(?:strings:|condition:)", 1)
-    string_part = F.regexp_extract("body", r"(?s)strings:(.*?)\n\s*condition:", 1)
+    meta_part = F.regexp_extract("body", r"(?s)\n\s*meta:(.*?)\n\s*(?:strings|condition):", 1)
+    string_part = F.regexp_extract("body", r"(?s)\n\s*strings:(.*?)(?:\n\s*condition:|\}$)", 1)
     entry = lambda line: F.struct(
         strip_key(line).alias("key"), F.regexp_extract(line, r'=\s*"(.*)"$', 1).alias("value")
     )
@@ -170,7 +170,7 @@ def parse_rules(df: DataFrame, text="value", feed="feed", file_name="file_name")
     )
     metas = F.transform(F.regexp_extract_all(meta_part, F.lit(META_PATTERN), F.lit(0)), entry)
     strings = F.transform(F.regexp_extract_all(string_part, F.lit(STRING_PATTERN), F.lit(0)), string)
-    condition = F.nullif(X.strip(F.regexp_extract("body", r"(?s)condition:(.*)\}$", 1)), F.lit(""))
+    condition = F.nullif(X.strip(F.regexp_extract("body", r"(?s)\n\s*condition:(.*)\}$", 1)), F.lit(""))
     return found.select(
         F.regexp_extract("body", r"^rule\s+(\w+)", 1).alias("rule_name"),
         "feed",
