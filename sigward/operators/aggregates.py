@@ -40,7 +40,8 @@ def files_per_rule(matches: DataFrame, per_part: int = FILES_PER_PART) -> DataFr
     """(rule_name, part, parts, n_files, files): the `|`-joined files of every rule.
 
     A rule with more than `per_part` matches gets several rows, so that no list outgrows one row however many
-    files a rule fires on. All files are listed; a rule below that number is one row.
+    files a rule fires on. All files are listed; a rule below that number is one row. `matches` is read twice, so
+    it should be a written table (session.written) where it comes from a scan.
     """
     sizes = matches.groupBy("rule_name").agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.select("rule_name", F.ceil(F.col("_n") / per_part).cast("bigint").alias("parts"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sigward import session
 from sigward.functions import fixed
 from sigward.functions import scalars as X
 from sigward.operators import matching, windows
@@ -31,13 +32,17 @@ def quarantine_detail(items: DataFrame, sidecars: DataFrame) -> DataFrame:
     """
     side = sidecars.select("q_path", "orig_path", "rule_name", "q_time", "sha256", F.lit(True).alias("has_sidecar"))
     has = F.col("has_sidecar").isNotNull()
-    own_time = F.date_format("mtime", "yyyy-MM-dd HH:mm:ss")
-    return items.join(side, "q_path", "left").select(
+    # What the item says about itself is worked out before the join, so that no content is shuffled.
+    own = items.select(
+        "q_path", "name", "size_bytes", F.date_format("mtime", "yyyy-MM-dd HH:mm:ss").alias("own_time"),
+        X.sha256_short("content").alias("own_hash"),
+    )
+    return own.join(side, "q_path", "left").select(
         "q_path",
         F.when(has, F.col("orig_path")).otherwise(F.substring_index("name", ".", 1)).alias("orig_path"),
         F.when(has, F.col("rule_name")).otherwise("Unknown").alias("rule_name"),
-        F.when(has, F.col("q_time")).otherwise(own_time).alias("q_time"),
-        F.when(has, F.substring("sha256", 1, 16)).otherwise(X.sha256_short("content")).alias("sha256_short"),
+        F.when(has, F.col("q_time")).otherwise(F.col("own_time")).alias("q_time"),
+        F.when(has, F.substring("sha256", 1, 16)).otherwise(F.col("own_hash")).alias("sha256_short"),
         X.human_size("size_bytes").alias("size"),
     )
 
@@ -45,16 +50,16 @@ def quarantine_detail(items: DataFrame, sidecars: DataFrame) -> DataFrame:
 def attribute_detection(items: DataFrame, log: DataFrame, matches: DataFrame) -> DataFrame:
     """Adds `detection`: from the log, else a rule match, else a content marker, else the file name, else Unknown.
 
-    log: path, rule_name. matches: rule_name, path. Several names for a file: the smallest one.
+    log: path, rule_name. matches: rule_name, path. Several names for a file: the smallest one. The content is
+    tested before the joins and dropped, so it is not shuffled.
     """
     logged = log.groupBy("path").agg(F.min("rule_name").alias("_log"))
     matched = matches.groupBy("path").agg(F.min("rule_name").alias("_rule"))
     by_name = F.when(X.contains_ci("name", "eicar"), "EICAR Test")
-    found = F.coalesce(
-        F.col("_log"), X.friendly_threat("_rule"), matching.marker_name("content"), by_name, F.lit("Unknown")
-    )
-    joined = items.join(logged, "path", "left").join(matched, "path", "left")
-    return joined.withColumn("detection", found).drop("_log", "_rule")
+    slim = items.withColumn("_own", F.coalesce(matching.marker_name("content"), by_name)).drop("content")
+    found = F.coalesce(F.col("_log"), X.friendly_threat("_rule"), F.col("_own"), F.lit("Unknown"))
+    joined = slim.join(logged, "path", "left").join(matched, "path", "left")
+    return joined.withColumn("detection", found).drop("_log", "_rule", "_own")
 
 
 def asof_detection(items: DataFrame, detections: DataFrame) -> DataFrame:
@@ -72,11 +77,15 @@ def ancestors(path="path") -> Column:
 def dir_coverage(monitored: DataFrame, file_entry: DataFrame) -> DataFrame:
     """Files at or below each monitored directory; directories without files stay with 0.
 
-    A path is turned into its ancestors, so the prefix test is an equi-join and not a comparison of all pairs.
+    A path is turned into its ancestors, so the prefix test is an equi-join and not a comparison of all pairs. Few
+    directories are shipped to the paths; many are met after the paths have been counted per ancestor, so that a
+    directory that holds most files is one row per task.
     """
     dirs = monitored.select("dir").distinct()
     above = file_entry.select(F.explode(ancestors()).alias("dir"))
-    counts = above.join(dirs, "dir", "left_semi").groupBy("dir").agg(F.count(F.lit(1)).alias("files"))
+    if session.fits_broadcast(dirs, "dir"):
+        above = above.join(F.broadcast(dirs), "dir", "left_semi")
+    counts = above.groupBy("dir").agg(F.count(F.lit(1)).alias("files"))
     return monitored.join(counts, "dir", "left").withColumn("files", F.coalesce("files", F.lit(0)))
 
 

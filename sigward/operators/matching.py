@@ -22,6 +22,7 @@ from sigward.functions import scalars as X
 from sigward.operators import filters
 
 AUTOMATON_STRINGS = 100_000
+AUTOMATON_BYTES = 8 * 1024 * 1024
 HIT_COLUMNS = ["path", "rule_name", "string_id"]
 
 
@@ -67,10 +68,10 @@ def is_text(needle: bytes) -> bool:
 
 
 def with_needle_flags(files: DataFrame, rows) -> tuple[DataFrame, dict[bytes, Column]]:
-    """path and one boolean column per distinct needle, and the column of each needle."""
+    """The files with one boolean column per distinct needle, and the column of each needle."""
     tests = needle_tests(rows, content_is_binary(files))
     names = {needle: f"_n{i}" for i, needle in enumerate(tests)}
-    flags = files.select("path", *[test.alias(names[needle]) for needle, test in tests.items()])
+    flags = files.select("*", *[test.alias(names[needle]) for needle, test in tests.items()])
     return flags, {needle: F.col(name) for needle, name in names.items()}
 
 
@@ -198,15 +199,22 @@ def match_loose(files: DataFrame, strings: DataFrame) -> DataFrame:
     return match_automaton(files, strings)
 
 
-def match_automaton(files: DataFrame, strings: DataFrame, batch: int = AUTOMATON_STRINGS) -> DataFrame:
-    """All strings in one walk over each content. The strings are shipped in batches of bounded size."""
-    passes = max(1, -(-strings.count() // (batch // 2)))
+def match_automaton(
+    files: DataFrame, strings: DataFrame, batch: int = AUTOMATON_STRINGS, batch_bytes: int = AUTOMATON_BYTES
+) -> DataFrame:
+    """All strings in one walk over each content. Strings are shipped in batches bounded by number and bytes."""
+    size = strings.agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("needle").cast("bigint")), F.lit(0)).alias("b")
+    ).first()
+    # Slots are filled by hash, so they are planned half full.
+    passes = max(1, -(-2 * size["n"] // batch), -(-2 * size["b"] // batch_bytes))
     slot = F.pmod(F.xxhash64("rule_name", "string_id"), F.lit(passes))
     parts = []
     for i in range(passes):
         rows = strings.where(slot == i).select("rule_name", "string_id", "needle").collect()
-        parts.append(automaton_pass(files, [(r["rule_name"], r["string_id"], bytes(r["needle"])) for r in rows]))
-    return reduce(DataFrame.unionByName, parts)
+        if rows:
+            parts.append(automaton_pass(files, [(r["rule_name"], r["string_id"], bytes(r["needle"])) for r in rows]))
+    return reduce(DataFrame.unionByName, parts) if parts else match_literals(files, [])
 
 
 def automaton_pass(files: DataFrame, strings: list[tuple[str, str, bytes]]) -> DataFrame:
@@ -270,20 +278,44 @@ def scan(
     narrow pass without a shuffle; otherwise string hits are found by index and grouped per file and rule.
     """
     wanted = filters.exclude_names(filters.exclude_dirs(files, excluded_dirs), excluded_names)
+    bounded = bounded_rules(rules, rule_strings)
+    if bounded is None:
+        return scan_indexed(wanted, rules, rule_strings)
+    return with_fired_rules(wanted, *bounded).select(F.explode("rule_names").alias("rule_name"), "path")
+
+
+def matched_files(files: DataFrame, rules: DataFrame, rule_strings: DataFrame) -> DataFrame:
+    """Files on which a rule fires, all columns kept, with `rule_names` (sorted). For sinks that need the content.
+
+    With a bounded rule set the contents stay where they were read; otherwise only matched files are looked up.
+    """
+    bounded = bounded_rules(rules, rule_strings)
+    if bounded is None:
+        fired = scan_indexed(files, rules, rule_strings)
+        names = fired.groupBy("path").agg(F.sort_array(F.collect_set("rule_name")).alias("rule_names"))
+        return files.join(names, "path")
+    return with_fired_rules(files, *bounded).where(F.size("rule_names") > 0)
+
+
+def bounded_rules(rules: DataFrame, rule_strings: DataFrame) -> tuple[list, list] | None:
+    """Rules and their strings as rows, or None when either has more than LITERAL_STRINGS."""
     rule_rows = bounded_rows(rules.select("rule_name", "min_hits", "only_id"), session.LITERAL_STRINGS)
-    if rule_rows is not None:
-        mine = rule_strings.where(F.col("rule_name").isin([r["rule_name"] for r in rule_rows]))
-        rows = literal_rows(mine)
-        if rows is not None:
-            return fired_rules(wanted, rule_rows, rows)
+    if rule_rows is None:
+        return None
+    mine = rule_strings.where(F.col("rule_name").isin([r["rule_name"] for r in rule_rows]))
+    rows = literal_rows(mine)
+    return None if rows is None else (rule_rows, rows)
+
+
+def scan_indexed(files: DataFrame, rules: DataFrame, rule_strings: DataFrame) -> DataFrame:
     mine = rule_strings.join(rules.select("rule_name"), "rule_name", "left_semi")
-    return eval_conditions(match_strings_indexed(wanted, mine), rules)
+    return eval_conditions(match_strings_indexed(files, mine), rules)
 
 
-def fired_rules(files: DataFrame, rules, rows) -> DataFrame:
-    """One row per fired rule: needles are tested once per file, conditions are sums of those tests in the same row."""
+def with_fired_rules(files: DataFrame, rules, rows) -> DataFrame:
+    """Adds `rule_names`: needles are tested once per file, conditions are sums of those tests in the same row."""
     if not rules or not rows:
-        return files.sparkSession.createDataFrame([], "rule_name STRING, path STRING")
+        return files.withColumn("rule_names", F.array().cast("array<string>"))
     flags, found = with_needle_flags(files, rows)
 
     def fires(rule) -> Column:
@@ -294,8 +326,9 @@ def fired_rules(files: DataFrame, rules, rows) -> DataFrame:
             return F.lit(False)
         return sum((found[bytes(r["needle"])].cast("int") for r in mine), F.lit(0)) >= rule["min_hits"]
 
-    names = F.array_compact(F.array(*[F.when(fires(r), F.lit(r["rule_name"])) for r in rules]))
-    return flags.select(F.explode(names).alias("rule_name"), "path")
+    ordered = sorted(rules, key=lambda r: r["rule_name"].encode())
+    names = F.array_compact(F.array(*[F.when(fires(r), F.lit(r["rule_name"])) for r in ordered]))
+    return flags.select(*files.columns, names.alias("rule_names"))
 
 
 def quick_scan(

@@ -20,20 +20,33 @@ def whole_days(ts, as_of) -> Column:
     return F.floor(age_micros(ts, as_of) / F.lit(DAY_SEC * 1_000_000.0)).cast("bigint")
 
 
-def age_test(ts, as_of, op: str, n: int, unit: str = "days") -> Column:
-    """`+n`: older than n; `-n`: younger than n. Days are cut to whole days first, minutes are not."""
-    age = whole_days(ts, as_of) if unit == "days" else age_micros(ts, as_of)
-    bound = n if unit == "days" else n * 60_000_000
-    return age > bound if op == "+" else age < bound
+def before(df: DataFrame, ts: str, as_of, days: int = 0, minutes: int = 0) -> Column:
+    """`as_of` minus a span, in the type of the column, so that a comparison with it can reach the file statistics."""
+    span = F.make_dt_interval(F.lit(days), F.lit(0), F.lit(minutes))
+    return (X.col(as_of).cast("timestamp") - span).cast(df.schema[ts].dataType)
 
 
-def age_filter(df: DataFrame, ts, as_of, op: str, n: int, unit: str = "days") -> DataFrame:
-    return df.where(age_test(ts, as_of, op, n, unit))
+def age_test(df: DataFrame, ts: str, as_of, op: str, n: int, unit: str = "days") -> Column:
+    """`+n`: older than n; `-n`: younger than n. Days are cut to whole days first, minutes are not.
+
+    Whole days above n means n + 1 days or more; whole days below n means less than n days. Both are plain
+    comparisons of the column with a constant.
+    """
+    if unit == "days":
+        if op == "+":
+            return F.col(ts) <= before(df, ts, as_of, days=n + 1)
+        return F.col(ts) > before(df, ts, as_of, days=n)
+    bound = before(df, ts, as_of, minutes=n)
+    return F.col(ts) < bound if op == "+" else F.col(ts) > bound
+
+
+def age_filter(df: DataFrame, ts: str, as_of, op: str, n: int, unit: str = "days") -> DataFrame:
+    return df.where(age_test(df, ts, as_of, op, n, unit))
 
 
 def expire(df: DataFrame, ts, as_of, days: int = fixed.EXPIRE_DAYS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(kept rows, expired rows, counts before / removed / remaining). Nothing is deleted here."""
-    gone = age_test(ts, as_of, "+", days)
+    gone = age_test(df, ts, as_of, "+", days)
     counts = df.agg(
         F.count(F.lit(1)).alias("before"),
         F.count_if(gone).alias("removed"),

@@ -31,8 +31,17 @@ def first_per_key(df: DataFrame, keys, order, n: int = 1) -> DataFrame:
 
 
 def dedupe_first(df: DataFrame, keys, order) -> DataFrame:
-    """First occurrence of every key in the given order."""
-    return first_per_key(df, keys, order)
+    """First occurrence of every key, by the given order columns.
+
+    A minimum over (order, other columns): copies are combined before the shuffle, and no group is ever sorted.
+    Ties of the order fall to the smallest row. Columns without an order (maps) need the ranked way.
+    """
+    rest = [c for c in df.columns if c not in [*keys, *order]]
+    if any("map<" in df.schema[c].dataType.simpleString() for c in rest):
+        return first_per_key(df, keys, order)
+    first = df.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("_first"))
+    picked = {c: F.col(c) for c in keys} | {c: F.col(f"_first.{c}").alias(c) for c in [*order, *rest]}
+    return first.select(*[picked[c] for c in df.columns])
 
 
 def document_lines(files: DataFrame, ident: str, content="content") -> DataFrame:

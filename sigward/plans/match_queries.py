@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sigward import session
 from sigward.functions import fixed
 from sigward.functions import scalars as X
 from sigward.operators import aggregates, filters, joins, matching, windows
@@ -12,6 +13,16 @@ from sigward.plans.registry import Tables, query
 from sigward.plans.source_queries import FILE_ENTRY, MONITORED, directories_xml, file_entry
 from sigward.sources import readers, sinks
 
+def pick(names, ident="doc_id"):
+    array = F.array(*[F.lit(n) for n in names])
+    return F.element_at(array, (F.col(ident) % len(names) + 1).cast("int"))
+
+
+def pick_sql(names, ident="doc_id"):
+    return f"list_extract([{', '.join(V.quote(n) for n in names)}], CAST({ident} % {len(names)} + 1 AS BIGINT))"
+
+
+
 HITS = ", ".join([V.FILES, V.STRINGS, V.hits_sql()])
 ITEM_HITS = f"""WITH {V.FILES}, {V.ITEM_STRINGS}, {V.hits_sql()} SELECT path, rule_name, string_id FROM hits"""
 
@@ -65,6 +76,23 @@ def m4_scan_pages(t: Tables):
     return matching.scan(files, V.active_fixture(t), V.fixture_strings(t))
 
 
+TAILS = [" shell_exec(1)", " exec(1)", " eval(base64_decode(x", fixed.BASE_RULES[0][2][0][1], ""]
+
+
+@query(
+    "m4_scan_base_rules",
+    """SELECT CASE doc_id % 5 WHEN 0 THEN 'Webshell_Generic' WHEN 2 THEN 'Suspicious_Base64_Shell' ELSE 'EICAR_Test_File'
+      END AS rule_name, '/doc_' || doc_id AS path FROM documents WHERE doc_id % 5 IN (0, 2, 3)""",
+)
+def m4_scan_base_rules(t: Tables):
+    """Documents with the markers of the base rules put behind their texts."""
+    name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
+    files = t.documents.select(
+        F.concat(F.lit("/"), name).alias("path"), name.alias("name"), F.concat("text", pick(TAILS)).alias("content")
+    )
+    return matching.scan(files, *readers.base_rules(t.spark))
+
+
 @query(
     "m5_quick_scan",
     f"""WITH {V.FILES}, near AS (SELECT * FROM files WHERE NOT starts_with(path, '/src1/') ORDER BY path LIMIT 100),
@@ -198,15 +226,6 @@ THREATS = [
 ]
 
 
-def pick(names, ident="doc_id"):
-    array = F.array(*[F.lit(n) for n in names])
-    return F.element_at(array, (F.col(ident) % len(names) + 1).cast("int"))
-
-
-def pick_sql(names, ident="doc_id"):
-    return f"list_extract([{', '.join(V.quote(n) for n in names)}], CAST({ident} % {len(names)} + 1 AS BIGINT))"
-
-
 EXACT = " ".join(f"WHEN r = {V.quote(n)} THEN {V.quote(d)}" for n, d in fixed.DISPLAY_NAMES)
 GLOBS = " ".join(f"WHEN r GLOB {V.quote(g)} THEN {V.quote(d)}" for g, d in fixed.DISPLAY_GLOBS)
 
@@ -259,7 +278,7 @@ def human_sql(b: str) -> str:
 )
 def j3_quarantine_detail(t: Tables):
     """Every third item has lost its sidecar."""
-    q = V.quarantine(t).withColumn("name", X.basename("orig_path"))
+    q = session.written(V.quarantine(t), "quarantine").withColumn("name", X.basename("orig_path"))
     ident = F.regexp_extract("name", r"_(\d+)\.", 1).cast("bigint")
     side = readers.read_sidecar(q.where(ident % 3 != 0).select("q_path", sinks.sidecar_text().alias("text")))
     items = q.select("q_path", "name", F.col("q_time").alias("mtime"), "content", "size_bytes")

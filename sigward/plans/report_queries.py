@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sigward import session
 from sigward.functions import fixed
+from sigward.functions import scalars as X
 from sigward.operators import aggregates, filters, joins, windows
 from sigward.plans import views as V
 from sigward.plans.filter_queries import LINES, REASON
 from sigward.plans.match_queries import fleet
 from sigward.plans.registry import ORACLES, Tables, query
 from sigward.plans.source_queries import MONITORED, directories_xml
-from sigward.functions import scalars as X
 from sigward.sources import readers
 
 
@@ -43,7 +44,7 @@ PER_PART = 10
 )
 def a3_files_per_rule(t: Tables):
     """Short parts, so that the split of long lists shows on small data."""
-    return aggregates.files_per_rule(V.matches(t), PER_PART)
+    return aggregates.files_per_rule(session.written(V.matches(t), "matches"), PER_PART)
 
 
 @query(
@@ -52,7 +53,7 @@ def a3_files_per_rule(t: Tables):
       string_agg(path, '|' ORDER BY path) AS files FROM matches GROUP BY rule_name HAVING count(*) <= 1000""",
 )
 def a3_files_per_rule_whole(t: Tables):
-    return aggregates.files_per_rule(V.matches(t)).where("parts = 1")
+    return aggregates.files_per_rule(session.written(V.matches(t), "matches")).where("parts = 1")
 
 
 @query("a4_rule_per_file", f"WITH {V.MATCHES} SELECT path, max(rule_name) AS rule_name FROM matches GROUP BY path")

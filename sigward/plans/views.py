@@ -402,10 +402,11 @@ def fleet_hosts(t: Tables) -> DataFrame:
 
 def quarantine(t: Tables) -> DataFrame:
     """Quarantine rows of all matched files; the time is the change time of the file."""
-    from sigward.operators import aggregates
+    from sigward.operators import matching
     from sigward.sources import sinks
 
-    items = files(t).join(aggregates.rule_per_file(matches(t)), "path").withColumn("item_id", F.col("doc_id"))
+    found = matching.matched_files(files(t), active_fixture(t), fixture_strings(t))
+    items = found.withColumn("rule_name", F.element_at("rule_names", -1)).withColumn("item_id", F.col("doc_id"))
     return sinks.quarantine_rows(items, "mtime")
 
 

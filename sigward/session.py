@@ -28,11 +28,19 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     Only where that setting is absent, as in local tests, a folder under /tmp is taken.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = base or spark.sparkContext.getCheckpointDir()
     if not base:
         base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the scratch folder: work done once, read often, and safe from lost executors."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_bytes(*cols: str):
     """Aggregate: bytes the named text columns take, with some room per value."""
     size = sum((F.coalesce(F.octet_length(F.col(c)), F.lit(0)) + 16 for c in cols), F.lit(0))

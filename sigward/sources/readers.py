@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigward.functions import fixed
 from sigward.functions import scalars as X
 
 ALERT_SCHEMA = (
@@ -203,6 +204,17 @@ def rule_strings(rules: DataFrame) -> DataFrame:
     return rules.select("rule_name", F.inline("strings"))
 
 
+def base_rules(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """The rules every corpus starts with: (rules, rule strings)."""
+    rules = [(name, "base", "base_rules.yar", condition) for name, condition, _ in fixed.BASE_RULES]
+    strings = [(name, ident, "text", text) for name, _, found in fixed.BASE_RULES for ident, text in found]
+    table = spark.createDataFrame(rules, "rule_name STRING, feed STRING, file_name STRING, condition STRING")
+    return (
+        table.withColumns({"min_hits": min_hits("condition"), "only_id": only_string("condition")}),
+        spark.createDataFrame(strings, "rule_name STRING, string_id STRING, kind STRING, pattern STRING"),
+    )
+
+
 def read_rules(
     spark: SparkSession, path: str, feed: str | None = None, name_glob: str = "*.{yar,yara}"
 ) -> DataFrame:

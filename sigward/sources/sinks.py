@@ -10,8 +10,8 @@ from sigward.functions import scalars as X
 from sigward.operators import retention
 
 
-def quarantine_rows(df: DataFrame, q_time) -> DataFrame:
-    """q_path, orig_path, rule_name, q_time, sha256, size_bytes, content, q_date of matched files.
+def quarantine_rows(df: DataFrame, q_time, *extra: str) -> DataFrame:
+    """q_path, orig_path, rule_name, q_time, sha256, size_bytes, content, q_date (and extra columns) of matched files.
 
     `df` holds path, name, rule_name, content and `item_id`, which makes names unique within a second.
     """
@@ -26,12 +26,16 @@ def quarantine_rows(df: DataFrame, q_time) -> DataFrame:
         F.octet_length("content").cast("bigint").alias("size_bytes"),
         "content",
         F.to_date(q_time).alias("q_date"),
+        *extra,
     )
 
 
 def write_quarantine(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Store quarantine rows below one folder per day. Nothing is removed from the source."""
-    df.write.partitionBy("q_date").mode(mode).parquet(path)
+    """Store quarantine rows below one folder per day. Nothing is removed from the source.
+
+    Rebalancing by day gives files of even size: small days are put together, a day that holds most rows is split.
+    """
+    df.hint("rebalance", "q_date").write.partitionBy("q_date").mode(mode).parquet(path)
 
 
 def sidecar_text(orig_path="orig_path", rule_name="rule_name", q_time="q_time", sha256="sha256") -> Column:
@@ -67,14 +71,16 @@ def log_line(ts="ts", level="level", msg="msg") -> Column:
 def write_daily_log(df: DataFrame, path: str, mode: str = "append") -> None:
     """Log rows (ts, level, msg) as text lines, one folder per day."""
     lines = df.select(log_line().alias("value"), F.to_date("ts").alias("log_date"))
-    lines.write.partitionBy("log_date").mode(mode).text(path)
+    lines.hint("rebalance", "log_date").write.partitionBy("log_date").mode(mode).text(path)
 
 
 def compact_old_logs(df: DataFrame, as_of, path: str, ts="ts", mode: str = "overwrite") -> None:
     """Write the rows of the compression tier (8 to 29 whole days old) as gzip text, one folder per day."""
-    old = retention.tier(df, ts, as_of).where(F.col("tier") == "compress")
+    old = retention.age_filter(df, ts, as_of, "+", fixed.COMPRESS_DAYS)
+    old = retention.age_filter(old, ts, as_of, "-", fixed.EXPIRE_DAYS)
     lines = old.select(log_line(ts).alias("value"), F.to_date(ts).alias("log_date"))
-    lines.write.partitionBy("log_date").mode(mode).option("compression", "gzip").text(path)
+    even = lines.hint("rebalance", "log_date")
+    even.write.partitionBy("log_date").mode(mode).option("compression", "gzip").text(path)
 
 
 def snapshot_rules(df: DataFrame, path: str, as_of) -> None:

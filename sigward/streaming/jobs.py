@@ -80,15 +80,15 @@ def stream_scan(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        found = batch_folder(f"{out}/matches", batch_id)
-        matching.scan(batch, rules, rule_strings).write.mode("overwrite").parquet(found)
-        schema = "rule_name STRING, path STRING"
-        one_rule = spark.read.schema(schema).parquet(found).groupBy("path").agg(F.max("rule_name").alias("rule_name"))
+        wanted = filters.exclude_names(filters.exclude_dirs(batch))
+        matched = matching.matched_files(wanted, rules, rule_strings)
+        items = sinks.quarantine_rows(matched.withColumn("rule_name", F.element_at("rule_names", -1)), q_time, "rule_names")
         stored = batch_folder(f"{out}/quarantine", batch_id)
-        items = sinks.quarantine_rows(batch.join(one_rule, "path"), q_time)
         items.write.mode("overwrite").parquet(stored)
-        stored_rows = spark.read.schema(items.schema).parquet(stored)
-        named = stored_rows.select("q_time", "rule_name", F.col("orig_path").alias("path"), X.basename("q_path").alias("q_name"))
+        rows = spark.read.schema(items.schema).parquet(stored)
+        found = rows.select(F.explode("rule_names").alias("rule_name"), F.col("orig_path").alias("path"))
+        found.write.mode("overwrite").parquet(batch_folder(f"{out}/matches", batch_id))
+        named = rows.select("q_time", "rule_name", F.col("orig_path").alias("path"), X.basename("q_path").alias("q_name"))
         sinks.write_alert_lines(named, batch_folder(f"{out}/alerts", batch_id), "overwrite")
 
     return start_batches(files, write, checkpoint, **trigger)
@@ -121,11 +121,15 @@ def stream_limit_events(events: DataFrame, limit: int, window: int, lateness: st
     Only the first `limit` rows of a second can pass, so a hot host is cut down while its rows stream in. State of a
     host ends once the watermark has left its window.
     """
-    events = windows.with_seconds(events).withWatermark("ts", lateness)
+    events = windows.with_seconds(events)
     order = ["sec", "ts", "event_id"]
 
-    def head(frame: pd.DataFrame) -> pd.DataFrame:
-        return frame.sort_values(order).groupby("sec", sort=False).head(limit)
+    def head(frame: pd.DataFrame, keys=("sec",)) -> pd.DataFrame:
+        return frame.sort_values(order).groupby(list(keys), sort=False).head(limit)
+
+    def first_of_batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield head(frame, ("host", "sec"))
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -146,7 +150,9 @@ def stream_limit_events(events: DataFrame, limit: int, window: int, lateness: st
             state.remove()
         yield rows.iloc[keep]
 
-    return events.groupBy("host").applyInPandasWithState(
+    # Rows that cannot pass go before the shuffle, so a hot host does not send all its rows to one task.
+    reduced = events.mapInPandas(first_of_batch, events.schema).withWatermark("ts", lateness)
+    return reduced.groupBy("host").applyInPandasWithState(
         step, events.schema, "accepted ARRAY<BIGINT>", "append", GroupStateTimeout.EventTimeTimeout
     ).drop("sec")
 

@@ -185,12 +185,7 @@ def test_rule_text(spark, tmp_path):
 
 
 def test_base_rules_count_overlaps(spark):
-    strings = [(n, i, "text", p) for n, _, ss in fixed.BASE_RULES for i, p in ss]
-    rules = [
-        (n, int(c[0]) if c[0].isdigit() else 1, c if c.startswith("$") else None) for n, c, _ in fixed.BASE_RULES
-    ]
-    s = spark.createDataFrame(strings, "rule_name STRING, string_id STRING, kind STRING, pattern STRING")
-    r = spark.createDataFrame(rules, "rule_name STRING, min_hits INT, only_id STRING")
+    r, s = readers.base_rules(spark)
     files = [("/a", "a", "shell_exec(1)"), ("/b", "b", "exec(1)"), ("/c", "c", fixed.BASE_RULES[0][2][0][1])]
     f = spark.createDataFrame(files, "path STRING, name STRING, content STRING")
     assert {tuple(x) for x in matching.scan(f, r, s).collect()} == {("Webshell_Generic", "/a"), ("EICAR_Test_File", "/c")}
