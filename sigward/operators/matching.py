@@ -130,7 +130,7 @@ def match_hex(files: DataFrame, rule_strings: DataFrame) -> DataFrame:
 
 def words(text) -> Column:
     """Pieces between blanks and line ends, both of one byte."""
-    return F.split(F.translate(X.col(text), "\n", " "), " ")
+    return F.split(X.col(text), "[ \n]")
 
 
 def anchored(strings: DataFrame) -> DataFrame:
@@ -178,15 +178,16 @@ def match_strings_indexed(files: DataFrame, rule_strings: DataFrame) -> DataFram
 
 def match_anchored(files: DataFrame, strings: DataFrame, shortest: int, ship: bool) -> DataFrame:
     """Look up the words of each file among the anchors, then verify the whole string in the content."""
-    candidates = F.array_distinct(F.filter(words("content"), lambda w: F.length(w) >= shortest))
+    each_word = F.explode(F.array_distinct(words("content"))).alias("anchor")
+    long_enough = F.length("anchor") >= shortest
     found = F.contains(F.col("content"), F.col("pattern"))
     if ship:
         # The content never leaves its task: words are exploded and looked up in the same stage.
-        tokens = files.select("path", "content", F.explode(candidates).alias("anchor"))
+        tokens = files.select("path", "content", each_word).where(long_enough)
         return tokens.join(F.broadcast(strings), "anchor").where(found).select(*HIT_COLUMNS)
     # Too many strings to ship: shuffle words (not contents), then join the few candidate pairs back to the contents.
     # A word that occurs everywhere is split by the skew join of the adaptive planner.
-    tokens = files.select("path", F.explode(candidates).alias("anchor"))
+    tokens = files.select("path", each_word).where(long_enough)
     pairs = tokens.join(strings, "anchor").drop("anchor")
     return files.select("path", "content").join(pairs, "path").where(found).select(*HIT_COLUMNS)
 

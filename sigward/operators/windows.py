@@ -92,15 +92,25 @@ def with_seconds(df: DataFrame, ts="ts") -> DataFrame:
 def restarts_last_hour(events: DataFrame, window: int = fixed.RESTART_WINDOW_SEC) -> DataFrame:
     """Adds `restarts`: events of the host in the preceding hour, both ends and the row itself included.
 
-    Events are counted per host and second first. A window then covers one host and hour: every second is sent to
-    its own hour and to the next one, so no group spans more than two hours.
+    Events are counted per host and second first. A second adds its count when it comes and takes it away when it
+    leaves the window, so the look-back is a running sum and not a frame that is summed anew for every row. Hosts are
+    cut into hours: what an hour hands on to the next one is a single row, and no group is larger than two rows per
+    second of an hour.
     """
     events = with_seconds(events)
     counts = events.groupBy("host", "sec").agg(F.count(F.lit(1)).alias("n"))
-    bucket = F.floor(F.col("sec") / window)
-    halo = counts.withColumn("own", bucket).withColumn("bucket", F.explode(F.array(bucket, bucket + 1)))
-    span = W.partitionBy("host", "bucket").orderBy("sec").rangeBetween(-window, 0)
-    totals = halo.withColumn("restarts", F.sum("n").over(span)).where("own = bucket").select("host", "sec", "restarts")
+    counts = counts.withColumn("hour", F.floor(F.col("sec") / window))
+    comes = counts.select("host", "hour", F.col("sec").alias("at"), F.lit(2).alias("kind"), "n")
+    goes = counts.select(
+        "host", (F.col("hour") + 1).alias("hour"), (F.col("sec") + window + 1).alias("at"), F.lit(1).alias("kind"),
+        (-F.col("n")).alias("n"),
+    )
+    handed_on = counts.groupBy("host", "hour").agg(F.sum("n").alias("n")).select(
+        "host", (F.col("hour") + 1).alias("hour"), ((F.col("hour") + 1) * window).alias("at"), F.lit(0).alias("kind"), "n"
+    )
+    running = W.partitionBy("host", "hour").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0)
+    steps = comes.unionByName(goes).unionByName(handed_on).withColumn("restarts", F.sum("n").over(running))
+    totals = steps.where("kind = 2").select("host", F.col("at").alias("sec"), "restarts")
     return events.join(totals, ["host", "sec"]).drop("sec")
 
 
