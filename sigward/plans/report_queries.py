@@ -33,27 +33,24 @@ def a2_threat_distribution(t: Tables):
 PER_PART = 10
 
 
-@query(
-    "a3_files_per_rule",
-    f"""WITH {V.MATCHES}, sizes AS (SELECT rule_name, CAST(ceil(count(*) / {PER_PART}.0) AS BIGINT) AS parts FROM matches
-      GROUP BY rule_name), placed AS (
+def lists_sql(per_part: int) -> str:
+    return f"""WITH {V.MATCHES}, sizes AS (SELECT rule_name, CAST(ceil(count(*) / {per_part}.0) AS BIGINT) AS parts
+      FROM matches GROUP BY rule_name), placed AS (
       SELECT rule_name, path, parts, CAST('0x' || md5(path)[1:8] AS BIGINT) % parts AS part
       FROM matches JOIN sizes USING (rule_name))
     SELECT rule_name, part, parts, count(*) AS n_files, string_agg(path, '|' ORDER BY path) AS files
-    FROM placed GROUP BY ALL""",
-)
+    FROM placed GROUP BY ALL"""
+
+
+@query("a3_files_per_rule", lists_sql(aggregates.FILES_PER_PART))
 def a3_files_per_rule(t: Tables):
-    """Short parts, so that the split of long lists shows on small data."""
-    return aggregates.files_per_rule(session.written(V.matches(t), "matches"), PER_PART)
+    return aggregates.files_per_rule(session.written(V.matches(t), "matches"))
 
 
-@query(
-    "a3_files_per_rule_whole",
-    f"""WITH {V.MATCHES} SELECT rule_name, CAST(0 AS BIGINT) AS part, CAST(1 AS BIGINT) AS parts, count(*) AS n_files,
-      string_agg(path, '|' ORDER BY path) AS files FROM matches GROUP BY rule_name HAVING count(*) <= 1000""",
-)
-def a3_files_per_rule_whole(t: Tables):
-    return aggregates.files_per_rule(session.written(V.matches(t), "matches")).where("parts = 1")
+@query("a3_files_per_rule_short", lists_sql(PER_PART))
+def a3_files_per_rule_short(t: Tables):
+    """Short parts, so that the split of long lists shows on small data."""
+    return aggregates.files_per_rule(session.written(V.matches(t), "matches"), PER_PART)
 
 
 @query("a4_rule_per_file", f"WITH {V.MATCHES} SELECT path, max(rule_name) AS rule_name FROM matches GROUP BY path")

@@ -87,11 +87,11 @@ def x6_quarantine_suffix(t: Tables):
 
 @query(
     "x7_date_from_path",
-    f"""SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN '1725-00-00' WHEN doc_id % 4 = 2 THEN '2025-09-08'
-      ELSE '2024-01-31' END AS day FROM documents WHERE doc_id < 10000000""",
+    f"""SELECT doc_id, CASE WHEN d = '' THEN '2024-01-31' ELSE d[1:4] || '-' || d[5:6] || '-' || d[7:8] END AS day
+    FROM (SELECT doc_id, regexp_extract({STORED}, '[0-9]{{8}}') AS d FROM documents)""",
 )
 def x7_date_from_path(t: Tables):
-    return t.documents.where("doc_id < 10000000").select(
+    return t.documents.select(
         "doc_id", X.date_from_path(stored_name(), V.as_of()).alias("day")
     )
 

@@ -52,20 +52,16 @@ def fits_broadcast(df: DataFrame, *cols: str) -> bool:
     return df.agg(text_bytes(*cols).alias("b")).first()["b"] <= BROADCAST_BYTES
 
 
+SPREAD_BELOW = 32
+
+
 def spread_small(df: DataFrame) -> DataFrame:
     """Redistribute a table that arrives in fewer tasks than there are cores.
 
-    A table of one small file is read by one task, however many cores wait. Large tables already arrive in many
-    splits and are left alone, so nothing is shuffled at scale. The size comes from the optimizer's statistics.
+    A table of one small file is read by one task, however many cores wait. Only tables of less than SPREAD_BELOW
+    splits are touched; large ones arrive in many splits and are never shuffled for this.
     """
     if df.isStreaming:
         return df
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:
-        return df
-    if size < cores * 32 * 1024 * 1024:
-        return df.repartition(cores)
-    return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, SPREAD_BELOW) else df

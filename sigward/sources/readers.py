@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,14 +37,7 @@ def file_columns(path, content, size, mtime) -> list[Column]:
     ]
 
 
-def existing_roots(spark: SparkSession, roots: list[str]) -> list[str]:
-    """The roots that exist, on whatever file system they live."""
-    found = []
-    for root in roots:
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            found.append(root)
-    return found
+EMPTY_FILES = "path STRING, name STRING, dir STRING, size_bytes BIGINT, mtime TIMESTAMP, content BINARY"
 
 
 def scan_files(spark: SparkSession, roots: list[str], name_glob: str | None = None) -> DataFrame:
@@ -54,12 +48,18 @@ def scan_files(spark: SparkSession, roots: list[str], name_glob: str | None = No
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if name_glob:
         reader = reader.option("pathGlobFilter", name_glob)
-    roots = existing_roots(spark, roots)
-    if not roots:
-        empty = "path STRING, name STRING, dir STRING, size_bytes BIGINT, mtime TIMESTAMP, content BINARY"
-        return spark.createDataFrame([], empty)
+    found = []
+    for root in roots:
+        try:
+            found.append(reader.load(root))
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+    if not found:
+        return spark.createDataFrame([], EMPTY_FILES)
     path = F.regexp_replace("path", r"^file:/+", "/")
-    return reader.load(roots).select(*file_columns(path, "content", "length", "modificationTime"))
+    files = reduce(DataFrame.unionByName, found)
+    return files.select(*file_columns(path, "content", "length", "modificationTime"))
 
 
 # ---- logs

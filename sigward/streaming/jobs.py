@@ -20,6 +20,7 @@ from sigward.operators import filters, matching, windows
 from sigward.sources import sinks
 
 LATENESS = "1 hour"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_table_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -39,6 +40,8 @@ def start_batches(
     stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", **trigger
 ) -> StreamingQuery:
     trigger = trigger or {"availableNow": True}
+    # State on local disk with changes kept in the checkpoint: it may outgrow the memory of an executor.
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     writer = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint)
     return writer.trigger(**trigger).start()
 
