@@ -282,7 +282,9 @@ def scan(
     bounded = bounded_rules(rules, rule_strings)
     if bounded is None:
         return scan_indexed(wanted, rules, rule_strings)
-    return with_fired_rules(wanted, *bounded).select(F.explode("rule_names").alias("rule_name"), "path")
+    # The outer form keeps the planner from testing all needles a second time in a filter below.
+    fired = with_fired_rules(wanted, *bounded).select(F.explode_outer("rule_names").alias("rule_name"), "path")
+    return fired.where("rule_name IS NOT NULL")
 
 
 def matched_files(files: DataFrame, rules: DataFrame, rule_strings: DataFrame) -> DataFrame:
