@@ -1,4 +1,4 @@
-"""Headline queries, timed. One warm-up, then the median of three runs. Prints one JSON line."""
+"""Headline queries, timed. Two warm-ups, then the median of three runs. Prints one JSON line."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ from sigward.plans import registry  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-RUNS = 3
+WARM_UPS, RUNS = 2, 3
 HEADLINE = [
     "m4_scan",
     "m1_match_strings",
@@ -61,7 +61,8 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     times = {}
     for name in names:
-        run(spark, name)
+        for _ in range(WARM_UPS):
+            run(spark, name)
         times[name] = round(statistics.median(run(spark, name) for _ in range(RUNS)), 3)
     documents = spark.read.parquet(f"{SF_DIR}/documents.parquet").count()
     out = {

@@ -94,7 +94,8 @@ def still_present(matches: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def missing_required(required: DataFrame, present: DataFrame, keys) -> DataFrame:
-    return required.join(present.select(*keys), list(keys), "left_anti")
+    # Distinct first: copies of a key are combined per task and never meet in one.
+    return required.join(present.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def category_test(pattern: str, text="body") -> Column:
@@ -119,7 +120,7 @@ def decode_alert(lines: DataFrame, line="value") -> DataFrame:
 
 def new_rules(incoming: DataFrame, active: DataFrame) -> DataFrame:
     """Rules of a new feed whose name is not active yet."""
-    return incoming.join(active.select("rule_name"), "rule_name", "left_anti")
+    return incoming.join(active.select("rule_name").distinct(), "rule_name", "left_anti")
 
 
 def version_check(hosts: DataFrame, reports: DataFrame) -> DataFrame:

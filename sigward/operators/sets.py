@@ -24,5 +24,10 @@ def union_restart_sources(service: DataFrame, cron: DataFrame) -> DataFrame:
 
 
 def rules_removed(before: DataFrame, after: DataFrame) -> DataFrame:
-    """What an update dropped, copies counted."""
-    return before.exceptAll(after.select(*before.columns))
+    """What an update dropped: the rows of `before` with the number of `copies` that `after` lacks.
+
+    A multiset difference kept as counts, so that a row with very many copies stays one row.
+    """
+    columns = before.columns
+    signed = before.withColumn("_n", F.lit(1)).unionByName(after.select(*columns).withColumn("_n", F.lit(-1)))
+    return signed.groupBy(*columns).agg(F.sum("_n").alias("copies")).where("copies > 0")

@@ -323,7 +323,7 @@ def u3_union_restart_sources(t: Tables):
 def u4_rules_removed(t: Tables):
     """What line de-duplication takes away, counted per line."""
     lines = windows.document_lines(t.documents, "doc_id", "text").select("line")
-    return sets.rules_removed(lines, lines.distinct()).groupBy("line").agg(F.count(F.lit(1)).alias("copies"))
+    return sets.rules_removed(lines, lines.distinct())
 
 
 # ---- retention

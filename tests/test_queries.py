@@ -43,6 +43,13 @@ def test_scan_is_one_narrow_pass(spark, tables):
     assert plan.count("Exchange") == 1 and "RoundRobinPartitioning" in plan
 
 
+def test_quarantine_leaves_contents_where_they_were_read(tables):
+    from sigward.plans import views as V
+
+    plan = plan_of(V.quarantine(tables))
+    assert "Join" not in plan and plan.count("Exchange") == 1
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     plan = plan_of(QUERIES["f6_on_date"](spark, SF_DIR))
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan
