@@ -98,9 +98,9 @@ def html_escape(c) -> Column:
 
 
 def digits_only(c) -> Column:
-    """The digits of a text as a number; 0 when there are none."""
-    digits = F.nullif(F.regexp_replace(col(c), "[^0-9]", ""), F.lit(""))
-    return F.coalesce(digits.cast("bigint"), F.lit(0).cast("bigint"))
+    """The digits of a text as a number; 0 when there are none, null when they exceed a bigint."""
+    digits = F.regexp_replace(col(c), "[^0-9]", "")
+    return F.when(digits == "", F.lit(0).cast("bigint")).otherwise(digits.try_cast("bigint"))
 
 
 def glob_regex(glob: str) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sigward.functions import fixed
 from sigward.functions import scalars as X
-from sigward.operators import aggregates, filters, limits, retention, sets, windows
+from sigward.operators import aggregates, filters, limits, matching, retention, sets, windows
 from sigward.plans import views as V
 from sigward.plans.registry import Tables, query
 from sigward.plans.source_queries import FILE_ENTRY, file_entry
@@ -297,8 +297,6 @@ def u1_union_feeds(t: Tables):
 def u2_union_scan_results(t: Tables):
     """One scan per root (language), results appended."""
     files, rules, strings = V.files(t), V.active_fixture(t), V.fixture_strings(t)
-    from sigward.operators import matching
-
     english = F.col("lang") == "en"
     parts = [matching.scan(files.where(w), rules, strings) for w in (english, ~english)]
     return sets.union_scan_results(parts)

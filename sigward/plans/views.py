@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from sigward import session
 from sigward.functions import fixed
 from sigward.functions import scalars as X
+from sigward.operators import filters, matching
 from sigward.plans.registry import Tables
-from sigward.sources import readers
+from sigward.sources import readers, sinks
 
 AS_OF = "2024-01-31 00:00:00"
 LAST_DAY = "2024-01-30"
@@ -175,15 +176,11 @@ MATCHES = ", ".join([FILES, RULES, STRINGS, hits_sql(), MATCHES_OF_HITS])
 
 
 def active_fixture(t: Tables) -> DataFrame:
-    from sigward.operators import filters
-
     active, _ = filters.deny_rules(fixture_rules(t))
     return active
 
 
 def matches(t: Tables) -> DataFrame:
-    from sigward.operators import matching
-
     return matching.scan(files(t), active_fixture(t), fixture_strings(t))
 
 
@@ -402,9 +399,6 @@ def fleet_hosts(t: Tables) -> DataFrame:
 
 def quarantine(t: Tables) -> DataFrame:
     """Quarantine rows of all matched files; the time is the change time of the file."""
-    from sigward.operators import matching
-    from sigward.sources import sinks
-
     found = matching.matched_files(files(t), active_fixture(t), fixture_strings(t))
     items = found.withColumn("rule_name", F.element_at("rule_names", -1)).withColumn("item_id", F.col("doc_id"))
     return sinks.quarantine_rows(items, "mtime")

@@ -253,3 +253,19 @@ def test_guard_splits_everything(spark):
     df = spark.createDataFrame([(1,), (10,), (11,)], "size_bytes BIGINT")
     scan, skipped = matching.guard(df, 10)
     assert scan.count() == 2 and skipped.count() == 1
+
+
+@pytest.mark.parametrize("glob", ["*", "?", "a*", "*a", "*a*", "a?b", "[ab]*", "[!a]?", "a.b", "a+(b)", "x{1}*", "**", "[a-c]b*d"])
+def test_globs_equal_the_shell(glob):
+    import fnmatch
+    import itertools
+    import re
+
+    texts = ["".join(t) for n in range(5) for t in itertools.product("ab.d", repeat=n)] + ["a+(b)", "x{1}y", "a\nb"]
+    want = re.compile(fnmatch.translate(glob))
+    got = re.compile(X.glob_regex(glob))
+    assert [t for t in texts if got.search(t)] == [t for t in texts if want.match(t)]
+
+
+def test_digits_beyond_a_bigint_give_null(spark):
+    assert one(spark, "9" * 25, X.digits_only) is None
