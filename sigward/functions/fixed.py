@@ -205,6 +205,14 @@ ADVICE_ALWAYS = [
     "Review detailed daily reports for trend analysis.",
 ]
 
+# Advice of the status report, given when its score is below 80.
+STATUS_GOOD = 80
+STATUS_ENGINE = "Install or fix YARA engine"
+STATUS_AGENT = "Start agent service"
+STATUS_RULES = "Download YARA rules"
+STATUS_CPU = "High CPU usage - review active processes"
+STATUS_DISK = "Low disk space - clean up logs or expand storage"
+
 # The base rules every corpus starts with: name, condition, strings by id.
 BASE_RULES = [
     (

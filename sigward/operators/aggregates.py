@@ -262,18 +262,39 @@ def health_score(metrics: DataFrame, kind: str = "weekly") -> DataFrame:
     return scored.withColumn("health", band("score", kind == "weekly"))
 
 
-def recommendations(metrics: DataFrame) -> DataFrame:
-    """(host, advice) rows; the general advice is always given. metrics: host, cpu, disk, detections, changes."""
-    advice = [
-        F.when(F.floor("cpu") > 80, fixed.ADVICE_CPU),
-        F.when(F.floor("disk") > 80, fixed.ADVICE_DISK),
-        F.when(F.col("detections") > 0, fixed.ADVICE_DETECTIONS),
-        F.when(F.col("changes") > 100, fixed.ADVICE_CHANGES),
-        *[F.lit(text) for text in fixed.ADVICE_ALWAYS],
-    ]
+def recommendations(metrics: DataFrame, kind: str = "weekly") -> DataFrame:
+    """(host, advice) rows.
+
+    weekly (host, cpu, disk, detections, changes): what the metrics call for, and general advice always. status
+    (host, engine_ok, agent_ok, rules, cpu, disk): only for hosts whose status score is below 80.
+    """
+    hot, full = F.floor("cpu") > 80, F.floor("disk") > 80
+    if kind == "weekly":
+        advice = [
+            F.when(hot, fixed.ADVICE_CPU),
+            F.when(full, fixed.ADVICE_DISK),
+            F.when(F.col("detections") > 0, fixed.ADVICE_DETECTIONS),
+            F.when(F.col("changes") > 100, fixed.ADVICE_CHANGES),
+            *[F.lit(text) for text in fixed.ADVICE_ALWAYS],
+        ]
+    else:
+        metrics = health_score(metrics, "status").where(F.col("score") < fixed.STATUS_GOOD)
+        advice = [
+            F.when(~F.col("engine_ok"), fixed.STATUS_ENGINE),
+            F.when(~F.col("agent_ok"), fixed.STATUS_AGENT),
+            F.when(F.col("rules") == 0, fixed.STATUS_RULES),
+            F.when(hot, fixed.STATUS_CPU),
+            F.when(full, fixed.STATUS_DISK),
+        ]
     return metrics.select("host", F.explode(F.array_compact(F.array(*advice))).alias("advice"))
 
 
+def changed_since(file_entry: DataFrame, as_of, hours: int = 24) -> DataFrame:
+    """Integrity rows changed within the hours before `as_of`, compared as numbers of seconds."""
+    start = X.to_epoch(as_of) - F.lit(hours * 3600)
+    return file_entry.where(F.col("mtime") > start).agg(F.count(F.lit(1)).alias("changed"))
+
+
 def detection_kpis(matches: DataFrame, truth: DataFrame, rules: DataFrame) -> DataFrame:
     """Detection rate, false-positive rate and rule coverage.
 

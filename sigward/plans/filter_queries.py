@@ -262,6 +262,14 @@ def l3_recent_changes(t: Tables):
     return limits.recent_changes(file_entry(t)).select("path", V.ntz("ts").alias("ts"))
 
 
+@query(
+    "l3_changed_since",
+    f"WITH {FILE_ENTRY} SELECT count(*) AS changed FROM file_entry WHERE mtime > 1706659200 - 6 * 3600",
+)
+def l3_changed_since(t: Tables):
+    return aggregates.changed_since(file_entry(t), V.as_of(), 6)
+
+
 @query("l4_remaining_note", f"WITH {V.MATCHES} SELECT greatest(count(*) - 10, 0) AS remaining FROM matches")
 def l4_remaining_note(t: Tables):
     return limits.remaining_note(V.matches(t))

@@ -234,11 +234,14 @@ STATUS = """100 - 30 * CAST(host % 5 = 0 AS INTEGER) - 30 * CAST(host % 7 = 0 AS
       WHEN score >= 40 THEN 'WARNING' ELSE 'CRITICAL' END AS health FROM (SELECT host, {STATUS} AS score FROM metrics)""",
 )
 def a19_health_score_status(t: Tables):
+    return aggregates.health_score(status_metrics(t), "status").select("host", "score", "health")
+
+
+def status_metrics(t: Tables):
     host = F.col("host")
-    m = V.metrics(t).withColumns(
+    return V.metrics(t).withColumns(
         {"engine_ok": host % 5 != 0, "agent_ok": host % 7 != 0, "rules": F.when(host % 11 == 0, 0).otherwise(5)}
     )
-    return aggregates.health_score(m, "status").select("host", "score", "health")
 
 
 ADVICE = " UNION ALL ".join(
@@ -256,6 +259,20 @@ def a20_recommendations(t: Tables):
     return aggregates.recommendations(V.metrics(t))
 
 
+STATUS_ADVICE = " UNION ALL ".join(
+    f"SELECT host, {V.quote(text)} AS advice FROM low WHERE {test}"
+    for test, text in [
+        ("host % 5 = 0", fixed.STATUS_ENGINE), ("host % 7 = 0", fixed.STATUS_AGENT), ("host % 11 = 0", fixed.STATUS_RULES),
+        ("floor(cpu) > 80", fixed.STATUS_CPU), ("floor(disk) > 80", fixed.STATUS_DISK),
+    ]
+)
+
+
+@query("a20_recommendations_status", f"WITH {V.METRICS}, low AS (SELECT * FROM metrics WHERE {STATUS} < 80) {STATUS_ADVICE}")
+def a20_recommendations_status(t: Tables):
+    return aggregates.recommendations(status_metrics(t), "status")
+
+
 @query(
     "a21_top_detections",
     f"""WITH {V.ALERTS} SELECT description, count(*) AS alerts FROM alerts WHERE grp = 'yara' GROUP BY 1

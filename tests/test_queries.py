@@ -35,6 +35,13 @@ def test_no_nested_loops(spark, name):
     assert "BroadcastNestedLoopJoin" not in plan
 
 
+@pytest.mark.parametrize("name", [q for q in QUERIES if not q.startswith(("s1", "t"))])
+def test_python_runs_only_in_the_limiters_and_the_automaton(spark, name):
+    plan = plan_of(QUERIES[name](spark, SF_DIR))
+    python = any(node in plan for node in ("MapInPandas", "EvalPython", "FlatMapGroupsInPandas", "MapInArrow"))
+    assert python == (name in ("w7_limit_restarts", "w8_suppress_alerts", "g2_rule_matcher"))
+
+
 def test_scan_is_one_narrow_pass(spark, tables):
     """The only exchange is the one that spreads a single small file over the cores."""
     from sigward.plans import views as V
