@@ -70,11 +70,6 @@ def kv_value(c) -> Column:
     return strip(F.substr(c, F.instr(c, ":") + 1))
 
 
-def kv_key(c) -> Column:
-    c = col(c)
-    return F.when(F.instr(c, ":") > 0, F.substring_index(c, ":", 1))
-
-
 def sha256_hex(c) -> Column:
     return F.sha2(col(c), 256)
 

@@ -115,17 +115,21 @@ def in_days(as_of, days: int, ts="ts") -> Column:
     return (F.col(ts) >= F.date_sub(last, days - 1)) & (F.col(ts) < F.date_add(last, 1))
 
 
-def daily_counts(rows: DataFrame, as_of, days: int, ts="ts") -> DataFrame:
-    """(day, n, total) for each of the last `days` dates, zero-filled."""
+def daily_counts(rows: DataFrame, wanted: Column, as_of, days: int, ts="ts") -> DataFrame:
+    """(day, n, total) of the wanted rows for each of the last `days` dates, zero-filled.
+
+    Dates are tested first: they are cheap and prunable, and texts of other days need no look.
+    """
     last = F.to_date(F.lit(as_of))
     calendar = rows.sparkSession.range(1).select(F.explode(F.sequence(F.date_sub(last, days - 1), last)).alias("day"))
-    counts = rows.where(in_days(as_of, days, ts)).groupBy(F.to_date(ts).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    recent = rows.where(in_days(as_of, days, ts)).where(wanted)
+    counts = recent.groupBy(F.to_date(ts).alias("day")).agg(F.count(F.lit(1)).alias("n"))
     filled = calendar.join(counts, "day", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return filled.withColumn("total", F.sum("n").over(W.partitionBy()))
 
 
 def daily_change_counts(logs: DataFrame, as_of, days: int = 7) -> DataFrame:
-    return daily_counts(logs.where(X.contains_any("msg", fixed.CHANGE_WORDS)), as_of, days)
+    return daily_counts(logs, X.contains_any("msg", fixed.CHANGE_WORDS), as_of, days)
 
 
 def is_detection(msg="msg") -> Column:
@@ -133,7 +137,7 @@ def is_detection(msg="msg") -> Column:
 
 
 def weekly_detections(logs: DataFrame, as_of, days: int = 7) -> DataFrame:
-    return daily_counts(logs.where(F.contains("msg", F.lit("THREAT DETECTED"))), as_of, days)
+    return daily_counts(logs, F.contains("msg", F.lit("THREAT DETECTED")), as_of, days)
 
 
 def scan_trigger_sum(logs: DataFrame, as_of, days: int = 7) -> DataFrame:

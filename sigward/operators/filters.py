@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from sigward.functions import fixed
 from sigward.functions import scalars as X
-from sigward.operators.retention import age_filter, age_test  # noqa: F401  (part of this surface)
 
 
 def under(path, folder: str) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sigward.functions import fixed
-from sigward.functions import scalars as X
 from sigward.operators import aggregates, filters, limits, matching, retention, sets, windows
 from sigward.plans import views as V
 from sigward.plans.registry import Tables, query

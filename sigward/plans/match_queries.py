@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sigward import session
 from sigward.functions import fixed
 from sigward.functions import scalars as X
-from sigward.operators import aggregates, filters, joins, matching, windows
+from sigward.operators import joins, matching
 from sigward.plans import views as V
 from sigward.plans.filter_queries import alert_texts
 from sigward.plans.registry import Tables, query

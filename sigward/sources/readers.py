@@ -139,7 +139,7 @@ def min_hits(condition) -> Column:
     c = X.strip(condition)
     return (
         F.when(c == "any of them", F.lit(1))
-        .when(c.rlike(r"^[0-9]+ of them$"), F.regexp_extract(c, r"^([0-9]+)", 1).try_cast("int"))
+        .when(c.rlike(r"^[1-9][0-9]* of them$"), F.regexp_extract(c, r"^([0-9]+)", 1).try_cast("int"))
         .when(c.rlike(r"^\$\w+$"), F.lit(1))
         .cast("int")
     )

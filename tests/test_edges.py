@@ -269,3 +269,35 @@ def test_globs_equal_the_shell(glob):
 
 def test_digits_beyond_a_bigint_give_null(spark):
     assert one(spark, "9" * 25, X.digits_only) is None
+
+
+@pytest.mark.parametrize(
+    "condition, hits, ident",
+    [("any of them", 1, None), ("3 of them", 3, None), (" $a ", 1, "$a"), ("0 of them", None, None), ("all of them", None, None)],
+)
+def test_conditions(spark, condition, hits, ident):
+    assert one(spark, condition, readers.min_hits) == hits
+    assert one(spark, condition, readers.only_string) == ident
+
+
+def test_missing_content_and_unknown_conditions_never_match(spark):
+    files = spark.createDataFrame([("/a", "a", None), ("/b", "b", "xy")], "path STRING, name STRING, content STRING")
+    rules = spark.createDataFrame(
+        [("R", 1, None), ("Unknown", None, None), ("Undeclared", 1, "$zz")], "rule_name STRING, min_hits INT, only_id STRING"
+    )
+    strings = spark.createDataFrame(
+        [(n, "$a", "text", "x") for n in ("R", "Unknown", "Undeclared")],
+        "rule_name STRING, string_id STRING, kind STRING, pattern STRING",
+    )
+    assert [tuple(r) for r in matching.scan(files, rules, strings).collect()] == [("R", "/b")]
+    grouped = matching.eval_conditions(matching.match_strings_indexed(files, strings), rules)
+    assert [tuple(r) for r in grouped.collect()] == [("R", "/b")]
+
+
+def test_scratch_folder_follows_the_cluster(spark):
+    from sigward import session
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/"
+    first, second = session.scratch_dir(spark, "x"), session.scratch_dir(spark, "x")
+    assert first.startswith(base) and first != second
+    assert session.written(spark.range(5), "numbers").count() == 5
