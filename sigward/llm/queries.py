@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sigward import session
-from sigward.llm import common, packing, token_output
+from sigward.llm import common, fingerprints, mixing, packing, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +35,19 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+
+@query
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(common.documents(spark, sf_dir))
+
+
+ORACLES["op3_fingerprints"] = fingerprints.oracle()
+
+
+@query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(common.documents(spark, sf_dir))
+
+
+ORACLES["op9_mixing"] = mixing.oracle()
