@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sigward import session
-from sigward.llm import common, fingerprints, mixing, packing, token_output
+from sigward.llm import common, fingerprints, language, line_dedup, mixing, packing, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +51,16 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op9_mixing"] = mixing.oracle()
+
+
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(common.documents(spark, sf_dir))
+
+
+ORACLES["op1_line_dedup"] = line_dedup.oracle()
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(language.document_evidence(common.documents(spark, sf_dir)))
