@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sigward import session
-from sigward.llm import common, fingerprints, language, line_dedup, mixing, packing, token_output
+from sigward.llm import common, fingerprints, language, line_dedup, lm, mixing, packing, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +64,8 @@ ORACLES["op1_line_dedup"] = line_dedup.oracle()
 @query
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(language.document_evidence(common.documents(spark, sf_dir)))
+
+
+@query
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(common.documents(spark, sf_dir))
