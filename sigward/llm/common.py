@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ def lower_ascii(text: Column) -> Column:
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """The rows again, in runs whose `column` takes about `most` bytes; a longer value comes alone, whole."""
     for batch in batches:
-        sizes = [0 if n is None else n for n in pa.compute.binary_length(batch.column(column)).to_pylist()]
+        sizes = [0 if n is None else n for n in pc.binary_length(batch.column(column)).to_pylist()]
         start = total = 0
         for i, n in enumerate(sizes):
             if total and total + n > most:
@@ -40,3 +41,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterato
 def shuffles(spark: SparkSession) -> int:
     """Partitions that a shuffle has in this session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Lower-case words of all texts on end and their number for each text; a null text has none."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    if pa.types.is_large_list(lists.type):
+        lists = lists.cast(pa.list_(pa.string()))
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    flat = lists.flatten()
+    full = pc.not_equal(flat, "")
+    before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    return flat.filter(full).dictionary_encode(), before[offsets[1:] - offsets[0]] - before[offsets[:-1] - offsets[0]]

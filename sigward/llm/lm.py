@@ -21,7 +21,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,22 +40,15 @@ PARAMETERS = ("context", "near", "far", "target", "bias")
 
 def token_lists(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     """Words of all texts on end, each text closed by the end token; the number of tokens of each text."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
-    if pa.types.is_large_list(lists.type):
-        lists = lists.cast(pa.list_(pa.string()))
-    offsets = lists.offsets.to_numpy().astype(np.int64)
-    words = lists.flatten()
-    full = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
-    before = np.concatenate([[0], np.cumsum(full)])
-    counts = before[offsets[1:] - offsets[0]] - before[offsets[:-1] - offsets[0]]
-    coded = pa.concat_arrays([words.filter(pa.array(full)), pa.array([END], words.type)]).dictionary_encode()
-    index = coded.indices.to_numpy(zero_copy_only=False)
-    out = np.empty(len(index) - 1 + len(counts), dtype=np.int32)
+    words, counts = common.words(texts)
+    index = words.indices.to_numpy(zero_copy_only=False)
+    place = len(words.dictionary)
+    out = np.empty(len(index) + len(counts), dtype=np.int32)
     last = np.cumsum(counts + 1) - 1
     inner = np.ones(len(out), dtype=bool)
     inner[last] = False
-    out[inner], out[last] = index[:-1], index[-1]
-    return pa.DictionaryArray.from_arrays(pa.array(out), coded.dictionary), counts + 1
+    out[inner], out[last] = index, place
+    return pa.DictionaryArray.from_arrays(pa.array(out), pa.concat_arrays([words.dictionary.cast(pa.string()), pa.array([END])])), counts + 1
 
 
 def count_words(docs: DataFrame) -> DataFrame:
