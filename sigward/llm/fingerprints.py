@@ -29,17 +29,20 @@ def part(digest: Column, i: int) -> Column:
     return F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long")
 
 
-def vector(text: Column) -> Column:
-    """Sum of the paragraphs' vectors: DENSE, then SPARSE lanes."""
+def numbers(text: Column) -> Column:
+    """Each paragraph's hash as DENSE numbers of 32 bits."""
     digests = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda p: F.md5(p.cast("binary")))
-    numbers = F.transform(digests, lambda d: F.array(*[part(d, i) for i in range(DENSE)]))
-    lanes = F.transform(numbers, lambda n: F.struct((n[0] % SPARSE).alias("lane"), n[1].alias("value")))
+    return F.transform(digests, lambda d: F.array(*[part(d, i) for i in range(DENSE)]))
+
+
+def vector(paragraphs: Column) -> Column:
+    """Sum of the paragraphs' vectors: DENSE, then SPARSE lanes. Give it a column of `numbers` of an earlier select, as each lane reads it."""
     add = lambda a, v: (a + v) % LANE
-    total = lambda i: F.aggregate(numbers, F.lit(0).cast("long"), lambda a, n: add(a, n[i]))
+    total = lambda i: F.aggregate(paragraphs, F.lit(0).cast("long"), lambda a, n: add(a, n[i]))
     dense = F.array(*map(total, range(DENSE)))
     sparse = F.transform(
         F.sequence(F.lit(0).cast("long"), F.lit(SPARSE - 1).cast("long")),
-        lambda i: F.aggregate(lanes, F.lit(0).cast("long"), lambda a, x: F.when(x["lane"] == i, add(a, x["value"])).otherwise(a)),
+        lambda i: F.aggregate(paragraphs, F.lit(0).cast("long"), lambda a, n: F.when(n[0] % SPARSE == i, add(a, n[1])).otherwise(a)),
     )
     return F.concat(dense, sparse)
 
@@ -48,14 +51,14 @@ def as_text(lanes: Column) -> Column:
     return F.array_join(F.transform(lanes, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
 
 
-def insert(lanes: Column, text: Column) -> Column:
-    """The fingerprint's lanes after the paragraphs of `text` were added."""
-    return F.zip_with(lanes, vector(text), lambda a, b: (a + b) % LANE)
+def insert(lanes: Column, paragraphs: Column) -> Column:
+    """The fingerprint's lanes after the paragraphs (`numbers`) were added."""
+    return F.zip_with(lanes, vector(paragraphs), lambda a, b: (a + b) % LANE)
 
 
-def delete(lanes: Column, text: Column) -> Column:
-    """The fingerprint's lanes after the paragraphs of `text` were taken out."""
-    return F.zip_with(lanes, vector(text), lambda a, b: (a - b + LANE) % LANE)
+def delete(lanes: Column, paragraphs: Column) -> Column:
+    """The fingerprint's lanes after the paragraphs (`numbers`) were taken out."""
+    return F.zip_with(lanes, vector(paragraphs), lambda a, b: (a - b + LANE) % LANE)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -104,7 +107,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), (n - half)), F.col("next_text").substr(F.lit(1), half))
     rows = with_next(docs).select("doc_id", n.cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"))
-    rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), vector(F.col("text")).alias("own"), vector(F.col("edited")).alias("changed"), vector(F.col("next_text")).alias("other"))
+    rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), *[numbers(F.col(c)).alias(c) for c in ("text", "edited", "next_text")])
+    rows = rows.select("doc_id", "n_chars", "edited_sha256", *[vector(F.col(c)).alias(k) for c, k in (("text", "own"), ("edited", "changed"), ("next_text", "other"))])
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("other")).alias("near_next"),

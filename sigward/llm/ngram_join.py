@@ -63,7 +63,7 @@ def shingle_sets(texts: pa.Array, gram: int = GRAM) -> tuple[np.ndarray, np.ndar
     h = hashes[words.indices.to_numpy(zero_copy_only=False)]
     rolled = np.zeros(max(len(h) - gram + 1, 0), dtype=np.uint64)
     for k in range(gram):
-        rolled = mix(rolled + A * np.uint64(k + 1)) + h[k : len(h) - gram + 1 + k]
+        rolled = mix(rolled + np.full(1, A) * np.uint64(k + 1)) + h[k : len(h) - gram + 1 + k]
     rolled = mix(rolled)
     out, sizes, at = [], np.zeros(len(counts), dtype=np.int64), 0
     for i, n in enumerate(counts.tolist()):
@@ -179,10 +179,9 @@ def small_links(sets: DataFrame) -> DataFrame:
             doc, key, size, n = [], [], [], []
             for d, elements in zip(batch.column("doc_id").to_pylist(), batch.column("elements"), strict=True):
                 own = mix(elements.values.to_numpy().view(np.uint64))
-                whole = own.sum(dtype=np.uint64)
                 for gone in range(len(own) // DIFFER + 1):
                     for out in combinations(range(len(own)), gone):
-                        left = whole - own[list(out)].sum(dtype=np.uint64)
+                        left = own.sum(dtype=np.uint64) if not out else np.delete(own, out).sum(dtype=np.uint64)
                         doc.append(d)
                         key.append(left)
                         size.append(len(own) - gone)
