@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sigward import session
-from sigward.llm import common, fingerprints, language, line_dedup, lm, mixing, ngram_join, packing, token_output
+from sigward.llm import common, fingerprints, language, line_dedup, lm, mixing, ngram_join, packing, suffix_dedup, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +74,8 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(common.documents(spark, sf_dir))
+
+
+@query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(common.documents(spark, sf_dir)).drop("kept")
