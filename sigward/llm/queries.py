@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sigward import session
-from sigward.llm import common, fingerprints, language, line_dedup, lm, mixing, ngram_join, packing, suffix_dedup, token_output
+from sigward.llm import binary_search, common, fingerprints, language, line_dedup, lm, mixing, ngram_join, packing, suffix_dedup, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +80,15 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(common.documents(spark, sf_dir)).drop("kept")
+
+
+# The stated query set: every row whose id is divisible by this.
+QUERY_EVERY = 20
+
+
+@query
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary_search.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % QUERY_EVERY == 0)
+
+
+ORACLES["op4_topk_search"] = binary_search.oracle(QUERY_EVERY)
