@@ -27,24 +27,32 @@ MIN_DOCS = 3
 MIN_TOKENS = 3
 # Generalised places are trusted in lines of GENERAL_TOKENS tokens or more, CONSTANT of which are the leaf's own.
 GENERAL_TOKENS, CONSTANT = 8, 0.7
+# Leaves (16 bytes each) that every task may hold; more are met by a shuffle.
+BROADCAST_LEAVES = 500_000
 SPACE = "[\\x20\\x09-\\x0D]+"
 FIELD = "<*>"
 
 
 def masked(line: Column) -> Column:
     """The tokens with variable fields in place of those with a digit, one blank between them."""
-    plain = F.regexp_replace(F.regexp_replace(line, SPACE, " "), "^ | $", "")
-    return F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", FIELD)
+    odd = F.lit(False)
+    for space in ("\t", "\x0b", "\x0c", "\r", "  "):
+        odd = odd | F.contains(line, F.lit(space))
+    plain = F.trim(F.when(odd, F.regexp_replace(line, SPACE, " ")).otherwise(line))
+    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(plain)
+
+
+def occurrences(text: Column, byte: str) -> Column:
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(byte), F.lit("")))
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, place and masked text of each line long enough to be dropped; its hash and its leaf's."""
     each = docs.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
     rows = each.select("doc_id", "place", masked(F.col("line")).alias("masked"))
-    tokens = F.split("masked", " ")
-    leaf = F.concat_ws(" ", F.size(tokens).cast("string"), F.slice(tokens, 1, LEADING))
-    rows = rows.withColumn("n", F.size(tokens)).withColumn("leaf", F.unhex(F.md5(leaf.cast("binary")))).withColumn("own", F.unhex(F.md5(F.col("masked").cast("binary"))))
-    return rows.where(F.col("n") >= MIN_TOKENS)
+    rows = rows.withColumn("n", occurrences(F.col("masked"), " ") + 1).where(F.col("n") >= MIN_TOKENS)
+    leaf = F.concat_ws(" ", F.col("n").cast("string"), F.substring_index("masked", " ", LEADING))
+    return rows.withColumn("leaf", F.unhex(F.md5(leaf.cast("binary")))).withColumn("own", F.unhex(F.md5(F.col("masked").cast("binary"))))
 
 
 def generalised(texts: DataFrame) -> DataFrame:
@@ -65,10 +73,11 @@ def dropped(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     texts = session.written(pairs.groupBy("own", "leaf", "n").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")), "templates")
     # Only leaves of several distinct lines that reach min_docs together can gain from generalisation.
     wide = texts.where(F.col("n") >= GENERAL_TOKENS).groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("docs"))
-    wide = wide.where((F.col("kinds") > 1) & (F.col("docs") >= min_docs)).select("leaf")
+    wide = session.written(wide.where((F.col("kinds") > 1) & (F.col("docs") >= min_docs)).select("leaf"), "wide")
     # Their lines are read again, so that no text travels for the others.
-    texts_of = lines(docs).where(F.col("n") >= GENERAL_TOKENS).join(wide, "leaf", "left_semi").select("own", "leaf", "n", "masked").dropDuplicates(["own"])
-    wider = session.written(generalised(texts_of), "generalised")
+    some = F.broadcast(wide) if wide.count() <= BROADCAST_LEAVES else wide
+    again = lines(docs).where(F.col("n") >= GENERAL_TOKENS).join(some, "leaf", "left_semi").select("own", "leaf", "n", "masked")
+    wider = session.written(generalised(session.written(again.dropDuplicates(["own"]), "wide-lines")), "generalised")
     named = texts.join(wider, "own", "left").withColumn("template", F.coalesce("as_leaf", "own"))
     # A leaf's template is held by documents of several lines; each document counts once.
     general = named.where("as_leaf IS NOT NULL").select("own", "template")
@@ -86,7 +95,7 @@ def with_kept(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     all_lines = F.split("text", "\n")
     left = F.filter(all_lines, lambda _, i: ~F.array_contains(F.coalesce("_places", F.array().cast("array<int>")), i))
     kept = F.when(F.col("_of").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(all_lines))
+    n = F.when(F.col("text").isNull(), 0).otherwise(occurrences(F.col("text"), "\n") + 1)
     return joined.select("*", kept.alias("_kept"), n.cast("long").alias("_lines"), F.when(F.col("text").isNull(), 0).otherwise(F.coalesce(F.size(F.col("_places")), F.lit(0))).cast("long").alias("_dropped"))
 
 
