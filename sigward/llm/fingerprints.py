@@ -70,15 +70,15 @@ def likeness(a: Column, b: Column) -> Column:
 
 def below(values: DataFrame, column: str, bits: int = 64) -> DataFrame:
     """Each of the distinct longs and the next smaller one (null for the smallest), without a sort of all in one task."""
-    v = F.col(column)
+    v, run = F.col(column), f"{column}_"
     if bits <= RUN_BITS:
         return values.select(column, F.lag(v).over(Window.orderBy(v)).alias("below"))
-    run = values.select(v, F.shiftright(v, RUN_BITS).alias("run"))
-    inside = run.withColumn("below", F.lag(v).over(Window.partitionBy("run").orderBy(v)))
-    tops = run.groupBy("run").agg(F.max(v).alias("top"))
-    runs = below(tops.select("run"), "run", bits - RUN_BITS)
-    before = runs.join(tops.select(F.col("run").alias("below"), F.col("top").alias("under")), "below", "left").select("run", "under")
-    first = inside.where(F.col("below").isNull()).join(before, "run").select(column, F.col("under").alias("below"))
+    runs = values.select(v, F.shiftright(v, RUN_BITS).alias(run))
+    inside = runs.withColumn("below", F.lag(v).over(Window.partitionBy(run).orderBy(v)))
+    tops = runs.groupBy(run).agg(F.max(v).alias("top"))
+    before = below(tops.select(run), run, bits - RUN_BITS)
+    before = before.join(tops.select(F.col(run).alias("below"), F.col("top").alias("under")), "below", "left").select(run, "under")
+    first = inside.where(F.col("below").isNull()).join(before, run).select(column, F.col("under").alias("below"))
     return inside.where(F.col("below").isNotNull()).select(column, "below").unionByName(first)
 
 
@@ -118,20 +118,20 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def oracle() -> str:
     number = lambda i: f"('0x' || substr(h, {8 * i + 1}, 8))::BIGINT"
     return f"""
-WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-pairs AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id DESC NULLS LAST, text), first_value(text) OVER (ORDER BY doc_id DESC NULLS LAST, text)) AS next_text FROM docs),
-texts AS (SELECT doc_id, text, length(text) AS n, next_text, left(text, (length(text) - length(text) // 2)::BIGINT) || left(next_text, (length(text) // 2)::BIGINT) AS edited FROM pairs),
-kinds AS (SELECT doc_id, 'own' AS kind, text AS t FROM texts UNION ALL SELECT doc_id, 'changed', edited FROM texts UNION ALL SELECT doc_id, 'other', next_text FROM texts),
-hashed AS (SELECT doc_id, kind, md5(unnest(string_split(t, chr(10)))) AS h FROM kinds),
-numbers AS (SELECT doc_id, kind, {", ".join(f"{number(i)} AS v{i}" for i in range(DENSE))} FROM hashed),
-dense AS (SELECT doc_id, kind, {" || ".join(f"printf('%08x', (sum(v{i}) % {LANE})::BIGINT)" for i in range(DENSE))} AS d FROM numbers GROUP BY ALL),
-lanes AS (SELECT doc_id, kind, v0 % {SPARSE} AS lane, (sum(v1) % {LANE})::BIGINT AS s FROM numbers GROUP BY ALL),
-filled AS (SELECT k.doc_id, k.kind, r.lane, coalesce(l.s, 0) AS s FROM dense k CROSS JOIN (SELECT unnest(range({SPARSE})) AS lane) r LEFT JOIN lanes l ON l.doc_id = k.doc_id AND l.kind = k.kind AND l.lane = r.lane),
-marks AS (SELECT doc_id, kind, string_agg(printf('%08x', s), '' ORDER BY lane) AS f FROM filled GROUP BY ALL),
-whole AS (SELECT m.doc_id, m.kind, d.d || m.f AS f FROM marks m JOIN dense d ON d.doc_id = m.doc_id AND d.kind = m.kind),
-near AS (SELECT a.doc_id, b.kind, sum((a.s = b.s AND a.s <> 0)::INT)::DOUBLE / nullif(sum((a.s <> 0 OR b.s <> 0)::INT), 0) AS share
-  FROM filled a JOIN filled b ON a.doc_id = b.doc_id AND a.lane = b.lane WHERE a.kind = 'own' AND b.kind <> 'own' GROUP BY ALL)
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
+pairs AS (SELECT r, doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id DESC NULLS LAST, text), first_value(text) OVER (ORDER BY doc_id DESC NULLS LAST, text)) AS next_text FROM docs),
+texts AS (SELECT r, doc_id, text, length(text) AS n, next_text, left(text, (length(text) - length(text) // 2)::BIGINT) || left(next_text, (length(text) // 2)::BIGINT) AS edited FROM pairs),
+kinds AS (SELECT r, 'own' AS kind, text AS t FROM texts UNION ALL SELECT r, 'changed', edited FROM texts UNION ALL SELECT r, 'other', next_text FROM texts),
+hashed AS (SELECT r, kind, md5(unnest(string_split(t, chr(10)))) AS h FROM kinds),
+numbers AS (SELECT r, kind, {", ".join(f"{number(i)} AS v{i}" for i in range(DENSE))} FROM hashed),
+dense AS (SELECT r, kind, {" || ".join(f"printf('%08x', (sum(v{i}) % {LANE})::BIGINT)" for i in range(DENSE))} AS d FROM numbers GROUP BY ALL),
+lanes AS (SELECT r, kind, v0 % {SPARSE} AS lane, (sum(v1) % {LANE})::BIGINT AS s FROM numbers GROUP BY ALL),
+filled AS (SELECT k.r, k.kind, p.lane, coalesce(l.s, 0) AS s FROM dense k CROSS JOIN (SELECT unnest(range({SPARSE})) AS lane) p LEFT JOIN lanes l ON l.r = k.r AND l.kind = k.kind AND l.lane = p.lane),
+marks AS (SELECT r, kind, string_agg(printf('%08x', s), '' ORDER BY lane) AS f FROM filled GROUP BY ALL),
+whole AS (SELECT m.r, m.kind, d.d || m.f AS f FROM marks m JOIN dense d ON d.r = m.r AND d.kind = m.kind),
+near AS (SELECT a.r, b.kind, sum((a.s = b.s AND a.s <> 0)::INT)::DOUBLE / nullif(sum((a.s <> 0 OR b.s <> 0)::INT), 0) AS share
+  FROM filled a JOIN filled b ON a.r = b.r AND a.lane = b.lane WHERE a.kind = 'own' AND b.kind <> 'own' GROUP BY ALL)
 SELECT t.doc_id, t.n::BIGINT AS n_chars, sha256(t.edited) AS edited_sha256, o.f AS fingerprint, c.f AS edited_fingerprint,
   CASE WHEN o.f = c.f THEN 1.0::DOUBLE ELSE coalesce(e.share, 0)::DOUBLE END AS near_edited, CASE WHEN o.f = x.f THEN 1.0::DOUBLE ELSE coalesce(y.share, 0)::DOUBLE END AS near_next
-FROM texts t JOIN whole o ON o.doc_id = t.doc_id AND o.kind = 'own' JOIN whole c ON c.doc_id = t.doc_id AND c.kind = 'changed' JOIN whole x ON x.doc_id = t.doc_id AND x.kind = 'other'
-LEFT JOIN near e ON e.doc_id = t.doc_id AND e.kind = 'changed' LEFT JOIN near y ON y.doc_id = t.doc_id AND y.kind = 'other'"""
+FROM texts t JOIN whole o ON o.r = t.r AND o.kind = 'own' JOIN whole c ON c.r = t.r AND c.kind = 'changed' JOIN whole x ON x.r = t.r AND x.kind = 'other'
+LEFT JOIN near e ON e.r = t.r AND e.kind = 'changed' LEFT JOIN near y ON y.r = t.r AND y.kind = 'other'"""

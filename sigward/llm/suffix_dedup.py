@@ -98,7 +98,7 @@ def first_digits(buckets: int, table: pa.Table, side: pa.Table) -> pa.Table:
     bucket = (digits % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     there, start = np.unique(bucket[order], return_index=True)
-    ends = np.append(start[1:], len(order))
+    ends = np.append(start[1:], len(order))[: len(start)]
     rows = [(five_bytes(digits[order[s:e]]), (counts[order[s:e]] > 1).astype(np.uint8).tobytes()) for s, e in zip(start, ends, strict=True)]
     number = table["slice"][0].as_py() if table.num_rows else 0
     return pa.table({"bucket": pa.array(there, pa.int64()), "slice": pa.array([number] * len(there), pa.int64()), "digits": pa.array([r[0] for r in rows], pa.binary()), "several": pa.array([r[1] for r in rows], pa.binary())})
