@@ -1,18 +1,16 @@
 """Signature matching: rule strings against file contents, and the rule conditions on top.
 
-Three ways find the same string hits. Which one runs depends on the measured size of the rule set, never on a cap:
+Hits belong to a file row and to a rule: two rows may share a path and two rules a name, and each is judged by itself. A
+rule is known by `rule_id` where its table has one, else by its name. Two plans find the same rows:
 
-* up to LITERAL_STRINGS strings are tested as literals in one narrow pass over the files (no join, no shuffle);
-* larger sets use the indexed way: every string with an inner word is looked up by that word, an equi-join;
-* strings without an inner word, when too many for literals, go through a multi-pattern automaton per Arrow batch.
+* a few strings are tested as literals in one narrow pass over the files (no join, no shuffle);
+* more are looked up by a token each, an equi-join with the tokens of each file, and verified where the content is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +19,9 @@ from sigward.functions import fixed
 from sigward.functions import scalars as X
 from sigward.operators import filters
 
-AUTOMATON_STRINGS = 100_000
-AUTOMATON_BYTES = 8 * 1024 * 1024
 HIT_COLUMNS = ["path", "rule_name", "string_id"]
+RULE_KEYS = ["rule_key", "rule_name", "string_id"]
+TOKEN = "[A-Za-z0-9_]"
 
 
 # ---- string hits
@@ -75,174 +73,142 @@ def with_needle_flags(files: DataFrame, rows) -> tuple[DataFrame, dict[bytes, Co
     return flags, {needle: F.col(name) for needle, name in names.items()}
 
 
-def with_needles(rule_strings: DataFrame) -> DataFrame:
-    strings = rule_strings.select("rule_name", "string_id", "kind", "pattern", pattern_bytes().alias("needle"))
-    return strings.where(F.octet_length("needle") > 0)
+def rule_key(df: DataFrame) -> Column:
+    """What a rule is known by."""
+    name = F.col("rule_name")
+    return (F.coalesce(F.col("rule_id"), name) if "rule_id" in df.columns else name).alias("rule_key")
 
 
 def prepared(rule_strings: DataFrame) -> DataFrame:
-    """Non-empty rule strings with their bytes, one per rule and string id (the smallest if there are several)."""
-    one = with_needles(rule_strings).groupBy("rule_name", "string_id").agg(
-        F.min(F.struct("kind", "pattern", "needle")).alias("s")
-    )
-    return one.select("rule_name", "string_id", "s.kind", "s.pattern", "s.needle")
+    """Non-empty rule strings with their bytes; all strings of a string id are kept."""
+    strings = rule_strings.select(rule_key(rule_strings), "rule_name", "string_id", pattern_bytes().alias("needle"))
+    return strings.where(F.octet_length("needle") > 0).distinct()
 
 
 def literal_rows(rule_strings: DataFrame) -> list | None:
     """The prepared strings as rows, or None when there are more than LITERAL_STRINGS."""
-    rows = bounded_rows(with_needles(rule_strings), session.LITERAL_STRINGS)
-    if rows is None:
-        return None
-    one = {}
-    for r in sorted(rows, key=lambda r: (r["kind"], r["pattern"])):
-        one.setdefault((r["rule_name"], r["string_id"]), r)
-    return list(one.values())
+    return bounded_rows(prepared(rule_strings), session.LITERAL_STRINGS)
 
 
-def match_literals(files: DataFrame, rows) -> DataFrame:
-    """Hits of a bounded list of strings: one narrow pass, every needle tested once per file."""
+def no_hits(files: DataFrame) -> DataFrame:
+    return files.sparkSession.createDataFrame([], "_file BIGINT, path STRING, rule_key STRING, rule_name STRING, string_id STRING")
+
+
+def hits_of_literals(files: DataFrame, rows) -> DataFrame:
+    """Hits of a bounded list of strings on files with a `_file`: one narrow pass, every needle tested once per file."""
     if not rows:
-        return files.sparkSession.createDataFrame([], "path STRING, rule_name STRING, string_id STRING")
+        return no_hits(files)
     flags, found = with_needle_flags(files, rows)
     named = [
-        F.when(
-            found[bytes(r["needle"])],
-            F.struct(F.lit(r["rule_name"]).alias("rule_name"), F.lit(r["string_id"]).alias("string_id")),
-        )
-        for r in rows
+        F.when(found[bytes(r["needle"])], F.struct(*[F.lit(r[c]).alias(c) for c in RULE_KEYS])) for r in rows
     ]
-    hits = flags.select("path", F.explode(F.array_compact(F.array(*named))).alias("h"))
-    return hits.select("path", "h.rule_name", "h.string_id")
+    hits = flags.select("_file", "path", F.explode(F.array_distinct(F.array_compact(F.array(*named)))).alias("h"))
+    return hits.select("_file", "path", "h.*")
 
 
-def match_strings(files: DataFrame, rule_strings: DataFrame) -> DataFrame:
-    """(path, rule_name, string_id): which rule strings occur in which file, case kept, overlaps counted."""
-    rows = literal_rows(rule_strings)
-    if rows is not None:
-        return match_literals(files, rows)
-    return match_strings_indexed(files, rule_strings)
+def longest(tokens: Column) -> Column:
+    return F.array_max(F.transform(tokens, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
 
 
-def match_hex(files: DataFrame, rule_strings: DataFrame) -> DataFrame:
-    """Hits of the hex strings only, compared on bytes."""
-    return match_strings(files, rule_strings.where("kind = 'hex'"))
+def keyed(strings: DataFrame) -> DataFrame:
+    """Adds `text`, one character per byte, and `look_up`: a kind and a token by which files are found that may hold the string.
 
+    A token with other characters on both sides is a whole token of such a file (w); one at the string's end starts a token of
+    the file (s), one at its start ends one (e), and a string that is a bare token is inside one (i). A string without
+    tokens has no key but its kind (n).
+    """
+    text = F.decode("needle", "ISO-8859-1")
+    rows = strings.withColumn("text", text).withColumn("tokens", F.regexp_extract_all("text", F.lit(f"{TOKEN}+"), F.lit(0)))
+    n, opens, closes = F.size("tokens"), F.col("text").rlike(f"^{TOKEN}"), F.col("text").rlike(f"{TOKEN}\\z")
+    inner = F.slice("tokens", 1 + opens.cast("int"), F.greatest(n - opens.cast("int") - closes.cast("int"), F.lit(0)))
+    first, last = F.get("tokens", F.lit(0)), F.get("tokens", n - 1)
+    key = (
+        F.when(n == 0, "n")
+        .when(F.size(inner) > 0, F.concat(F.lit("w"), longest(inner)))
+        .when((n == 1) & opens & closes, F.concat(F.lit("i"), first))
+        .when(opens & (~closes | (F.length(first) >= F.length(last))), F.concat(F.lit("e"), first))
+        .otherwise(F.concat(F.lit("s"), last))
+    )
+    return rows.withColumn("look_up", key).drop("tokens")
 
-def words(text) -> Column:
-    """Pieces between blanks and line ends, both of one byte."""
-    return F.split(X.col(text), "[ \n]")
 
+def look_ups(token: str, lengths: dict[str, list[int]]) -> Column:
+    """The keys of a file's token: itself, and its ends, starts and insides of the lengths that keys have."""
+    t, size = F.col(token), F.length(token)
+    fitting = lambda kind: F.filter(F.array(*map(F.lit, lengths[kind])), lambda n: n <= size)
+    parts = []
+    if "w" in lengths:
+        parts.append(F.array(F.concat(F.lit("w"), t)))
+    if "e" in lengths:
+        parts.append(F.transform(fitting("e"), lambda n: F.concat(F.lit("e"), F.substring(t, size - n + 1, n))))
+    if "s" in lengths:
+        parts.append(F.transform(fitting("s"), lambda n: F.concat(F.lit("s"), F.substring(t, F.lit(1), n))))
+    if "i" in lengths:
+        at = lambda n: F.sequence(F.lit(1), size - n + 1)
+        inside = F.transform(fitting("i"), lambda n: F.transform(at(n), lambda i: F.concat(F.lit("i"), F.substring(t, i, n))))
+        parts.append(F.array_distinct(F.flatten(inside)))
+    return F.concat(*parts)
+
+
+def hits_by_token(files: DataFrame, strings: DataFrame) -> DataFrame:
+    """Hits of any number of prepared strings on files with a `_file`; contents are read once and stay in their task.
+
+    Strings beyond what a task may hold are looked up in parts, each a pass of its own.
+    """
+    strings = keyed(strings)
+    kind = F.substring("look_up", 1, 1)
+    measured = strings.groupBy(kind.alias("kind")).agg(
+        F.collect_set(F.length("look_up") - 1).alias("lengths"), session.text_bytes("rule_key", "rule_name", "string_id", "text", "look_up").alias("bytes")
+    ).collect()
+    lengths = {r["kind"]: sorted(r["lengths"]) for r in measured}
+    parts = -(-sum(r["bytes"] for r in measured) // session.BROADCAST_BYTES)
+    contents = files.select("_file", "path", F.decode(F.col("content").cast("binary"), "ISO-8859-1").alias("_content"))
+    tokens = F.array_distinct(F.split("_content", f"[^{TOKEN[1:-1]}]+"))
+    keys = F.array(F.lit("n")) if "n" in lengths else F.array().cast("array<string>")
+    rows = contents
+    if set(lengths) - {"n"}:
+        each = contents.select("*", F.posexplode(tokens).alias("_at", "_token"))
+        own = look_ups("_token", lengths)
+        # The key of strings without tokens goes with a file's first token, of which there is always one.
+        rows = each.select("_file", "path", "_content", F.explode(F.when(F.col("_at") == 0, F.concat(keys, own)).otherwise(own)).alias("look_up"))
+    else:
+        rows = contents.select("*", F.explode(keys).alias("look_up"))
+    slot = F.pmod(F.xxhash64("rule_key", "string_id", "text"), F.lit(max(parts, 1)))
+    found = [
+        rows.join(F.broadcast(strings.where(slot == i)), "look_up").where(F.contains("_content", "text")).select("_file", "path", *RULE_KEYS)
+        for i in range(parts)
+    ]
+    return reduce(DataFrame.unionByName, found).distinct() if found else no_hits(files)
 
-def anchored(strings: DataFrame) -> DataFrame:
-    """Adds the anchor: the longest word strictly inside a text string, null where there is none.
 
-    The first and last piece of a string may be part of a longer word in a file; an inner piece never is.
-    """
-    pieces = words("pattern")
-    inner = F.filter(F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0))), lambda w: w != "")
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    return strings.withColumn("anchor", F.when(F.col("kind") == "text", longest["w"]))
+def with_file(files: DataFrame) -> DataFrame:
+    """The files with a number for each row, by which its hits stay together."""
+    return files.withColumn("_file", F.monotonically_increasing_id())
+
+
+def hits_of(files: DataFrame, rule_strings: DataFrame) -> DataFrame:
+    rows = literal_rows(rule_strings)
+    return hits_by_token(files, prepared(rule_strings)) if rows is None else hits_of_literals(files, rows)
+
+
+def match_strings(files: DataFrame, rule_strings: DataFrame) -> DataFrame:
+    """(path, rule_name, string_id): which rule strings occur in which file row, case kept, overlaps counted."""
+    return hits_of(with_file(files), rule_strings).select(*HIT_COLUMNS)
+
+
+def match_literals(files: DataFrame, rows) -> DataFrame:
+    """Same hits as match_strings, by literal tests of the prepared strings `rows`."""
+    return hits_of_literals(with_file(files), rows).select(*HIT_COLUMNS)
 
 
 def match_strings_indexed(files: DataFrame, rule_strings: DataFrame) -> DataFrame:
-    """Same hits as match_strings for any number of strings."""
-    text_files = files
-    if content_is_binary(files):
-        # Bytes 0-255 become the characters of the same number, so that text operations work on any content.
-        text_files = files.withColumn("content", F.decode("content", "ISO-8859-1"))
-        rule_strings = rule_strings.withColumn(
-            "pattern",
-            F.when(F.col("kind") == "text", F.decode(F.encode("pattern", "UTF-8"), "ISO-8859-1")).otherwise(
-                F.col("pattern")
-            ),
-        )
-    strings = anchored(prepared(rule_strings))
-    measured = strings.agg(
-        F.count_if(F.col("anchor").isNull()).alias("loose"),
-        F.min(F.length("anchor")).alias("shortest"),
-        session.text_bytes("rule_name", "string_id", "pattern", "anchor").alias("bytes"),
-    ).first()
-    parts = []
-    if measured["shortest"] is not None:
-        by_word = strings.where("anchor IS NOT NULL").select("rule_name", "string_id", "pattern", "anchor")
-        ship = measured["bytes"] <= session.BROADCAST_BYTES
-        parts.append(match_anchored(text_files, by_word, measured["shortest"], ship))
-    if measured["loose"]:
-        loose = strings.where("anchor IS NULL").drop("anchor")
-        if content_is_binary(files):
-            plain = F.encode("pattern", "ISO-8859-1")
-            loose = loose.withColumn("needle", F.when(F.col("kind") == "hex", hex_bytes("pattern")).otherwise(plain))
-        parts.append(match_loose(files, loose))
-    return reduce(DataFrame.unionByName, parts) if parts else match_literals(files, [])
-
-
-def match_anchored(files: DataFrame, strings: DataFrame, shortest: int, ship: bool) -> DataFrame:
-    """Look up the words of each file among the anchors, then verify the whole string in the content."""
-    each_word = F.explode(F.array_distinct(words("content"))).alias("anchor")
-    long_enough = F.length("anchor") >= shortest
-    found = F.contains(F.col("content"), F.col("pattern"))
-    if ship:
-        # The content never leaves its task: words are exploded and looked up in the same stage.
-        tokens = files.select("path", "content", each_word).where(long_enough)
-        return tokens.join(F.broadcast(strings), "anchor").where(found).select(*HIT_COLUMNS)
-    # Too many strings to ship: shuffle words (not contents), then join the few candidate pairs back to the contents.
-    # A word that occurs everywhere is split by the skew join of the adaptive planner.
-    tokens = files.select("path", each_word).where(long_enough)
-    pairs = tokens.join(strings, "anchor").drop("anchor")
-    return files.select("path", "content").join(pairs, "path").where(found).select(*HIT_COLUMNS)
-
-
-def match_loose(files: DataFrame, strings: DataFrame) -> DataFrame:
-    """Strings without an anchor: literals while they are few, else an automaton, in as many passes as needed."""
-    rows = bounded_rows(strings, session.LITERAL_STRINGS)
-    if rows is not None:
-        return match_literals(files, rows)
-    return match_automaton(files, strings)
-
-
-def match_automaton(
-    files: DataFrame, strings: DataFrame, batch: int = AUTOMATON_STRINGS, batch_bytes: int = AUTOMATON_BYTES
-) -> DataFrame:
-    """All strings in one walk over each content. Strings are shipped in batches bounded by number and bytes."""
-    size = strings.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("needle").cast("bigint")), F.lit(0)).alias("b")
-    ).first()
-    # Slots are filled by hash, so they are planned half full.
-    passes = max(1, -(-2 * size["n"] // batch), -(-2 * size["b"] // batch_bytes))
-    slot = F.pmod(F.xxhash64("rule_name", "string_id"), F.lit(passes))
-    parts = []
-    for i in range(passes):
-        rows = strings.where(slot == i).select("rule_name", "string_id", "needle").collect()
-        if rows:
-            parts.append(automaton_pass(files, [(r["rule_name"], r["string_id"], bytes(r["needle"])) for r in rows]))
-    return reduce(DataFrame.unionByName, parts) if parts else match_literals(files, [])
-
-
-def automaton_pass(files: DataFrame, strings: list[tuple[str, str, bytes]]) -> DataFrame:
-    shared = files.sparkSession.sparkContext.broadcast(strings)
-
-    def scan_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        # Several strings may share their bytes: one pattern carries all their names.
-        names: dict[str, list[tuple[str, str]]] = {}
-        for rule, ident, needle in shared.value:
-            names.setdefault(needle.decode("latin-1"), []).append((rule, ident))
-        automaton = ahocorasick.Automaton()
-        for pattern in names:
-            automaton.add_word(pattern, pattern)
-        if names:
-            automaton.make_automaton()
-        for batch in batches:
-            out = []
-            if names:
-                for path, content in zip(batch["path"], batch["data"]):
-                    found = {pattern for _, pattern in automaton.iter(bytes(content).decode("latin-1"))}
-                    out.extend((path, rule, ident) for p in found for rule, ident in names[p])
-            yield pd.DataFrame(out, columns=HIT_COLUMNS, dtype="object")
-
-    data = files.select("path", F.col("content").cast("binary").alias("data"))
-    return data.mapInPandas(scan_batches, "path STRING, rule_name STRING, string_id STRING")
+    """Same hits as match_strings, by look-up of tokens."""
+    return hits_by_token(with_file(files), prepared(rule_strings)).select(*HIT_COLUMNS)
+
+
+def match_hex(files: DataFrame, rule_strings: DataFrame) -> DataFrame:
+    """Hits of the hex strings only, compared on bytes."""
+    return match_strings(files, rule_strings.where("kind = 'hex'"))
 
 
 # ---- conditions
@@ -258,12 +224,18 @@ def condition_met(string_ids, needed, only_id) -> Column:
 def eval_conditions(hits: DataFrame, rules: DataFrame) -> DataFrame:
     """(rule_name, path) of the rules whose condition holds.
 
-    One shuffle on (path, rule); the set per pair is bounded by the number of strings of that rule.
+    One shuffle on (file, rule); the set per pair is bounded by the number of strings of that rule.
     """
-    per_rule = hits.groupBy("path", "rule_name").agg(F.collect_set("string_id").alias("ids"))
-    conditions = rules.select("rule_name", "min_hits", "only_id")
-    met = per_rule.join(conditions, "rule_name").where(condition_met("ids", "min_hits", "only_id"))
-    return met.select("rule_name", "path")
+    return conditions_met(hits, rules).select("rule_name", "path")
+
+
+def conditions_met(hits: DataFrame, rules: DataFrame) -> DataFrame:
+    if "rule_key" not in hits.columns:
+        hits = hits.withColumn("rule_key", F.col("rule_name"))
+    row = [c for c in ("_file", "path") if c in hits.columns]
+    per_rule = hits.groupBy(*row, "rule_key").agg(F.collect_set("string_id").alias("ids"))
+    conditions = rules.select(rule_key(rules), "rule_name", "min_hits", "only_id")
+    return per_rule.join(conditions, "rule_key").where(condition_met("ids", "min_hits", "only_id")).select(*row, "rule_name")
 
 
 def scan(
@@ -273,15 +245,15 @@ def scan(
     excluded_dirs=fixed.EXCLUDED_DIRS,
     excluded_names=fixed.EXCLUDED_NAMES,
 ) -> DataFrame:
-    """Full scan: exclude, match, evaluate. One (rule_name, path) row per rule that fires on a file.
+    """Full scan: exclude, match, evaluate. One (rule_name, path) row per rule that fires on a file row.
 
-    Deny-listed rules are left to the caller (filters.deny_rules). With a bounded rule set the whole scan is one
-    narrow pass without a shuffle; otherwise string hits are found by index and grouped per file and rule.
+    Deny-listed rules are left to the caller (filters.deny_rules). With few strings the whole scan is one narrow pass
+    without a shuffle; otherwise string hits are looked up and grouped per file and rule.
     """
     wanted = filters.exclude_names(filters.exclude_dirs(files, excluded_dirs), excluded_names)
     bounded = bounded_rules(rules, rule_strings)
     if bounded is None:
-        return scan_indexed(wanted, rules, rule_strings)
+        return scan_by_token(with_file(wanted), rules, rule_strings).select("rule_name", "path")
     # The outer form keeps the planner from testing all needles a second time in a filter below.
     fired = with_fired_rules(wanted, *bounded).select(F.explode_outer("rule_names").alias("rule_name"), "path")
     return fired.where("rule_name IS NOT NULL")
@@ -290,29 +262,30 @@ def scan(
 def matched_files(files: DataFrame, rules: DataFrame, rule_strings: DataFrame) -> DataFrame:
     """Files on which a rule fires, all columns kept, with `rule_names` (sorted). For sinks that need the content.
 
-    With a bounded rule set the contents stay where they were read; otherwise only matched files are looked up.
+    With few strings the contents stay where they were read; otherwise only matched files are looked up.
     """
     bounded = bounded_rules(rules, rule_strings)
     if bounded is None:
-        fired = scan_indexed(files, rules, rule_strings)
-        names = fired.groupBy("path").agg(F.sort_array(F.collect_set("rule_name")).alias("rule_names"))
-        return files.join(names, "path")
+        numbered = with_file(files)
+        fired = scan_by_token(numbered, rules, rule_strings)
+        names = fired.groupBy("_file").agg(F.sort_array(F.collect_list("rule_name")).alias("rule_names"))
+        return numbered.join(names, "_file").drop("_file")
     return with_fired_rules(files, *bounded).where(F.size("rule_names") > 0)
 
 
 def bounded_rules(rules: DataFrame, rule_strings: DataFrame) -> tuple[list, list] | None:
     """Rules and their strings as rows, or None when either has more than LITERAL_STRINGS."""
-    rule_rows = bounded_rows(rules.select("rule_name", "min_hits", "only_id"), session.LITERAL_STRINGS)
+    rule_rows = bounded_rows(rules.select(rule_key(rules), "rule_name", "min_hits", "only_id"), session.LITERAL_STRINGS)
     if rule_rows is None:
         return None
-    mine = rule_strings.where(F.col("rule_name").isin([r["rule_name"] for r in rule_rows]))
+    mine = rule_strings.where(rule_key(rule_strings).isin([r["rule_key"] for r in rule_rows]))
     rows = literal_rows(mine)
     return None if rows is None else (rule_rows, rows)
 
 
-def scan_indexed(files: DataFrame, rules: DataFrame, rule_strings: DataFrame) -> DataFrame:
-    mine = rule_strings.join(rules.select("rule_name"), "rule_name", "left_semi")
-    return eval_conditions(match_strings_indexed(files, mine), rules)
+def scan_by_token(files: DataFrame, rules: DataFrame, rule_strings: DataFrame) -> DataFrame:
+    wanted = prepared(rule_strings).join(rules.select(rule_key(rules)), "rule_key", "left_semi")
+    return conditions_met(hits_by_token(files, wanted), rules)
 
 
 def with_fired_rules(files: DataFrame, rules, rows) -> DataFrame:
@@ -322,12 +295,14 @@ def with_fired_rules(files: DataFrame, rules, rows) -> DataFrame:
     flags, found = with_needle_flags(files, rows)
 
     def fires(rule) -> Column:
-        mine = [r for r in rows if r["rule_name"] == rule["rule_name"]]
-        if rule["only_id"] is not None:
-            mine = [r for r in mine if r["string_id"] == rule["only_id"]]
+        mine: dict[str, Column] = {}
+        for r in rows:
+            if r["rule_key"] == rule["rule_key"] and rule["only_id"] in (None, r["string_id"]):
+                test = found[bytes(r["needle"])]
+                mine[r["string_id"]] = mine[r["string_id"]] | test if r["string_id"] in mine else test
         if not mine or rule["min_hits"] is None:
             return F.lit(False)
-        return sum((found[bytes(r["needle"])].cast("int") for r in mine), F.lit(0)) >= rule["min_hits"]
+        return sum((test.cast("int") for test in mine.values()), F.lit(0)) >= rule["min_hits"]
 
     ordered = sorted(rules, key=lambda r: r["rule_name"].encode())
     names = F.array_compact(F.array(*[F.when(fires(r), F.lit(r["rule_name"])) for r in ordered]))
@@ -405,14 +380,14 @@ def validate_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def add_rules(rules: DataFrame, rule_strings: DataFrame, parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Append parsed custom rules and their strings to the corpus."""
-    more = parsed.select("rule_name", F.inline("strings"))
+    known = ["rule_id"] if "rule_id" in parsed.columns else []
+    more = parsed.select(*known, "rule_name", F.inline("strings"))
     return (
         rules.unionByName(parsed.drop("strings"), allowMissingColumns=True),
         rule_strings.unionByName(more, allowMissingColumns=True),
     )
 
 
-def guard(files: DataFrame, max_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """(files to scan, files set aside for their size). Stands in for the per-file time limit."""
-    over = F.col("size_bytes") > max_bytes
-    return files.where(~over), files.where(over)
+def guard(files: DataFrame, max_bytes: int) -> DataFrame:
+    """The files with `oversize`, a mark for reports in place of a time limit per file. Marked files are scanned like all others."""
+    return files.withColumn("oversize", F.col("size_bytes") > max_bytes)

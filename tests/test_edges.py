@@ -249,10 +249,22 @@ def test_first_available_falls_through(spark):
     assert readers.first_available([(1, df()), (2, df())]).count() == 0
 
 
-def test_guard_splits_everything(spark):
+def test_guard_keeps_everything(spark):
     df = spark.createDataFrame([(1,), (10,), (11,)], "size_bytes BIGINT")
-    scan, skipped = matching.guard(df, 10)
-    assert scan.count() == 2 and skipped.count() == 1
+    assert sorted(tuple(r) for r in matching.guard(df, 10).collect()) == [(1, False), (10, False), (11, True)]
+
+
+def test_same_path_and_same_id_are_judged_apart(spark):
+    files = spark.createDataFrame([("/a", "a", "foo"), ("/a", "a", "bar"), ("/b", "b", "bar")], "path STRING, name STRING, content STRING")
+    rules = spark.createDataFrame([("R", 2, None), ("S", 1, None)], "rule_name STRING, min_hits INT, only_id STRING")
+    strings = [(r, i, "text", p) for r in "RS" for i, p in (("$a", "foo"), ("$b", "bar"), ("$a", "baz"))]
+    strings = spark.createDataFrame(strings, "rule_name STRING, string_id STRING, kind STRING, pattern STRING")
+    want = [("S", "/a"), ("S", "/a"), ("S", "/b")]
+    assert sorted(tuple(r) for r in matching.scan(files, rules, strings).collect()) == want
+    grouped = matching.scan_by_token(matching.with_file(files), rules, strings).select("rule_name", "path")
+    assert sorted(tuple(r) for r in grouped.collect()) == want
+    same = strings.where("string_id = '$a'")
+    assert sorted(r["path"] for r in matching.match_strings(files, same.where("rule_name = 'R'")).collect()) == ["/a"]
 
 
 @pytest.mark.parametrize("glob", ["*", "?", "a*", "*a", "*a*", "a?b", "[ab]*", "[!a]?", "a.b", "a+(b)", "x{1}*", "**", "[a-c]b*d"])

@@ -50,14 +50,32 @@ def test_all_matching_ways_equal_brute_force(spark, corpus, monkeypatch):
     assert brute
     assert hit_rows(matching.match_strings_indexed(files, strings)) == brute
     assert hit_rows(matching.match_literals(files, matching.prepared(strings).collect())) == brute
-    assert hit_rows(matching.match_automaton(files, matching.prepared(strings), batch=40)) == brute
     assert hit_rows(matching.match_strings(files, strings)) == brute
     monkeypatch.setattr(session, "LITERAL_STRINGS", 3)
     assert hit_rows(matching.match_strings_indexed(files, strings)) == brute
-    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 4000)
     assert hit_rows(matching.match_strings_indexed(files, strings)) == brute
 
 
+@pytest.mark.parametrize("n", [1, 64, 65, 5000])
+def test_number_of_strings_does_not_change_hits(spark, n):
+    rng = random.Random(n)
+    alphabet = "ab_(.;é\n "
+    word = lambda: "".join(rng.choices(alphabet, k=rng.randint(1, 6)))
+    files = [(f"/p{i % 20}", f"p{i % 20}", "".join(word() for _ in range(rng.randint(0, 12)))) for i in range(30)]
+    # Ids and names repeat, with other strings each time.
+    strings = [(f"f{i % 3}", f"r{i % 7}", f"$s{i % 11}", "text", word()) for i in range(n)]
+    f = spark.createDataFrame(files, "path STRING, name STRING, content STRING")
+    s = spark.createDataFrame(strings, "rule_id STRING, rule_name STRING, string_id STRING, kind STRING, pattern STRING")
+    brute = sorted(
+        (p, r, i) for p, _, c in files for _, r, i in {(k, r, i) for k, r, i, _, pat in strings if pat in c}
+    )
+    assert hit_rows(matching.match_strings(f, s)) == brute
+    assert hit_rows(matching.match_strings_indexed(f, s)) == brute
+    plan = matching.match_strings_indexed(f, s)._jdf.queryExecution().toString()
+    assert "MapInPandas" not in plan and "CartesianProduct" not in plan
+
+
 def test_matching_on_bytes(spark, corpus):
     files, strings, brute = corpus
     raw = files.withColumn("content", F.encode("content", "UTF-8"))
