@@ -124,14 +124,21 @@ def start_parameters(share: np.ndarray) -> dict[str, np.ndarray]:
 def scatter(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Sums of the rows with the same index."""
     out = np.zeros((n, rows.shape[1]), dtype=rows.dtype)
-    order = np.argsort(index, kind="stable")
-    values, first = np.unique(index[order], return_index=True)
-    out[values] = np.add.reduceat(rows[order], first)
+    # Classes fit 16 bits, which numpy sorts by radix.
+    order = np.argsort(index.astype(np.uint16), kind="stable")
+    counts = np.bincount(index, minlength=n)
+    there = np.flatnonzero(counts)
+    out[there] = np.add.reduceat(rows[order], (np.cumsum(counts) - counts)[there])
     return out
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """In place, as the largest arrays of a step pass through it."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def nce_step(p: dict[str, np.ndarray], slope: dict[str, np.ndarray], near: np.ndarray, far: np.ndarray, word: np.ndarray, noise: np.ndarray, log_noise: np.ndarray) -> None:
@@ -142,7 +149,9 @@ def nce_step(p: dict[str, np.ndarray], slope: dict[str, np.ndarray], near: np.nd
     true = p["target"][word]
     g = 1 - sigmoid((guess * true).sum(axis=1) + p["bias"][word] - log_noise[word])
     other = p["target"][noise]
-    h = -sigmoid(guess @ other.T + p["bias"][noise] - log_noise[noise])
+    h = guess @ other.T
+    h += p["bias"][noise] - log_noise[noise]
+    h = np.negative(sigmoid(h), out=h)
     back = g[:, None] * true + h @ other
     grads = {
         "target": scatter(word, g[:, None] * guess, n) + scatter(noise, h.T @ guess, n),
