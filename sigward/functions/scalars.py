@@ -99,7 +99,26 @@ def digits_only(c) -> Column:
 
 
 def glob_regex(glob: str) -> str:
-    """Anchored regex of a shell glob with `*`, `?` and `[...]`."""
+    """Anchored regex of a shell glob with `*`, `?` and `[...]`.
+
+    What stands between two stars is taken where it first occurs and never tried again, so a long text costs no recursion.
+    """
+    pieces, start, i = [], 0, 0
+    while i < len(glob):
+        close = glob.find("]", i + 2)
+        if glob[i] == "[" and close > 0:
+            i = close
+        elif glob[i] == "*":
+            pieces.append(glob[start:i])
+            start = i + 1
+        i += 1
+    first, *rest = [piece_regex(p) for p in [*pieces, glob[start:]]]
+    middle = "".join(f"(?>.*?{p})" for p in rest[:-1] if p)
+    return f"(?s)^{first}{middle}{'.*' + rest[-1] if rest else ''}(?![\\s\\S])"
+
+
+def piece_regex(glob: str) -> str:
+    """Regex of a glob without stars."""
     out, i = "", 0
     while i < len(glob):
         ch = glob[i]
@@ -109,9 +128,9 @@ def glob_regex(glob: str) -> str:
             out += "[" + ("^" + body[1:] if body[0] in "!^" else body).replace("\\", "\\\\") + "]"
             i = close
         else:
-            out += {"*": "(.|\\n)*", "?": "(.|\\n)"}.get(ch, re.escape(ch))
+            out += {"?": "."}.get(ch, re.escape(ch))
         i += 1
-    return "^" + out + "$"
+    return out
 
 
 def glob_match(c, glob: str) -> Column:
@@ -239,7 +258,7 @@ def friendly_threat(c) -> Column:
 
 
 def human_size(b) -> Column:
-    """Bytes as 512, 4.0K, 12M, 1.5G: rounded up, one decimal below ten."""
+    """Bytes as 512, 4.0K, 12M, 1.5G, 5.0T, 2.0P: rounded up, one decimal below ten."""
     b = col(b)
 
     def unit(power: int, letter: str) -> Column:
@@ -250,7 +269,9 @@ def human_size(b) -> Column:
         )
 
     return (
-        F.when(b > 1023 * KIB * KIB, unit(3, "G"))
+        F.when(b > 1023 * KIB**4, unit(5, "P"))
+        .when(b > 1023 * KIB**3, unit(4, "T"))
+        .when(b > 1023 * KIB * KIB, unit(3, "G"))
         .when(b > 1023 * KIB, unit(2, "M"))
         .when(b > 1023, unit(1, "K"))
         .otherwise(b.cast("string"))
@@ -280,3 +301,8 @@ def glob_case(c, pairs, default) -> Column:
     for glob, value in pairs:
         out = F.when(glob_match(c, glob), value) if out is None else out.when(glob_match(c, glob), value)
     return out.otherwise(default)
+
+
+def bare_alert(line) -> Column:
+    """An alert line without the time stamp it may begin with."""
+    return F.regexp_replace(col(line), r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2} ", "")

@@ -27,29 +27,36 @@ def threat_distribution(matches: DataFrame) -> DataFrame:
     return counts.orderBy(F.col("matches").desc(), "rule_name")
 
 
-FILES_PER_PART = 1000
+def threat_report(matches: DataFrame) -> DataFrame:
+    """Per rule its display name, description, matches and distinct files, most matches first. One shuffle of the matches."""
+    per_file = matches.groupBy("rule_name", "path").agg(F.count(F.lit(1)).alias("n"))
+    counts = per_file.groupBy("rule_name").agg(F.sum("n").alias("matches"), F.count(F.lit(1)).alias("files"))
+    named = counts.select("rule_name", joins.display_name().alias("display_name"), joins.threat_description().alias("description"), "matches", "files")
+    return named.orderBy(F.col("matches").desc(), "rule_name")
 
 
-def list_part(path, parts) -> Column:
+def list_part(path, parts: int) -> Column:
     """Part of a list a path belongs to: the first 32 bits of its MD5, modulo the number of parts."""
     head = F.conv(F.substring(F.md5(X.col(path)), 1, 8), 16, 10).cast("bigint")
-    return F.pmod(head, X.col(parts))
+    return F.pmod(head, F.lit(parts))
 
 
-def files_per_rule(matches: DataFrame, per_part: int = FILES_PER_PART) -> DataFrame:
-    """(rule_name, part, parts, n_files, files): the `|`-joined files of every rule.
+def files_per_rule(matches: DataFrame) -> DataFrame:
+    """(rule_name, path, n_files): the files of every rule with their number, one row each, however many there are."""
+    sizes = matches.groupBy("rule_name").agg(F.count(F.lit(1)).alias("n_files"))
+    return matches.select("rule_name", "path").join(sizes, "rule_name")
 
-    A rule with more than `per_part` matches gets several rows, so that no list outgrows one row however many
-    files a rule fires on. All files are listed; a rule below that number is one row. `matches` is read twice, so
-    it should be a written table (session.written) where it comes from a scan.
+
+def file_lists(matches: DataFrame, parts: int) -> DataFrame:
+    """(rule_name, part, parts, n_files, files): the `|`-joined files of every rule in `parts` parts, the same number for all rules.
+
+    The caller chooses as many parts as keep the longest list within a row.
     """
-    sizes = matches.groupBy("rule_name").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.select("rule_name", F.ceil(F.col("_n") / per_part).cast("bigint").alias("parts"))
-    placed = matches.join(sizes, "rule_name").withColumn("part", list_part("path", "parts"))
-    lists = placed.groupBy("rule_name", "part", "parts").agg(
+    placed = matches.withColumn("part", list_part("path", parts))
+    lists = placed.groupBy("rule_name", "part").agg(
         F.count(F.lit(1)).alias("n_files"), X.array_to_list(F.sort_array(F.collect_list("path")), "|").alias("files")
     )
-    return lists
+    return lists.withColumn("parts", F.lit(parts).cast("bigint"))
 
 
 def rule_per_file(matches: DataFrame, seq="rule_name") -> DataFrame:

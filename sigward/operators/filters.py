@@ -92,7 +92,7 @@ def threshold_level(n) -> Column:
 
 def alert_level(line) -> Column:
     """0 for a decoded line, 12 when it reports a threat, null for other lines."""
-    line = X.col(line)
+    line = X.bare_alert(line)
     decoded = F.startswith(line, F.lit(fixed.ALERT_PREFIX))
     return (
         F.when(decoded & F.contains(line, F.lit(fixed.ALERT_PHRASE)), F.lit(fixed.ALERT_LEVEL))

@@ -110,8 +110,8 @@ def rule_category(rules: DataFrame, text="rule_name") -> DataFrame:
 
 
 def decode_alert(lines: DataFrame, line="value") -> DataFrame:
-    """threat_name and file_path of decoded alert lines; other lines are dropped."""
-    text = X.col(line)
+    """threat_name and file_path of decoded alert lines, with a time stamp before them or not; other lines are dropped."""
+    text = X.bare_alert(line)
     threat = F.regexp_extract(text, fixed.ALERT_PATTERN, 1)
     path = F.regexp_extract(text, fixed.ALERT_PATTERN, 2)
     wanted = F.startswith(text, F.lit(fixed.ALERT_PREFIX)) & (threat != "")

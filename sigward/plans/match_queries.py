@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sigward import session
 from sigward.functions import fixed
 from sigward.functions import scalars as X
-from sigward.operators import joins, matching
+from sigward.operators import aggregates, filters, joins, matching
 from sigward.plans import views as V
 from sigward.plans.filter_queries import alert_texts
 from sigward.plans.registry import Tables, query
@@ -314,7 +314,8 @@ def human_sql(b: str) -> str:
         f" ELSE CAST(CAST(ceil({b} / {1024.0**p}) AS BIGINT) AS VARCHAR) || '{u}' END"
     )
     return (
-        f"CASE WHEN {b} > 1023 * 1024 * 1024 THEN {unit(3, 'G')} WHEN {b} > 1023 * 1024 THEN {unit(2, 'M')}"
+        f"CASE WHEN {b} > {1023 * 1024**4} THEN {unit(5, 'P')} WHEN {b} > {1023 * 1024**3} THEN {unit(4, 'T')}"
+        f" WHEN {b} > {1023 * 1024**2} THEN {unit(3, 'G')} WHEN {b} > 1023 * 1024 THEN {unit(2, 'M')}"
         f" WHEN {b} > 1023 THEN {unit(1, 'K')} ELSE CAST({b} AS VARCHAR) END"
     )
 
@@ -329,7 +330,7 @@ def human_sql(b: str) -> str:
 )
 def j3_quarantine_detail(t: Tables):
     """Every third item has lost its sidecar."""
-    q = session.written(V.quarantine(t), "quarantine").withColumn("name", X.basename("orig_path"))
+    q = V.quarantine(t).withColumn("name", X.basename("orig_path"))
     ident = F.regexp_extract("name", r"_(\d+)\.", 1).cast("bigint")
     side = readers.read_sidecar(q.where(ident % 3 != 0).select("q_path", sinks.sidecar_text().alias("text")))
     items = q.select("q_path", "name", F.col("q_time").alias("mtime"), "content", "size_bytes")
@@ -411,7 +412,7 @@ def j7_still_present(t: Tables):
     f"""WITH {V.SNAPSHOTS}, hosts AS (SELECT DISTINCT user_id AS host FROM events), present AS ("""
     + " UNION ALL ".join(
         f"SELECT user_id AS host, '{c}' AS component FROM events JOIN snapshots ON host = event_id "
-        f"WHERE {c}_kb IS NOT NULL AND value > 100" for c in fixed.COMPONENTS
+        f"WHERE {c}_kb IS NOT NULL AND value > 200" for c in fixed.COMPONENTS
     )
     + f""") SELECT host, component FROM hosts CROSS JOIN (SELECT unnest([{', '.join(f"'{c}'" for c in fixed.COMPONENTS)}])
       AS component) ANTI JOIN present USING (host, component)""",
@@ -421,7 +422,7 @@ def j8_missing_required(t: Tables):
     required = hosts.select("host", F.explode(F.array(*[F.lit(c) for c in fixed.COMPONENTS])).alias("component"))
     seen = V.snapshots(t).withColumnRenamed("host", "event_id")
     up = F.array_compact(F.array(*[F.when(F.col(f"{c}_kb").isNotNull(), c) for c in fixed.COMPONENTS]))
-    strong = t.events.where("value > 100").select("event_id", F.col("user_id").alias("host"))
+    strong = t.events.where("value > 200").select("event_id", F.col("user_id").alias("host"))
     present = strong.join(seen, "event_id").select("host", F.explode(up).alias("component"))
     return joins.missing_required(required, present, ["host", "component"])
 
@@ -451,6 +452,26 @@ def j10_decode_alert(t: Tables):
     return joins.decode_alert(alert_texts(t)).select("event_id", "threat_name", "file_path")
 
 
+@query(
+    "j10_decode_alert_written",
+    f"""WITH {V.MATCHES}, {V.QUARANTINE} SELECT rule_name AS threat_name, orig_path AS file_path, 12 AS level FROM quarantine""",
+)
+def j10_decode_alert_written(t: Tables):
+    """The alert lines of all quarantined files, as they are written, are decoded again."""
+    rows = V.quarantine(t).select("q_time", "rule_name", F.col("orig_path").alias("path"), X.basename("q_path").alias("q_name"))
+    found = joins.decode_alert(sinks.alert_lines(rows))
+    return found.select("threat_name", "file_path", filters.alert_level("value").alias("level"))
+
+
+@query(
+    "c2_threat_report",
+    f"""WITH {V.MATCHES} SELECT r AS rule_name, CASE {EXACT} ELSE r END AS display_name, {DESCRIPTION} AS description, matches, files
+    FROM (SELECT rule_name AS r, count(*) AS matches, count(DISTINCT path) AS files FROM matches GROUP BY 1)""",
+)
+def c2_threat_report(t: Tables):
+    return aggregates.threat_report(V.matches(t))
+
+
 @query(
     "j11_new_rules",
     f"""WITH {V.CORPUS} SELECT rule_no, rule_name FROM corpus WHERE priority % 2 = 1

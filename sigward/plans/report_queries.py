@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sigward import session
 from sigward.functions import fixed
 from sigward.functions import scalars as X
 from sigward.operators import aggregates, filters, windows
@@ -30,27 +29,23 @@ def a2_threat_distribution(t: Tables):
     return aggregates.threat_distribution(V.matches(t))
 
 
-PER_PART = 10
+PARTS = 10
 
 
-def lists_sql(per_part: int) -> str:
-    return f"""WITH {V.MATCHES}, sizes AS (SELECT rule_name, CAST(ceil(count(*) / {per_part}.0) AS BIGINT) AS parts
-      FROM matches GROUP BY rule_name), placed AS (
-      SELECT rule_name, path, parts, CAST('0x' || md5(path)[1:8] AS BIGINT) % parts AS part
-      FROM matches JOIN sizes USING (rule_name))
-    SELECT rule_name, part, parts, count(*) AS n_files, string_agg(path, '|' ORDER BY path) AS files
-    FROM placed GROUP BY ALL"""
-
-
-@query("a3_files_per_rule", lists_sql(aggregates.FILES_PER_PART))
+@query("a3_files_per_rule", f"WITH {V.MATCHES} SELECT rule_name, path, count(*) OVER (PARTITION BY rule_name) AS n_files FROM matches")
 def a3_files_per_rule(t: Tables):
-    return aggregates.files_per_rule(session.written(V.matches(t), "matches"))
+    return aggregates.files_per_rule(V.matches(t))
 
 
-@query("a3_files_per_rule_short", lists_sql(PER_PART))
+@query(
+    "a3_files_per_rule_short",
+    f"""WITH {V.MATCHES}, placed AS (SELECT rule_name, path, CAST('0x' || md5(path)[1:8] AS BIGINT) % {PARTS} AS part FROM matches)
+    SELECT rule_name, part, CAST({PARTS} AS BIGINT) AS parts, count(*) AS n_files, string_agg(path, '|' ORDER BY path) AS files
+    FROM placed GROUP BY ALL""",
+)
 def a3_files_per_rule_short(t: Tables):
-    """Short parts, so that the split of long lists shows on small data."""
-    return aggregates.files_per_rule(session.written(V.matches(t), "matches"), PER_PART)
+    """The lists as texts, each rule's in so many parts."""
+    return aggregates.file_lists(V.matches(t), PARTS)
 
 
 @query("a4_rule_per_file", f"WITH {V.MATCHES} SELECT path, max(rule_name) AS rule_name FROM matches GROUP BY path")

@@ -400,7 +400,7 @@ def fleet_hosts(t: Tables) -> DataFrame:
 def quarantine(t: Tables) -> DataFrame:
     """Quarantine rows of all matched files; the time is the change time of the file."""
     found = matching.matched_files(files(t), active_fixture(t), fixture_strings(t))
-    items = found.withColumn("rule_name", F.element_at("rule_names", -1)).withColumn("item_id", F.col("doc_id"))
+    items = found.withColumn("rule_name", F.try_element_at("rule_names", F.lit(-1))).withColumn("item_id", F.col("doc_id"))
     return sinks.quarantine_rows(items, "mtime")
 
 

@@ -18,7 +18,7 @@ FILE_ENTRY_SCHEMA = "path STRING, mtime BIGINT"
 LOG_PATTERN = r"^\[(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\] (?:\[([A-Z]+)\] )?(.*)$"
 AGENT_PATTERN = r"^(\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}) (.*)$"
 RULE_PATTERN = r"(?ms)^rule\s+\w+.*?^\}"
-STRING_PATTERN = r'(?m)^\s*\$\w+\s*=\s*(?:"[^"\\]*(?:\\.[^"\\]*)*"|\{[0-9A-Fa-f ]*\})'
+STRING_PATTERN = r'(?m)^\s*\$\w+\s*=\s*(?:"[^"\\]*(?:\\.[^"\\]*)*+"|\{[0-9A-Fa-f ]*\})'
 META_PATTERN = r'(?m)^\s*[A-Za-z]\w*\s*=\s*"[^"]*"'
 
 
@@ -264,9 +264,9 @@ def first_column(df: DataFrame, text="value") -> DataFrame:
 
 
 def first_available(sources: list[tuple[int, DataFrame]]) -> DataFrame:
-    """Rows of the non-empty source with the smallest priority number."""
-    tagged = [df.withColumn("priority", F.lit(p)) for p, df in sources]
-    return keep_first_available(reduce(DataFrame.unionByName, tagged))
+    """Rows of the non-empty source with the smallest priority number; a source after it is not read."""
+    tagged = [df.withColumn("priority", F.lit(p)) for p, df in sorted(sources, key=lambda s: s[0])]
+    return next((df for df in tagged if not df.isEmpty()), tagged[-1])
 
 
 def keep_first_available(df: DataFrame, priority="priority") -> DataFrame:

@@ -85,7 +85,7 @@ def stream_scan(
         spark = batch.sparkSession
         wanted = filters.exclude_names(filters.exclude_dirs(batch))
         matched = matching.matched_files(wanted, rules, rule_strings)
-        items = sinks.quarantine_rows(matched.withColumn("rule_name", F.element_at("rule_names", -1)), q_time, "rule_names")
+        items = sinks.quarantine_rows(matched.withColumn("rule_name", F.try_element_at("rule_names", F.lit(-1))), q_time, "rule_names")
         stored = batch_folder(f"{out}/quarantine", batch_id)
         items.write.mode("overwrite").parquet(stored)
         rows = spark.read.schema(items.schema).parquet(stored)

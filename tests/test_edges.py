@@ -62,6 +62,7 @@ def one(spark, value, fn, kind="STRING"):
         (joins.display_name, "EICAR_x", "EICAR_x"),
         (X.friendly_threat, "Webshell_Generic", "Webshell"),
         (filters.alert_level, "YARA: Threat detected - X - File: /a - Quarantined: q", 12),
+        (filters.alert_level, "2024-01-30 01:02:03 YARA: Threat detected - X - File: /a - Quarantined: q", 12),
         (filters.alert_level, "YARA: hello", 0),
         (filters.alert_level, "Threat detected", None),
     ],
@@ -73,7 +74,7 @@ def test_scalar(spark, fn, value, want):
 @pytest.mark.parametrize(
     "size, want",
     [(0, "0"), (1023, "1023"), (1024, "1.0K"), (1025, "1.1K"), (10240, "10K"), (10241, "11K"), (1047552, "1023K"),
-     (1047553, "1.0M"), (5 * 1024**3, "5.0G")],
+     (1047553, "1.0M"), (5 * 1024**3, "5.0G"), (1023 * 1024**3, "1023G"), (5 * 1024**4, "5.0T"), (3 * 1024**5, "3.0P")],
 )
 def test_human_size(spark, size, want):
     assert one(spark, size, X.human_size, "BIGINT") == want
@@ -313,3 +314,25 @@ def test_scratch_folder_follows_the_cluster(spark):
     first, second = session.scratch_dir(spark, "x"), session.scratch_dir(spark, "x")
     assert first.startswith(base) and first != second
     assert session.written(spark.range(5), "numbers").count() == 5
+
+
+@pytest.mark.parametrize("glob, tail, want", [("a*b*c", "c", True), ("a*b*c", "d", False), ("*b*b*b*x*", "", False), ("*?b[ab]*b", "b", True)])
+def test_globs_on_long_texts(spark, glob, tail, want):
+    assert one(spark, "a" + "ba" * 10_000 + tail, lambda c: X.glob_match(c, glob)) is want
+
+
+def test_first_available_reads_no_further(spark):
+    broken = spark.range(1).select(F.raise_error(F.lit("was read")).cast("int").alias("v"))
+    first = spark.createDataFrame([(1,)], "v INT")
+    assert [r["v"] for r in readers.first_available([(2, broken), (1, first)]).collect()] == [1]
+
+
+def test_scratch_folder_must_be_shared_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from sigward import session
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    context = SimpleNamespace(getConf=lambda: conf, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError):
+        session.scratch_dir(SimpleNamespace(conf=conf, sparkContext=context), "x")
