@@ -22,6 +22,8 @@ from sigward.operators import filters
 HIT_COLUMNS = ["path", "rule_name", "string_id"]
 RULE_KEYS = ["rule_key", "rule_name", "string_id"]
 TOKEN = "[A-Za-z0-9_]"
+# Modifiers that change nothing for a text that is compared as it stands.
+KNOWN_MODIFIERS = ["ascii", "private"]
 
 
 # ---- string hits
@@ -29,7 +31,7 @@ TOKEN = "[A-Za-z0-9_]"
 
 def hex_bytes(pattern) -> Column:
     """Bytes of `{6D 61 ...}`."""
-    return F.unhex(F.regexp_replace(X.col(pattern), "[{} ]", ""))
+    return F.unhex(F.regexp_replace(X.col(pattern), r"[{}\s]", ""))
 
 
 def pattern_bytes(kind="kind", pattern="pattern") -> Column:
@@ -81,7 +83,8 @@ def rule_key(df: DataFrame) -> Column:
 
 def prepared(rule_strings: DataFrame) -> DataFrame:
     """Non-empty rule strings with their bytes; all strings of a string id are kept."""
-    strings = rule_strings.select(rule_key(rule_strings), "rule_name", "string_id", pattern_bytes().alias("needle"))
+    known = rule_strings.where(F.col("kind").isin("text", "hex"))
+    strings = known.select(rule_key(rule_strings), "rule_name", "string_id", pattern_bytes().alias("needle"))
     return strings.where(F.octet_length("needle") > 0).distinct()
 
 
@@ -365,6 +368,8 @@ def rule_problem() -> Column:
     return (
         F.when(F.col("rule_name") == "", "no name")
         .when(F.size("strings") == 0, "no strings")
+        .when(F.exists("strings", lambda s: ~s["kind"].isin("text", "hex")), "unsupported string")
+        .when(F.exists("strings", lambda s: F.exists(s["modifiers"], lambda m: ~m.isin(*KNOWN_MODIFIERS))), "unsupported modifier")
         .when(F.col("condition").isNull(), "no condition")
         .when(F.col("min_hits").isNull(), "unknown condition")
         .when(F.col("only_id").isNotNull() & ~F.array_contains(ids, F.col("only_id")), "undeclared string")

@@ -17,8 +17,13 @@ ALERT_SCHEMA = (
 FILE_ENTRY_SCHEMA = "path STRING, mtime BIGINT"
 LOG_PATTERN = r"^\[(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\] (?:\[([A-Z]+)\] )?(.*)$"
 AGENT_PATTERN = r"^(\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}) (.*)$"
-RULE_PATTERN = r"(?ms)^rule\s+\w+.*?^\}"
-STRING_PATTERN = r'(?m)^\s*\$\w+\s*=\s*(?:"[^"\\]*(?:\\.[^"\\]*)*+"|\{[0-9A-Fa-f ]*\})'
+RULE_HEADER = r"(?:(?:private|global)\s+)*rule\s+\w+"
+RULE_PATTERN = rf"(?ms)^[ \t]*({RULE_HEADER}.*?)(?=^[ \t]*{RULE_HEADER}|\z)"
+MODIFIERS = r"(?:[ \t]+(?:nocase|wide|ascii|fullword|private|xor|base64wide|base64)\b(?:\([^)]*\))?)*"
+STRING_PATTERN = (
+    r'(?m)(?:^|[\s:])(\$\w*\s*=\s*(?:"[^"\\]*(?:\\.[^"\\]*)*+"|\{[^}]*\}|/(?:[^/\\\n]|\\.)++/[is]*)' + MODIFIERS + ")"
+)
+COMMENTS = r"//[^\n]*|(?s)/\*.*?\*/"
 META_PATTERN = r'(?m)^\s*[A-Za-z]\w*\s*=\s*"[^"]*"'
 
 
@@ -155,25 +160,31 @@ def parse_rules(df: DataFrame, text="value", feed="feed", file_name="file_name")
     found = df.select(
         X.col(feed).alias("feed"),
         X.col(file_name).alias("file_name"),
-        F.posexplode(F.regexp_extract_all(X.col(text), F.lit(RULE_PATTERN), F.lit(0))).alias("rule_no", "body"),
+        F.posexplode(F.regexp_extract_all(X.col(text), F.lit(RULE_PATTERN), F.lit(1))).alias("rule_no", "body"),
+    )
+    # A rule ends at the first brace that begins a line, else at the last brace before the next rule.
+    ends = F.when(F.col("body").rlike(r"\n\}"), F.regexp_extract("body", r"(?s)^(.*?\n\})", 1)).otherwise(
+        F.regexp_extract("body", r"(?s)^(.*\})", 1)
+    )
+    found = found.withColumn("body", F.coalesce(F.nullif(ends, F.lit("")), X.strip("body")))
+    # Section names begin a line; in a rule without such lines they may stand anywhere.
+    lined = F.col("body").rlike(r"\n\s*condition\s*:")
+    section = lambda many, one: F.when(lined, F.regexp_extract("body", many, 1)).otherwise(F.regexp_extract("body", one, 1))
+    meta_part = section(
+        r"(?s)\n\s*meta\s*:(.*?)\n\s*(?:strings|condition)\s*:", r"(?s)[\s{]meta\s*:(.*?)[\s\"}](?:strings|condition)\s*:"
     )
-    meta_part = F.regexp_extract("body", r"(?s)\n\s*meta:(.*?)\n\s*(?:strings|condition):", 1)
-    string_part = F.regexp_extract("body", r"(?s)\n\s*strings:(.*?)(?:\n\s*condition:|\}$)", 1)
+    string_part = section(r"(?s)\n\s*strings\s*:(.*?)\n\s*condition\s*:", r"(?s)[\s{]strings\s*:(.*?)(?:\scondition\s*:|\}$)")
+    string_part = F.regexp_replace(string_part, r"(?m)^\s*//[^\n]*$", "")
+    condition_part = section(r"(?s)\n\s*condition\s*:(.*)\}$", r"(?s)[\s{]condition\s*:(.*)\}$")
     entry = lambda line: F.struct(
         strip_key(line).alias("key"), F.regexp_extract(line, r'=\s*"(.*)"$', 1).alias("value")
     )
-    string = lambda line: F.struct(
-        strip_key(line).alias("string_id"),
-        F.when(line.rlike(r"=\s*\{"), "hex").otherwise("text").alias("kind"),
-        F.when(line.rlike(r"=\s*\{"), F.regexp_extract(line, r"=\s*(\{.*\})$", 1))
-        .otherwise(unescape(F.regexp_extract(line, r'(?s)=\s*"(.*)"$', 1)))
-        .alias("pattern"),
-    )
     metas = F.transform(F.regexp_extract_all(meta_part, F.lit(META_PATTERN), F.lit(0)), entry)
-    strings = F.transform(F.regexp_extract_all(string_part, F.lit(STRING_PATTERN), F.lit(0)), string)
-    condition = F.nullif(X.strip(F.regexp_extract("body", r"(?s)\n\s*condition:(.*)\}$", 1)), F.lit(""))
+    strings = F.transform(F.regexp_extract_all(string_part, F.lit(STRING_PATTERN), F.lit(1)), declared_string)
+    condition = F.nullif(X.strip(F.regexp_replace(condition_part, COMMENTS, "")), F.lit(""))
     return found.select(
-        F.regexp_extract("body", r"^rule\s+(\w+)", 1).alias("rule_name"),
+        F.concat_ws("/", "feed", "file_name", F.col("rule_no").cast("string")).alias("rule_id"),
+        F.regexp_extract("body", r"^(?:(?:private|global)\s+)*rule\s+(\w+)", 1).alias("rule_name"),
         "feed",
         "file_name",
         "rule_no",
@@ -186,6 +197,21 @@ def parse_rules(df: DataFrame, text="value", feed="feed", file_name="file_name")
     )
 
 
+def declared_string(line) -> Column:
+    """string_id, kind, pattern and modifiers of a declared string, as written; kinds other than text and hex are kept as they are."""
+    quoted = line.rlike(r'=\s*"')
+    braces, slashes = F.regexp_extract(line, r"=\s*(\{[^}]*\})", 1), F.regexp_extract(line, r"=\s*(/.*/[is]*)", 1)
+    plain_hex = braces.rlike(r"^\{[0-9A-Fa-f\s]*\}$")
+    text = F.regexp_extract(line, r'(?s)=\s*"([^"\\]*(?:\\.[^"\\]*)*+)"', 1)
+    after = F.regexp_extract(line, r'(?s)(?:"|\}|/[is]*)((?:[ \t]+[a-z0-9]+(?:\([^)]*\))?)*)$', 1)
+    return F.struct(
+        strip_key(line).alias("string_id"),
+        F.when(quoted, "text").when(plain_hex, "hex").when(braces != "", "hex pattern").otherwise("regex").alias("kind"),
+        F.when(quoted, unescape(text)).when(braces != "", braces).otherwise(slashes).alias("pattern"),
+        F.filter(F.split(X.strip(after), r"\s+"), lambda w: w != "").alias("modifiers"),
+    )
+
+
 def strip_key(line) -> Column:
     return X.strip(F.substring_index(line, "=", 1))
 

@@ -336,3 +336,51 @@ def test_scratch_folder_must_be_shared_on_a_cluster(spark, monkeypatch):
     context = SimpleNamespace(getConf=lambda: conf, getCheckpointDir=lambda: None, master="spark://host:7077")
     with pytest.raises(ValueError):
         session.scratch_dir(SimpleNamespace(conf=conf, sparkContext=context), "x")
+
+
+RULE_SHAPES = r'''
+import "pe"
+private rule Hidden : tag { strings: $a = "one" condition: $a }
+rule Line { meta: author = "x" strings: $a = "a condition \" text" $b = { 6D 6C } condition: any of them }
+rule Loose
+{
+    strings:
+        // $gone = "commented out"
+        $a = "shell" nocase wide
+        $b = "plain" ascii
+    condition:
+        any of them // one is enough
+}
+rule Wild { strings: $h = { 6D ?? 6C } $t = "t" condition: any of them }
+global private rule Pattern {
+    strings:
+        $r = /ev[ai]l\/x/i
+        $t = "t"
+    condition:
+        1 of them /* or
+        more */
+}
+rule Last {
+    strings:
+        $a = "z" private
+    condition:
+        $a
+}
+'''
+
+
+def test_rules_of_all_shapes_are_kept(spark):
+    text = spark.createDataFrame([(RULE_SHAPES, "f", "a.yar")], "value STRING, feed STRING, file_name STRING")
+    parsed = readers.parse_rules(text)
+    rows = {r["rule_name"]: r for r in parsed.collect()}
+    assert list(rows) == ["Hidden", "Line", "Loose", "Wild", "Pattern", "Last"]
+    assert len({r["rule_id"] for r in rows.values()}) == 6
+    found = {n: [(s["string_id"], s["kind"], s["pattern"], s["modifiers"]) for s in r["strings"]] for n, r in rows.items()}
+    assert found["Hidden"] == [("$a", "text", "one", [])]
+    assert found["Line"] == [("$a", "text", 'a condition " text', []), ("$b", "hex", "{ 6D 6C }", [])]
+    assert found["Loose"] == [("$a", "text", "shell", ["nocase", "wide"]), ("$b", "text", "plain", ["ascii"])]
+    assert found["Wild"][0][1:3] == ("hex pattern", "{ 6D ?? 6C }") and found["Pattern"][0][1:3] == ("regex", "/ev[ai]l\\/x/i")
+    assert [rows[n]["min_hits"] for n in rows] == [1] * 6
+    working, broken = matching.validate_rules(parsed)
+    assert sorted(r["rule_name"] for r in working.collect()) == ["Hidden", "Last", "Line"]
+    assert {r["rule_name"]: r["problem"] for r in broken.collect()} == {"Loose": "unsupported modifier", "Wild": "unsupported string", "Pattern": "unsupported string"}
