@@ -22,6 +22,7 @@ from sigward.operators import filters
 HIT_COLUMNS = ["path", "rule_name", "string_id"]
 RULE_KEYS = ["rule_key", "rule_name", "string_id"]
 TOKEN = "[A-Za-z0-9_]"
+GRAMS = [1, 2, 3, 5, 8, 12, 20, 32]
 # Modifiers that change nothing for a text that is compared as it stands.
 KNOWN_MODIFIERS = ["ascii", "private"]
 
@@ -122,15 +123,17 @@ def keyed(strings: DataFrame) -> DataFrame:
     """
     text = F.decode("needle", "ISO-8859-1")
     rows = strings.withColumn("text", text).withColumn("tokens", F.regexp_extract_all("text", F.lit(f"{TOKEN}+"), F.lit(0)))
+    # Parts of tokens are cut to few lengths, so that a token of a file is looked up few times.
+    part = lambda c: F.greatest(*[F.when(F.length(c) >= g, g) for g in GRAMS])
     n, opens, closes = F.size("tokens"), F.col("text").rlike(f"^{TOKEN}"), F.col("text").rlike(f"{TOKEN}\\z")
     inner = F.slice("tokens", 1 + opens.cast("int"), F.greatest(n - opens.cast("int") - closes.cast("int"), F.lit(0)))
     first, last = F.get("tokens", F.lit(0)), F.get("tokens", n - 1)
     key = (
         F.when(n == 0, "n")
         .when(F.size(inner) > 0, F.concat(F.lit("w"), longest(inner)))
-        .when((n == 1) & opens & closes, F.concat(F.lit("i"), first))
-        .when(opens & (~closes | (F.length(first) >= F.length(last))), F.concat(F.lit("e"), first))
-        .otherwise(F.concat(F.lit("s"), last))
+        .when((n == 1) & opens & closes, F.concat(F.lit("i"), F.left(first, part(first))))
+        .when(opens & (~closes | (F.length(first) >= F.length(last))), F.concat(F.lit("e"), F.right(first, part(first))))
+        .otherwise(F.concat(F.lit("s"), F.left(last, part(last))))
     )
     return rows.withColumn("look_up", key).drop("tokens")
 
@@ -168,12 +171,18 @@ def hits_by_token(files: DataFrame, strings: DataFrame) -> DataFrame:
     contents = files.select("_file", "path", F.decode(F.col("content").cast("binary"), "ISO-8859-1").alias("_content"))
     tokens = F.array_distinct(F.split("_content", f"[^{TOKEN[1:-1]}]+"))
     keys = F.array(F.lit("n")) if "n" in lengths else F.array().cast("array<string>")
-    rows = contents
-    if set(lengths) - {"n"}:
+    kinds = set(lengths) - {"n"}
+    if kinds:
         each = contents.select("*", F.posexplode(tokens).alias("_at", "_token"))
-        own = look_ups("_token", lengths)
         # The key of strings without tokens goes with a file's first token, of which there is always one.
-        rows = each.select("_file", "path", "_content", F.explode(F.when(F.col("_at") == 0, F.concat(keys, own)).otherwise(own)).alias("look_up"))
+        long_enough = F.length("_token") >= min(lengths[k][0] for k in kinds)
+        each = each.where(long_enough | (F.col("_at") == 0) if "n" in lengths else long_enough)
+        if set(lengths) == {"w"}:
+            rows = each.select("_file", "path", "_content", F.concat(F.lit("w"), "_token").alias("look_up"))
+        else:
+            own = look_ups("_token", lengths)
+            own = F.when(F.col("_at") == 0, F.concat(keys, own)).otherwise(own)
+            rows = each.select("_file", "path", "_content", F.explode(own).alias("look_up"))
     else:
         rows = contents.select("*", F.explode(keys).alias("look_up"))
     slot = F.pmod(F.xxhash64("rule_key", "string_id", "text"), F.lit(max(parts, 1)))
