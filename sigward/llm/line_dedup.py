@@ -27,7 +27,7 @@ MIN_DOCS = 3
 MIN_TOKENS = 3
 # Generalised places are trusted in lines of GENERAL_TOKENS tokens or more, CONSTANT of which are the leaf's own.
 GENERAL_TOKENS, CONSTANT = 8, 0.7
-# Leaves (16 bytes each) that every task may hold; more are met by a shuffle.
+# Lines of such leaves (some 60 bytes each) that every task may hold; more are met by a shuffle.
 BROADCAST_LEAVES = 500_000
 SPACE = "[\\x20\\x09-\\x0D]+"
 FIELD = "<*>"
@@ -66,6 +66,17 @@ def generalised(texts: DataFrame) -> DataFrame:
     return agree.join(leaves, "leaf").where((F.col("agree") == F.col("constants")) & (F.col("constants") >= F.lit(CONSTANT) * F.col("n"))).select("own", F.col("leaf").alias("as_leaf"))
 
 
+def lines_of(docs: DataFrame, rows: DataFrame, wide: DataFrame) -> DataFrame:
+    """own, leaf, n and masked text of the distinct lines in the wide leaves, each taken from one document that has it."""
+    own = rows.where(F.col("n") >= GENERAL_TOKENS).join(wide, "leaf", "left_semi").groupBy("own", "leaf", "n").agg(F.min("doc_id").alias("of"), F.min_by("place", "doc_id").alias("place"))
+    spots = session.written(own.groupBy("of").agg(F.collect_list(F.struct("own", "leaf", "n", "place")).alias("spots")), "spots")
+    side = F.broadcast(spots) if spots.agg(F.coalesce(F.sum(F.size("spots")), F.lit(0))).first()[0] <= BROADCAST_LEAVES else spots
+    found = docs.select("doc_id", "text").join(side, F.col("doc_id") == F.col("of")).select(F.split("text", "\n").alias("lines"), F.explode("spots").alias("s"))
+    line = found.select("s.own", "s.leaf", "s.n", masked(F.get("lines", F.col("s.place"))).alias("masked"))
+    # Rows that share a doc_id may have another line in that place.
+    return session.written(line.where(F.unhex(F.md5(F.col("masked").cast("binary"))) == F.col("own")).dropDuplicates(["own"]), "wide-lines")
+
+
 def dropped(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id and place of each line to drop."""
     rows = session.written(lines(docs).select("doc_id", "place", "n", "leaf", "own"), "lines")
@@ -74,10 +85,7 @@ def dropped(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     # Only leaves of several distinct lines that reach min_docs together can gain from generalisation.
     wide = texts.where(F.col("n") >= GENERAL_TOKENS).groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("docs"))
     wide = session.written(wide.where((F.col("kinds") > 1) & (F.col("docs") >= min_docs)).select("leaf"), "wide")
-    # Their lines are read again, so that no text travels for the others.
-    some = F.broadcast(wide) if wide.count() <= BROADCAST_LEAVES else wide
-    again = lines(docs).where(F.col("n") >= GENERAL_TOKENS).join(some, "leaf", "left_semi").select("own", "leaf", "n", "masked")
-    wider = session.written(generalised(session.written(again.dropDuplicates(["own"]), "wide-lines")), "generalised")
+    wider = session.written(generalised(lines_of(docs, rows, wide)), "generalised")
     named = texts.join(wider, "own", "left").withColumn("template", F.coalesce("as_leaf", "own"))
     # A leaf's template is held by documents of several lines; each document counts once.
     general = named.where("as_leaf IS NOT NULL").select("own", "template")
