@@ -25,6 +25,7 @@ HEADLINE = [
     "m6_match_strings_indexed",
     "g2_rule_matcher",
     "a2_threat_distribution",
+    "c2_threat_report",
     "a5_category_counts",
     "a10_daily_change_counts",
     "j5_asof_detection",

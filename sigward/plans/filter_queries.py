@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sigward.functions import fixed
-from sigward.operators import aggregates, filters, limits, matching, retention, sets, windows
+from sigward.operators import aggregates, chains, filters, limits, matching, retention, sets, windows
 from sigward.plans import views as V
 from sigward.plans.registry import Tables, query
 from sigward.plans.source_queries import FILE_ENTRY, file_entry
@@ -145,6 +145,29 @@ def f10_deny_rules_disabled(t: Tables):
     return disabled.select("rule_no", "file_name", "reason")
 
 
+UPDATED = f"""{V.CORPUS}, flat AS (SELECT * FROM corpus QUALIFY row_number() OVER (PARTITION BY file_name ORDER BY priority, rule_no) = 1),
+named AS (SELECT * FROM flat WHERE {REASON} IS NULL
+  QUALIFY row_number() OVER (PARTITION BY rule_name ORDER BY priority, file_name, rule_no) = 1),
+merged AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY regexp_replace(regexp_replace(
+    regexp_replace(head || body, '^rule\\s+\\w+\\s*', ''), '\\s+', ' ', 'g'), '^ | $', '', 'g')
+  ORDER BY priority, file_name, rule_no) = 1)"""
+
+
+@query("c1_update_rules", f"WITH {UPDATED} SELECT rule_no, rule_name, feed, file_name FROM merged")
+def c1_update_rules(t: Tables):
+    merged, _, _ = chains.update_rules(V.corpus(t).withColumn("body", F.col("text")))
+    return merged.select("rule_no", "rule_name", "feed", "file_name")
+
+
+@query(
+    "c1_update_rules_counts",
+    f"""WITH {UPDATED} SELECT b AS before, a AS after, b - a AS removed
+    FROM (SELECT count(*) AS b FROM corpus), (SELECT count(*) AS a FROM merged)""",
+)
+def c1_update_rules_counts(t: Tables):
+    return chains.update_rules(V.corpus(t).withColumn("body", F.col("text")))[2]
+
+
 THREATS_BY_SOURCE = f"""{V.MATCHES}, counts AS (
   SELECT source, count(m.path) AS threats, count(DISTINCT m.path) AS quarantined
   FROM files f LEFT JOIN matches m USING (path) GROUP BY source)"""
