@@ -1,9 +1,11 @@
 """Exact top-k search of binary codes by incremental multi-index hashing.
 
-A vector's code is the sign of each of its numbers, in segments of SEGMENT bits. Codes at a Hamming distance below m * (r + 1) agree with
+A vector's code is the sign of each of its numbers, cut into m segments of about log2(rows) bits, so that a segment value has
+few codes at any size. Codes at a Hamming distance below m * (r + 1) agree with
 the query in one of the m segments up to r bits. So the search probes, for r = 0, 1, 2, ..., all segment values at
 exactly r bits from the query's, verifies what it finds, and ends for a query once its k-th verified distance is below
-m * (r + 1): nothing unseen can be nearer. Verified codes farther than a query's k-th so far do not leave the join.
+m * (r + 1): nothing unseen can be nearer. Verified codes farther than a query's k-th so far do not leave the join; at the start that is the k-th distance to
+SAMPLE codes, a bound and no more.
 
 The index holds each distinct code once with its k + 1 smallest ids, so copies of a code, be they a third of all rows, are
 one entry. Results are ordered by distance, then id.
@@ -23,17 +25,21 @@ from pyspark.sql import functions as F
 from sigward import session
 
 K = 10
-SEGMENT = 16
+MOST_BITS = 16
 SALTS = 64
+SAMPLE = 256
 
 
-def codes(vectors: DataFrame) -> DataFrame:
-    """vec_id and segments, an array of numbers of SEGMENT bits."""
+def codes(vectors: DataFrame) -> tuple[DataFrame, int]:
+    """vec_id and segments, an array of numbers; the bits of a segment."""
     rows = vectors.where("vec_id IS NOT NULL AND size(embedding) > 0").select("vec_id", "embedding")
-    length = rows.agg(F.max(F.size("embedding")).alias("n")).first()["n"] or 0
+    seen = rows.agg(F.max(F.size("embedding")).alias("n"), F.count("*").alias("rows")).first()
+    length = seen["n"] or 0
+    parts = -(-length // max(4, min(MOST_BITS, seen["rows"].bit_length())))
+    bits = -(-length // max(parts, 1))
     bit = lambda a, x: a * 2 + F.coalesce(x > 0, F.lit(False)).cast("int")
-    parts = [F.aggregate(F.slice("embedding", s + 1, SEGMENT), F.lit(0), bit) for s in range(0, length, SEGMENT)]
-    return rows.where(F.size("embedding") == length).select("vec_id", F.array(*parts).alias("segments")).distinct()
+    parts = [F.aggregate(F.slice("embedding", s + 1, bits), F.lit(0), bit) for s in range(0, length, max(bits, 1))]
+    return rows.where(F.size("embedding") == length).select("vec_id", F.array(*parts).alias("segments")).distinct(), bits
 
 
 def distance(a: Column, b: Column, m: int) -> Column:
@@ -51,33 +57,39 @@ def smallest_ids(rows: DataFrame, most: int) -> DataFrame:
 def top_k(vectors: DataFrame, queries: Column, k: int = K) -> DataFrame:
     """query_id, rank, vec_id and distance: the k nearest other rows of each row that `queries` selects."""
     spark = vectors.sparkSession
-    rows = session.written(codes(vectors), "codes")
-    first = rows.select(F.size("segments").alias("m")).first()
-    schema = "query_id long, rank int, vec_id long, distance int"
-    if first is None:
-        return spark.createDataFrame([], schema)
-    m = first["m"]
+    found, bits = codes(vectors)
+    if not bits:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, distance int")
+    rows = session.written(found, "codes")
+    m = rows.select(F.size("segments").alias("m")).first()["m"]
     index = session.written(smallest_ids(rows, k + 1), "index")
     postings = index.select(F.posexplode("segments").alias("s", "value"), "segments", "ids")
     asked = rows.where(queries).select(F.col("vec_id").alias("query_id"), F.col("segments").alias("asked"))
     reach = min(k, rows.count() - 1)
-    active = session.written(asked.withColumn("bound", F.lit(SEGMENT * m)), "asked")
+    some = [r["segments"] for r in index.orderBy(F.xxhash64("segments")).select("segments").limit(SAMPLE).collect()]
+    far = F.lit(bits * m)
+    if len(some) > k:
+        # One of the sampled codes may be the query's own.
+        sample = F.array(*[F.array(*map(F.lit, code)) for code in some])
+        far = F.array_sort(F.transform(sample, lambda code: distance(F.col("asked"), code, m)))[k]
+    active = session.written(asked.withColumn("bound", far.cast("int")), "asked")
     best = spark.createDataFrame([], "query_id long, vec_id long, distance int")
     finished: DataFrame | None = None
-    for radius in range(SEGMENT + 1):
-        masks = [sum(1 << i for i in bits) for bits in combinations(range(SEGMENT), radius)]
+    for radius in range(bits + 1):
+        masks = [sum(1 << i for i in chosen) for chosen in combinations(range(bits), radius)]
         near = F.explode(F.transform(F.array(*map(F.lit, masks)), lambda x: F.col("own").bitwiseXOR(x)))
         probes = active.select("query_id", "asked", "bound", F.posexplode("asked").alias("s", "own")).select("query_id", "asked", "bound", "s", near.alias("value"))
         apart = distance(F.col("asked"), F.col("segments"), m)
         p, i = probes.alias("p"), postings.alias("i")
-        hits = p.join(i, (F.col("p.s") == F.col("i.s")) & (F.col("p.value") == F.col("i.value")) & (apart <= F.col("bound")))
+        # Probes grow as they are spread out, so neither side is broadcast.
+        hits = p.hint("merge").join(i, (F.col("p.s") == F.col("i.s")) & (F.col("p.value") == F.col("i.value")) & (apart <= F.col("bound")))
         found = hits.select("query_id", F.explode("ids").alias("vec_id"), apart.alias("distance")).where("query_id <> vec_id")
         ranked = found.unionByName(best).distinct().withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id")))
         best = session.written(ranked.where(F.col("rank") <= reach).select("query_id", "vec_id", "distance"), "best")
         kth = best.groupBy("query_id").agg(F.max("distance").alias("kth"), F.count("*").alias("n"))
-        state = active.select("query_id", "asked").join(kth, "query_id", "left")
+        state = active.join(kth, "query_id", "left")
         sure = (F.coalesce("n", F.lit(0)) >= reach) & (F.coalesce("kth", F.lit(0)) < m * (radius + 1))
-        state = session.written(state.select("query_id", "asked", sure.alias("sure"), F.when(F.col("n") >= reach, F.col("kth")).otherwise(SEGMENT * m).alias("bound")), "state")
+        state = session.written(state.select("query_id", "asked", sure.alias("sure"), F.when(F.col("n") >= reach, F.col("kth")).otherwise(F.col("bound")).alias("bound")), "state")
         done = best.join(state.where("sure"), "query_id", "left_semi")
         finished = done if finished is None else finished.unionByName(done)
         active = state.where("NOT sure").select("query_id", "asked", "bound")
