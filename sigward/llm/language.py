@@ -34,7 +34,7 @@ LEAST_ROWS, MOST_LANGUAGES = 5, 200
 TEMPER = 0.25
 UND_PRIOR = 1e-4
 SMOOTH, HOST_PRIOR = 1.0, 20.0
-RUN_BYTES = 8 << 20
+RUN_BYTES = 4 << 20
 UND = "und"
 
 
