@@ -7,7 +7,7 @@ likelihood is a smoothed table of declared against identified language. The prio
 smoothed by those of its address suffix, these by those of the corpus. Counts and tables are grouped aggregations over all
 documents; only the trigram tables are fitted on a bounded sample of labelled rows (TRAIN_ROWS expected, by hash).
 
-Defined results: a document without any letter (null and empty texts too) is "und" and not kept. A null declaration, suffix
+Words with a digit count for nothing. Defined results: a document without a letter in other words (null and empty texts too) is "und" and not kept. A null declaration, suffix
 or host is a value of its own. Rows that share a doc_id are judged each. An empty table gives no rows. Further columns
 are not read.
 """
@@ -38,9 +38,14 @@ RUN_BYTES = 4 << 20
 UND = "und"
 
 
+def plain(texts: pa.Array) -> pa.Array:
+    """The texts in lower case without words that hold a digit: numbers, addresses and keys are in no language."""
+    return pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"\S*[0-9]\S*", " ")
+
+
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Table places of all trigrams of the lower-cased texts, and how many each text has; a blank stands before and after a text."""
-    padded = pc.binary_join_element_wise("", pc.utf8_lower(pc.fill_null(texts, "")), " ", " ")
+    """Table places of all trigrams of the texts, and how many each text has; a blank stands before and after a text."""
+    padded = pc.binary_join_element_wise("", texts, " ", " ")
     padded = padded.cast(pa.large_binary())
     _, offsets, data = padded.buffers()
     ends = np.frombuffer(offsets, dtype=np.int64)[padded.offset : padded.offset + len(padded) + 1]
@@ -72,7 +77,7 @@ def count_grams(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.
                 names = part.column("declared").to_pylist()
                 for name in set(names):
                     own = part.column("text").filter(pa.array([n == name for n in names]))
-                    code, _ = grams(own)
+                    code, _ = grams(plain(own))
                     tables[name] = tables.get(name, 0) + np.bincount(code, minlength=places)
                     seen[name] = seen.get(name, 0) + len(own)
         for name, table in tables.items():
@@ -97,13 +102,14 @@ def text_evidence(docs: DataFrame, table: np.ndarray) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(iter([batch]), "text", RUN_BYTES):
-                code, counts = grams(part.column("text"))
+                texts = plain(part.column("text"))
+                code, counts = grams(texts)
                 out = np.zeros((len(counts), by_place.shape[1]))
                 starts, there = np.cumsum(counts) - counts, np.flatnonzero(counts > 0)
                 if len(there):
                     for k in range(by_place.shape[1]):
                         out[there, k] = np.add.reduceat(by_place[code, k], starts[there], dtype=np.float64)
-                letters = pc.fill_null(pc.match_substring_regex(part.column("text"), r"\pL"), False)
+                letters = pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False)
                 logs = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * out.shape[1], pa.int32()), pa.array((TEMPER * out).reshape(-1)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "declared", "suffix", "host")), letters, logs], ["doc_id", "declared", "suffix", "host", "has_letter", "logs"])
 
