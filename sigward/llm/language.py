@@ -7,7 +7,7 @@ likelihood is a smoothed table of declared against identified language. The prio
 smoothed by those of its address suffix, these by those of the corpus. Counts and tables are grouped aggregations over all
 documents; only the trigram tables are fitted on a bounded sample of labelled rows (TRAIN_ROWS expected, by hash).
 
-Words with a digit count for nothing. Defined results: a document without a letter in other words (null and empty texts too) is "und" and not kept. A null declaration, suffix
+Digits, and the ASCII letters that touch them, count for nothing. Defined results: a document without another letter (null and empty texts too) is "und" and not kept. A null declaration, suffix
 or host is a value of its own. Rows that share a doc_id are judged each. An empty table gives no rows. Further columns
 are not read.
 """
@@ -39,8 +39,11 @@ UND = "und"
 
 
 def plain(texts: pa.Array) -> pa.Array:
-    """The texts in lower case without words that hold a digit: numbers, addresses and keys are in no language."""
-    return pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"\S*[0-9]\S*", " ")
+    """The texts in lower case without digits and the ASCII letters that touch them: numbers, addresses and keys are in no language.
+
+    Other letters stay, as a run without a blank is a whole sentence in many scripts.
+    """
+    return pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[0-9a-z._/-]*[0-9][0-9a-z._/-]*", " ")
 
 
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
