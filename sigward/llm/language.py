@@ -5,7 +5,8 @@ host mostly holds. The text's likelihood comes from byte trigrams, hashed to a f
 class, "und", finds all trigrams alike, and text that it explains best is in no known language. The declaration's
 likelihood is a smoothed table of declared against identified language. The prior is hierarchical: a host's counts are
 smoothed by those of its address suffix, these by those of the corpus. Counts and tables are grouped aggregations over all
-documents; only the trigram tables are fitted on a bounded sample of labelled rows (TRAIN_ROWS expected, by hash).
+documents. The classes are the declared languages that LEAST_ROWS rows of the whole table have; only the trigram tables are
+fitted on a bounded sample, of TRAIN_ROWS rows of each language at most, those of the smallest hashes of doc_id and text.
 
 Digits, and the ASCII letters that touch them, count for nothing. Defined results: a document without another letter (null and empty texts too) is "und" and not kept. A null declaration, suffix
 or host is a value of its own. Rows that share a doc_id are judged each. An empty table gives no rows. Further columns
@@ -26,10 +27,13 @@ from pyspark.sql import functions as F
 from sigward import session
 from sigward.llm import common
 
+# Rows of each language that its trigrams are counted in.
 TRAIN_ROWS = 8_000
 TABLE_BITS = 15
-# A declared language is a class when it has so many rows of the sample; more classes than MOST_LANGUAGES are refused.
+# A declared language is a class when it has so many rows of the table; more classes than MOST_LANGUAGES are refused.
 LEAST_ROWS, MOST_LANGUAGES = 5, 200
+# Hashes are counted in steps of a 64th of their power of two, so a sample is full to about a hundredth.
+STEPS = 64
 # Trigrams overlap and repeat, so each counts as a part of an independent observation.
 TEMPER = 0.25
 UND_PRIOR = 1e-4
@@ -64,35 +68,54 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (code * np.uint32(2654435761) >> np.uint32(32 - TABLE_BITS))[keep[:-2]], counts
 
 
+def sample(labelled: DataFrame, rows: int) -> tuple[list[str], DataFrame]:
+    """The languages, and text, declared and `copies` of at most `rows` rows of each; rows of one doc_id and text are one, `copies` times."""
+    many = labelled.groupBy("declared").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS)
+    names = sorted(r["declared"] for r in many.select("declared").limit(MOST_LANGUAGES + 1).collect())
+    if len(names) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} declared languages")
+    own = labelled.where(F.col("declared").isin(names)).withColumn("h", F.xxhash64("doc_id", "text"))
+    step = F.floor(F.log2(F.pmod("h", F.lit(1 << 62)) + 1) * STEPS).cast("int")
+    hashes = session.written(own.groupBy("declared", "h").agg(F.count("*").alias("copies")).withColumn("step", step), "hashes")
+    # At most languages x 62 x STEPS rows, no text among them.
+    held: dict[str, list[tuple[int, int]]] = {}
+    for r in hashes.groupBy("declared", "step").agg(F.count("*").alias("n")).collect():
+        held.setdefault(r["declared"], []).append((r["step"], r["n"]))
+    ends = []
+    for name, steps in held.items():
+        total, end = 0, -1
+        for at, n in sorted(steps):
+            if total + n > rows:
+                break
+            total, end = total + n, at
+        ends.append((name, end))
+    last = F.broadcast(labelled.sparkSession.createDataFrame(ends, "declared string, last int"))
+    repeated = hashes.where("copies > 1").join(last, "declared").where(F.col("step") <= F.col("last")).select("declared", "h", "copies")
+    chosen = own.withColumn("step", step).join(last, "declared").where(F.col("step") <= F.col("last"))
+    return names, chosen.join(F.broadcast(repeated), ["declared", "h"], "left").select("text", "declared", F.coalesce("copies", F.lit(1)).alias("copies"))
+
+
 def count_grams(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and the log-likelihood table: one row of places for each language and one for `und`."""
-    labelled = docs.where("declared IS NOT NULL AND text IS NOT NULL").select("text", "declared")
-    total = labelled.count()
-    share = min(1.0, rows / max(total, 1))
-    chosen = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(math.ceil(share * (1 << 30))))
+    names, chosen = sample(docs.where("declared IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "declared"), rows)
     places = 1 << TABLE_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[str, np.ndarray] = {}
-        seen: dict[str, int] = {}
+        tables: dict[tuple[str, int], np.ndarray] = {}
         for batch in batches:
             for part in common.slices(iter([batch]), "text", RUN_BYTES):
-                names = part.column("declared").to_pylist()
-                for name in set(names):
-                    own = part.column("text").filter(pa.array([n == name for n in names]))
-                    code, _ = grams(plain(own))
-                    tables[name] = tables.get(name, 0) + np.bincount(code, minlength=places)
-                    seen[name] = seen.get(name, 0) + len(own)
-        for name, table in tables.items():
+                kinds = list(zip(part.column("declared").to_pylist(), part.column("copies").to_pylist(), strict=True))
+                for kind in set(kinds):
+                    code, _ = grams(plain(part.column("text").filter(pa.array([k == kind for k in kinds]))))
+                    tables[kind] = tables.get(kind, 0) + np.bincount(code, minlength=places)
+        for (name, copies), table in tables.items():
             there = np.flatnonzero(table)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * (len(there) + 1)), pa.array(np.append(there, -1), pa.int32()), pa.array(np.append(table[there], seen[name]), pa.int64())], ["lang", "place", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(there), pa.string()), pa.array([copies] * len(there), pa.int64()), pa.array(there, pa.int32()), pa.array(table[there], pa.int64())], ["lang", "copies", "place", "n"])
 
-    sums = session.written(chosen.mapInArrow(count, "lang string, place int, n long").groupBy("lang", "place").agg(F.sum("n").alias("n")), "trigrams")
-    names = sorted(r["lang"] for r in sums.where(f"place = -1 AND n >= {LEAST_ROWS}").select("lang").limit(MOST_LANGUAGES + 1).collect())
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"over {MOST_LANGUAGES} declared languages")
+    found = chosen.mapInArrow(count, "lang string, copies long, place int, n long").groupBy("lang", "copies", "place").agg(F.sum("n").alias("n"))
+    # Each of the copies of a row was counted.
+    found = session.written(found.groupBy("lang", "place").agg(F.sum(F.expr("n div copies")).alias("n")), "trigrams").toPandas()  # at most languages x places rows
     table = np.zeros((len(names), places))
-    found = sums.where(F.col("place") >= 0).where(F.col("lang").isin(names)).toPandas()  # at most languages x places rows
     table[found["lang"].map({n: i for i, n in enumerate(names)}).to_numpy(dtype=np.int64), found["place"].to_numpy(dtype=np.int64)] = found["n"]
     logs = np.log((table + 0.05) / (table.sum(axis=1, keepdims=True) + 0.05 * places))
     return names, np.vstack([logs, np.full((1, places), -math.log(places))]).astype(np.float32)

@@ -22,3 +22,22 @@ def test_digits_in_scripts_without_blanks(spark):
     assert language.plain(pa.array(["他有5本书", "see a5-b/7.x now", "1234"])).to_pylist() == ["他有 本书", "see   now", " "]
     found = {r["doc_id"]: r for r in language.identify(language.document_evidence(table(spark, rows))).collect()}
     assert all(found[i]["kept"] and found[i]["lang"] == lang for i, _, lang, _ in rows)
+
+
+def test_rare_language_is_a_class(spark):
+    rnd = random.Random(6)
+    sound = {"en": "the and shon thed ing wh".split(), "cy": "llw ydd wyr ffo chw gwe".split()}
+    make = lambda lang: " ".join("".join(rnd.choices(sound[lang], k=2)) for _ in range(40))
+    rows = [(i, make("en"), "en", "host") for i in range(600)] + [(1000 + i, make("cy"), "cy", "host") for i in range(6)]
+    found = {r["doc_id"]: r["lang"] for r in language.identify(language.document_evidence(table(spark, rows)), 30).collect()}
+    assert [found[1000 + i] for i in range(6)] == ["cy"] * 6
+
+
+def test_sample_of_copies_is_bounded(spark):
+    same = [(i, "one text in many documents", "en", "a") for i in range(400)] + [(None, "a text without any id", "en", "a")] * 300
+    rows = [*same, *[(1000 + i, f"w{i} and so on", "de", "a") for i in range(20)]]
+    docs = language.document_evidence(table(spark, rows)).select("doc_id", "text", "declared")
+    names, chosen = language.sample(docs, 100)
+    taken = chosen.selectExpr("declared", "1 / copies AS one").groupBy("declared").sum("one").collect()
+    n = {r[0]: round(r[1], 6) for r in taken}
+    assert names == ["de", "en"] and n["de"] == 20 and 80 <= n["en"] <= 100
