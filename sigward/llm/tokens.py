@@ -2,7 +2,8 @@
 
 Prose repeats its words, and both public vocabularies split a text at white space before they merge. A text is cut where
 the pre-tokenizer always cuts, every distinct piece of a run of texts is encoded once, and the ids are put together in
-numpy. Texts with a place that is not surely such a cut are encoded whole. The ids are those of encoding the text whole
+numpy. Texts with a place that is not surely such a cut, or with the content of an added token (<|endoftext|>, which the library finds
+in texts), are encoded whole. The ids are those of encoding the text whole
 (tests/llm/test_tokens.py compares them on odd texts).
 """
 
@@ -29,7 +30,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         self.blank_joins = self._whole([" x"])[0] != self._whole(["x"])[0]
@@ -41,7 +42,11 @@ class Encoder:
         self.memory: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """Ids of pieces of texts without an added token; lower case may make a marker of what was none, so none is looked for."""
+        self.tokenizer.encode_special_tokens = True
+        out = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.tokenizer.encode_special_tokens = False
+        return out
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece, as bytes; of many pieces in one call."""
@@ -96,6 +101,8 @@ class Encoder:
         else:
             unsure = np.zeros(len(texts), dtype=bool)
             lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        for content in self.added:
+            unsure = unsure | pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
         if pa.types.is_large_list(lists.type):
             lists = lists.cast(pa.list_(pa.string()))
         offsets = lists.offsets.to_numpy()
@@ -115,9 +122,9 @@ class Encoder:
             at[first] = len(flat) + np.cumsum(sizes) - sizes
             counts[first] = sizes
             flat = np.concatenate([flat, extra])
-            for i in np.flatnonzero(unsure):
-                counts[offsets[i] : offsets[i + 1]] = 0
-                whole[int(i)] = np.array(self._whole([texts[int(i)].as_py()])[0], dtype=self.dtype)
+        for i in np.flatnonzero(unsure):
+            counts[offsets[i] : offsets[i + 1]] = 0
+            whole[int(i)] = np.array(self.tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, dtype=self.dtype)
         ends = np.cumsum(counts)
         ids = flat[np.repeat(at - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
         bounds = np.concatenate([[0], ends])[offsets]

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pyarrow as pa
+import pytest
 
-from sigward.llm import language
-from test_operators import table
+from sigward.llm import language, tokens
+from test_operators import table, vocabulary
 
 
 def test_digits_in_scripts_without_blanks(spark):
@@ -41,3 +43,17 @@ def test_sample_of_copies_is_bounded(spark):
     taken = chosen.selectExpr("declared", "1 / copies AS one").groupBy("declared").sum("one").collect()
     n = {r[0]: round(r[1], 6) for r in taken}
     assert names == ["de", "en"] and n["de"] == 20 and 80 <= n["en"] <= 100
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_markers_in_texts(name):
+    from tokenizers import Tokenizer
+
+    path = vocabulary(name)
+    rnd = random.Random(8)
+    parts = [*" \n'sS.a1é", "\x00", "İ", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "word"]
+    texts = [None, "one <|endoftext|> two", "one <|EndOfText|> two", *("".join(rnd.choices(parts, k=rnd.randint(0, 15))) for _ in range(800))]
+    ids, counts = tokens.Encoder(path).encode(pa.array(texts, pa.string()))
+    ends = np.cumsum(counts)
+    library = Tokenizer.from_file(path)
+    assert [ids[e - n : e].tolist() for e, n in zip(ends, counts, strict=True)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
