@@ -31,9 +31,13 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return rows.withColumn("n_chars", n_chars).withColumn("text", F.col("_kept")).select(*docs.columns)
 
 
+# Near copies of the corpus: shingles of five words, a likeness of 0.8.
+GRAM, SHARE = 5, 80
+
+
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are alike, the one of the smallest doc_id stays; rows without a doc_id stay."""
-    first = ngram_join.ngram_join(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_of")).distinct()
+    first = ngram_join.ngram_join(docs, GRAM, SHARE).where("doc_id = component_id").select(F.col("doc_id").alias("_of")).distinct()
     kept = docs.join(first, F.col("doc_id") == F.col("_of"), "left_semi")
     return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 

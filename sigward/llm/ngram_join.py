@@ -1,6 +1,6 @@
 """N-gram Jaccard join: a size-aware heavy-light join of the documents' shingle sets.
 
-Two sets with a likeness of 0.9 or more differ by few elements, a ninth of the smaller set at most.
+Two sets with a likeness of `share` hundredths or more differ by few elements: a ninth of the smaller set at most for 90, a quarter for 80.
 
 Small sets enumerate fixed-size subsets: every set left by so few deletions is a key, and a key of s elements that sets of n and m
 share proves an overlap of s. The set of fewest elements under a key is linked with all that any set there is linked
@@ -35,10 +35,9 @@ from sigward import session
 from sigward.llm import common, graph
 
 GRAM = 3
-# 100 * intersection >= 90 * union. A ninth of the smaller set bounds how much linked sets differ.
-SHARE, OF, DIFFER = 90, 100, 9
+# 100 * intersection >= 90 * union.
+SHARE, OF = 90, 100
 SPARE = 1
-SMALLEST_LARGE = 9
 MOST_SMALL = 30
 FAMILY = 4_000
 # Documents of families found by a hash join against this many ids at most (8 bytes each); more are joined by a shuffle.
@@ -54,6 +53,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
+def differ(n: int, share: int = SHARE) -> int:
+    """Elements by which a set of n, and one at least as large that it is linked with, differ at most."""
+    return n * (OF - share) // share
+
+
+def smallest_large(share: int = SHARE) -> int:
+    """Smaller sets are linked with equal ones only."""
+    return -(-share // (OF - share))
+
+
 def shingle_sets(texts: pa.Array, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct shingles of all texts on end, ascending within each; their number for each text."""
     import xxhash
@@ -82,24 +91,24 @@ def shingle_sets(texts: pa.Array, gram: int = GRAM) -> tuple[np.ndarray, np.ndar
     return (np.concatenate(out) if out else rolled[:0]), sizes
 
 
-def size_classes(most: int) -> np.ndarray:
+def size_classes(most: int, share: int = SHARE) -> np.ndarray:
     """Starts of size classes: of linked sets, the larger is in the class of the smaller or in the next."""
-    starts = [SMALLEST_LARGE]
+    starts = [smallest_large(share)]
     while starts[-1] <= most:
-        starts.append(starts[-1] * OF // SHARE + 1)
-    return np.array([*starts, starts[-1] * OF // SHARE + 1], dtype=np.int64)
+        starts.append(starts[-1] * OF // share + 1)
+    return np.array([*starts, starts[-1] * OF // share + 1], dtype=np.int64)
 
 
-def part_keys(sets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the parts of each set of SMALLEST_LARGE elements or more, and their number for each set."""
-    starts = size_classes(int(sizes.max(initial=0)))
+def part_keys(sets: np.ndarray, sizes: np.ndarray, share: int = SHARE) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the parts of each set of smallest_large elements or more, and their number for each set."""
+    starts = size_classes(int(sizes.max(initial=0)), share)
     own = np.searchsorted(starts, sizes, side="right") - 1
     owner = np.repeat(np.arange(len(sizes)), sizes)
     keys, owners = [], []
     for back in (0, 1):
         scheme = own - back
         fits = scheme >= 0
-        parts = np.where(fits, (starts[np.maximum(scheme, 0) + 1] - 1) // DIFFER + 1 + SPARE, 1)
+        parts = np.where(fits, differ(starts[np.maximum(scheme, 0) + 1] - 1, share) + 1 + SPARE, 1)
         base = np.cumsum(parts) - parts
         held = fits[owner]
         of = owner[held]
@@ -132,17 +141,17 @@ def ragged(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values.view(np.int64)))
 
 
-def described(docs: DataFrame) -> DataFrame:
+def described(docs: DataFrame, gram: int = GRAM, share: int = SHARE) -> DataFrame:
     """doc_id, n, two sums that tell sets apart, the part keys of larger sets and the elements of smaller ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(iter([batch]), "text", RUN_BYTES):
-                sets, sizes = shingle_sets(part.column("text"))
+                sets, sizes = shingle_sets(part.column("text"), gram)
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(sets + k))]) for k in (A, B)]
                 one, two = ((s[ends[1:]] - s[ends[:-1]]).view(np.int64) for s in sums)
-                keys, n_keys = part_keys(sets, sizes)
+                keys, n_keys = part_keys(sets, sizes, share)
                 small = sizes <= MOST_SMALL
                 few = ragged(sets[np.repeat(small, sizes)], np.where(small, sizes, 0))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(one), pa.array(two), ragged(keys, n_keys), few], ["doc_id", "n", "f1", "f2", "keys", "elements"])
@@ -150,28 +159,28 @@ def described(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, keys array<long>, elements array<long>")
 
 
-def subsets_of(n: int) -> int:
-    """Subsets left by up to n // DIFFER deletions."""
+def subsets_of(n: int, share: int = SHARE) -> int:
+    """Subsets left by up to differ(n) deletions."""
     out, term = 1, 1
-    for k in range(1, n // DIFFER + 1):
+    for k in range(1, differ(n, share) + 1):
         term = term * (n - k + 1) // k
         out += term
     return out
 
 
-def boundary(sizes: list[tuple[int, int]]) -> int:
+def boundary(sizes: list[tuple[int, int]], share: int = SHARE) -> int:
     """The size from which sets are large, of the least cost over (size, number of sets) pairs."""
 
     def cost(x: int) -> int:
-        small = sum(c * subsets_of(n) for n, c in sizes if n <= (x - 1) * OF // SHARE)
-        large = sum(c * (2 * (n // DIFFER + 1 + SPARE) + n) for n, c in sizes if n >= x)
+        small = sum(c * subsets_of(n, share) for n, c in sizes if n <= (x - 1) * OF // share)
+        large = sum(c * (2 * (differ(n, share) + 1 + SPARE) + n) for n, c in sizes if n >= x)
         return small + large
 
     # The sets next above a boundary are small too, and elements are kept of sets up to MOST_SMALL.
-    return min((x for x in range(SMALLEST_LARGE, MOST_SMALL * SHARE // OF + 1)), key=cost)
+    return min((x for x in range(smallest_large(share), MOST_SMALL * share // OF + 1)), key=cost)
 
 
-def small_links(sets: DataFrame) -> DataFrame:
+def small_links(sets: DataFrame, share: int = SHARE) -> DataFrame:
     """Edges (a, b) between small sets that share a subset large enough for both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +188,7 @@ def small_links(sets: DataFrame) -> DataFrame:
             doc, key, size, n = [], [], [], []
             for d, elements in zip(batch.column("doc_id").to_pylist(), batch.column("elements"), strict=True):
                 own = mix(elements.values.to_numpy().view(np.uint64))
-                for gone in range(len(own) // DIFFER + 1):
+                for gone in range(differ(len(own), share) + 1):
                     for out in combinations(range(len(own)), gone):
                         left = own.sum(dtype=np.uint64) if not out else np.delete(own, out).sum(dtype=np.uint64)
                         doc.append(d)
@@ -191,11 +200,11 @@ def small_links(sets: DataFrame) -> DataFrame:
 
     keys = session.written(sets.select("doc_id", "elements").mapInArrow(run, "doc_id long, key long, size int, n int"), "subsets")
     hubs = keys.groupBy("key", "size").agg(F.min_by("doc_id", "n").alias("hub"), F.min("n").alias("hub_n"), F.count("*").alias("c")).where("c > 1")
-    linked = F.lit(OF) * F.col("size") >= F.lit(SHARE) * (F.col("n") + F.col("hub_n") - F.col("size"))
+    linked = F.lit(OF) * F.col("size") >= F.lit(share) * (F.col("n") + F.col("hub_n") - F.col("size"))
     return keys.join(hubs, ["key", "size"]).where(linked & (F.col("doc_id") != F.col("hub"))).select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
 
 
-def scan(sizes: np.ndarray, elements: np.ndarray) -> np.ndarray:
+def scan(sizes: np.ndarray, elements: np.ndarray, share: int = SHARE) -> np.ndarray:
     """Component (smallest index) of each set, by exact overlaps: sets scan inverted lists until those left are one component."""
     g = len(sizes)
     owner = np.repeat(np.arange(g), sizes)
@@ -224,33 +233,33 @@ def scan(sizes: np.ndarray, elements: np.ndarray) -> np.ndarray:
         n = starts[mine + 1] - starts[mine]
         at = np.repeat(starts[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         both = np.bincount(lists[at], minlength=g)
-        linked = np.flatnonzero(OF * both >= SHARE * (sizes + sizes[x] - both))
+        linked = np.flatnonzero(OF * both >= share * (sizes + sizes[x] - both))
         labels = np.unique(np.append(component[linked], component[x]))
         if len(labels) > 1:
             component[np.isin(component, labels)] = labels[0]
     return component
 
 
-def family_links(members: DataFrame) -> DataFrame:
+def family_links(members: DataFrame, share: int = SHARE) -> DataFrame:
     """Edges within each block of a family of (block, doc_id, elements)."""
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("doc_id").reset_index(drop=True)
         parts = [np.frombuffer(x, dtype=np.uint64) for x in rows["elements"]]
-        found = scan(np.array([len(p) for p in parts], dtype=np.int64), np.concatenate(parts))
+        found = scan(np.array([len(p) for p in parts], dtype=np.int64), np.concatenate(parts), share)
         ids = rows["doc_id"].to_numpy()
         return pd.DataFrame({"a": ids, "b": ids[found]}).query("a != b")
 
     return members.groupBy("block").applyInPandas(one, "a long, b long")
 
 
-def elements_of(docs: DataFrame) -> DataFrame:
+def elements_of(docs: DataFrame, gram: int = GRAM) -> DataFrame:
     """block and the elements of each document, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(iter([batch]), "text", RUN_BYTES):
-                sets, sizes = shingle_sets(part.column("text"))
+                sets, sizes = shingle_sets(part.column("text"), gram)
                 ends = np.cumsum(sizes)
                 blobs = [sets[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("blocks"), pa.array(blobs, pa.binary())], ["doc_id", "blocks", "elements"])
@@ -258,7 +267,7 @@ def elements_of(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, blocks array<string>, elements binary").select("doc_id", F.explode("blocks").alias("block"), "elements")
 
 
-def large_links(docs: DataFrame, sets: DataFrame, first_large: int) -> DataFrame:
+def large_links(docs: DataFrame, sets: DataFrame, first_large: int, gram: int = GRAM, share: int = SHARE) -> DataFrame:
     """Edges between large sets. `sets` holds one document for each distinct set."""
     keys = session.written(sets.where(F.col("n") >= first_large).select("doc_id", F.explode("keys").alias("key")), "keys")
     hubs = keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").select("key", "hub")
@@ -272,23 +281,23 @@ def large_links(docs: DataFrame, sets: DataFrame, first_large: int) -> DataFrame
     members = families.join(sizes, "component").withColumn("b", blocks).select(F.col("node").alias("doc_id"), pairs.alias("blocks"))
     members = session.written(members, "families")
     side = F.broadcast(members) if members.count() <= BROADCAST_IDS and members.agg(F.max(F.size("blocks"))).first()[0] in (None, 1) else members
-    return family_links(elements_of(docs.select("doc_id", "text").join(side, "doc_id")))
+    return family_links(elements_of(docs.select("doc_id", "text").join(side, "doc_id"), gram), share)
 
 
-def ngram_join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of each document."""
-    table = session.written(described(docs), "sets")
+def ngram_join(docs: DataFrame, gram: int = GRAM, share: int = SHARE) -> DataFrame:
+    """doc_id, n_shingles and component_id of each document, by shingles of `gram` words and a likeness of `share` hundredths."""
+    table = session.written(described(docs, gram, share), "sets")
     some = table.where("n > 0 AND doc_id IS NOT NULL")
     kinds = session.written(some.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "kinds")
     few = [(r["n"], r["c"]) for r in kinds.where(F.col("n") <= MOST_SMALL).groupBy("n").agg(F.count("*").alias("c")).collect()]
-    first_large = boundary(few)
+    first_large = boundary(few, share)
     on_kind = [F.col(c) == F.col(f"k_{c}") for c in ("n", "f1", "f2")]
     k = kinds.select(*[F.col(c).alias(f"k_{c}") for c in ("n", "f1", "f2")], "rep")
     # Copies of a set have the same keys, so only the first document of each set brings them.
     sets = some.join(k, [*on_kind, F.col("doc_id") == F.col("rep")], "left_semi")
-    small = small_links(sets.where((F.col("n") >= SMALLEST_LARGE) & (F.col("n") <= (first_large - 1) * OF // SHARE)))
+    small = small_links(sets.where((F.col("n") >= smallest_large(share)) & (F.col("n") <= (first_large - 1) * OF // share)), share)
     firsts = docs.where("doc_id IS NOT NULL")
-    edges = session.written(small.unionByName(large_links(firsts, sets, first_large)), "links")
+    edges = session.written(small.unionByName(large_links(firsts, sets, first_large, gram, share)), "links")
     # Rows of one doc_id with different sets hang together.
     same = some.join(k, on_kind).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
     found = graph.components(edges.unionByName(same))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import random
+from collections import Counter, defaultdict
 
-import numpy as np
 import pyarrow as pa
 import pytest
 
-from sigward.llm import language, tokens
-from test_operators import table, vocabulary
+import corpus_pipeline
+from sigward.llm import language, ngram_join, tokens
+from test_operators import WORDS, make_rows, table, vocabulary, words_of
 
 
 def test_digits_in_scripts_without_blanks(spark):
@@ -57,3 +58,48 @@ def test_markers_in_texts(name):
     ends = np.cumsum(counts)
     library = Tokenizer.from_file(path)
     assert [ids[e - n : e].tolist() for e, n in zip(ends, counts, strict=True)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def brute_groups(rows, gram: int, share: int) -> dict[int, int]:
+    """Smallest doc_id of all that hang together with a document."""
+    sets = defaultdict(list)
+    for d, text, *_ in rows:
+        w = words_of(text)
+        if d is not None:
+            sets[d].append({tuple(w[i : i + gram]) for i in range(len(w) - gram + 1)} if len(w) >= gram else {tuple(w)} if w else set())
+    group = {d: d for d in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and group[a] != group[b] and any(100 * len(s & t) >= share * len(s | t) for s in sets[a] for t in sets[b] if s and t):
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = {d: new if g == old else g for d, g in group.items()}
+    return group
+
+
+@pytest.mark.parametrize("gram,share", [(5, 80), (3, 90), (2, 67)])
+def test_near_copies_of_any_contract(spark, gram, share):
+    rnd = random.Random(11)
+    rows = make_rows(11, 30)
+    base = [rnd.choice(WORDS) + str(rnd.randint(0, 40)) for _ in range(120)]
+    for i in range(70):  # near copies at all distances, of all sizes
+        own = base[: rnd.choice([5, 6, 8, 9, 10, 11, 12, 19, 24, 31, 49, 53, 60, 120])]
+        for _ in range(rnd.randint(0, 3)):
+            own[rnd.randrange(len(own))] = "z" + str(rnd.randint(0, 9))
+        rows.append((5000 + i, " ".join(own), "en", "a"))
+    want = brute_groups(rows, gram, share)
+    found = ngram_join.ngram_join(table(spark, rows), gram, share).collect()
+    assert len(found) == len(rows)
+    assert all(r["component_id"] == (want[r["doc_id"]] if r["doc_id"] is not None else None) for r in found)
+
+
+def test_pipeline_keeps_one_of_near_copies_by_five_words(spark):
+    rnd = random.Random(12)
+    rows = make_rows(12, 20)
+    for i in range(20):
+        words = [f"v{rnd.randint(0, 10**6)}" for _ in range(55)]
+        rows += [(6000 + 2 * i, " ".join(words), "en", "a"), (6001 + 2 * i, " ".join([*words[:25], "changed", *words[26:]]), "en", "a")]
+    docs = table(spark, rows)
+    groups = brute_groups(rows, 5, 80)
+    kept = corpus_pipeline.keep_one_of_each_group(spark, docs, "").select("doc_id", "text").collect()
+    assert Counter(tuple(r) for r in kept) == Counter(r[:2] for r in rows if r[0] is None or groups[r[0]] == r[0])
+    assert not {r["doc_id"] for r in kept} & set(range(6001, 6040, 2))
