@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigward import session
-from sigward.llm import binary_search, common, fingerprints, language, line_dedup, lm, mixing, ngram_join, packing, suffix_dedup, token_output
+from sigward.llm import binary_search, common, fingerprints, language, line_dedup, lm, mixing, ngram_join, packing, suffix_dedup, token_output, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +92,17 @@ def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op4_topk_search"] = binary_search.oracle(QUERY_EVERY)
+
+
+# The rules of the URL filter: host, path and verdict.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+@query
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("host", "path", "verdict"), rule, strict=True)]) for rule in URL_RULES])
+    rules = spark.range(1).select(F.inline(listed))
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules).drop("purity")
+
+
+ORACLES["op13_url_filters"] = url_filter.oracle(URL_RULES)
