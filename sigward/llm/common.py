@@ -53,3 +53,23 @@ def words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     full = pc.not_equal(flat, "")
     before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
     return flat.filter(full).dictionary_encode(), before[offsets[1:] - offsets[0]] - before[offsets[:-1] - offsets[0]]
+
+
+def free_name(name: str, *tables: DataFrame) -> str:
+    """A column name like `name` that none of the tables has."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while (name := f"_{name}") in taken:
+        pass
+    return name
+
+
+# The table of the reflected checksum polynomial, by its rule, and the checksum of a text with it, for SQL twins.
+CRC32_SQL = """crc_table AS (SELECT list(c ORDER BY i) AS crc_of FROM (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) r(i)))"""
+
+
+def crc32_sql(text: str) -> str:
+    """Expression: unsigned crc32 of a text's UTF-8 bytes, where the table crc_table is joined."""
+    digits = f"hex(encode({text}))"
+    each = f"list_transform(range(0, octet_length(encode({text}))), lambda i: ('0x' || substr({digits}, 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {each}), lambda c, b: xor(c >> 8, crc_of[(xor(c, b) & 255) + 1])), 4294967295)"

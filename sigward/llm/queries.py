@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigward import session
-from sigward.llm import binary_search, common, fingerprints, language, line_dedup, lm, mixing, ngram_join, packing, suffix_dedup, token_output, url_filter
+from sigward.llm import binary_search, common, fingerprints, language, line_dedup, lm, mixing, ngram_join, packing, resampling, suffix_dedup, token_output, url_filter, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,3 +106,20 @@ def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op13_url_filters"] = url_filter.oracle(URL_RULES)
+
+
+@query
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return drawn.drop("n_words")
+
+
+ORACLES["op12_target_resampling"] = resampling.oracle()
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(common.documents(spark, sf_dir), variants.one_in_97)
+
+
+ORACLES["op11_spelling_variants"] = variants.oracle()
