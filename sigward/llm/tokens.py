@@ -4,7 +4,7 @@ Prose repeats its words, and both public vocabularies split a text at white spac
 the pre-tokenizer always cuts, every distinct piece of a run of texts is encoded once, and the ids are put together in
 numpy. Texts with a place that is not surely such a cut, or with the content of an added token (<|endoftext|>, which the library finds
 in texts), are encoded whole. The ids are those of encoding the text whole
-(tests/llm/test_tokens.py compares them on odd texts).
+(tests/llm/test_operators.py and test_findings.py compare them on odd texts).
 """
 
 from __future__ import annotations

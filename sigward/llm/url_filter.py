@@ -11,7 +11,7 @@ a path that has ended goes on with empty segments. In a node:
   neighbours whose shares do not differ by a test of two proportions at SIMILAR standard errors become one branch.
 
 The purity of a branch is its share of blocked labels, smoothed by PRIOR labels of its parent's purity; a host's parent is
-the whole table. A template is rejected where its purity is REJECT_AT or more.
+the whole table. A template is rejected where its purity is REJECT_AT or more. A host without any label has purity 0: what others do is no evidence.
 
 Only DataFrame functions are used. A host may hold most rows: statistics are combined before the shuffle, and rows meet their
 node's table, a row for each literal branch, by a key with a salt. Rows are known by a number that is stored with them.
@@ -89,7 +89,8 @@ def branches_of(level: DataFrame, nodes: DataFrame | None, overall: float) -> tu
     stats = session.written(stats, "url-segments")
     totals = stats.groupBy(*on).agg(*[F.sum(c).alias(f"{c}_all") for c in "nlb"])
     if nodes is None:
-        totals = totals.select("*", purity(F.col("b_all"), F.col("l_all"), F.lit(overall)).alias("p"), F.col("host").alias("template"))
+        known = F.when(F.col("l_all") > 0, purity(F.col("b_all"), F.col("l_all"), F.lit(overall))).otherwise(F.lit(0.0))
+        totals = totals.select("*", known.alias("p"), F.col("host").alias("template"))
     else:
         totals = totals.join(nodes, on)
     # A node may have most of all segments.
@@ -148,7 +149,7 @@ def oracle(rules: list[tuple[str, str, str]], depth: int = DEPTH) -> str:
     levels = []
     for i in range(1, depth + 1):
         parents = (
-            f"SELECT host, node, sum(n) AS n, sum(l) AS l, sum(b) AS b, (sum(b) + {PRIOR} * any_value(g)) / (sum(l) + {PRIOR}) AS p, host AS template FROM stats1, overall GROUP BY host, node"
+            f"SELECT host, node, sum(n) AS n, sum(l) AS l, sum(b) AS b, CASE WHEN sum(l) > 0 THEN (sum(b) + {PRIOR} * any_value(g)) / (sum(l) + {PRIOR}) ELSE 0.0::DOUBLE END AS p, host AS template FROM stats1, overall GROUP BY host, node"
             if i == 1
             else f"SELECT s.host, s.node, sum(s.n) AS n, sum(s.l) AS l, sum(s.b) AS b, any_value(k.p) AS p, any_value(k.template) AS template FROM stats{i} s JOIN nodes{i - 1} k USING (host, node) GROUP BY s.host, s.node"
         )

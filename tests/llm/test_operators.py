@@ -110,11 +110,11 @@ def test_line_dedup_generalises_fields(spark):
     assert found == {0: 0, 1: 1, 2: 1, 3: 1}
 
 
-def brute_components(rows) -> dict[int, int]:
+def brute_components(rows, gram: int = 3, share: int = 90) -> dict[int, int]:
     sets: dict[int, list] = defaultdict(list)
     for d, text, *_ in rows:
         w = words_of(text)
-        grams = {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} if w else set()
+        grams = {tuple(w[i : i + gram]) for i in range(len(w) - gram + 1)} if len(w) >= gram else {tuple(w)} if w else set()
         if d is not None:
             sets[d].append(grams)
     parent = {d: d for d in sets}
@@ -126,7 +126,7 @@ def brute_components(rows) -> dict[int, int]:
 
     for a in sets:
         for b in sets:
-            if a < b and any(100 * len(s & t) >= 90 * len(s | t) for s in sets[a] for t in sets[b] if s and t):
+            if a < b and any(100 * len(s & t) >= share * len(s | t) for s in sets[a] for t in sets[b] if s and t):
                 parent[max(root(a), root(b))] = min(root(a), root(b))
     return {d: root(d) for d in sets}
 
@@ -219,7 +219,6 @@ def encoded(name: str, text: str | None) -> np.ndarray:
     from tokenizers import Tokenizer
 
     make = encoded.__dict__.setdefault(name, Tokenizer.from_file(vocabulary(name)))
-    make.encode_special_tokens = True
     return np.array([*make.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
 
 

@@ -44,7 +44,7 @@ def test_each_stage(spark):
     assert all(digest in empty or r in found for r in want for digest in [r[1]])
 
     before, after = left["ngram_join"]
-    groups = brute_components(as_rows(before))
+    groups = brute_components(as_rows(before), corpus_pipeline.GRAM, corpus_pipeline.SHARE)
     assert Counter(as_rows(after)) == Counter(r for r in as_rows(before) if r[0] is None or groups[r[0]] == r[0])
 
     before, after = left["mixing"]
