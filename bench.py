@@ -23,7 +23,7 @@ HEADLINE = [
     "m1_match_strings",
     "m1_match_strings_items",
     "m6_match_strings_indexed",
-    "g2_rule_matcher",
+    "m6_match_tokens",
     "a2_threat_distribution",
     "c2_threat_report",
     "a5_category_counts",

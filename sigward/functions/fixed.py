@@ -1,8 +1,5 @@
 """Fixed values that results depend on: word lists, patterns, limits and texts."""
 
-# Default scan roots.
-SCAN_ROOTS = ["/tmp", "/var/tmp", "/dev/shm", "/var/www", "/home"]
-
 # Directories never scanned.
 EXCLUDED_DIRS = ["/opt/yara/rules", "/opt/yara/backup", "/opt/yara/reports"]
 

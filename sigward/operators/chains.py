@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from sigward.operators import aggregates, filters, windows
+from sigward.functions import scalars as X
+from sigward.operators import aggregates, filters, matching, windows
+from sigward.sources import readers, sinks
 
 
 def update_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -17,3 +20,16 @@ def update_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     active, disabled = filters.deny_rules(flat)
     merged = windows.dedupe_rules(windows.dedupe_rules(active), "body")
     return merged, disabled, aggregates.before_after(rules, merged)
+
+
+def quarantine_matches(files: DataFrame, rules: DataFrame, q_time, path: str, mode: str = "append") -> None:
+    """Scan `files` with parsed `rules` and store what matches below `path`, a row for each file with the names of its rules.
+
+    Broken and deny-listed rules are left out. `files` holds item_id beside the usual columns.
+    """
+    working, _ = matching.validate_rules(rules)
+    active, _ = filters.deny_rules(working)
+    wanted = filters.exclude_names(filters.exclude_dirs(files))
+    matched = matching.matched_files(wanted, active, readers.rule_strings(active))
+    items = matched.withColumn("rule_name", F.try_element_at("rule_names", F.lit(-1)))
+    sinks.write_quarantine(sinks.quarantine_rows(items, X.col(q_time), "rule_names"), path, mode)

@@ -1,14 +1,18 @@
 """Signature matching: rule strings against file contents, and the rule conditions on top.
 
 Hits belong to a file row and to a rule: two rows may share a path and two rules a name, and each is judged by itself. A
-rule is known by `rule_id` where its table has one, else by its name. Two plans find the same rows:
+rule is known by `rule_id` where its table has one, else by its name. A file is known by `file_key`: the source's own column of that
+name, or a hash of path and content, which is the same whenever and wherever it is computed. Rows that share it are equal, have the
+same hits, and come out as often as they came in. Two plans find the same rows:
 
 * a few strings are tested as literals in one narrow pass over the files (no join, no shuffle);
-* more are looked up by a token each, an equi-join with the tokens of each file, and verified where the content is.
+* more are looked up by a token each, an equi-join with the tokens of each file, and verified where the content is. Contents are
+  taken in overlapping pieces; those of large files may be spread over tasks.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,9 +23,13 @@ from sigward.functions import fixed
 from sigward.functions import scalars as X
 from sigward.operators import filters
 
-HIT_COLUMNS = ["path", "rule_name", "string_id"]
+HIT_COLUMNS = ["path", "file_key", "rule_key", "rule_name", "string_id"]
 RULE_KEYS = ["rule_key", "rule_name", "string_id"]
 TOKEN = "[A-Za-z0-9_]"
+# Bytes that are no part of a token, as the characters they are read as.
+BREAKS = "".join(c for c in map(chr, range(256)) if c != " " and not (c.isascii() and c.isalnum()) and c != "_")
+# A content is looked up in pieces of this many bytes.
+PIECE_BYTES = 1 << 20
 GRAMS = [1, 2, 3, 5, 8, 12, 20, 32]
 # Modifiers that change nothing for a text that is compared as it stands.
 KNOWN_MODIFIERS = ["ascii", "private"]
@@ -95,19 +103,27 @@ def literal_rows(rule_strings: DataFrame) -> list | None:
 
 
 def no_hits(files: DataFrame) -> DataFrame:
-    return files.sparkSession.createDataFrame([], "_file BIGINT, path STRING, rule_key STRING, rule_name STRING, string_id STRING")
+    return files.sparkSession.createDataFrame([], "path STRING, file_key STRING, rule_key STRING, rule_name STRING, string_id STRING")
+
+
+def with_file_key(files: DataFrame) -> DataFrame:
+    """The files with `file_key`. The key takes nothing from a row's place in its table, so both sides of a join and a repeated task agree on it."""
+    if "file_key" in files.columns:
+        return files
+    content = F.col("content").cast("binary")
+    return files.withColumn("file_key", F.concat(F.hex(F.xxhash64("path", content)), F.lit("-"), F.hex(F.xxhash64(content, F.lit("file"), "path"))))
 
 
 def hits_of_literals(files: DataFrame, rows) -> DataFrame:
-    """Hits of a bounded list of strings on files with a `_file`: one narrow pass, every needle tested once per file."""
+    """Hits of a bounded list of strings on files with a `file_key`: one narrow pass, every needle tested once per file."""
     if not rows:
         return no_hits(files)
     flags, found = with_needle_flags(files, rows)
     named = [
         F.when(found[bytes(r["needle"])], F.struct(*[F.lit(r[c]).alias(c) for c in RULE_KEYS])) for r in rows
     ]
-    hits = flags.select("_file", "path", F.explode(F.array_distinct(F.array_compact(F.array(*named)))).alias("h"))
-    return hits.select("_file", "path", "h.*")
+    hits = flags.select("path", "file_key", F.explode(F.array_distinct(F.array_compact(F.array(*named)))).alias("h"))
+    return hits.select("path", "file_key", "h.*")
 
 
 def longest(tokens: Column) -> Column:
@@ -138,9 +154,9 @@ def keyed(strings: DataFrame) -> DataFrame:
     return rows.withColumn("look_up", key).drop("tokens")
 
 
-def look_ups(token: str, lengths: dict[str, list[int]]) -> Column:
+def look_ups(t: Column, lengths: dict[str, list[int]]) -> Column:
     """The keys of a file's token: itself, and its ends, starts and insides of the lengths that keys have."""
-    t, size = F.col(token), F.length(token)
+    size = F.length(t)
     fitting = lambda kind: F.filter(F.array(*map(F.lit, lengths[kind])), lambda n: n <= size)
     parts = []
     if "w" in lengths:
@@ -156,46 +172,92 @@ def look_ups(token: str, lengths: dict[str, list[int]]) -> Column:
     return F.concat(*parts)
 
 
-def hits_by_token(files: DataFrame, strings: DataFrame) -> DataFrame:
-    """Hits of any number of prepared strings on files with a `_file`; contents are read once and stay in their task.
+@dataclass(frozen=True)
+class Keyed:
+    """Strings with their look-ups, and what a pass over contents needs to know of them."""
 
-    Strings beyond what a task may hold are looked up in parts, each a pass of its own.
-    """
+    strings: DataFrame
+    lengths: dict[str, list[int]]
+    longest: int
+    bytes: int
+
+
+def look_up_table(strings: DataFrame) -> Keyed:
     strings = keyed(strings)
-    kind = F.substring("look_up", 1, 1)
-    measured = strings.groupBy(kind.alias("kind")).agg(
-        F.collect_set(F.length("look_up") - 1).alias("lengths"), session.text_bytes("rule_key", "rule_name", "string_id", "text", "look_up").alias("bytes")
+    measured = strings.groupBy(F.substring("look_up", 1, 1).alias("kind")).agg(
+        F.collect_set(F.length("look_up") - 1).alias("lengths"),
+        F.max(F.length("text")).alias("longest"),
+        session.text_bytes("rule_key", "rule_name", "string_id", "text", "look_up").alias("bytes"),
     ).collect()
     lengths = {r["kind"]: sorted(r["lengths"]) for r in measured}
-    parts = -(-sum(r["bytes"] for r in measured) // session.BROADCAST_BYTES)
-    contents = files.select("_file", "path", F.decode(F.col("content").cast("binary"), "ISO-8859-1").alias("_content"))
-    tokens = F.array_distinct(F.split("_content", f"[^{TOKEN[1:-1]}]+"))
-    keys = F.array(F.lit("n")) if "n" in lengths else F.array().cast("array<string>")
-    kinds = set(lengths) - {"n"}
+    return Keyed(strings, lengths, max((r["longest"] for r in measured), default=0), sum(r["bytes"] for r in measured))
+
+
+def pieces(files: DataFrame, overlap: int, piece_bytes: int = PIECE_BYTES, spread: bool = False) -> DataFrame:
+    """path, file_key, piece and its content, one character per byte. A piece goes on for `overlap` bytes into the next one.
+
+    With `spread`, pieces are dealt to all tasks by file and piece.
+    """
+    raw = files.select("path", "file_key", F.col("content").cast("binary").alias("_bytes"))
+    size = F.octet_length("_bytes")
+    cut = F.transform(
+        F.sequence(F.lit(0), F.floor((size - 1) / piece_bytes).cast("int")),
+        lambda i: F.struct(i.alias("piece"), F.substring(F.col("_bytes"), i * piece_bytes + 1, F.lit(piece_bytes + overlap)).alias("_bytes")),
+    )
+    whole = F.array(F.struct(F.lit(0).alias("piece"), F.col("_bytes")))
+    each = raw.select("path", "file_key", F.inline(F.when(size <= piece_bytes, whole).otherwise(cut)))
+    if spread:
+        each = each.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_key", "piece")
+    return each.select("path", "file_key", "piece", F.decode("_bytes", "ISO-8859-1").alias("_content"))
+
+
+def pieces_with_hits(contents: DataFrame, keys: Keyed) -> DataFrame:
+    """(path, file_key, piece, rule_key, rule_name, string_id, text), once for each string and piece of a file row; contents are read
+    once and stay in their task.
+
+    Strings beyond what a task may hold are looked up in parts, each a pass of its own.
+    """
+    kinds = set(keys.lengths) - {"n"}
+    own = F.array().cast("array<string>")
     if kinds:
-        each = contents.select("*", F.posexplode(tokens).alias("_at", "_token"))
-        # The key of strings without tokens goes with a file's first token, of which there is always one.
-        long_enough = F.length("_token") >= min(lengths[k][0] for k in kinds)
-        each = each.where(long_enough | (F.col("_at") == 0) if "n" in lengths else long_enough)
-        if set(lengths) == {"w"}:
-            rows = each.select("_file", "path", "_content", F.concat(F.lit("w"), "_token").alias("look_up"))
+        least = min(keys.lengths[k][0] for k in kinds)
+        # One character bounds tokens, so they are split without a pattern; short ones go before anything else is done.
+        tokens = F.filter(F.split(F.translate("_content", BREAKS, " " * len(BREAKS)), " "), lambda t: F.length(t) >= least)
+        if kinds == {"w"}:
+            own = F.transform(F.array_distinct(tokens), lambda t: F.concat(F.lit("w"), t))
         else:
-            own = look_ups("_token", lengths)
-            own = F.when(F.col("_at") == 0, F.concat(keys, own)).otherwise(own)
-            rows = each.select("_file", "path", "_content", F.explode(own).alias("look_up"))
-    else:
-        rows = contents.select("*", F.explode(keys).alias("look_up"))
-    slot = F.pmod(F.xxhash64("rule_key", "string_id", "text"), F.lit(max(parts, 1)))
-    found = [
-        rows.join(F.broadcast(strings.where(slot == i)), "look_up").where(F.contains("_content", "text")).select("_file", "path", *RULE_KEYS)
-        for i in range(parts)
-    ]
-    return reduce(DataFrame.unionByName, found).distinct() if found else no_hits(files)
+            own = F.array_distinct(F.flatten(F.transform(tokens, lambda t: look_ups(t, keys.lengths))))
+    if "n" in keys.lengths:
+        own = F.array_append(own, F.lit("n"))
+    rows = contents.select("*", F.explode(own).alias("look_up"))
+    parts = max(-(-keys.bytes // session.BROADCAST_BYTES), 1)
+    slot = F.pmod(F.xxhash64("rule_key", "string_id", "text"), F.lit(parts))
+    found = [rows.join(F.broadcast(keys.strings.where(slot == i)), "look_up").where(F.contains("_content", "text")) for i in range(parts)]
+    return reduce(DataFrame.unionByName, found).select("path", "file_key", "piece", *RULE_KEYS, F.xxhash64("text").alias("text"))
+
+
+def times_found(*found: str) -> Column:
+    """Aggregate: how many equal file rows a group of hits is of, as each brings the same (string, piece) pairs."""
+    return (F.count(F.lit(1)) / F.size(F.collect_set(F.struct(*found)))).cast("int")
+
 
+def as_often(df: DataFrame, times: str) -> DataFrame:
+    return df.withColumn(times, F.explode(F.array_repeat(F.lit(1), F.col(times)))).drop(times)
 
-def with_file(files: DataFrame) -> DataFrame:
-    """The files with a number for each row, by which its hits stay together."""
-    return files.withColumn("_file", F.monotonically_increasing_id())
+
+def hits_by_token(files: DataFrame, strings: DataFrame, piece_bytes: int = PIECE_BYTES, spread: bool = False) -> DataFrame:
+    """Hits of any number of prepared strings on files with a `file_key`."""
+    keys = look_up_table(strings)
+    if not keys.lengths:
+        return no_hits(files)
+    found = pieces_with_hits(pieces(files, keys.longest - 1, piece_bytes, spread), keys)
+    return as_often(found.groupBy(*HIT_COLUMNS).agg(times_found("text", "piece").alias("_times")), "_times")
+
+
+def split_by_size(files: DataFrame, large_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(small, large) files by size_bytes, which sources of files filter without reading contents."""
+    large = F.coalesce(F.col("size_bytes") > large_bytes, F.lit(False))
+    return files.where(~large), files.where(large)
 
 
 def hits_of(files: DataFrame, rule_strings: DataFrame) -> DataFrame:
@@ -203,19 +265,26 @@ def hits_of(files: DataFrame, rule_strings: DataFrame) -> DataFrame:
     return hits_by_token(files, prepared(rule_strings)) if rows is None else hits_of_literals(files, rows)
 
 
-def match_strings(files: DataFrame, rule_strings: DataFrame) -> DataFrame:
-    """(path, rule_name, string_id): which rule strings occur in which file row, case kept, overlaps counted."""
-    return hits_of(with_file(files), rule_strings).select(*HIT_COLUMNS)
+def match_strings(files: DataFrame, rule_strings: DataFrame, large_bytes: int | None = None, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """(path, file_key, rule_key, rule_name, string_id): which rule strings occur in which file row, case kept, overlaps counted.
+
+    Files of more than `large_bytes`, where given, are cut and their pieces spread over all tasks; the hits are the same.
+    """
+    files = with_file_key(files)
+    if large_bytes is None:
+        return hits_of(files, rule_strings).select(*HIT_COLUMNS)
+    small, large = split_by_size(files, large_bytes)
+    return hits_of(small, rule_strings).select(*HIT_COLUMNS).unionByName(hits_by_token(large, prepared(rule_strings), piece_bytes, True))
 
 
 def match_literals(files: DataFrame, rows) -> DataFrame:
     """Same hits as match_strings, by literal tests of the prepared strings `rows`."""
-    return hits_of_literals(with_file(files), rows).select(*HIT_COLUMNS)
+    return hits_of_literals(with_file_key(files), rows).select(*HIT_COLUMNS)
 
 
 def match_strings_indexed(files: DataFrame, rule_strings: DataFrame) -> DataFrame:
     """Same hits as match_strings, by look-up of tokens."""
-    return hits_by_token(with_file(files), prepared(rule_strings)).select(*HIT_COLUMNS)
+    return hits_by_token(with_file_key(files), prepared(rule_strings)).select(*HIT_COLUMNS)
 
 
 def match_hex(files: DataFrame, rule_strings: DataFrame) -> DataFrame:
@@ -234,55 +303,83 @@ def condition_met(string_ids, needed, only_id) -> Column:
 
 
 def eval_conditions(hits: DataFrame, rules: DataFrame) -> DataFrame:
-    """(rule_name, path) of the rules whose condition holds.
+    """(rule_name, path) of the rules whose condition holds, for each file row of the hits of match_strings.
 
-    One shuffle on (file, rule); the set per pair is bounded by the number of strings of that rule.
+    Hits without file_key are taken as one file for each path, hits without rule_key as of one rule for each name. One shuffle on
+    (file, rule); the set per pair is bounded by the number of strings of that rule.
     """
-    return conditions_met(hits, rules).select("rule_name", "path")
-
-
-def conditions_met(hits: DataFrame, rules: DataFrame) -> DataFrame:
     if "rule_key" not in hits.columns:
         hits = hits.withColumn("rule_key", F.col("rule_name"))
-    row = [c for c in ("_file", "path") if c in hits.columns]
-    per_rule = hits.groupBy(*row, "rule_key").agg(F.collect_set("string_id").alias("ids"))
+    row = [c for c in ("path", "file_key") if c in hits.columns]
+    times = times_found("string_id") if "file_key" in row else F.lit(1)
+    per_rule = hits.groupBy(*row, "rule_key").agg(F.collect_set("string_id").alias("ids"), times.alias("_times"))
+    return as_often(conditions_met(per_rule, rules), "_times").select("rule_name", "path")
+
+
+def conditions_met(per_rule: DataFrame, rules: DataFrame) -> DataFrame:
+    """The rows of found string ids (`ids`) of a file and a rule for which the rule's condition holds, with its name."""
     conditions = rules.select(rule_key(rules), "rule_name", "min_hits", "only_id")
-    return per_rule.join(conditions, "rule_key").where(condition_met("ids", "min_hits", "only_id")).select(*row, "rule_name")
+    return per_rule.join(conditions, "rule_key").where(condition_met("ids", "min_hits", "only_id"))
+
+
+@dataclass(frozen=True)
+class RuleSet:
+    """Rules ready for scans: as rows where there are few, else as look-ups. Made once, used by any number of scans."""
+
+    rules: DataFrame
+    literal: tuple[list, list] | None
+    keys: Keyed | None
+
+
+def rule_set(rules: DataFrame, rule_strings: DataFrame) -> RuleSet:
+    """Measures rules and strings (small jobs), so that scans with them need none."""
+    if ("rule_id" in rules.columns) != ("rule_id" in rule_strings.columns):
+        raise ValueError("rules and their strings must both have rule_id, or neither")
+    literal = bounded_rules(rules, rule_strings)
+    wanted = prepared(rule_strings).join(rules.select(rule_key(rules)).distinct(), "rule_key", "left_semi")
+    return RuleSet(rules, literal, look_up_table(wanted) if literal is None else None)
 
 
 def scan(
     files: DataFrame,
-    rules: DataFrame,
-    rule_strings: DataFrame,
+    rules: DataFrame | RuleSet,
+    rule_strings: DataFrame | None = None,
     excluded_dirs=fixed.EXCLUDED_DIRS,
     excluded_names=fixed.EXCLUDED_NAMES,
+    large_bytes: int | None = None,
+    piece_bytes: int = PIECE_BYTES,
 ) -> DataFrame:
     """Full scan: exclude, match, evaluate. One (rule_name, path) row per rule that fires on a file row.
 
     Deny-listed rules are left to the caller (filters.deny_rules). With few strings the whole scan is one narrow pass
-    without a shuffle; otherwise string hits are looked up and grouped per file and rule.
+    without a shuffle; otherwise string hits are looked up and grouped per file and rule. Files of more than `large_bytes`, where
+    given, are cut into pieces that all tasks share.
     """
+    ready = rules if isinstance(rules, RuleSet) else rule_set(rules, rule_strings)
     wanted = filters.exclude_names(filters.exclude_dirs(files, excluded_dirs), excluded_names)
-    bounded = bounded_rules(rules, rule_strings)
-    if bounded is None:
-        return scan_by_token(with_file(wanted), rules, rule_strings).select("rule_name", "path")
+    if large_bytes is not None:
+        small, large = split_by_size(wanted, large_bytes)
+        by_piece = fired_by_token(with_file_key(large), with_look_ups(ready, rule_strings), piece_bytes, True)
+        return scan(small, ready, None, [], []).unionByName(as_often(by_piece, "_times").select("rule_name", "path"))
+    if ready.literal is None:
+        return as_often(fired_by_token(with_file_key(wanted), ready), "_times").select("rule_name", "path")
     # The outer form keeps the planner from testing all needles a second time in a filter below.
-    fired = with_fired_rules(wanted, *bounded).select(F.explode_outer("rule_names").alias("rule_name"), "path")
+    fired = with_fired_rules(wanted, *ready.literal).select(F.explode_outer("rule_names").alias("rule_name"), "path")
     return fired.where("rule_name IS NOT NULL")
 
 
-def matched_files(files: DataFrame, rules: DataFrame, rule_strings: DataFrame) -> DataFrame:
+def matched_files(files: DataFrame, rules: DataFrame | RuleSet, rule_strings: DataFrame | None = None) -> DataFrame:
     """Files on which a rule fires, all columns kept, with `rule_names` (sorted). For sinks that need the content.
 
-    With few strings the contents stay where they were read; otherwise only matched files are looked up.
+    With few strings the contents stay where they were read; otherwise the rules found are joined back to the files by file_key.
     """
-    bounded = bounded_rules(rules, rule_strings)
-    if bounded is None:
-        numbered = with_file(files)
-        fired = scan_by_token(numbered, rules, rule_strings)
-        names = fired.groupBy("_file").agg(F.sort_array(F.collect_list("rule_name")).alias("rule_names"))
-        return numbered.join(names, "_file").drop("_file")
-    return with_fired_rules(files, *bounded).where(F.size("rule_names") > 0)
+    ready = rules if isinstance(rules, RuleSet) else rule_set(rules, rule_strings)
+    if ready.literal is not None:
+        return with_fired_rules(files, *ready.literal).where(F.size("rule_names") > 0)
+    known = with_file_key(files)
+    fired = fired_by_token(known, ready)
+    names = fired.groupBy("file_key").agg(F.sort_array(F.collect_list("rule_name")).alias("rule_names"))
+    return known.join(names, "file_key").select(*files.columns, "rule_names")
 
 
 def bounded_rules(rules: DataFrame, rule_strings: DataFrame) -> tuple[list, list] | None:
@@ -295,9 +392,23 @@ def bounded_rules(rules: DataFrame, rule_strings: DataFrame) -> tuple[list, list
     return None if rows is None else (rule_rows, rows)
 
 
-def scan_by_token(files: DataFrame, rules: DataFrame, rule_strings: DataFrame) -> DataFrame:
-    wanted = prepared(rule_strings).join(rules.select(rule_key(rules)), "rule_key", "left_semi")
-    return conditions_met(hits_by_token(files, wanted), rules)
+def with_look_ups(ready: RuleSet, rule_strings: DataFrame | None) -> RuleSet:
+    """The same rules with look-ups, also where there are few strings."""
+    if ready.keys is not None:
+        return ready
+    rows = ready.rules.sparkSession.createDataFrame(ready.literal[1], "rule_key STRING, rule_name STRING, string_id STRING, needle BINARY")
+    return RuleSet(ready.rules, ready.literal, look_up_table(rows))
+
+
+def fired_by_token(files: DataFrame, ready: RuleSet, piece_bytes: int = PIECE_BYTES, spread: bool = False) -> DataFrame:
+    """(path, file_key, rule_key, rule_name, _times) of the rules that fire on a file, which came `_times` times."""
+    if not ready.keys.lengths:
+        return no_hits(files).select("path", "file_key", "rule_key", "rule_name", F.lit(1).alias("_times"))
+    found = pieces_with_hits(pieces(files, ready.keys.longest - 1, piece_bytes, spread), ready.keys)
+    per_rule = found.groupBy("path", "file_key", "rule_key").agg(
+        F.collect_set("string_id").alias("ids"), times_found("string_id", "text", "piece").alias("_times")
+    )
+    return conditions_met(per_rule, ready.rules).select("path", "file_key", "rule_key", "rule_name", "_times")
 
 
 def with_fired_rules(files: DataFrame, rules, rows) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sigward import session
 from sigward.functions import fixed
 from sigward.functions import scalars as X
-from sigward.operators import aggregates, filters, joins, matching
+from sigward.operators import aggregates, chains, filters, joins, matching
 from sigward.plans import views as V
 from sigward.plans.filter_queries import alert_texts
 from sigward.plans.registry import Tables, query
@@ -25,23 +25,24 @@ def pick_sql(names, ident="doc_id"):
 
 
 HITS = ", ".join([V.FILES, V.STRINGS, V.hits_sql()])
+HIT = ["path", "rule_name", "string_id"]
 ITEM_HITS = f"""WITH {V.FILES}, {V.ITEM_STRINGS}, {V.hits_sql()} SELECT path, rule_name, string_id FROM hits"""
 
 
 @query("m1_match_strings", f"WITH {HITS} SELECT path, rule_name, string_id FROM hits")
 def m1_match_strings(t: Tables):
-    return matching.match_strings(V.files(t), V.fixture_strings(t))
+    return matching.match_strings(V.files(t), V.fixture_strings(t)).select(*HIT)
 
 
 @query("m1_match_strings_items", ITEM_HITS)
 def m1_match_strings_items(t: Tables):
     """Every benchmark passage as a rule; the way is chosen by the number of passages."""
-    return matching.match_strings(V.files(t), V.item_strings(t))
+    return matching.match_strings(V.files(t), V.item_strings(t)).select(*HIT)
 
 
 @query("m2_match_hex", f"WITH {HITS} SELECT path, rule_name, string_id FROM hits WHERE rule_name = 'Linux_Ransomware_Hex'")
 def m2_match_hex(t: Tables):
-    return matching.match_hex(V.files(t), V.fixture_strings(t))
+    return matching.match_hex(V.files(t), V.fixture_strings(t)).select(*HIT)
 
 
 @query("m2_match_hex_items", ITEM_HITS)
@@ -50,7 +51,7 @@ def m2_match_hex_items(t: Tables):
     as_hex = F.concat(F.lit("{"), F.regexp_replace(F.hex(F.encode("pattern", "UTF-8")), "(..)", "$1 "), F.lit("}"))
     strings = V.item_strings(t).withColumn("kind", F.lit("hex")).withColumn("pattern", as_hex)
     files = V.files(t).withColumn("content", F.encode("content", "UTF-8"))
-    return matching.match_hex(files, strings)
+    return matching.match_hex(files, strings).select(*HIT)
 
 
 @query("m3_eval_condition", f"WITH {V.MATCHES} SELECT rule_name, path FROM matches")
@@ -105,7 +106,7 @@ def m5_quick_scan(t: Tables):
 
 @query("m6_match_strings_indexed", ITEM_HITS)
 def m6_match_strings_indexed(t: Tables):
-    return matching.match_strings_indexed(V.files(t), V.item_strings(t))
+    return matching.match_strings_indexed(V.files(t), V.item_strings(t)).select(*HIT)
 
 
 # More strings than the literal plan takes: one-token strings (two of each passage's words run together are left out, as
@@ -126,7 +127,7 @@ def m6_match_tokens(t: Tables):
     strings = many_words(t).select(
         F.lit("word").alias("rule_name"), F.concat(F.lit("$"), "w").alias("string_id"), F.lit("text").alias("kind"), F.col("w").alias("pattern")
     )
-    return matching.match_strings(V.files(t), strings)
+    return matching.match_strings(V.files(t), strings).select(*HIT)
 
 
 @query(
@@ -137,7 +138,7 @@ def m2_match_hex_tokens(t: Tables):
     """The same words behind a blank, as hex strings."""
     as_hex = F.concat(F.lit("{20 "), F.regexp_replace(F.hex(F.encode("w", "UTF-8")), "(..)", "$1 "), F.lit("}"))
     strings = many_words(t).select(F.lit("word").alias("rule_name"), F.concat(F.lit("$"), "w").alias("string_id"), F.lit("hex").alias("kind"), as_hex.alias("pattern"))
-    return matching.match_hex(V.files(t), strings)
+    return matching.match_hex(V.files(t), strings).select(*HIT)
 
 
 @query(
@@ -161,8 +162,76 @@ def m4_scan_two_feeds(t: Tables):
 
 @query("g2_rule_matcher", ITEM_HITS)
 def g2_rule_matcher(t: Tables):
-    """The same strings through the plan that their number asks for."""
-    return matching.match_strings(V.files(t), V.item_strings(t))
+    """The passages as rules: a rule set is measured once and the scan with it evaluates conditions. A rule has one string here."""
+    strings = V.item_strings(t)
+    rules = strings.select("rule_name", F.lit(1).alias("min_hits"), F.lit("$a").alias("only_id"))
+    return matching.scan(V.files(t), matching.rule_set(rules, strings), None, [], []).select("path", "rule_name", F.lit("$a").alias("string_id"))
+
+
+# A rule for each first letter of the longer words, and each file twice with other contents under one path.
+LETTERS = f"""{MANY}, strings AS (SELECT 'Letter_' || lower(left(w, 1)) AS rule_name, w FROM words),
+    rows AS (SELECT row_number() OVER () AS r, * FROM (SELECT path, content FROM files UNION ALL SELECT path, lower(content) FROM files)),
+    fired AS (SELECT r, rule_name FROM rows JOIN strings ON contains(content, w) GROUP BY r, rule_name HAVING count(DISTINCT w) >= 4),
+    matched AS (SELECT path, content, (SELECT string_agg(rule_name, ',' ORDER BY rule_name) FROM fired f WHERE f.r = rows.r) AS rules FROM rows WHERE r IN (SELECT r FROM fired))"""
+
+
+def letter_rules(t: Tables):
+    """(rules, strings) of some hundred strings."""
+    strings = many_words(t).select(
+        F.concat(F.lit("Letter_"), F.lower(F.left("w", F.lit(1)))).alias("rule_name"), F.concat(F.lit("$"), "w").alias("string_id"), F.lit("text").alias("kind"), F.col("w").alias("pattern")
+    )
+    rules = strings.select("rule_name").distinct().select("rule_name", F.lit(4).alias("min_hits"), F.lit(None).cast("string").alias("only_id"))
+    return rules, strings
+
+
+def files_twice(t: Tables):
+    files = V.files(t)
+    return files.unionByName(files.withColumn("content", F.lower("content")))
+
+
+@query("m4_matched_files_many", f"WITH {LETTERS} SELECT path, rules, sha256(content) AS sha256 FROM matched")
+def m4_matched_files_many(t: Tables):
+    """Contents of the files that match one of many strings, behind an exchange."""
+    found = matching.matched_files(files_twice(t).repartition(4), *letter_rules(t))
+    return found.select("path", F.array_join("rule_names", ",").alias("rules"), X.sha256_hex("content").alias("sha256"))
+
+
+@query(
+    "g3_scan_large_files",
+    f"""WITH {V.MATCHES}, w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{{5,}}')) AS w FROM benchmark),
+    fired AS (SELECT path, 'Letter_' || lower(left(w, 1)) AS rule_name, w FROM files JOIN w ON contains(content, w))
+    SELECT rule_name, path FROM matches UNION ALL SELECT rule_name, path FROM fired GROUP BY rule_name, path HAVING count(DISTINCT w) >= 4""",
+)
+def g3_scan_large_files(t: Tables):
+    """Files of more than 4 kB are cut into pieces of 1 kB that all tasks share; few strings and many."""
+    cut = {"large_bytes": 4096, "piece_bytes": 1024}
+    few = matching.scan(V.files(t), V.active_fixture(t), V.fixture_strings(t), [], [], **cut)
+    return few.unionByName(matching.scan(V.files(t), *letter_rules(t), [], [], **cut))
+
+
+WORD_RULE = 'rule %s {\n    strings:\n        $a = "%s"\n    condition:\n        %s\n}'
+
+
+@query(
+    "c3_quarantine_by_written_rules",
+    f"""WITH {MANY} SELECT path AS orig_path, string_agg('Word_' || w, ',' ORDER BY 'Word_' || w) AS rules, any_value(sha256(content)) AS sha256
+    FROM files JOIN words ON contains(content, w) WHERE length(w) <> 7 AND left(w, 1) NOT IN ('a', 'A') GROUP BY path""",
+)
+def c3_quarantine_by_written_rules(t: Tables):
+    """Rule files are written, read, checked, cleaned of deny-listed and broken rules, scanned with, and the matched files stored."""
+    base = session.scratch_dir(t.spark, "written-rules")
+    denied = F.lower(F.left("w", F.lit(1))) == "a"
+    name = F.concat(F.when(denied, "Android_").otherwise("Word_"), "w")
+    condition = F.when(F.length("w") == 7, "$zz").otherwise("$a")
+    text = F.format_string(WORD_RULE, name, F.col("w"), condition)
+    feed = F.when(F.length("w") % 2 == 0, "even").otherwise("odd")
+    many_words(t).select(text.alias("value"), feed.alias("feed")).write.partitionBy("feed").text(f"{base}/rules")
+    # Deny-lists go by file name; each rule stands for a file of its own.
+    rules = readers.read_rules(t.spark, f"{base}/rules", name_glob="*.txt").withColumn("file_name", F.concat("rule_name", F.lit(".yar")))
+    files = V.files(t).withColumn("item_id", F.col("doc_id"))
+    chains.quarantine_matches(files, rules, "mtime", f"{base}/quarantine")
+    stored = t.spark.read.parquet(f"{base}/quarantine")
+    return stored.select("orig_path", F.array_join("rule_names", ",").alias("rules"), "sha256")
 
 
 @query(

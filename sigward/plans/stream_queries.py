@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from sigward import session
 from sigward.plans import views as V
+from sigward.plans.match_queries import LETTERS, files_twice, letter_rules
 from sigward.plans.registry import ORACLES, Tables, query
 from sigward.streaming import jobs
 
@@ -57,6 +58,16 @@ def t1_stream_quarantine_alerts(t: Tables):
     return t.spark.read.text(f"{scan_output(t)}/alerts").select("value")
 
 
+@query("t1_stream_quarantine_many", f"WITH {LETTERS} SELECT path, rules, sha256(content) AS sha256 FROM matched")
+def t1_stream_quarantine_many(t: Tables):
+    """What the stream stores where there are many strings; each path comes twice with other contents."""
+    base = session.scratch_dir(t.spark, "stream-many")
+    files = files_twice(stream(t)).withColumn("item_id", F.col("doc_id"))
+    jobs.stream_scan(files, *letter_rules(t), f"{base}/out", f"{base}/checkpoint", F.col("mtime")).awaitTermination()
+    stored = t.spark.read.schema("orig_path STRING, rule_names ARRAY<STRING>, sha256 STRING").parquet(f"{base}/out/quarantine")
+    return stored.select(F.col("orig_path").alias("path"), F.array_join("rule_names", ",").alias("rules"), "sha256")
+
+
 @query(
     "t2_stream_daily_counts",
     "SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1",

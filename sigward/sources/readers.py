@@ -226,8 +226,9 @@ def unescape(c) -> Column:
 
 
 def rule_strings(rules: DataFrame) -> DataFrame:
-    """rule_name, string_id, kind, pattern of parsed rules."""
-    return rules.select("rule_name", F.inline("strings"))
+    """rule_name, string_id, kind, pattern and modifiers of parsed rules, with rule_id where the rules have it, so that strings meet their rule."""
+    known = ["rule_id"] if "rule_id" in rules.columns else []
+    return rules.select(*known, "rule_name", F.inline("strings"))
 
 
 def base_rules(spark: SparkSession) -> tuple[DataFrame, DataFrame]:

@@ -78,13 +78,14 @@ def stream_scan(
     """Scan every arriving file, store the matched ones and write their alert lines.
 
     Below `out`: matches/, quarantine/ (one row per matched file) and alerts/ (text). `files` holds item_id beside
-    the usual columns. A file arrives whole, so its rule conditions need no state across batches.
+    the usual columns. A file arrives whole, so its rule conditions need no state across batches. Rules are measured once.
     """
+    ready = matching.rule_set(rules, rule_strings)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         wanted = filters.exclude_names(filters.exclude_dirs(batch))
-        matched = matching.matched_files(wanted, rules, rule_strings)
+        matched = matching.matched_files(wanted, ready)
         items = sinks.quarantine_rows(matched.withColumn("rule_name", F.try_element_at("rule_names", F.lit(-1))), q_time, "rule_names")
         stored = batch_folder(f"{out}/quarantine", batch_id)
         items.write.mode("overwrite").parquet(stored)

@@ -7,6 +7,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from sigward import session
 from sigward.functions import fixed
 from sigward.functions import scalars as X
 from sigward.operators import aggregates, filters, joins, matching, retention, windows
@@ -255,15 +256,22 @@ def test_guard_keeps_everything(spark):
     assert sorted(tuple(r) for r in matching.guard(df, 10).collect()) == [(1, False), (10, False), (11, True)]
 
 
-def test_same_path_and_same_id_are_judged_apart(spark):
+def test_same_path_and_same_id_are_judged_apart(spark, monkeypatch):
     files = spark.createDataFrame([("/a", "a", "foo"), ("/a", "a", "bar"), ("/b", "b", "bar")], "path STRING, name STRING, content STRING")
     rules = spark.createDataFrame([("R", 2, None), ("S", 1, None)], "rule_name STRING, min_hits INT, only_id STRING")
     strings = [(r, i, "text", p) for r in "RS" for i, p in (("$a", "foo"), ("$b", "bar"), ("$a", "baz"))]
     strings = spark.createDataFrame(strings, "rule_name STRING, string_id STRING, kind STRING, pattern STRING")
     want = [("S", "/a"), ("S", "/a"), ("S", "/b")]
     assert sorted(tuple(r) for r in matching.scan(files, rules, strings).collect()) == want
-    grouped = matching.scan_by_token(matching.with_file(files), rules, strings).select("rule_name", "path")
-    assert sorted(tuple(r) for r in grouped.collect()) == want
+    twice = files.unionByName(files)
+    assert sorted(tuple(r) for r in matching.scan(twice, rules, strings).collect()) == sorted(want * 2)
+    by_hits = matching.eval_conditions(matching.match_strings(twice, strings), rules)
+    assert sorted(tuple(r) for r in by_hits.collect()) == sorted(want * 2)
+    monkeypatch.setattr(session, "LITERAL_STRINGS", 1)
+    assert sorted(tuple(r) for r in matching.scan(files, rules, strings).collect()) == want
+    assert sorted(tuple(r) for r in matching.scan(twice, rules, strings).collect()) == sorted(want * 2)
+    by_hits = matching.eval_conditions(matching.match_strings(twice, strings), rules)
+    assert sorted(tuple(r) for r in by_hits.collect()) == sorted(want * 2)
     same = strings.where("string_id = '$a'")
     assert sorted(r["path"] for r in matching.match_strings(files, same.where("rule_name = 'R'")).collect()) == ["/a"]
 
@@ -308,7 +316,6 @@ def test_missing_content_and_unknown_conditions_never_match(spark):
 
 
 def test_scratch_folder_follows_the_cluster(spark):
-    from sigward import session
 
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/"
     first, second = session.scratch_dir(spark, "x"), session.scratch_dir(spark, "x")
@@ -330,7 +337,6 @@ def test_first_available_reads_no_further(spark):
 def test_scratch_folder_must_be_shared_on_a_cluster(spark, monkeypatch):
     from types import SimpleNamespace
 
-    from sigward import session
 
     conf = SimpleNamespace(get=lambda *_: None)
     context = SimpleNamespace(getConf=lambda: conf, getCheckpointDir=lambda: None, master="spark://host:7077")
