@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,6 +19,8 @@ from sigward.functions import fixed
 from sigward.functions import scalars as X
 
 SLICE_SEC = 86400
+# Bits of Spark's bitmap aggregate.
+BITMAP_BITS = 32768
 
 
 def numbered(keys, order) -> Column:
@@ -145,30 +147,61 @@ def accept_positions(sec: np.ndarray, accepted: list[int], limit: int, window: i
     return out
 
 
-def limit_events(events: DataFrame, limit: int, window: int) -> DataFrame:
-    """Rows a greedy limiter accepts per host: fewer than `limit` accepted ones in the window before.
+def second_bitmaps(events: DataFrame, limit: int, window: int) -> DataFrame:
+    """(host, run, slice, bits): a bit for each of the first `limit` events of a second, BITMAP_BITS / limit seconds of a host in a row.
+
+    A slice that begins more than `window` after the last event before it starts a new run, as nothing before can bear on it.
+    """
+    span = BITMAP_BITS // limit
+    counts = with_seconds(events).groupBy("host", "sec").agg(F.least(F.count(F.lit(1)), F.lit(limit)).alias("n"))
+    places = counts.select("host", "sec", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("k"))
+    slices = places.groupBy("host", F.floor(F.col("sec") / span).alias("slice")).agg(
+        F.bitmap_construct_agg(F.pmod("sec", F.lit(span)) * limit + F.col("k")).alias("bits"), F.min("sec").alias("first"), F.max("sec").alias("last")
+    )
+    by_time = W.partitionBy("host").orderBy("slice")
+    starts = F.coalesce((F.col("first") - F.lag("last").over(by_time) > window).cast("int"), F.lit(0))
+    return slices.withColumn("starts", starts).select("host", F.sum("starts").over(by_time).alias("run"), "slice", "bits")
+
+
+def accepted_seconds(events: DataFrame, limit: int, window: int) -> DataFrame:
+    """(host, sec, accepted): how many events of a second the limiter lets pass, for the seconds that have any.
 
-    Within one second only the first `limit` rows of a host can pass, so all others go before the shuffle. What is
-    left streams through the limiter in time order, batch by batch, with `limit` numbers of state.
+    Runs of a host are independent, and their slices stream through the limiter in order of time with `limit` numbers of state. What a run
+    sends is its bitmaps: 4 kB for a slice of hours, however many events there are, and far less when compressed.
     """
-    order = ["sec", "ts", "event_id"]
-    candidates = first_per_key(with_seconds(events), ["host", "sec"], ["ts", "event_id"], limit)
-    ordered = candidates.repartition("host").sortWithinPartitions("host", *order)
+    span = BITMAP_BITS // limit
+    rows = second_bitmaps(events, limit, window)
+    host = rows.schema["host"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, accepted = None, []
         for batch in batches:
-            hosts, sec, keep = batch["host"].to_numpy(), batch["sec"].to_numpy(), []
-            starts = [0, *(np.flatnonzero(hosts[1:] != hosts[:-1]) + 1).tolist(), len(batch)]
-            for a, b in zip(starts[:-1], starts[1:]):
-                if a == b:
-                    continue
-                if hosts[a] != current:
-                    current, accepted = hosts[a], []
-                keep.extend(a + p for p in accept_positions(sec[a:b], accepted, limit, window))
-            yield batch.iloc[keep]
-
-    return ordered.mapInPandas(run, ordered.schema).drop("sec")
+            rows_of, secs = [], [np.zeros(0, dtype=np.int64)]
+            keys = zip(*(batch.column(c).to_pylist() for c in ("host", "run", "slice", "bits")))
+            for i, (own, number, piece, bits) in enumerate(keys):
+                if (own, number) != current:
+                    current, accepted = (own, number), []
+                places = np.flatnonzero(np.unpackbits(np.frombuffer(bits, dtype=np.uint8), bitorder="little"))
+                sec = piece * span + places // limit
+                secs.append(sec[accept_positions(sec, accepted, limit, window)])
+                rows_of.extend([i] * len(secs[-1]))
+            yield pa.RecordBatch.from_arrays([batch.column("host").take(pa.array(rows_of, pa.int64())), pa.array(np.concatenate(secs))], ["host", "sec"])
+
+    in_order = rows.repartition("host", "run").sortWithinPartitions("host", "run", "slice")
+    return in_order.mapInArrow(run, f"host {host}, sec bigint").groupBy("host", "sec").agg(F.count(F.lit(1)).alias("accepted"))
+
+
+def limit_events(events: DataFrame, limit: int, window: int) -> DataFrame:
+    """Rows a greedy limiter accepts per host: fewer than `limit` accepted ones in the window before.
+
+    Which seconds pass is decided on bitmaps of seconds (accepted_seconds); the rows are looked up by host and second, where the
+    first ones by (ts, event_id) are those that pass. No task sees all events of a host, and the side looked up holds at most
+    `limit` seconds for each window of a host.
+    """
+    seconds = accepted_seconds(events, limit, window).select(F.col("host").alias("_host"), F.col("sec").alias("_sec"), "accepted")
+    found = with_seconds(events).join(seconds, F.col("host").eqNullSafe(F.col("_host")) & (F.col("sec") == F.col("_sec")))
+    first = found.withColumn("_rn", numbered(["host", "sec"], ["ts", "event_id"])).where(F.col("_rn") <= limit)
+    return first.where(F.col("_rn") <= F.col("accepted")).select(*events.columns)
 
 
 def limit_restarts(events: DataFrame, limit: int = fixed.MAX_RESTARTS, window: int = fixed.RESTART_WINDOW_SEC):

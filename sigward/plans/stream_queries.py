@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sigward import session
+from sigward.functions import fixed
+from sigward.functions import scalars as X
 from sigward.plans import views as V
 from sigward.plans.match_queries import LETTERS, files_twice, letter_rules
 from sigward.plans.registry import ORACLES, Tables, query
@@ -89,14 +91,84 @@ def t3_stream_hourly_sliding(t: Tables):
     return rows.withColumn("window_end", V.ntz("window_end"))
 
 
+def in_files(t: Tables, name: str, df: DataFrame, part: Column, parts: int) -> DataFrame:
+    """A stream that brings one part of a table after the other, one for each trigger."""
+    folder = session.scratch_dir(t.spark, name)
+    marked = df.withColumn("_part", part)
+    for i in range(parts):
+        marked.where(F.col("_part") == i).drop("_part").repartition(1).write.mode("append").parquet(folder)
+    return jobs.read_table_stream(t.spark, folder, df.schema, 1)
+
+
+# The oldest day comes last, all other events in three parts without order; a part is late by what the parts before it have brought.
+LATE_SPAN = "2 days"
+LATE = f"""numbered AS (SELECT *, CASE WHEN CAST(ts AS DATE) = (SELECT min(CAST(ts AS DATE)) FROM events) THEN 3 ELSE event_id % 3 END AS part FROM events),
+    marks AS (SELECT part, max(max(ts)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL {LATE_SPAN} AS since FROM numbered GROUP BY part),
+    judged AS (SELECT n.*, since IS NOT NULL AND ts < since AS late FROM numbered n JOIN marks USING (part))"""
+
+
+def late_parts(t: Tables, name: str, events: DataFrame) -> DataFrame:
+    first = V.events(t).select(F.min(F.to_date("ts"))).scalar()
+    part = F.when(F.to_date("ts") == first, 3).otherwise(F.col("event_id") % 3)
+    return in_files(t, name, events, part, 4)
+
+
+@query(
+    "t2_stream_daily_counts_late",
+    f"WITH {LATE} SELECT CAST(ts AS DATE) AS day, count(*) FILTER (NOT late) AS n, count(*) FILTER (late) AS late FROM judged GROUP BY 1",
+)
+def t2_stream_daily_counts_late(t: Tables):
+    """Daily counts of the events in time, and of those that came late."""
+    base = session.scratch_dir(t.spark, "daily-late")
+    events = V.events(t).select("event_id", "ts")
+    jobs.stream_counts(late_parts(t, "daily-in", events), jobs.by_day, f"{base}/out", f"{base}/checkpoint", LATE_SPAN).awaitTermination()
+    counts = jobs.added_up(t.spark.read.schema("day DATE, n BIGINT").parquet(f"{base}/out/counts"))
+    late = jobs.by_day(t.spark.read.schema(events.schema).parquet(f"{base}/out/late")).groupBy("day").agg(F.count("*").alias("late"))
+    both = counts.join(late, "day", "full")
+    return both.select("day", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "late")])
+
+
+@query("t3_stream_hourly_sliding_late", ORACLES["t3_stream_hourly_sliding"])
+def t3_stream_hourly_sliding_late(t: Tables):
+    """Counts of the events in time and of the late ones add up to those of all events."""
+    base = session.scratch_dir(t.spark, "sliding-late")
+    restarts = V.restarts(t)
+    stream = late_parts(t, "sliding-in", restarts)
+    jobs.stream_counts(stream, jobs.by_sliding_hour, f"{base}/out", f"{base}/checkpoint", LATE_SPAN).awaitTermination()
+    counts = t.spark.read.schema("host BIGINT, window_end TIMESTAMP, n BIGINT").parquet(f"{base}/out/counts").drop("batch_id")
+    late = jobs.by_sliding_hour(t.spark.read.schema(restarts.schema).parquet(f"{base}/out/late")).withColumn("n", F.lit(1).cast("bigint"))
+    return jobs.added_up(counts.unionByName(late)).withColumn("window_end", V.ntz("window_end"))
+
+
+PARTS = 5
+
+
+def disordered(t: Tables, name: str) -> DataFrame:
+    """Restarts in five files that overlap by half an hour, in no order within."""
+    restarts = V.restarts(t)
+    seconds = X.to_epoch("ts")
+    span = restarts.agg(F.min(seconds).alias("a"), F.max(seconds).alias("b")).first()
+    length = (span["b"] - span["a"] + 1801) / PARTS
+    part = F.floor((seconds + F.col("event_id") % 2 * 1800 - span["a"]) / length)
+    return in_files(t, name, restarts.orderBy(F.xxhash64("event_id")), part, PARTS)
+
+
+def limited(t: Tables, name: str, limit: int, window: int) -> DataFrame:
+    base = session.scratch_dir(t.spark, name)
+    events = disordered(t, f"{name}-in")
+    jobs.stream_limit_events(events, limit, window, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    jobs.finish_limit(t.spark, f"{base}/out", limit, window, events.schema)
+    return t.spark.read.schema(events.schema).parquet(f"{base}/out/accepted").select("host", "event_id")
+
+
 @query("t4_stream_limit_restarts", ORACLES["w7_limit_restarts"])
 def t4_stream_limit_restarts(t: Tables):
-    return drained(t, "limit", jobs.stream_limit_restarts(V.restarts(stream(t)))).select("host", "event_id")
+    return limited(t, "limit", fixed.MAX_RESTARTS, fixed.RESTART_WINDOW_SEC)
 
 
 @query("t5_stream_suppress_alerts", ORACLES["w8_suppress_alerts"])
 def t5_stream_suppress_alerts(t: Tables):
-    return drained(t, "suppress", jobs.stream_suppress_alerts(V.restarts(stream(t)))).select("host", "event_id")
+    return limited(t, "suppress", 1, fixed.ALERT_GAP_SEC)
 
 
 @query("t6_stream_health", ORACLES["f15_resource_breach"])
@@ -112,3 +184,15 @@ def t7_bounded_intake(t: Tables):
     reader = t.spark.readStream.schema(schema).options(**options)
     events = reader.parquet(t.path("events") + "*").select("event_id", "event_type")
     return drained(t, "intake", events).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("t7_bounded_intake_files", "SELECT event_type, count(*) AS n, CAST(3 AS BIGINT) AS batches FROM events GROUP BY event_type")
+def t7_bounded_intake_files(t: Tables):
+    """Five files at two a batch are three batches."""
+    folder = session.scratch_dir(t.spark, "intake-in")
+    t.events.select("event_id", "event_type").repartition(5).write.parquet(folder)
+    options, _ = jobs.bounded_intake(max_files=2)
+    events = t.spark.readStream.schema("event_id BIGINT, event_type STRING").options(**options).parquet(folder)
+    rows = drained(t, "intake", events)
+    batches = rows.agg(F.count_distinct("batch_id")).first()[0]
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.lit(batches).cast("bigint").alias("batches"))

@@ -6,13 +6,11 @@ same files. Checkpoints and outputs belong in the shared folder of the cluster (
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sigward.functions import fixed
 from sigward.functions import scalars as X
@@ -116,57 +114,127 @@ def stream_hourly_sliding(events: DataFrame, lateness: str = LATENESS) -> DataFr
     return counts.select("host", F.col("w.end").alias("window_end"), "n")
 
 
-# ---- rate limits with state
+# ---- event order and late rows, with tables as state
 
+# Each batch leaves its state in folders of its own and reads those of the batch before it, so a batch that is repeated finds the
+# same state and leaves the same files. The mark is the greatest event time up to and with a batch; a row is late if it is older than
+# the mark of the batches before it by more than the lateness, as with a watermark. Late rows are kept, not dropped.
 
-def stream_limit_events(events: DataFrame, limit: int, window: int, lateness: str = LATENESS) -> DataFrame:
-    """Accepted rows of the greedy limiter, host by host; state is the last `limit` accepted seconds.
 
-    Only the first `limit` rows of a second can pass, so a hot host is cut down while its rows stream in. State of a
-    host ends once the watermark has left its window.
+def state_of(spark: SparkSession, path: str, batch_id: int, schema) -> DataFrame:
+    """What a batch left; nothing before the first batch."""
+    if batch_id < 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(batch_folder(path, batch_id))
+
+
+def leave(df: DataFrame, path: str, batch_id: int) -> None:
+    df.write.mode("overwrite").parquet(batch_folder(path, batch_id))
+
+
+MARK = "mark TIMESTAMP"
+
+
+def bound(mark: Column, lateness: str) -> Column:
+    return mark - F.expr(f"INTERVAL {lateness}")
+
+
+def with_late(batch: DataFrame, out: str, batch_id: int, lateness: str) -> tuple[DataFrame, DataFrame]:
+    """(rows in time, late rows) of a batch; leaves its mark. A row without a time is late."""
+    spark = batch.sparkSession
+    before = state_of(spark, f"{out}/marks", batch_id - 1, MARK)
+    newest = batch.select(F.max(F.col("ts").cast("timestamp")).alias("mark"))
+    leave(before.unionByName(newest).agg(F.max("mark").alias("mark")).coalesce(1), f"{out}/marks", batch_id)
+    mark = before.agg(F.max("mark").alias("m")).first()["m"]
+    late = F.col("ts").isNull()
+    if mark is not None:
+        late = late | (F.col("ts") < bound(F.lit(mark), lateness))
+    return batch.where(~late), batch.where(late)
+
+
+def stream_counts(events: DataFrame, keys: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, lateness: str = LATENESS, **trigger) -> StreamingQuery:
+    """Counts of the rows that `keys` makes of the events, with late events kept apart.
+
+    Below `out`: counts/ (the keys with n, partial counts of a batch each) and late/ (whole events). Counts add up, so no state is
+    held between batches but the mark.
     """
-    events = windows.with_seconds(events)
-    order = ["sec", "ts", "event_id"]
-
-    def head(frame: pd.DataFrame, keys=("sec",)) -> pd.DataFrame:
-        return frame.sort_values(order).groupby(list(keys), sort=False).head(limit)
-
-    def first_of_batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield head(frame, ("host", "sec"))
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        accepted = list(state.get[0]) if state.exists else []
-        rows = None
-        for frame in frames:
-            rows = head(frame if rows is None else pd.concat([rows, frame]))
-        if rows is None or rows.empty:
-            return
-        keep = windows.accept_positions(rows["sec"].to_numpy(), accepted, limit, window)
-        state.update((accepted,))
-        ends = (accepted[-1] + window + 1) * 1000
-        if ends > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(ends)
-        else:
-            state.remove()
-        yield rows.iloc[keep]
-
-    # Rows that cannot pass go before the shuffle, so a hot host does not send all its rows to one task.
-    reduced = events.mapInPandas(first_of_batch, events.schema).withWatermark("ts", lateness)
-    return reduced.groupBy("host").applyInPandasWithState(
-        step, events.schema, "accepted ARRAY<BIGINT>", "append", GroupStateTimeout.EventTimeTimeout
-    ).drop("sec")
-
-
-def stream_limit_restarts(events: DataFrame) -> DataFrame:
-    return stream_limit_events(events, fixed.MAX_RESTARTS, fixed.RESTART_WINDOW_SEC)
-
-
-def stream_suppress_alerts(events: DataFrame) -> DataFrame:
-    return stream_limit_events(events, 1, fixed.ALERT_GAP_SEC)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        in_time, late = with_late(batch, out, batch_id, lateness)
+        rows = keys(in_time)
+        leave(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n")), f"{out}/counts", batch_id)
+        leave(late, f"{out}/late", batch_id)
+        batch.unpersist()
+
+    return start_batches(events, write, checkpoint, **trigger)
+
+
+def by_day(events: DataFrame) -> DataFrame:
+    return events.select(F.to_date("ts").alias("day"))
+
+
+def by_sliding_hour(events: DataFrame) -> DataFrame:
+    """A row for each five-minute mark in the hour after an event."""
+    return events.select("host", F.window("ts", "1 hour", "5 minutes").alias("w")).select("host", F.col("w.end").alias("window_end"))
+
+
+def added_up(counts: DataFrame) -> DataFrame:
+    keys = [c for c in counts.columns if c not in ("n", "batch_id")]
+    return counts.groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
+def stream_limit_events(events: DataFrame, limit: int, window: int, out: str, checkpoint: str, lateness: str = LATENESS, **trigger) -> StreamingQuery:
+    """The greedy limiter in event order: events wait until no earlier one can come in time, then pass or not.
+
+    Below `out`: accepted/ and late/ (whole events), and as state waiting/ (events within the lateness), last/ (the last `limit` accepted
+    events of each host, as long as they bear on later ones) and marks/. When a stream has ended for good, `finish_limit` releases what waits.
+    """
+    schema = events.schema
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        in_time, late = with_late(batch, out, batch_id, lateness)
+        leave(late, f"{out}/late", batch_id)
+        release_until(spark, in_time, out, batch_id, limit, window, lateness, schema)
+        batch.unpersist()
+
+    return start_batches(events, write, checkpoint, **trigger)
+
+
+def release_until(spark: SparkSession, more: DataFrame, out: str, batch_id: int, limit: int, window: int, lateness: str | None, schema) -> None:
+    """Let the events that are complete (all of them without a lateness) through the limiter, in order, behind the ones accepted last."""
+    waiting = state_of(spark, f"{out}/waiting", batch_id - 1, schema).unionByName(more)
+    complete, until = F.lit(True), None
+    if lateness is not None:
+        mark = state_of(spark, f"{out}/marks", batch_id, MARK).first()["mark"]
+        until = None if mark is None else bound(F.lit(mark), lateness)
+        complete = F.lit(False) if until is None else F.col("ts") < until
+    last = state_of(spark, f"{out}/last", batch_id - 1, schema)
+    known = last.select("*", F.lit(True).alias("_old")).unionByName(waiting.where(complete).select("*", F.lit(False).alias("_old")))
+    # Accepted events pass again, as nothing before them is left; so the limiter goes on as if it had not stopped.
+    passed = windows.limit_events(known, limit, window).select("*")
+    leave(passed.where("NOT _old").drop("_old"), f"{out}/accepted", batch_id)
+    leave(waiting.where(~complete), f"{out}/waiting", batch_id)
+    newest = last.unionByName(state_of(spark, f"{out}/accepted", batch_id, schema))
+    if until is not None:
+        newest = newest.where(X.to_epoch("ts") + window >= X.to_epoch(until))
+    leave(windows.first_per_key(newest, ["host"], [F.col("ts").desc(), F.col("event_id").desc()], limit), f"{out}/last", batch_id)
+
+
+def finish_limit(spark: SparkSession, out: str, limit: int, window: int, schema) -> None:
+    """Release the events that wait behind the last batch, as a batch of its own."""
+    last = spark.read.option("basePath", f"{out}/marks").parquet(f"{out}/marks").agg(F.max("batch_id").alias("b")).first()["b"]
+    release_until(spark, spark.createDataFrame([], schema), out, last + 1, limit, window, None, schema)
+
+
+def stream_limit_restarts(events: DataFrame, out: str, checkpoint: str, **how) -> StreamingQuery:
+    return stream_limit_events(events, fixed.MAX_RESTARTS, fixed.RESTART_WINDOW_SEC, out, checkpoint, **how)
+
+
+def stream_suppress_alerts(events: DataFrame, out: str, checkpoint: str, **how) -> StreamingQuery:
+    return stream_limit_events(events, 1, fixed.ALERT_GAP_SEC, out, checkpoint, **how)
 
 
 # ---- stateless checks

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -239,13 +240,67 @@ def stream_of(spark, df, path, parts=4):
     return jobs.read_table_stream(spark, path, df.schema, 1)
 
 
-@pytest.mark.parametrize("name", ["limit_restarts", "suppress_alerts"])
-def test_stream_limiter_equals_batch(spark, tmp_path, hot_host, name):
+def in_order_of(spark, df, path, parts, seed=1):
+    """A stream of files, one for each trigger: parts of the events in order of time that overlap by less than half an hour."""
+    span = df.agg(F.min("ts").cast("long").alias("a"), F.max("ts").cast("long").alias("b")).first()
+    length = (span["b"] - span["a"] + 1801) / parts
+    part = F.floor((F.col("ts").cast("long") + F.pmod(F.xxhash64("event_id"), F.lit(1800)) - span["a"]) / length)
+    for i in range(parts):
+        df.withColumn("_part", part).where(F.col("_part") == i).drop("_part").orderBy(F.rand(seed)).coalesce(1).write.mode("append").parquet(path)
+    return jobs.read_table_stream(spark, path, df.schema, 1)
+
+
+@pytest.mark.parametrize("name, limit", [("limit_restarts", 2), ("suppress_alerts", 1)])
+def test_stream_limiter_equals_batch(spark, tmp_path, hot_host, name, limit):
     _, df = hot_host
-    stream = stream_of(spark, df, str(tmp_path / "in"))
-    run = getattr(jobs, f"stream_{name}")(stream)
-    jobs.run_to_folder(run, str(tmp_path / "out"), str(tmp_path / "cp"))
-    assert idents(spark.read.parquet(str(tmp_path / "out"))) == idents(getattr(windows, name)(df))
+    out = str(tmp_path / "out")
+    stream = in_order_of(spark, df, str(tmp_path / "in"), 6)
+    getattr(jobs, f"stream_{name}")(stream, out, str(tmp_path / "cp")).awaitTermination()
+    jobs.finish_limit(spark, out, limit, 3600, df.schema)
+    accepted = spark.read.option("basePath", f"{out}/accepted").parquet(f"{out}/accepted")
+    assert idents(accepted) == idents(getattr(windows, name)(df))
+    assert accepted.select("batch_id").distinct().count() >= 6
+    assert spark.read.parquet(f"{out}/late").count() == 0
+
+
+def test_stream_limiter_waits_for_earlier_events(spark, tmp_path):
+    """An event that comes later but happened before is judged before; one that comes too late is kept apart."""
+    out, source = str(tmp_path / "out"), str(tmp_path / "in")
+    frames = [restart_frame(spark, {1: offsets}).withColumn("event_id", F.col("event_id") + 10 * i) for i, offsets in enumerate(([1000], [900], [4550, 9000], [300], [20000]))]
+    for frame in frames:
+        frame.coalesce(1).write.mode("append").parquet(source)
+    stream = jobs.read_table_stream(spark, source, frames[0].schema, 1)
+    jobs.stream_suppress_alerts(stream, out, str(tmp_path / "cp")).awaitTermination()
+    jobs.finish_limit(spark, out, 1, 3600, frames[0].schema)
+    seconds = lambda name: sorted((r["ts"] - T0).total_seconds() for r in spark.read.parquet(f"{out}/{name}").select("ts").collect())
+    assert seconds("accepted") == [900, 4550, 9000, 20000] and seconds("late") == [300]
+
+
+def test_a_repeated_batch_leaves_the_same(spark, tmp_path):
+    """A batch run again after its folders were written, as after a failure, changes nothing."""
+    out = str(tmp_path / "out")
+    events = restart_frame(spark, {1: [0, 10, 20, 4000, 9000], 2: [5, 6, 7]})
+    for _ in range(2):
+        for i, part in enumerate((events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1"))):
+            in_time, late = jobs.with_late(part, out, i, "1 day")
+            jobs.leave(late, f"{out}/late", i)
+            jobs.release_until(spark, in_time, out, i, 2, 3600, "1 day", events.schema)
+    jobs.finish_limit(spark, out, 2, 3600, events.schema)
+    assert idents(spark.read.parquet(f"{out}/accepted")) == idents(windows.limit_restarts(events))
+
+
+def test_no_task_has_all_events_of_a_host(spark, hot_host):
+    """What a host sends to one task is a bitmap for each slice of time."""
+    _, df = hot_host
+    rows = windows.second_bitmaps(df.unionByName(df).unionByName(df), 2, 3600).where("host = 0").collect()
+    assert len(rows) <= 3 * 86400 * 2 / windows.BITMAP_BITS + 2 and {len(r["bits"]) for r in rows} == {4096}
+
+
+def test_limiter_with_null_host_and_early_times(spark):
+    rows = [(h, T0 - dt.timedelta(days=30000) + dt.timedelta(seconds=s), i) for i, (h, s) in enumerate((h, s) for h in (None, 1 << 60, (1 << 60) + 1) for s in (0, 0, 0, 5, 3601, 9000, 200_000))]
+    df = spark.createDataFrame(rows, "host BIGINT, ts TIMESTAMP, event_id BIGINT")
+    found = Counter(r["host"] for r in windows.limit_restarts(df).collect())
+    assert found == {None: 5, 1 << 60: 5, (1 << 60) + 1: 5}
 
 
 def test_stream_counts_over_batches(spark, tmp_path, hot_host):
