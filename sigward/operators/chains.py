@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sigward.functions import scalars as X
@@ -33,3 +33,14 @@ def quarantine_matches(files: DataFrame, rules: DataFrame, q_time, path: str, mo
     matched = matching.matched_files(wanted, active, readers.rule_strings(active))
     items = matched.withColumn("rule_name", F.try_element_at("rule_names", F.lit(-1)))
     sinks.write_quarantine(sinks.quarantine_rows(items, X.col(q_time), "rule_names"), path, mode)
+
+
+def write_updated_rules(rules: DataFrame, path: str) -> DataFrame:
+    """Store the merged rules of all feeds; returns (before, after, removed), counted by the job that writes them."""
+    came, stayed = Observation("came"), Observation("stayed")
+    counted = F.count(F.lit(1)).alias("n")
+    merged, _, _ = update_rules(rules.observe(came, counted))
+    merged.observe(stayed, counted).write.mode("overwrite").parquet(path)
+    before, after = came.get["n"], stayed.get["n"]
+    numbers = {"before": before, "after": after, "removed": before - after}
+    return rules.sparkSession.range(1).select(*[F.lit(n).cast("bigint").alias(c) for c, n in numbers.items()])

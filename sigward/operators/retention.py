@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigward import session
 from sigward.functions import fixed
 from sigward.functions import scalars as X
 
@@ -55,6 +56,30 @@ def expire(df: DataFrame, ts, as_of, days: int = fixed.EXPIRE_DAYS) -> tuple[Dat
     return df.where(~gone), df.where(gone), counts
 
 
+def expire_stored(spark: SparkSession, path: str, ts: str, as_of, days: int = fixed.EXPIRE_DAYS, day: str = "day") -> DataFrame:
+    """Take the expired rows out of a stored Parquet table whose folders are the dates of `ts`.
+
+    Returns (day, before, removed, remaining) of the days that lost rows. Only folders up to the day of the limit are read. The day that the
+    limit cuts is overwritten with what it keeps, as one commit of that partition; days without rows left lose their folder;
+    all others keep their files. Run again, as after a failure, it finds what is left to do. Rows without a time are kept.
+    """
+    stored = spark.read.parquet(path)
+    last = spark.range(1).select(before(stored, ts, as_of, days=days + 1).cast("date")).first()[0]
+    gone = F.coalesce(age_test(stored, ts, as_of, "+", days), F.lit(False))
+    old = stored.where(F.col(day) <= F.lit(last))
+    counts = old.groupBy(day).agg(F.count(F.lit(1)).alias("before"), F.count_if(gone).alias("removed")).where("removed > 0")
+    counts = session.written(counts.withColumn("remaining", F.col("before") - F.col("removed")), "expired-days")
+    # A row for each day there is.
+    emptied = [r[0] for r in counts.where("remaining = 0").select(day).collect()]
+    cut = counts.where("remaining > 0").select(day)
+    # What stays is safe in a table of its own before its folder is overwritten.
+    kept = session.written(old.where(~gone).join(F.broadcast(cut), day, "left_semi"), "kept-rows")
+    if not kept.isEmpty():
+        kept.hint("rebalance", day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+    session.remove_folders(spark, [f"{path.rstrip('/')}/{day}={d}" for d in emptied])
+    return counts
+
+
 def tier(df: DataFrame, ts, as_of) -> DataFrame:
     """Adds tier: hot (up to 7 whole days), compress (8 to 29), boundary (30), expired (31 and more)."""
     age = whole_days(ts, as_of)

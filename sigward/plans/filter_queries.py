@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sigward import session
 from sigward.functions import fixed
 from sigward.operators import aggregates, chains, filters, limits, matching, retention, sets, windows
 from sigward.plans import views as V
-from sigward.plans.registry import Tables, query
+from sigward.plans.registry import ORACLES, Tables, query
 from sigward.plans.source_queries import FILE_ENTRY, file_entry
 
 NOT_UNDER = "NOT (path = '{0}' OR starts_with(path, '{0}/'))"
@@ -168,6 +169,13 @@ def c1_update_rules_counts(t: Tables):
     return chains.update_rules(V.corpus(t).withColumn("body", F.col("text")))[2]
 
 
+@query("c1_update_rules_observed", ORACLES["c1_update_rules_counts"])
+def c1_update_rules_observed(t: Tables):
+    """The counts of the job that stores the merged rules."""
+    rules = V.corpus(t).withColumn("body", F.col("text"))
+    return chains.write_updated_rules(rules, session.scratch_dir(t.spark, "merged-rules"))
+
+
 THREATS_BY_SOURCE = f"""{V.MATCHES}, counts AS (
   SELECT source, count(m.path) AS threats, count(DISTINCT m.path) AS quarantined
   FROM files f LEFT JOIN matches m USING (path) GROUP BY source)"""
@@ -371,6 +379,20 @@ def r1_expire_kept(t: Tables):
     return retention.expire(t.lineitem, "l_shipdate", ship_as_of())[0].select("l_orderkey", "l_linenumber", "l_partkey")
 
 
+@query(
+    "r1_expire_stored",
+    f"""WITH {V.LOGS} SELECT CAST(ts AS DATE) AS day, event_id, ts FROM logs
+    WHERE floor(epoch(TIMESTAMP '2024-01-31 09:30:00' - ts) / 86400) <= 20""",
+)
+def r1_expire_stored(t: Tables):
+    """A stored table after its expired rows are taken out; the limit falls within a day."""
+    path = session.scratch_dir(t.spark, "stored-logs")
+    rows = V.logs(t).select("event_id", "ts", F.to_date("ts").alias("day"))
+    rows.hint("rebalance", "day").write.partitionBy("day").parquet(path)
+    retention.expire_stored(t.spark, path, "ts", F.lit("2024-01-31 09:30:00").cast("timestamp"), 20)
+    return t.spark.read.parquet(path).select("day", "event_id", V.ntz("ts").alias("ts"))
+
+
 @query(
     "r2_tier",
     f"""SELECT tier, count(*) AS n, min(l_shipdate) AS first_day FROM (

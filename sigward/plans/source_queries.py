@@ -229,6 +229,55 @@ def s14_compact_old_logs(t: Tables):
     return t.spark.read.text(out).select("log_date", "value")
 
 
+@query("s14_compact_small_files", f"WITH {V.LOGS} SELECT CAST(ts AS DATE) AS log_date, count(*) AS n_lines, CAST(1 AS BIGINT) AS n_files FROM logs GROUP BY 1")
+def s14_compact_small_files(t: Tables):
+    """A log written in six runs has six small files a day, and one after they are joined."""
+    out = scratch(t, "small-files")
+    for i in range(6):
+        sinks.write_daily_log(V.logs(t).where(F.col("event_id") % 6 == i), out)
+    sinks.compact_small_files(t.spark, out, 64 << 20)
+    rows = t.spark.read.text(out).select("log_date", F.col("_metadata.file_path").alias("file"))
+    return rows.groupBy("log_date").agg(F.count("*").alias("n_lines"), F.count_distinct("file").alias("n_files"))
+
+
+@query(
+    "s13_look_up_days",
+    f"""WITH {V.LOGS} SELECT CAST(ts AS DATE) AS log_date, level, count(*) AS n FROM logs
+    WHERE CAST(ts AS DATE) IN (SELECT CAST(max(ts) AS DATE) FROM events WHERE event_type = 'error' GROUP BY user_id % 3) GROUP BY ALL""",
+)
+def s13_look_up_days(t: Tables):
+    """Days found in another table prune the folders of a stored log when the plan runs."""
+    out = scratch(t, "day-log")
+    sinks.write_daily_log(V.logs(t), out)
+    errors = V.events(t).where("event_type = 'error'").groupBy((F.col("user_id") % 3).alias("k")).agg(F.to_date(F.max("ts")).alias("day"))
+    rows = readers.read_daily_logs(t.spark, out, errors.select("day"))
+    return rows.groupBy("log_date", "level").agg(F.count("*").alias("n"))
+
+
+def odd_alerts(t: Tables):
+    ident, k = F.col("event_id").cast("string"), F.col("event_id") % 6
+    shapes = [
+        '{"timestamp": "2024-01-31 10:00:00", "rule": {"id": "%s", "lev', '{"rule": {"id": "%s", "level": "high"}}', '{"other": "%s"}',
+        '{"rule": {"id": "%s", "level": 12, "groups": "yara"}}', '{"timestamp": "noon", "rule": {"id": "%s", "level": 3}}',
+        '{"timestamp": "2024-01-31 10:00:00", "rule": {"id": "%s", "level": 7, "description": null, "groups": ["a", "b"]}, "more": [1]}',
+    ]
+    line = F.element_at(F.array(*[F.lit(s) for s in shapes]), (k + 1).cast("int"))
+    return t.events.select("event_id", F.replace(line, F.lit("%s"), ident).alias("value"))
+
+
+@query(
+    "s3_alerts_of_any_shape",
+    """SELECT event_id, CASE WHEN event_id % 6 NOT IN (0, 2) THEN CAST(event_id AS VARCHAR) END AS id,
+      CASE event_id % 6 WHEN 3 THEN 12 WHEN 4 THEN 3 WHEN 5 THEN 7 END AS level, CASE WHEN event_id % 6 = 5 THEN 'a,b' END AS groups,
+      CASE event_id % 6 WHEN 0 THEN 'broken line' WHEN 1 THEN 'wrong type: level' WHEN 2 THEN 'no rule' WHEN 3 THEN 'wrong type: groups'
+        WHEN 4 THEN 'wrong type: timestamp' END AS reason FROM events""",
+)
+def s3_alerts_of_any_shape(t: Tables):
+    r = F.col("rule")
+    rows = readers.parse_alerts_of_any_shape(odd_alerts(t))
+    return rows.select("event_id", r["id"].alias("id"), r["level"].alias("level"), F.array_join(r["groups"], ",").alias("groups"), "reason")
+
+
 @query(
     "s15_snapshot_rules",
     f"WITH {V.CORPUS} SELECT '20240131_000000' AS snapshot, rule_no, rule_name, feed, md5(body) AS body_md5 FROM corpus",

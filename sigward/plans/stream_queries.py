@@ -60,6 +60,21 @@ def t1_stream_quarantine_alerts(t: Tables):
     return t.spark.read.text(f"{scan_output(t)}/alerts").select("value")
 
 
+BY_FOLDER = f"""{V.FILES}, by_folder AS (SELECT 'source=' || source || '/lang=' || lang AS path, content FROM files), {V.RULES}, {V.STRINGS}, {V.hits_sql('by_folder')}, {V.MATCHES_OF_HITS}"""
+
+
+@query("t1_stream_folder", f"WITH {BY_FOLDER} SELECT rule_name, path FROM matches")
+def t1_stream_folder(t: Tables):
+    """Files that arrive in a folder, twelve at a time: the texts of each source and language are one file."""
+    base = session.scratch_dir(t.spark, "stream-folder")
+    lines = t.documents.select(F.translate("text", "\n\r", "  ").alias("value"), "source", "lang")
+    lines.repartition(1).write.partitionBy("source", "lang").text(f"{base}/in")
+    files = jobs.watch_files(t.spark, f"{base}/in", max_files=12).withColumn("item_id", F.lit(0))
+    jobs.stream_scan(files, V.active_fixture(t), V.fixture_strings(t), f"{base}/out", f"{base}/checkpoint", F.col("mtime")).awaitTermination()
+    matches = t.spark.read.schema("rule_name STRING, path STRING").parquet(f"{base}/out/matches")
+    return matches.select("rule_name", F.regexp_extract("path", "(source=.*)/[^/]*$", 1).alias("path"))
+
+
 @query("t1_stream_quarantine_many", f"WITH {LETTERS} SELECT path, rules, sha256(content) AS sha256 FROM matched")
 def t1_stream_quarantine_many(t: Tables):
     """What the stream stores where there are many strings; each path comes twice with other contents."""

@@ -67,3 +67,10 @@ def spread_small(df: DataFrame) -> DataFrame:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, SPREAD_BELOW) else df
+
+
+def remove_folders(spark: SparkSession, folders: list[str]) -> None:
+    """Remove folders of a table, in whatever store they are. One that is gone already is no error, so this may be repeated."""
+    for folder in folders:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

@@ -108,6 +108,17 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return parse_log_lines(lines).select("ts", "level", "msg", "log_file", "line_no")
 
 
+def read_daily_logs(spark: SparkSession, path: str, days: DataFrame | None = None, day: str = "log_date") -> DataFrame:
+    """ts, level, msg and the day of a log stored in a folder for each day; with `days` (one date column), of those days only.
+
+    The days are joined by the folder's column, so folders of other days are not opened when the plan runs.
+    """
+    lines = spark.read.text(path)
+    if days is not None:
+        lines = lines.join(days.toDF(day).distinct(), day, "left_semi")
+    return parse_log_lines(lines).select("ts", "level", "msg", day)
+
+
 # ---- alerts
 
 
@@ -120,6 +131,26 @@ def read_alerts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ALERT_SCHEMA).json(path)
 
 
+ALERT_FIELDS = {"id": "string", "level": "int", "description": "string", "groups": "array<string>"}
+
+
+def parse_alerts_of_any_shape(df: DataFrame, line="value") -> DataFrame:
+    """Adds timestamp, rule and `reason`: why a line is no alert as expected, null for one that is.
+
+    A line that is no JSON is a `broken line`, one without a rule object has `no rule`, and one whose rule or time cannot be read as its type
+    has a `wrong type` in the field that is named; the fields that can be read are there all the same.
+    """
+    v = F.col("_alert")
+    at = lambda path, kind: F.try_variant_get(v, path, kind)
+    wrong = [F.when(at(f"$.rule.{c}", "variant").isNotNull() & at(f"$.rule.{c}", kind).isNull() & (at(f"$.rule.{c}", "string") != "null"), f"wrong type: {c}") for c, kind in ALERT_FIELDS.items()]
+    time = F.try_to_timestamp(at("$.timestamp", "string"))
+    wrong.append(F.when(at("$.timestamp", "variant").isNotNull() & time.isNull(), "wrong type: timestamp"))
+    reason = F.when(v.isNull(), "broken line").when(at("$.rule", "variant").isNull() | ~F.startswith(F.schema_of_variant(at("$.rule", "variant")), F.lit("OBJECT")), "no rule").otherwise(F.coalesce(*wrong))
+    rule = F.struct(*[at(f"$.rule.{c}", kind).alias(c) for c, kind in ALERT_FIELDS.items()])
+    parsed = df.withColumn("_alert", F.try_parse_json(F.col(line)))
+    return parsed.withColumns({"timestamp": time, "rule": rule, "reason": reason}).drop("_alert")
+
+
 # ---- monitored directories
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sigward import session
 from sigward.functions import fixed
 from sigward.functions import scalars as X
 from sigward.operators import retention
@@ -83,6 +85,46 @@ def compact_old_logs(df: DataFrame, as_of, path: str, ts="ts", mode: str = "over
     even.write.partitionBy("log_date").mode(mode).option("compression", "gzip").text(path)
 
 
+def plain_path(path) -> Column:
+    """A file's path as all readers write it."""
+    return F.regexp_replace(path, r"^file:/+", "/")
+
+
+def stored_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, length, modificationTime and the partition columns of the files of a table. Contents are not read."""
+    return spark.read.format("binaryFile").load(path).drop("content").withColumn("path", plain_path("path"))
+
+
+def compact_small_files(spark: SparkSession, path: str, target_bytes: int, day: str = "log_date", compression: str = "none") -> DataFrame:
+    """Join the small files of the days of a stored text log to files of about `target_bytes`.
+
+    Returns (day, files, small, slots) of the days that were rewritten: those with two files under the target or more. Their lines keep
+    their order by file and place. Such a day is overwritten as one commit of its partition, out of a table of its own, so a
+    failure leaves it as it was or as it should be; days without small files are not read.
+    """
+    files = stored_files(spark, path)
+    sizes = files.groupBy(day).agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("length") < target_bytes).alias("small"), F.sum("length").alias("bytes"))
+    due = sizes.where("small > 1").withColumn("slots", F.ceil(F.col("bytes") / target_bytes))
+    due = session.written(due.select(day, "files", "small", "slots"), "days-to-compact")
+    slots = due.agg(F.sum("slots")).first()[0]
+    if not slots:
+        return due
+    # Files are few beside their lines: a row for each file of a day.
+    earlier = W.partitionBy(day).orderBy("path").rowsBetween(W.unboundedPreceding, -1)
+    placed = files.join(due, day, "left_semi").select(
+        F.col("path").alias("file"), F.floor(F.coalesce(F.sum("length").over(earlier), F.lit(0)) / target_bytes).alias("slot")
+    )
+    row_in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    lines = spark.read.text(path).select(
+        "value", day, plain_path("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") + row_in_task).alias("place")
+    )
+    lines = lines.join(F.broadcast(due.select(day)), day, "left_semi").join(placed, "file")
+    joined = session.written(lines, "lines-to-compact").repartitionByRange(slots, day, "slot").sortWithinPartitions(day, "slot", "file", "place")
+    writer = joined.select("value", day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", compression)
+    writer.partitionBy(day).text(path)
+    return due
+
+
 def snapshot_rules(df: DataFrame, path: str, as_of) -> None:
     """A copy of the rule set in a folder named by the time of the copy."""
     stamped = df.withColumn("snapshot", F.date_format(as_of, "yyyyMMdd_HHmmss"))

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from sigward.functions import fixed
 from sigward.functions import scalars as X
 from sigward.operators import filters, matching, windows
-from sigward.sources import sinks
+from sigward.sources import readers, sinks
 
 LATENESS = "1 hour"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -29,6 +29,17 @@ def read_table_stream(spark: SparkSession, path: str, schema, files_per_trigger:
     return reader.parquet(path)
 
 
+def watch_files(spark: SparkSession, path: str, archive: str | None = None, max_files: int | None = None) -> DataFrame:
+    """Files as they arrive below `path`, with the columns of readers.scan_files. Scanned files move to `archive`, where given."""
+    reader = spark.readStream.format("binaryFile").schema("path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY")
+    reader = reader.option("recursiveFileLookup", True)
+    if archive:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.load(path).select(*readers.file_columns(F.regexp_replace("path", r"^file:/+", "/"), "content", "length", "modificationTime"))
+
+
 def bounded_intake(max_files: int = 1, every: str = "5 minutes") -> tuple[dict[str, str], dict[str, str]]:
     """(reader options, trigger arguments) that bound how much a micro-batch takes in and how often one runs."""
     return {"maxFilesPerTrigger": str(max_files)}, {"processingTime": every}
