@@ -47,11 +47,23 @@ def files_per_rule(matches: DataFrame) -> DataFrame:
     return matches.select("rule_name", "path").join(sizes, "rule_name")
 
 
-def file_lists(matches: DataFrame, parts: int) -> DataFrame:
+# Paths of a list in one row, where the number of parts is left to file_lists.
+LIST_FILES = 10_000
+
+
+def parts_needed(matches: DataFrame, most: int = LIST_FILES) -> int:
+    """Parts that keep the list of the rule with the most files under about `most` paths (one job over rule names)."""
+    longest = matches.groupBy("rule_name").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    return max(1, -(-2 * longest // most))
+
+
+def file_lists(matches: DataFrame, parts: int | None = None) -> DataFrame:
     """(rule_name, part, parts, n_files, files): the `|`-joined files of every rule in `parts` parts, the same number for all rules.
 
-    The caller chooses as many parts as keep the longest list within a row.
+    A list is one row, so there have to be as many parts as keep the longest one in a task's memory: by default parts_needed,
+    which counts first; a caller who knows the matches may say.
     """
+    parts = parts_needed(matches) if parts is None else parts
     placed = matches.withColumn("part", list_part("path", parts))
     lists = placed.groupBy("rule_name", "part").agg(
         F.count(F.lit(1)).alias("n_files"), X.array_to_list(F.sort_array(F.collect_list("path")), "|").alias("files")

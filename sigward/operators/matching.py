@@ -130,7 +130,31 @@ def longest(tokens: Column) -> Column:
     return F.array_max(F.transform(tokens, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
 
 
-def keyed(strings: DataFrame) -> DataFrame:
+def common_tokens(files: DataFrame, fraction: float = 0.01, most: int = 10_000) -> DataFrame:
+    """(token, n) of the tokens that come most often in a sample of the files; at most `most` rows. For rule_set: a string with several
+    whole tokens is then looked up by the rarest, not the longest, so that fewer files have to be verified. Hits are the same.
+    """
+    text = F.decode(F.col("content").cast("binary"), "ISO-8859-1")
+    tokens = files.sample(fraction, 7).select(F.explode(split_tokens(text)).alias("token")).where("token <> ''")
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return session.written(counts.orderBy(F.col("n").desc(), "token").limit(most), "common-tokens")
+
+
+def split_tokens(text) -> Column:
+    """The tokens of a text of bytes, empty ones among them. One character bounds tokens, so they are split without a pattern."""
+    return F.split(F.translate(text, BREAKS, " " * len(BREAKS)), " ")
+
+
+def rarest(rows: DataFrame, common: DataFrame) -> DataFrame:
+    """The rows of strings with `inner` reduced to the token that comes least, of those the longest one."""
+    ident = ["rule_key", "string_id", "text"]
+    tokens = rows.select(*ident, F.explode("inner").alias("token")).join(F.broadcast(common), "token", "left")
+    order = F.struct(F.coalesce("n", F.lit(0)), -F.length("token"), F.col("token"))
+    best = tokens.groupBy(*ident).agg(F.min_by("token", order).alias("best"))
+    return rows.join(best, ident, "left").withColumn("inner", F.when(F.size("inner") > 0, F.array("best")).otherwise(F.col("inner"))).drop("best")
+
+
+def keyed(strings: DataFrame, common: DataFrame | None = None) -> DataFrame:
     """Adds `text`, one character per byte, and `look_up`: a kind and a token by which files are found that may hold the string.
 
     A token with other characters on both sides is a whole token of such a file (w); one at the string's end starts a token of
@@ -142,7 +166,10 @@ def keyed(strings: DataFrame) -> DataFrame:
     # Parts of tokens are cut to few lengths, so that a token of a file is looked up few times.
     part = lambda c: F.greatest(*[F.when(F.length(c) >= g, g) for g in GRAMS])
     n, opens, closes = F.size("tokens"), F.col("text").rlike(f"^{TOKEN}"), F.col("text").rlike(f"{TOKEN}\\z")
-    inner = F.slice("tokens", 1 + opens.cast("int"), F.greatest(n - opens.cast("int") - closes.cast("int"), F.lit(0)))
+    rows = rows.withColumn("inner", F.slice("tokens", 1 + opens.cast("int"), F.greatest(n - opens.cast("int") - closes.cast("int"), F.lit(0))))
+    if common is not None:
+        rows = rarest(rows, common)
+    inner = F.col("inner")
     first, last = F.get("tokens", F.lit(0)), F.get("tokens", n - 1)
     key = (
         F.when(n == 0, "n")
@@ -151,7 +178,7 @@ def keyed(strings: DataFrame) -> DataFrame:
         .when(opens & (~closes | (F.length(first) >= F.length(last))), F.concat(F.lit("e"), F.right(first, part(first))))
         .otherwise(F.concat(F.lit("s"), F.left(last, part(last))))
     )
-    return rows.withColumn("look_up", key).drop("tokens")
+    return rows.withColumn("look_up", key).drop("tokens", "inner")
 
 
 def look_ups(t: Column, lengths: dict[str, list[int]]) -> Column:
@@ -182,8 +209,8 @@ class Keyed:
     bytes: int
 
 
-def look_up_table(strings: DataFrame) -> Keyed:
-    strings = keyed(strings)
+def look_up_table(strings: DataFrame, common: DataFrame | None = None) -> Keyed:
+    strings = keyed(strings, common)
     measured = strings.groupBy(F.substring("look_up", 1, 1).alias("kind")).agg(
         F.collect_set(F.length("look_up") - 1).alias("lengths"),
         F.max(F.length("text")).alias("longest"),
@@ -221,8 +248,8 @@ def pieces_with_hits(contents: DataFrame, keys: Keyed) -> DataFrame:
     own = F.array().cast("array<string>")
     if kinds:
         least = min(keys.lengths[k][0] for k in kinds)
-        # One character bounds tokens, so they are split without a pattern; short ones go before anything else is done.
-        tokens = F.filter(F.split(F.translate("_content", BREAKS, " " * len(BREAKS)), " "), lambda t: F.length(t) >= least)
+        # Short tokens go before anything else is done.
+        tokens = F.filter(split_tokens("_content"), lambda t: F.length(t) >= least)
         if kinds == {"w"}:
             own = F.transform(F.array_distinct(tokens), lambda t: F.concat(F.lit("w"), t))
         else:
@@ -331,13 +358,13 @@ class RuleSet:
     keys: Keyed | None
 
 
-def rule_set(rules: DataFrame, rule_strings: DataFrame) -> RuleSet:
-    """Measures rules and strings (small jobs), so that scans with them need none."""
+def rule_set(rules: DataFrame, rule_strings: DataFrame, common: DataFrame | None = None) -> RuleSet:
+    """Measures rules and strings (small jobs), so that scans with them need none. `common`: see common_tokens."""
     if ("rule_id" in rules.columns) != ("rule_id" in rule_strings.columns):
         raise ValueError("rules and their strings must both have rule_id, or neither")
     literal = bounded_rules(rules, rule_strings)
     wanted = prepared(rule_strings).join(rules.select(rule_key(rules)).distinct(), "rule_key", "left_semi")
-    return RuleSet(rules, literal, look_up_table(wanted) if literal is None else None)
+    return RuleSet(rules, literal, look_up_table(wanted, common) if literal is None else None)
 
 
 def scan(

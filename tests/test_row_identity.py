@@ -116,3 +116,20 @@ def test_stream_scan_needs_no_measuring_job_per_batch(spark):
     jobs = tracker.getJobIdsForGroup("planning")
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert not jobs
+
+
+def test_look_ups_by_the_rarest_token(spark):
+    """Tokens of most files are not what strings are looked up by, where a sample has shown them; the hits are the same."""
+    rng = random.Random(8)
+    rows = [(f"/p{i}", " ".join(["commonest", "word%d" % rng.randrange(200), "commonest", "x%d" % rng.randrange(9)])) for i in range(300)]
+    files = table(spark, rows)
+    rules, strings = many_rules(spark, 90)
+    strings = strings.withColumn("pattern", F.concat(F.lit(" "), F.regexp_replace("string_id", ".*", ""), F.lit("word"), F.regexp_extract("rule_name", "[0-9]+", 0), F.lit(" commonest ")))
+    common = matching.common_tokens(files, 1.0, 5)
+    assert common.first()["token"] == "commonest" and common.count() <= 5
+    ready = matching.rule_set(rules, strings, common)
+    assert {r["look_up"][:5] for r in ready.keys.strings.collect()} == {"wword"}
+    plain = matching.rule_set(rules, strings)
+    assert {r["look_up"] for r in plain.keys.strings.collect()} == {"wcommonest"}
+    found = [sorted(tuple(r) for r in matching.scan(files, s, None, [], []).collect()) for s in (ready, plain)]
+    assert found[0] == found[1] and len(found[0]) > 30
