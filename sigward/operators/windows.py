@@ -7,7 +7,6 @@ number of rows per host and second, however many events a hot host sends.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,48 +32,16 @@ def first_per_key(df: DataFrame, keys, order, n: int = 1) -> DataFrame:
     return df.withColumn("_rn", numbered(keys, order)).where(F.col("_rn") <= n).drop("_rn")
 
 
-BITS = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}
-# Digits a decimal has.
-PACKED_DIGITS = 38
-
-
-def packed(df: DataFrame, order) -> tuple[Column, list[Column]] | None:
-    """Whole-number columns as one decimal that sorts like them, nulls first, and the columns back from a decimal `_packed`.
-
-    None where a column is of another kind or the decimal has not the digits.
-    """
-    kinds = [df.schema[c].dataType.simpleString() for c in order]
-    if not all(k in BITS for k in kinds) or math.prod((1 << BITS[k]) + 1 for k in kinds) >= 10**PACKED_DIGITS:
-        return None
-    wide = f"decimal({PACKED_DIGITS},0)"
-    number = lambda n: F.lit(str(n)).cast(wide)
-    total, back, rest = number(0), [], F.col("_packed")
-    for c, k in zip(order, kinds):
-        own = F.coalesce((F.col(c).cast(wide) + number((1 << BITS[k] - 1) + 1)).cast(wide), number(0))
-        total = (total * number((1 << BITS[k]) + 1)).cast(wide) + own
-    for c, k in list(zip(order, kinds))[::-1]:
-        size = number((1 << BITS[k]) + 1)
-        own = (rest % size).cast(wide)
-        back.append(F.when(own != 0, (own - number((1 << BITS[k] - 1) + 1)).cast(k)).alias(c))
-        rest = F.floor(((rest - own).cast(wide) / size).cast(wide)).cast(wide)
-    return total.cast(wide), back[::-1]
-
-
 def dedupe_first(df: DataFrame, keys, order) -> DataFrame:
     """First occurrence of every key, by the given order columns.
 
-    A minimum over (order, other columns): copies are combined before the shuffle. Where the order is all that is kept beside the keys and
-    is of whole numbers, the minimum is one number and groups are hashed; otherwise Spark sorts rows to combine them. Ties of the
-    order fall to the smallest row. Columns without an order (maps) need the ranked way.
+    A minimum over (order, other columns): copies are combined before the shuffle, which Spark does by sorting, as a row is no number. An
+    order packed into one decimal is combined by hashing; it took 1.3 times as long on 95,000 and on 760,000 lines. Ties of the order fall
+    to the smallest row. Columns without an order (maps) need the ranked way.
     """
     rest = [c for c in df.columns if c not in [*keys, *order]]
     if any("map<" in df.schema[c].dataType.simpleString() for c in rest):
         return first_per_key(df, keys, order)
-    number = None if rest else packed(df, order)
-    if number is not None:
-        whole, back = number
-        first = df.select(*keys, whole.alias("_packed")).groupBy(*keys).agg(F.min("_packed").alias("_packed"))
-        return first.select(*keys, *back).select(*df.columns)
     first = df.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("_first"))
     picked = {c: F.col(c) for c in keys} | {c: F.col(f"_first.{c}").alias(c) for c in [*order, *rest]}
     return first.select(*[picked[c] for c in df.columns])
