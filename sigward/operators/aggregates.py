@@ -285,6 +285,18 @@ def health_score(metrics: DataFrame, kind: str = "weekly") -> DataFrame:
     return scored.withColumn("health", band("score", kind == "weekly"))
 
 
+def weekly_advice() -> Column:
+    """What the metrics (cpu, disk, detections, changes) call for, and general advice always."""
+    advice = [
+        F.when(F.floor("cpu") > 80, fixed.ADVICE_CPU),
+        F.when(F.floor("disk") > 80, fixed.ADVICE_DISK),
+        F.when(F.col("detections") > 0, fixed.ADVICE_DETECTIONS),
+        F.when(F.col("changes") > 100, fixed.ADVICE_CHANGES),
+        *[F.lit(text) for text in fixed.ADVICE_ALWAYS],
+    ]
+    return F.array_compact(F.array(*advice))
+
+
 def recommendations(metrics: DataFrame, kind: str = "weekly") -> DataFrame:
     """(host, advice) rows.
 
@@ -293,23 +305,17 @@ def recommendations(metrics: DataFrame, kind: str = "weekly") -> DataFrame:
     """
     hot, full = F.floor("cpu") > 80, F.floor("disk") > 80
     if kind == "weekly":
-        advice = [
-            F.when(hot, fixed.ADVICE_CPU),
-            F.when(full, fixed.ADVICE_DISK),
-            F.when(F.col("detections") > 0, fixed.ADVICE_DETECTIONS),
-            F.when(F.col("changes") > 100, fixed.ADVICE_CHANGES),
-            *[F.lit(text) for text in fixed.ADVICE_ALWAYS],
-        ]
+        advice = weekly_advice()
     else:
         metrics = health_score(metrics, "status").where(F.col("score") < fixed.STATUS_GOOD)
-        advice = [
+        advice = F.array_compact(F.array(
             F.when(~F.col("engine_ok"), fixed.STATUS_ENGINE),
             F.when(~F.col("agent_ok"), fixed.STATUS_AGENT),
             F.when(F.col("rules") == 0, fixed.STATUS_RULES),
             F.when(hot, fixed.STATUS_CPU),
             F.when(full, fixed.STATUS_DISK),
-        ]
-    return metrics.select("host", F.explode(F.array_compact(F.array(*advice))).alias("advice"))
+        ))
+    return metrics.select("host", F.explode(advice).alias("advice"))
 
 
 def changed_since(file_entry: DataFrame, as_of, hours: int = 24) -> DataFrame:

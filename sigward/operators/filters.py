@@ -118,11 +118,8 @@ def report_class(threats, quarantined) -> Column:
     return F.when(X.col(threats) > 0, "threats").when(X.col(quarantined) > 0, "quarantine").otherwise("clean")
 
 
-def issues(snapshots: DataFrame, components=fixed.COMPONENTS) -> DataFrame:
-    """(host, issue) rows of process snapshots.
-
-    `snapshots`: host, service_active, process_count and one column `<component>_kb` each, null when not running.
-    """
+def issue_list(components=fixed.COMPONENTS) -> Column:
+    """The issues of a process snapshot: service_active, process_count and one column `<component>_kb` each, null when not running."""
     found = [F.when(~F.col("service_active"), "Service not active")]
     for name in components:
         kb = F.col(f"{name}_kb")
@@ -130,4 +127,9 @@ def issues(snapshots: DataFrame, components=fixed.COMPONENTS) -> DataFrame:
         found.append(F.when(kb.isNull(), f"{name} not running").when(over, f"{name} memory exceeded"))
     many = F.concat(F.lit("Too many processes: "), F.col("process_count").cast("string"))
     found.append(F.when(F.col("process_count") > fixed.MAX_PROCESSES, many))
-    return snapshots.select("host", F.explode(F.array_compact(F.array(*found))).alias("issue"))
+    return F.array_compact(F.array(*found))
+
+
+def issues(snapshots: DataFrame, components=fixed.COMPONENTS) -> DataFrame:
+    """(host, issue) rows of process snapshots."""
+    return snapshots.select("host", F.explode(issue_list(components)).alias("issue"))

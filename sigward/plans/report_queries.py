@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from sigward.functions import fixed
 from sigward.functions import scalars as X
-from sigward.operators import aggregates, filters, windows
+from sigward.operators import aggregates, chains, filters, windows
 from sigward.plans import views as V
-from sigward.plans.filter_queries import LINES, REASON
+from sigward.plans.filter_queries import ISSUES, LINES, REASON
 from sigward.plans.match_queries import fleet
 from sigward.plans.registry import ORACLES, Tables, query
 from sigward.plans.source_queries import MONITORED, directories_xml
@@ -473,3 +473,53 @@ def w8_suppress_alerts(t: Tables):
 def w9_latest_per_key(t: Tables):
     scans = V.logs(t).where("action = 'scan_started'")
     return windows.latest_per_key(scans, ["host"], expected=V.fleet_hosts(t))
+
+
+def walk_sql(name: str, source: str, limit: int) -> str:
+    """CTEs that walk over the rows of a source host by host; `<name>_walk` has ok for each event."""
+    state = "a2 + 3600 < n.sec" if limit == 1 else "a1 + 3600 < n.sec"
+    return f"""{name} AS (SELECT host, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS sec, row_number() OVER (PARTITION BY host ORDER BY floor(epoch(ts)), ts, event_id) AS rn FROM {source}),
+      {name}_walk AS (SELECT host, rn, event_id, true AS ok, CAST(-9999999999 AS BIGINT) AS a1, sec AS a2 FROM {name} WHERE rn = 1
+        UNION ALL SELECT n.host, n.rn, n.event_id, {state}, CASE WHEN {state} THEN a2 ELSE a1 END, CASE WHEN {state} THEN n.sec ELSE a2 END
+        FROM {name}_walk w JOIN {name} n ON n.host = w.host AND n.rn = w.rn + 1)"""
+
+
+@query(
+    "c4_watchdog",
+    f"""WITH RECURSIVE {V.SNAPSHOTS}, found AS ({ISSUES}),
+      bad AS (SELECT user_id % 4 AS host, ts, e.event_id, count(*) AS n_issues FROM found f JOIN events e ON e.event_id = f.host GROUP BY ALL),
+      {walk_sql("n", "bad", 2)}, refused AS (SELECT bad.* FROM bad JOIN n_walk w USING (event_id) WHERE NOT ok),
+      {walk_sql("r", "refused", 1)}
+    SELECT bad.host, bad.event_id, n_issues, CASE WHEN w.ok THEN 'restart' ELSE 'refused' END AS decision,
+      CASE WHEN w.ok OR r.ok THEN 'sent' ELSE 'held back' END AS alert
+    FROM bad JOIN n_walk w USING (event_id) LEFT JOIN r_walk r ON r.event_id = bad.event_id""",
+)
+def c4_watchdog(t: Tables):
+    """Issues, restarts and alerts of process snapshots in one table."""
+    seen = V.events(t).select("event_id", "ts", (F.col("user_id") % 4).alias("host"))
+    snapshots = V.snapshots(t).withColumnRenamed("host", "event_id").join(seen, "event_id")
+    rows = chains.watchdog(snapshots)
+    return rows.select("host", "event_id", F.size("issues").cast("bigint").alias("n_issues"), "decision", "alert")
+
+
+WEEK = "CAST(ts AS DATE) BETWEEN DATE '2024-01-24' AND DATE '2024-01-30'"
+WEEK_ADVICE = " || ".join(
+    [f"CASE WHEN {test} THEN {V.quote(text + '|')} ELSE '' END" for test, text in (
+        ("floor(cpu) > 80", fixed.ADVICE_CPU), ("floor(disk) > 80", fixed.ADVICE_DISK), ("detections > 0", fixed.ADVICE_DETECTIONS), ("changes > 100", fixed.ADVICE_CHANGES))]
+    + [V.quote("|".join(fixed.ADVICE_ALWAYS))]
+)
+
+
+@query(
+    "c5_weekly_hosts",
+    f"""WITH {V.LOGS}, {V.METRICS}, week AS (SELECT host, count(*) FILTER ({ANY_CHANGE}) AS changes, count(*) FILTER (action = 'scan_started') AS scans,
+        count(*) FILTER (contains(msg, 'THREAT DETECTED')) AS detections FROM logs WHERE {WEEK} GROUP BY host),
+      rows AS (SELECT m.host, cpu, mem, disk, coalesce(w.changes, 0) AS changes, coalesce(w.scans, 0) AS scans, coalesce(w.detections, 0) AS detections
+        FROM metrics m LEFT JOIN week w ON m.host = w.host),
+      scored AS (SELECT *, {WEEKLY} AS score FROM rows)
+    SELECT host, changes, scans, detections, score, CASE WHEN score >= 80 THEN 'EXCELLENT' WHEN score >= 60 THEN 'GOOD' ELSE 'WARNING' END AS health,
+      {WEEK_ADVICE} AS advice FROM scored""",
+)
+def c5_weekly_hosts(t: Tables):
+    rows = chains.weekly_hosts(V.logs(t), V.metrics(t), V.LAST_DAY)
+    return rows.withColumn("advice", F.array_join("advice", "|"))
