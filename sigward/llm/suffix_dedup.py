@@ -5,8 +5,9 @@ Suffixes are ordered only through THRESHOLD bytes and only where two may be equa
 1. The first digit of a window is the smallest hash among its runs of GRAM bytes, a function of the window's bytes alone. It
    stays the same over a stretch of neighbouring windows, so a stretch, not a window, is sent: about one for 16 bytes,
    five bytes each, once for each slice of documents. Digits that only one document has are done with.
-2. Of the stretches that are left, about a tenth, the bytes are sent, to the digit's bucket. There the windows are put in order by the
-   hash of all their bytes; equal groups are exactly the repeated windows, and each has its smallest doc_id.
+2. Of the stretches that are left, about a tenth, the bytes are sent, to the digit's bucket. There the windows are put in order by passes
+   over their bytes, eight at a time from the most significant, until they differ or THRESHOLD bytes are read; equal groups are
+   exactly the repeated windows, and each has its smallest doc_id.
 
 A window that also starts in a document with a smaller doc_id is removed with all its bytes. Later copies of a whole text are
 removed by its digest and take no part. Texts move once, dealt into slices by hash, and all passes read that shuffle.
@@ -35,6 +36,8 @@ GRAM = 20
 SLICE_BYTES = 8 << 20
 # Bytes of text for each bucket of digits.
 BUCKET_BYTES = 24 << 20
+# Bytes of a bucket's stretches that are sorted at a time.
+TURN_BYTES = 1 << 20
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -133,7 +136,7 @@ def left_stretches(buckets: int, table: pa.Table, side: pa.Table) -> pa.Table:
         at = np.minimum(np.searchsorted(known, code), len(known) - 1)
         for k in np.flatnonzero(known[at] == code).tolist():
             s, e = int(starts[k]), int(starts[k + 1])
-            found.setdefault(int(bucket[k]), []).append((ids[i], i, s, text[s : e - 1 + THRESHOLD]))
+            found.setdefault(int(bucket[k]), []).append((ids[i], i, s, text[s : e - 1 + THRESHOLD], int(digits[k] >> np.uint64(56))))
     column = lambda rows, j, kind: np.array([r[j] for r in rows], dtype=kind).tobytes()
     number = table["slice"][0].as_py() if table.num_rows else 0
     rows = list(found.items())
@@ -141,32 +144,65 @@ def left_stretches(buckets: int, table: pa.Table, side: pa.Table) -> pa.Table:
         "bucket": pa.array([b for b, _ in rows], pa.int64()), "slice": pa.array([number] * len(rows), pa.int64()),
         "docs": pa.array([column(r, 0, "<i8") for _, r in rows], pa.binary()), "rows": pa.array([column(r, 1, "<i4") for _, r in rows], pa.binary()),
         "starts": pa.array([column(r, 2, "<i8") for _, r in rows], pa.binary()), "sizes": pa.array([np.array([len(x[3]) for x in r], dtype="<i4").tobytes() for _, r in rows], pa.binary()),
-        "bytes": pa.array([b"".join(x[3] for x in r) for _, r in rows], pa.binary()),
+        "bytes": pa.array([b"".join(x[3] for x in r) for _, r in rows], pa.binary()), "digit": pa.array([column(r, 4, "u1") for _, r in rows], pa.binary()),
     })
 
 
+def equal_groups(raw: np.ndarray, at: np.ndarray, depth: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the suffixes (starting at `at`) that are equal to another one through `depth` bytes, in order, and the number of their group.
+
+    A pass for each eight bytes, from the most significant; a group is split by them, and suffixes that are alone are in their place and
+    leave. Bytes are compared, so equal groups are exactly the repeated windows.
+    """
+    words = np.lib.stride_tricks.sliding_window_view(raw, 8)
+    left, group = np.arange(len(at)), np.zeros(len(at), dtype=np.int64)
+    for place in [*range(0, depth - 8, 8), depth - 8]:
+        if not len(left):
+            break
+        digit = words[at[left] + place].view(">u8").ravel().astype(np.uint64)
+        order = np.argsort(digit, kind="stable")
+        order = order[np.argsort(group[order], kind="stable")]
+        left, group, digit = left[order], group[order], digit[order]
+        starts = np.append(True, (group[1:] != group[:-1]) | (digit[1:] != digit[:-1]))
+        group = np.cumsum(starts) - 1
+        several = np.bincount(group)[group] > 1
+        left, group = left[several], group[several]
+        group = np.cumsum(np.append(True, group[1:] != group[:-1])) - 1 if len(group) else group
+    return left, group
+
+
 def repeated_windows(table: pa.Table) -> pa.Table:
-    """For each slice of a bucket, the runs (document, first window, past the last) of windows with a smaller document."""
+    """For each slice of a bucket, the runs (document, first window, past the last) of windows with a smaller document.
+
+    Stretches are sorted in turns of about TURN_BYTES by their digit's highest byte, as equal windows have one digit.
+    """
     joined = lambda c, kind: np.frombuffer(b"".join(table[c].to_pylist()), dtype=kind)
     docs, rows, starts, sizes = joined("docs", "<i8"), joined("rows", "<i4"), joined("starts", "<i8"), joined("sizes", "<i4").astype(np.int64)
-    raw = joined("bytes", np.uint8)
+    raw, digit = joined("bytes", np.uint8), joined("digit", np.uint8).astype(np.int64)
+    first = np.cumsum(sizes) - sizes
     per_row = [len(x) // 8 for x in table["docs"].to_pylist()]
-    windows = sizes - THRESHOLD + 1
-    owner = np.repeat(np.arange(len(sizes)), windows)
-    offset = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    hashes = gram_hashes(raw, THRESHOLD)[np.repeat(np.cumsum(sizes) - sizes, windows) + offset]
-    order = np.argsort(hashes, kind="stable")
-    _, first, inverse = np.unique(hashes[order], return_index=True, return_inverse=True)
-    smallest = np.minimum.reduceat(docs[owner][order], first)
-    repeats = np.empty(len(order), dtype=bool)
-    repeats[order] = smallest[inverse] < docs[owner][order]
-    edge = np.append(True, owner[1:] != owner[:-1])
-    begins = np.flatnonzero(repeats & (edge | ~np.append(False, repeats[:-1])))
-    past = np.flatnonzero(repeats & (np.append(edge[1:], True) | ~np.append(repeats[1:], False)))
-    own = owner[begins]
-    triples = np.stack([rows[own].astype("<i8"), starts[own] + offset[begins], starts[own] + offset[past] + 1], axis=1)
-    bounds = np.searchsorted(own, np.concatenate([[0], np.cumsum(per_row)]))
-    payload = [np.ascontiguousarray(triples[s:e]).tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+    turns = digit * min(256, len(raw) // TURN_BYTES + 1) >> 8
+    found = [np.zeros((0, 4), dtype="<i8")]
+    for turn in np.unique(turns).tolist():
+        mine = np.flatnonzero(turns == turn)
+        windows = sizes[mine] - THRESHOLD + 1
+        owner = np.repeat(np.arange(len(mine)), windows)
+        offset = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+        same, group = equal_groups(raw, first[mine][owner] + offset)
+        repeats = np.zeros(len(owner), dtype=bool)
+        if len(same):
+            doc = docs[mine][owner[same]]
+            smallest = np.minimum.reduceat(doc, np.flatnonzero(np.append(True, group[1:] != group[:-1])))
+            repeats[same] = smallest[group] < doc
+        edge = np.append(True, owner[1:] != owner[:-1])
+        begins = np.flatnonzero(repeats & (edge | ~np.append(False, repeats[:-1])))
+        past = np.flatnonzero(repeats & (np.append(edge[1:], True) | ~np.append(repeats[1:], False)))
+        own = mine[owner[begins]]
+        found.append(np.stack([own, rows[own].astype("<i8"), starts[own] + offset[begins], starts[own] + offset[past] + 1], axis=1))
+    runs = np.concatenate(found)
+    runs = runs[np.argsort(runs[:, 0], kind="stable")]
+    bounds = np.searchsorted(runs[:, 0], np.concatenate([[0], np.cumsum(per_row)]))
+    payload = [np.ascontiguousarray(runs[s:e, 1:]).tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
     n = table.num_rows
     return pa.table({"slice": table["slice"], "kind": pa.array(["run"] * n), "doc_id": pa.nulls(n, pa.int64()), "payload": pa.array(payload, pa.binary())})
 
@@ -222,7 +258,7 @@ def suffix_dedup(docs: DataFrame, slice_bytes: int = SLICE_BYTES, bucket_bytes:
     note = "slice long, kind string, doc_id long, payload binary"
     digits = texts.cogroup(later.groupBy("slice")).applyInArrow(partial(first_digits, buckets), "bucket long, slice long, digits binary, several binary")
     repeated = digits.groupBy("bucket").applyInArrow(repeated_digits, note)
-    stretch = "bucket long, slice long, docs binary, rows binary, starts binary, sizes binary, bytes binary"
+    stretch = "bucket long, slice long, docs binary, rows binary, starts binary, sizes binary, bytes binary, digit binary"
     left = texts.cogroup(later.unionByName(repeated).groupBy("slice")).applyInArrow(partial(left_stretches, buckets), stretch)
     runs = left.groupBy("bucket").applyInArrow(repeated_windows, note)
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
