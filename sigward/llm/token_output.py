@@ -82,8 +82,10 @@ def read_segment(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarr
     return [None if z else int(i) for i, z in zip(ids, null, strict=True)], lengths, ranks
 
 
-def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n (ids without the end id) and the ids of each text, compressed."""
+def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
+    """doc_id, n (ids without the end id) and the ids of each text, compressed; after them, for each task, a row with its counts of ids
+    (`seen`: ids of 4 bytes and counts of 8, one behind the other), the end ids included.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -91,17 +93,24 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
         make = tokens.encoder(path)
         squeeze = zstandard.ZstdCompressor(level=3).compress
         width = make.dtype.itemsize
+        total = np.zeros(make.vocabulary, dtype=np.int64)
+        names = ["doc_id", "n", "ids", "seen"]
         for batch in batches:
             for part in common.slices(iter([batch]), "text", RUN_BYTES):
                 ids, counts = make.encode(part.column("text"))
+                total += np.bincount(ids, minlength=make.vocabulary)
+                total[end] += len(counts)
                 ends = np.cumsum(counts)
                 blobs = []
                 for s, e in zip((ends - counts).tolist(), ends.tolist(), strict=True):
                     planes = ids[s:e].view(np.uint8).reshape(-1, width).T
                     blobs.append(squeeze(planes.tobytes()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary()), pa.nulls(len(blobs), pa.binary())], names)
+        there = np.flatnonzero(total)
+        seen = there.astype("<u4").tobytes() + total[there].astype("<u8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([seen], pa.binary())], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, ids binary, seen binary")
 
 
 def expand(blob: bytes, dtype: np.dtype) -> np.ndarray:
@@ -111,22 +120,20 @@ def expand(blob: bytes, dtype: np.dtype) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(dtype.itemsize, -1).T).reshape(-1).view(dtype)
 
 
-def rank_table(ids: DataFrame, vocabulary: int, dtype: np.dtype, end: int) -> np.ndarray:
-    """Ids by descending count over the whole corpus, the end ids included; the table is as long as the vocabulary."""
+def rank_table(table: DataFrame, vocabulary: int) -> np.ndarray:
+    """Ids by descending count over the whole corpus, from the tasks' counts; the table is as long as the vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(vocabulary, dtype=np.int64)
         for batch in batches:
-            seen[end] += batch.num_rows
-            for blob in batch.column("ids"):
-                seen += np.bincount(expand(blob.as_py(), dtype), minlength=vocabulary) if len(blob.as_py()) > 40_000 else 0
-            small = [expand(b.as_py(), dtype) for b in batch.column("ids") if len(b.as_py()) <= 40_000]
-            if small:
-                seen += np.bincount(np.concatenate(small), minlength=vocabulary)
+            for blob in batch.column("seen").to_pylist():
+                n = len(blob) // 12
+                seen[np.frombuffer(blob, dtype="<u4", count=n)] += np.frombuffer(blob, dtype="<u8", offset=4 * n).astype(np.int64)
         there = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(seen[there], pa.int64())], ["id", "n"])
 
-    counts = ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    tasks = table.select("seen").where("seen IS NOT NULL")
+    counts = tasks.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     full = np.zeros(vocabulary, dtype=np.int64)
     full[counts["id"].to_numpy(dtype=np.int64)] = counts["n"].to_numpy(dtype=np.int64)
     return np.argsort(-full, kind="stable").astype(np.uint32)
@@ -137,8 +144,9 @@ def write(docs: DataFrame, path: str, end: int, partitions: int | None = None) -
     spark = docs.sparkSession
     make = tokens.encoder(path)
     dtype, vocabulary = make.dtype, make.vocabulary
-    ids = session.written(encoded(docs, path), "token-ids")
-    by_rank = rank_table(ids, vocabulary, dtype, end)
+    table = session.written(encoded(docs, path, end), "token-ids")
+    by_rank = rank_table(table, vocabulary)
+    ids = table.where("seen IS NULL").drop("seen")
     rank = np.empty(vocabulary, dtype=np.uint32)
     rank[by_rank] = np.arange(vocabulary, dtype=np.uint32)
 

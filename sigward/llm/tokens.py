@@ -17,8 +17,8 @@ import pyarrow.compute as pc
 
 # White space of Unicode as pre-tokenizers see it; two in a row make a cut at a blank unsure.
 TWO_SPACES = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
-# Pieces that a worker remembers between runs; the rest is encoded once per run.
-REMEMBERED = 400_000
+# Pieces that a worker remembers between runs, and the longest of them; the rest is encoded once per run.
+REMEMBERED, LONGEST = 800_000, 64
 SEPARATOR = "\x00"
 
 
@@ -86,9 +86,8 @@ class Encoder:
         new = [i for i, f in enumerate(found) if f is None]
         for i, b in zip(new, self._pieces([keys[i] for i in new]), strict=True):
             found[i] = b
-        if len(memory) < REMEMBERED and new:
-            often = np.bincount(pieces.indices.to_numpy(zero_copy_only=False), minlength=len(keys)) > 1
-            memory.update((keys[i], found[i]) for i in new if often[i])
+        if len(memory) < REMEMBERED:
+            memory.update((keys[i], found[i]) for i in new if len(keys[i]) <= LONGEST)
         lengths = np.fromiter((len(f) for f in found), dtype=np.int64, count=len(found)) // self.dtype.itemsize
         return np.frombuffer(b"".join(found), dtype=self.dtype), np.cumsum(lengths) - lengths, lengths
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from sigward.llm import language, ngram_join, tokens
+from sigward.llm import language, ngram_join, suffix_dedup, tokens
 from test_operators import WORDS, make_rows, table, vocabulary, words_of
 
 
@@ -104,3 +104,26 @@ def test_pipeline_keeps_one_of_near_copies_by_five_words(spark):
     kept = corpus_pipeline.keep_one_of_each_group(spark, docs, "").select("doc_id", "text").collect()
     assert Counter(tuple(r) for r in kept) == Counter(r[:2] for r in rows if r[0] is None or groups[r[0]] == r[0])
     assert not {r["doc_id"] for r in kept} & set(range(6001, 6040, 2))
+
+
+def test_groups_of_equal_suffixes():
+    """Passes over the bytes find exactly the suffixes that are equal to the depth, in order."""
+    rng = np.random.default_rng(3)
+    for depth in (8, 9, 20, 50):
+        raw = np.concatenate([rng.integers(97, 99, 300), np.tile(rng.integers(97, 123, 70), 5), np.zeros(120)]).astype(np.uint8)
+        at = rng.permutation(len(raw) - depth + 1)
+        found, group = suffix_dedup.equal_groups(raw, at, depth)
+        texts = [raw[p : p + depth].tobytes() for p in at.tolist()]
+        n = Counter(texts)
+        assert sorted(found.tolist()) == [i for i, t in enumerate(texts) if n[t] > 1]
+        in_order = [texts[i] for i in found.tolist()]
+        assert in_order == sorted(in_order) and len(set(zip(group.tolist(), in_order))) == len(set(group.tolist())) == len(set(in_order))
+
+
+def test_a_digit_in_many_documents(spark, monkeypatch):
+    """A passage in a third of 3,000 documents, sorted in small turns: all but the first copy go."""
+    monkeypatch.setattr(suffix_dedup, "TURN_BYTES", 4000)
+    passage = "a passage that very many of the documents of this table hold, word for word. "
+    rows = [(i, (passage if i % 3 == 0 else "") + f"own words {i} " + "".join(chr(97 + (i * k) % 26) for k in range(1, 60)), "en", "a") for i in range(3000)]
+    found = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.suffix_dedup(table(spark, rows)).select("doc_id", "n_removed").collect()}
+    assert found[0] == 0 and all(found[i] >= len(passage) for i in range(3, 3000, 3))
