@@ -42,7 +42,7 @@ def test_no_nested_loops(spark, name):
 def test_python_runs_only_in_the_limiters(spark, name):
     plan = plan_of(QUERIES[name](spark, SF_DIR))
     python = any(node in plan for node in ("MapInPandas", "EvalPython", "FlatMapGroupsInPandas", "MapInArrow"))
-    assert python == (name in ("w7_limit_restarts", "w8_suppress_alerts"))
+    assert python == (name in ("w7_limit_restarts", "w8_suppress_alerts", "c4_watchdog"))
 
 
 def test_scan_is_one_narrow_pass(spark, tables):
