@@ -177,19 +177,23 @@ def accepted_seconds(events: DataFrame, limit: int, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, accepted = None, []
         for batch in batches:
-            rows_of, secs = [], [np.zeros(0, dtype=np.int64)]
+            rows_of, secs, many = [], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
             keys = zip(*(batch.column(c).to_pylist() for c in ("host", "run", "slice", "bits")))
             for i, (own, number, piece, bits) in enumerate(keys):
                 if (own, number) != current:
                     current, accepted = (own, number), []
                 places = np.flatnonzero(np.unpackbits(np.frombuffer(bits, dtype=np.uint8), bitorder="little"))
                 sec = piece * span + places // limit
-                secs.append(sec[accept_positions(sec, accepted, limit, window)])
-                rows_of.extend([i] * len(secs[-1]))
-            yield pa.RecordBatch.from_arrays([batch.column("host").take(pa.array(rows_of, pa.int64())), pa.array(np.concatenate(secs))], ["host", "sec"])
+                # A second lies in one slice, so its events are all here.
+                passed, n = np.unique(sec[accept_positions(sec, accepted, limit, window)], return_counts=True)
+                secs.append(passed)
+                many.append(n)
+                rows_of.extend([i] * len(n))
+            hosts = batch.column("host").take(pa.array(rows_of, pa.int64()))
+            yield pa.RecordBatch.from_arrays([hosts, pa.array(np.concatenate(secs)), pa.array(np.concatenate(many))], ["host", "sec", "accepted"])
 
     in_order = rows.repartition("host", "run").sortWithinPartitions("host", "run", "slice")
-    return in_order.mapInArrow(run, f"host {host}, sec bigint").groupBy("host", "sec").agg(F.count(F.lit(1)).alias("accepted"))
+    return in_order.mapInArrow(run, f"host {host}, sec bigint, accepted bigint")
 
 
 def limit_events(events: DataFrame, limit: int, window: int) -> DataFrame:
