@@ -6,11 +6,14 @@ Small sets enumerate fixed-size subsets: every set left by so few deletions is a
 share proves an overlap of s. The set of fewest elements under a key is linked with all that any set there is linked
 with, so a key gives a row for each set and no pairs.
 
-Large sets are met through inverted lists. Where each set would scan the lists of all corpus, lists are first cut into families: elements
+Large sets are met through inverted lists. Where each set would scan the lists of all corpus, lists are first cut into families. Elements
 are dealt by hash into more parts than sets of that size can differ by, so linked sets agree in a whole part, and the
-parts' contents are keys. Families, the components of sets that share a key, hold all links; within one, a set scans the
-inverted lists of its elements and counts overlaps exactly, until all sets that have not scanned are in one component.
-A family of over FAMILY sets is scanned in pairs of blocks.
+parts' contents are keys. Under a key, sets are held against each other by sketches: elements dealt into twice as many places as sets can differ
+by, one byte for each place. Linked sets differ in no more places than they may in elements, so a pair that differs in more is
+no link, and families, the components of the pairs left, hold all links. Chance agreement in one part joins no families. Within one, a set
+scans the inverted lists of its elements and counts overlaps exactly, until all sets that have not scanned are in one component.
+To hold few sets against each other, each set first meets the smallest set of the key it has most keys in common with; then only keys whose
+sets are not in one component are walked, and keys of the same sets once. More than FAMILY sets under a key or in a family are scanned in pairs of blocks.
 
 The boundary between small and large is the one of the least cost: subsets to enumerate against parts and elements to
 send, summed over the sizes there are.
@@ -137,12 +140,26 @@ def part_keys(sets: np.ndarray, sizes: np.ndarray, share: int = SHARE) -> tuple[
     return all_keys[order], np.bincount(all_owners, minlength=len(sizes))
 
 
+def sketches(sets: np.ndarray, sizes: np.ndarray, back: int, share: int = SHARE) -> list[bytes]:
+    """For each set a byte for each place of its size class (back = 0) or of the class below (back = 1); empty where there is no such class."""
+    starts = size_classes(int(sizes.max(initial=0)), share)
+    scheme = np.searchsorted(starts, sizes, side="right") - 1 - back
+    places = np.where(scheme >= 0, 2 * differ(starts[np.maximum(scheme, 0) + 1] - 1, share), 0)
+    ends = np.cumsum(places)
+    owner = np.repeat(np.arange(len(sizes)), np.where(places > 0, sizes, 0))
+    element = sets[np.repeat(places > 0, sizes)]
+    at = (ends - places)[owner] + ((mix(element * A) >> np.uint64(33)).astype(np.int64) % np.maximum(places, 1)[owner])
+    sums = np.bincount(at, (mix(element + C) >> np.uint64(56)).astype(np.float64), int(ends[-1]) if len(ends) else 0)
+    flat = (sums.astype(np.int64) & 255).astype(np.uint8)
+    return [flat[e - n : e].tobytes() for e, n in zip(ends.tolist(), places.tolist(), strict=True)]
+
+
 def ragged(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values.view(np.int64)))
 
 
 def described(docs: DataFrame, gram: int = GRAM, share: int = SHARE) -> DataFrame:
-    """doc_id, n, two sums that tell sets apart, the part keys of larger sets and the elements of smaller ones."""
+    """doc_id, n, two sums that tell sets apart, the part keys and sketches of larger sets and the elements of smaller ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,9 +171,12 @@ def described(docs: DataFrame, gram: int = GRAM, share: int = SHARE) -> DataFram
                 keys, n_keys = part_keys(sets, sizes, share)
                 small = sizes <= MOST_SMALL
                 few = ragged(sets[np.repeat(small, sizes)], np.where(small, sizes, 0))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(one), pa.array(two), ragged(keys, n_keys), few], ["doc_id", "n", "f1", "f2", "keys", "elements"])
+                own, below = (pa.array(sketches(sets, sizes, back, share), pa.binary()) for back in (0, 1))
+                columns = [part.column("doc_id"), pa.array(sizes), pa.array(one), pa.array(two), ragged(keys, n_keys), few, own, below]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "f1", "f2", "keys", "elements", "own", "below"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, keys array<long>, elements array<long>")
+    schema = "doc_id long, n long, f1 long, f2 long, keys array<long>, elements array<long>, own binary, below binary"
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def subsets_of(n: int, share: int = SHARE) -> int:
@@ -267,18 +287,113 @@ def elements_of(docs: DataFrame, gram: int = GRAM) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, blocks array<string>, elements binary").select("doc_id", F.explode("blocks").alias("block"), "elements")
 
 
+def in_blocks(members: DataFrame, group: str, node: str, size: str) -> DataFrame:
+    """The members with `blocks`: a group of `size` members is cut into blocks of FAMILY, and each pair of blocks is one to scan."""
+    parts = F.ceil(F.col(size) / FAMILY).cast("int")
+    own = F.pmod(F.xxhash64(node), parts).cast("int")
+    pair = lambda i: F.concat_ws(":", F.col(group).cast("string"), F.least(i, own).cast("string"), F.greatest(i, own).cast("string"))
+    return members.withColumn("blocks", F.transform(F.sequence(F.lit(0), parts - 1), pair))
+
+
+def plausible_pairs(pairs: DataFrame, share: int = SHARE) -> DataFrame:
+    """The pairs (a, b) whose sketches do not rule out a link; a_ and b_ mark the columns n, own and below of either set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = []
+            for one in batch.select(["a_n", "a_own", "a_below", "b_n", "b_own", "b_below"]).to_pylist():
+                (n, own, _), (m, larger, below) = sorted([(one["a_n"], one["a_own"], one["a_below"]), (one["b_n"], one["b_own"], one["b_below"])])
+                starts = size_classes(m, share)
+                apart = np.diff(np.searchsorted(starts, [n, m], side="right"))[0]
+                other = larger if apart == 0 else below
+                gap = apart > 1 or np.count_nonzero(np.frombuffer(own, np.uint8) != np.frombuffer(other, np.uint8)) > differ(n, share)
+                held.append(not gap)
+            yield batch.select(["a", "b"]).filter(pa.array(held, pa.bool_()))
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
+def plausible_groups(members: DataFrame, share: int = SHARE) -> DataFrame:
+    """Edges (a, b) that leave sets of a block in one component where sketches allow links between them.
+
+    Members are (block, doc_id, component, n, own, below), where sets of one component need not be held against each other."""
+
+    def joined(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, own: list[bytes], below: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        starts = size_classes(int(sizes.max()), share)
+        kind = np.searchsorted(starts, sizes, side="right")
+        # Sets of the lowest class and of the one above were dealt into the same places; others met by chance.
+        fits = np.flatnonzero(kind <= kind.min() + 1)
+        table = np.stack([np.frombuffer(own[i] if kind[i] == kind.min() else below[i], np.uint8) for i in fits])
+        _, component = np.unique(labels[fits], return_inverse=True)
+        bound = np.array([differ(int(n), share) for n in sizes[fits]])
+        waiting = np.ones(len(fits), dtype=bool)
+        a, b = [], []
+        while True:
+            left = np.flatnonzero(waiting)
+            values, counts = np.unique(component[left], return_counts=True)
+            if len(values) < 2:
+                break
+            x = left[component[left] != values[np.argmax(counts)]][0]
+            waiting[x] = False
+            near = np.flatnonzero((component != component[x]) & (np.count_nonzero(table != table[x], axis=1) <= np.minimum(bound, bound[x])))
+            for y in near:
+                if component[y] != component[x]:
+                    a.append(x)
+                    b.append(y)
+                    component[component == component[y]] = component[x]
+        return ids[fits][np.array(a, dtype=np.int64)], ids[fits][np.array(b, dtype=np.int64)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def edges(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            blocks = rows.column("block").to_numpy()
+            ids, labels, sizes = (rows.column(c).to_numpy() for c in ("doc_id", "component", "n"))
+            own, below = (rows.column(c).to_pylist() for c in ("own", "below"))
+            cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
+            found = [joined(ids[i:j], labels[i:j], sizes[i:j], own[i:j], below[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        # Rows come in order of block; the last block of a batch waits for its rest.
+        kept = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch] if kept is None else [*kept.to_batches(), batch])
+            blocks = rows.column("block")
+            start = int(np.flatnonzero(blocks.to_numpy() == blocks[-1].as_py())[0]) if len(rows) else 0
+            if start:
+                yield from edges(rows.slice(0, start))
+            kept = rows.slice(start)
+        if kept is not None and len(kept):
+            yield from edges(kept)
+
+    # Rows of a block follow each other, whatever tasks adaptive execution merges.
+    return members.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long")
+
+
+def families(sets: DataFrame, share: int = SHARE) -> DataFrame:
+    """node and component of the sets (doc_id, n, keys, own, below) that a link may join to another."""
+    # Both uses of the keys read one shuffle.
+    keys = sets.select("doc_id", F.explode("keys").alias("key")).repartition("key")
+    groups = keys.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"))
+    of_sets = groups.where("c > 1").groupBy("c", "x", "y").agg(F.min("key").alias("key"), F.count("*").alias("weight"))
+    members = session.written(keys.join(of_sets.select("key", "weight"), "key").select("key", "weight", "doc_id"), "members")
+    first = members.groupBy("key").agg(F.min("doc_id").alias("hub"))
+    common_keys = members.join(first, "key").where("doc_id <> hub").groupBy("doc_id", "hub").agg(F.sum("weight").alias("w"))
+    best = common_keys.groupBy("doc_id").agg(F.min(F.struct((-F.col("w")).alias("w"), "hub"))["hub"].alias("hub"))
+    side = lambda name: sets.select(F.col("doc_id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n", "own", "below")])
+    pairs = best.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).join(side("a"), "a").join(side("b"), "b")
+    near = session.written(plausible_pairs(pairs, share).distinct(), "near")
+    label = graph.components(near).select(F.col("node").alias("doc_id"), "component")
+    labelled = members.drop("weight").join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    opened = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("g")).where("low < high")
+    rest = in_blocks(labelled.join(opened.select("key", "g"), "key"), "key", "doc_id", "g").select("doc_id", "component", F.explode("blocks").alias("block"))
+    rest = rest.join(sets.select("doc_id", "n", "own", "below"), "doc_id")
+    return graph.components(near.unionByName(plausible_groups(rest, share)))
+
+
 def large_links(docs: DataFrame, sets: DataFrame, first_large: int, gram: int = GRAM, share: int = SHARE) -> DataFrame:
     """Edges between large sets. `sets` holds one document for each distinct set."""
-    keys = session.written(sets.where(F.col("n") >= first_large).select("doc_id", F.explode("keys").alias("key")), "keys")
-    hubs = keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").select("key", "hub")
-    near = keys.join(hubs, "key").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
-    families = graph.components(near)
-    sizes = families.groupBy("component").agg(F.count("*").alias("g"))
-    # A family in b blocks is scanned as all pairs of blocks, each with all the sets of both.
-    blocks = F.ceil(F.col("g") / FAMILY).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("b")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda i: F.concat_ws(":", "component", F.least(i, own).cast("string"), F.greatest(i, own).cast("string")))
-    members = families.join(sizes, "component").withColumn("b", blocks).select(F.col("node").alias("doc_id"), pairs.alias("blocks"))
+    found = families(sets.where(F.col("n") >= first_large), share)
+    sizes = found.groupBy("component").agg(F.count("*").alias("g"))
+    members = in_blocks(found.join(sizes, "component"), "component", "node", "g").select(F.col("node").alias("doc_id"), "blocks")
     members = session.written(members, "families")
     side = F.broadcast(members) if members.count() <= BROADCAST_IDS and members.agg(F.max(F.size("blocks"))).first()[0] in (None, 1) else members
     return family_links(elements_of(docs.select("doc_id", "text").join(side, "doc_id"), gram), share)
