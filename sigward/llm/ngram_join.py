@@ -123,15 +123,17 @@ def part_keys(sets: np.ndarray, sizes: np.ndarray, share: int = SHARE) -> tuple[
             continue
         content = np.add.reduceat(mix(element[order] + B), first)
         doc = of[order][first]
+        # The lowest byte of a key tells the size class it was made for.
+        tag = lambda k, d: (k << np.uint64(8)) | (scheme[d] & 255).astype(np.uint64)
         # A part without elements says nothing, unless a set has more of them than parts to spare.
         filled = np.bincount(doc, minlength=len(sizes))
         bare = np.flatnonzero(fits & (parts - filled > SPARE))
         label = lambda d, p: mix(scheme[d].astype(np.uint64) * A + p.astype(np.uint64))
-        keys.append(mix(content + label(doc, there - base[doc])))
+        keys.append(tag(mix(content + label(doc, there - base[doc])), doc))
         owners.append(doc)
         for d in bare:
             empty = np.setdiff1d(np.arange(parts[d]), there[doc == d] - base[d])
-            keys.append(mix(label(np.full(len(empty), d), empty)))
+            keys.append(tag(mix(label(np.full(len(empty), d), empty)), np.full(len(empty), d)))
             owners.append(np.full(len(empty), d))
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(len(sizes), np.int64)
@@ -172,10 +174,11 @@ def described(docs: DataFrame, gram: int = GRAM, share: int = SHARE) -> DataFram
                 small = sizes <= MOST_SMALL
                 few = ragged(sets[np.repeat(small, sizes)], np.where(small, sizes, 0))
                 own, below = (pa.array(sketches(sets, sizes, back, share), pa.binary()) for back in (0, 1))
-                columns = [part.column("doc_id"), pa.array(sizes), pa.array(one), pa.array(two), ragged(keys, n_keys), few, own, below]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "f1", "f2", "keys", "elements", "own", "below"])
+                kind = np.searchsorted(size_classes(int(sizes.max(initial=0)), share), sizes, side="right") - 1
+                columns = [part.column("doc_id"), pa.array(sizes), pa.array(one), pa.array(two), ragged(keys, n_keys), few, pa.array(kind, pa.int32()), own, below]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "f1", "f2", "keys", "elements", "kind", "own", "below"])
 
-    schema = "doc_id long, n long, f1 long, f2 long, keys array<long>, elements array<long>, own binary, below binary"
+    schema = "doc_id long, n long, f1 long, f2 long, keys array<long>, elements array<long>, kind int, own binary, below binary"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -316,17 +319,14 @@ def plausible_pairs(pairs: DataFrame, share: int = SHARE) -> DataFrame:
 def plausible_groups(members: DataFrame, share: int = SHARE) -> DataFrame:
     """Edges (a, b) that leave sets of a block in one component where sketches allow links between them.
 
-    Members are (block, doc_id, component, n, own, below), where sets of one component need not be held against each other."""
-
-    def joined(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, own: list[bytes], below: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        starts = size_classes(int(sizes.max()), share)
-        kind = np.searchsorted(starts, sizes, side="right")
-        # Sets of the lowest class and of the one above were dealt into the same places; others met by chance.
-        fits = np.flatnonzero(kind <= kind.min() + 1)
-        table = np.stack([np.frombuffer(own[i] if kind[i] == kind.min() else below[i], np.uint8) for i in fits])
-        _, component = np.unique(labels[fits], return_inverse=True)
-        bound = np.array([differ(int(n), share) for n in sizes[fits]])
-        waiting = np.ones(len(fits), dtype=bool)
+    Members are (block, doc_id, component, n, sketch), where sets of one component need not be held against each other."""
+
+    def joined(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, sketch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        wide = max(map(len, sketch))
+        table = np.stack([np.frombuffer(x.ljust(wide, b"\0"), np.uint8) for x in sketch])
+        _, component = np.unique(labels, return_inverse=True)
+        bound = np.array([differ(int(n), share) for n in sizes])
+        waiting = np.ones(len(ids), dtype=bool)
         a, b = [], []
         while True:
             left = np.flatnonzero(waiting)
@@ -341,15 +341,15 @@ def plausible_groups(members: DataFrame, share: int = SHARE) -> DataFrame:
                     a.append(x)
                     b.append(y)
                     component[component == component[y]] = component[x]
-        return ids[fits][np.array(a, dtype=np.int64)], ids[fits][np.array(b, dtype=np.int64)]
+        return ids[np.array(a, dtype=np.int64)], ids[np.array(b, dtype=np.int64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def edges(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             blocks = rows.column("block").to_numpy()
             ids, labels, sizes = (rows.column(c).to_numpy() for c in ("doc_id", "component", "n"))
-            own, below = (rows.column(c).to_pylist() for c in ("own", "below"))
+            sketch = rows.column("sketch").to_pylist()
             cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
-            found = [joined(ids[i:j], labels[i:j], sizes[i:j], own[i:j], below[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
+            found = [joined(ids[i:j], labels[i:j], sizes[i:j], sketch[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in (0, 1)], ["a", "b"])
 
         # Rows come in order of block; the last block of a batch waits for its rest.
@@ -369,9 +369,9 @@ def plausible_groups(members: DataFrame, share: int = SHARE) -> DataFrame:
 
 
 def families(sets: DataFrame, share: int = SHARE) -> DataFrame:
-    """node and component of the sets (doc_id, n, keys, own, below) that a link may join to another."""
+    """node and component of the sets (doc_id, n, keys, kind, own, below) that a link may join to another."""
     # Both uses of the keys read one shuffle.
-    keys = sets.select("doc_id", F.explode("keys").alias("key")).repartition("key")
+    keys = sets.select("doc_id", F.explode("keys").alias("key")).where("key IS NOT NULL").repartition("key")
     groups = keys.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"))
     of_sets = groups.where("c > 1").groupBy("c", "x", "y").agg(F.min("key").alias("key"), F.count("*").alias("weight"))
     members = session.written(keys.join(of_sets.select("key", "weight"), "key").select("key", "weight", "doc_id"), "members")
@@ -384,8 +384,11 @@ def families(sets: DataFrame, share: int = SHARE) -> DataFrame:
     label = graph.components(near).select(F.col("node").alias("doc_id"), "component")
     labelled = members.drop("weight").join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     opened = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("g")).where("low < high")
-    rest = in_blocks(labelled.join(opened.select("key", "g"), "key"), "key", "doc_id", "g").select("doc_id", "component", F.explode("blocks").alias("block"))
-    rest = rest.join(sets.select("doc_id", "n", "own", "below"), "doc_id")
+    rest = in_blocks(labelled.join(opened.select("key", "g"), "key"), "key", "doc_id", "g").select("doc_id", "component", "key", F.explode("blocks").alias("block"))
+    # A set goes with the sketch of its key's size class; another set of the same doc_id, of none of these classes, drops out.
+    made_for = F.col("key").bitwiseAND(255)
+    sketch = F.when(F.pmod("kind", F.lit(256)) == made_for, F.col("own")).when(F.pmod(F.col("kind") - 1, F.lit(256)) == made_for, F.col("below"))
+    rest = rest.join(sets.select("doc_id", "n", "kind", "own", "below"), "doc_id").select("block", "doc_id", "component", "n", sketch.alias("sketch")).where("sketch IS NOT NULL")
     return graph.components(near.unionByName(plausible_groups(rest, share)))
 
 
