@@ -389,3 +389,24 @@ def test_top_k(spark):
     few = binary_search.top_k(df.where("vec_id < 4"), F.col("vec_id") == 0, 12).collect()
     assert len(few) == 3
     assert binary_search.top_k(df.where("vec_id < 0"), F.col("vec_id") == 0).count() == 0
+
+
+@pytest.mark.parametrize("at_once", [0, 10**9])
+def test_top_k_steps(spark, monkeypatch, at_once):
+    """One segment or all segments a step; vectors of two lengths, an id with two codes, a code that a third of the rows hold."""
+    monkeypatch.setattr(binary_search, "STEP_PROBES", at_once)
+    rnd = random.Random(11)
+    rows = [(i, [rnd.choice([-1.0, 0.0, 1.0, None]) for _ in range(23)]) for i in range(120)]
+    rows += [(300 + i, rows[7][1]) for i in range(60)] + [(500, [1.0] * 24), (20, rows[9][1]), (40, rows[40][1]), (None, rows[1][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    k = 9
+    found = sorted(tuple(r) for r in binary_search.top_k(df, F.col("vec_id") % 20 == 0, k).select("query_id", "rank", "vec_id", "distance").collect())
+    codes = sorted({(i, tuple(x is not None and x > 0 for x in e)) for i, e in rows if i is not None and len(e) == 23})
+    want = []
+    for q in sorted({i for i, _ in codes if i % 20 == 0}):
+        near = sorted((sum(a != b for a, b in zip(own, c, strict=True)), v) for i, own in codes if i == q for v, c in codes if v != q)[:k]
+        want += [(q, n + 1, v, d) for n, (d, v) in enumerate(near)]
+    assert found == sorted(want)
+    con = duckdb.connect()
+    con.register("embeddings", pa.table({"vec_id": pa.array([r[0] for r in rows], pa.int64()), "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float64()))}))
+    assert sorted(con.sql(f"SELECT query_id, rank, vec_id, distance FROM ({binary_search.oracle(20, k)})").fetchall()) == found
