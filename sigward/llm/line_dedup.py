@@ -4,7 +4,8 @@ A line's words (runs without ASCII white space) are its tokens; a token with a d
 number of tokens, the next LEADING levels the leading tokens. Within a leaf, a place where no token holds most of the
 leaf's distinct lines is a variable field too. A line that agrees with the leaf in all other places, which are CONSTANT of the
 line at least, has the leaf's template; any other line has its own tokens as template. A template that recurs, in
-MIN_DOCS documents or more, is dropped from all documents but the one of the smallest doc_id.
+MIN_DOCS documents or more, is dropped from all documents but the one of the smallest doc_id. A template of LONG_TOKENS tokens is a
+passage, which no two documents share by chance, so LONG_DOCS documents make it recur.
 
 Lines with fewer than MIN_TOKENS tokens, and blank ones, are never dropped: they are too short to be a passage. Rows are
 hashes and counts until a document's dropped places meet its text; a template that most documents hold is one row per task
@@ -25,6 +26,7 @@ from sigward import session
 LEADING = 3
 MIN_DOCS = 3
 MIN_TOKENS = 3
+LONG_TOKENS, LONG_DOCS = 50, 2
 # Generalised places are trusted in lines of GENERAL_TOKENS tokens or more, CONSTANT of which are the leaf's own.
 GENERAL_TOKENS, CONSTANT = 8, 0.7
 # Lines of such leaves (some 60 bytes each) that every task may hold; more are met by a shuffle.
@@ -88,29 +90,32 @@ def dropped(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     wider = session.written(generalised(lines_of(docs, rows, wide)), "generalised")
     named = texts.join(wider, "own", "left").withColumn("template", F.coalesce("as_leaf", "own"))
     # A leaf's template is held by documents of several lines; each document counts once.
-    general = named.where("as_leaf IS NOT NULL").select("own", "template")
-    held = rows.select("own", "doc_id").join(general, "own").select("template", "doc_id").distinct()
+    general = named.where("as_leaf IS NOT NULL").select("own", "n", "template")
+    held = rows.select("own", "doc_id").join(general.select("own", "template"), "own").select("template", "doc_id").distinct()
     counts = held.groupBy("template").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
-    recurring = named.where("as_leaf IS NULL").select("own", "docs", "first").unionByName(general.join(counts, "template").select("own", "docs", "first"))
-    recurring = recurring.where(F.col("docs") >= min_docs).select("own", "first")
+    held = general.join(counts, "template").select("own", "n", "docs", "first")
+    recurring = named.where("as_leaf IS NULL").select("own", "n", "docs", "first").unionByName(held)
+    needed = F.when(F.col("n") >= LONG_TOKENS, min(LONG_DOCS, min_docs)).otherwise(min_docs)
+    recurring = recurring.where(F.col("docs") >= needed).select("own", "first")
     return rows.select("own", "doc_id", "place").join(recurring, "own").where(F.col("doc_id") > F.col("first")).select("doc_id", "place").distinct()
 
 
 def with_kept(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """The documents with _kept (the remaining text), _lines and _dropped (numbers of lines)."""
-    rows = dropped(docs, min_docs).groupBy("doc_id").agg(F.collect_set("place").alias("_places")).withColumnRenamed("doc_id", "_of")
-    joined = docs.join(rows, F.col("doc_id") == F.col("_of"), "left")
-    all_lines = F.split("text", "\n")
-    left = F.filter(all_lines, lambda _, i: ~F.array_contains(F.coalesce("_places", F.array().cast("array<int>")), i))
-    kept = F.when(F.col("_of").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    n = F.when(F.col("text").isNull(), 0).otherwise(occurrences(F.col("text"), "\n") + 1)
-    return joined.select("*", kept.alias("_kept"), n.cast("long").alias("_lines"), F.when(F.col("text").isNull(), 0).otherwise(F.coalesce(F.size(F.col("_places")), F.lit(0))).cast("long").alias("_dropped"))
+    """row (a document with all its columns, as a struct, so no name can clash), kept (the remaining text), lines and dropped (numbers of lines)."""
+    places = dropped(docs, min_docs).groupBy("doc_id").agg(F.collect_set("place").alias("places")).withColumnRenamed("doc_id", "of")
+    joined = docs.select(F.struct("*").alias("row")).join(places, F.col("row.doc_id") == F.col("of"), "left")
+    text = F.col("row.text")
+    left = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(F.coalesce("places", F.array().cast("array<int>")), i))
+    kept = F.when(F.col("of").isNull(), text).otherwise(F.array_join(left, "\n"))
+    n = F.when(text.isNull(), 0).otherwise(occurrences(text, "\n") + 1)
+    gone = F.when(text.isNull(), 0).otherwise(F.coalesce(F.size("places"), F.lit(0)))
+    return joined.select("row", kept.alias("kept"), n.cast("long").alias("lines"), gone.cast("long").alias("dropped"))
 
 
 def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, n_lines, n_dropped and kept_sha256 of the remaining text (null for a null text)."""
     rows = with_kept(docs.select("doc_id", "text"), min_docs)
-    return rows.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.sha2(F.col("_kept").cast("binary"), 256).alias("kept_sha256"))
+    return rows.select("row.doc_id", F.col("lines").alias("n_lines"), F.col("dropped").alias("n_dropped"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 def oracle(min_docs: int = MIN_DOCS) -> str:
@@ -129,8 +134,9 @@ constant AS (SELECT leaf, pos, token FROM held WHERE c * 2 > total),
 leaves AS (SELECT leaf, count(*) AS constants FROM constant GROUP BY leaf),
 agree AS (SELECT m, leaf, n, count(*) AS c FROM tokens JOIN constant USING (leaf, pos, token) GROUP BY m, leaf, n),
 general AS (SELECT a.m, 'leaf ' || a.leaf AS template FROM agree a JOIN leaves USING (leaf) WHERE a.c = constants AND constants >= {CONSTANT} * a.n),
-named AS (SELECT l.doc_id, l.place, coalesce(g.template, 'own ' || l.m) AS template FROM long l LEFT JOIN general g USING (m)),
-recurring AS (SELECT template, min(doc_id) AS first FROM named GROUP BY template HAVING count(DISTINCT doc_id) >= {min_docs}),
+named AS (SELECT l.doc_id, l.place, l.n, coalesce(g.template, 'own ' || l.m) AS template FROM long l LEFT JOIN general g USING (m)),
+recurring AS (SELECT template, min(doc_id) AS first FROM named GROUP BY template 
+  HAVING count(DISTINCT doc_id) >= CASE WHEN min(n) >= {LONG_TOKENS} THEN {min(LONG_DOCS, min_docs)} ELSE {min_docs} END),
 gone AS (SELECT DISTINCT doc_id, place FROM named JOIN recurring USING (template) WHERE doc_id > first),
 left_ AS (SELECT r, string_agg(line, chr(10) ORDER BY place) FILTER (WHERE g.place IS NULL) AS kept, count(*) AS n, count(g.place) AS gone FROM each e LEFT JOIN gone g USING (doc_id, place) GROUP BY r)
 SELECT d.doc_id, coalesce(l.n, 0)::BIGINT AS n_lines, coalesce(l.gone, 0)::BIGINT AS n_dropped, CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(l.kept, '')) END AS kept_sha256

@@ -128,17 +128,18 @@ def mix(docs: DataFrame, entropy: float | None = None, max_repeats: float = MAX_
 
 def repeated(docs: DataFrame, **goal) -> DataFrame:
     """The documents, each as often as `mix` has it."""
-    key, own_key = ["doc_id", "source", "n_tokens"], ["doc_id", "source", "_mix_tokens"]
-    times = mix(docs, **goal).groupBy(*key).agg(F.count("*").alias("_mix_times")).select(*[F.col(c).alias(f"_mix_of_{c}") for c in key], "_mix_times")
-    counted = docs.withColumn("_mix_tokens", word_count(F.col("text")))
-    same = [F.col(a).eqNullSafe(F.col(f"_mix_of_{b}")) for a, b in zip(own_key, key, strict=True)]
+    key = ["doc_id", "source", "n_tokens"]
+    times = mix(docs, **goal).groupBy(*key).agg(F.count("*").alias("times")).select(*[F.col(c).alias(f"of_{c}") for c in key], "times")
+    # A document goes through as a struct, so that its columns may have any names.
+    counted = docs.select(F.struct("*").alias("row"), "doc_id", "source", word_count(F.col("text")).alias("n_tokens"))
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in key]
     rows = counted.join(times, same[0] & same[1] & same[2])
     # Rows that agree in the key share its number of passes.
-    alike = Window.partitionBy(*own_key)
-    rows = rows.withColumn("_mix_alike", F.count("*").over(alike)).withColumn("_mix_place", F.row_number().over(alike.orderBy("text")))
-    own = F.floor(F.col("_mix_times") / F.col("_mix_alike")) + (F.col("_mix_place") <= F.col("_mix_times") % F.col("_mix_alike")).cast("long")
-    many = rows.where(own > 0).withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), own.cast("int"))))
-    return many.select(*docs.columns)
+    alike = Window.partitionBy(*key)
+    rows = rows.withColumn("alike", F.count("*").over(alike)).withColumn("place", F.row_number().over(alike.orderBy("row.text")))
+    own = F.floor(F.col("times") / F.col("alike")) + (F.col("place") <= F.col("times") % F.col("alike")).cast("long")
+    many = rows.where(own > 0).withColumn("copy", F.explode(F.array_repeat(F.lit(1), own.cast("int"))))
+    return many.select("row.*")
 
 
 def oracle(max_repeats: float = MAX_REPEATS, block_tokens: int = BLOCK_TOKENS, seed: int = 0) -> str:

@@ -410,3 +410,14 @@ def test_top_k_steps(spark, monkeypatch, at_once):
     con = duckdb.connect()
     con.register("embeddings", pa.table({"vec_id": pa.array([r[0] for r in rows], pa.int64()), "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float64()))}))
     assert sorted(con.sql(f"SELECT query_id, rank, vec_id, distance FROM ({binary_search.oracle(20, k)})").fetchall()) == found
+
+
+def test_line_dedup_passages(spark):
+    """A line of 50 words or more recurs in two documents, a shorter one in three."""
+    passage, below = (" ".join(f"word{'x' * (i % 7)}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n)) for n in (50, 49))
+    texts = [f"{passage}\nsome first words", f"an own line here\n{passage}\n{below}", f"{below}\nthe words of the third", "a clean document of its own"]
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts)]
+    found = {r["doc_id"]: r["n_dropped"] for r in line_dedup.line_dedup(table(spark, rows)).collect()}
+    assert found == {0: 0, 1: 1, 2: 0, 3: 0}
+    columns = "doc_id, n_lines, n_dropped, kept_sha256"
+    assert bag(line_dedup.line_dedup(table(spark, rows)).select(*columns.split(", ")).collect()) == bag(twin(rows, line_dedup.oracle(), columns))

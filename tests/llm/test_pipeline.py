@@ -6,6 +6,8 @@ import hashlib
 import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from sigward import session
 from sigward.llm import language, line_dedup, mixing
@@ -65,3 +67,16 @@ def test_no_documents(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = session.written(stage(spark, docs, ""), name)
         assert docs.count() == 0
+
+
+def test_clashing_names(spark):
+    """Columns named like those the stages work with pass through all stages that return documents."""
+    names = ["_of", "_kept", "_lang", "_dropped", "row", "found", "kept", "of", "places", "lines", "dropped", "component_id", "_mix_tokens", "_mix_times", "_mix_place", "a.b"]
+    docs = table(spark, make_rows(4, 20)).withColumns({c: F.lit(i) for i, c in enumerate(names)})
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = session.written(stage(spark, docs, ""), name)
+        if name != "packing":
+            assert docs.columns == columns
+            assert docs.select(*[f"`{c}`" for c in names]).distinct().collect() == [tuple(range(len(names)))]
+    assert docs.count() > 0
