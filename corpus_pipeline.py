@@ -18,17 +18,19 @@ from sigward.llm.queries import vocabulary
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language stay, with the language that was found. Rows that share a doc_id stay if any of them does."""
-    found = language.identify(language.document_evidence(docs)).where("kept").groupBy("doc_id").agg(F.min("lang").alias("_lang"))
-    rows = docs.join(found.withColumnRenamed("doc_id", "_of"), F.col("doc_id").eqNullSafe(F.col("_of")))
-    return rows.withColumn("lang", F.col("_lang")).select(*docs.columns)
+    found = language.identify(language.document_evidence(docs)).where("kept").groupBy("doc_id").agg(F.min("lang").alias("found"))
+    # A document goes through the join as a struct, so that its columns may have any names.
+    rows = docs.select(F.struct("*").alias("row")).join(found, F.col("row.doc_id").eqNullSafe(F.col("doc_id")))
+    return rows.select(*[(F.col("found") if c == "lang" else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go from all documents but the first; a document left without any text goes too."""
     rows = line_dedup.with_kept(docs)
-    rows = rows.where((F.col("_dropped") == 0) | (F.trim(F.regexp_replace("_kept", line_dedup.SPACE, " ")) != ""))
-    n_chars = F.when(F.col("_dropped") == 0, F.col("n_chars")).otherwise(F.char_length("_kept").cast("long"))
-    return rows.withColumn("n_chars", n_chars).withColumn("text", F.col("_kept")).select(*docs.columns)
+    rows = rows.where((F.col("dropped") == 0) | (F.trim(F.regexp_replace("kept", line_dedup.SPACE, " ")) != ""))
+    n_chars = F.when(F.col("dropped") == 0, F.col("row.n_chars")).otherwise(F.char_length("kept").cast("long"))
+    new = {"n_chars": n_chars, "text": F.col("kept")}
+    return rows.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 # Near copies of the corpus: shingles of five words, a likeness of 0.8.
@@ -36,10 +38,10 @@ GRAM, SHARE = 5, 80
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are alike, the one of the smallest doc_id stays; rows without a doc_id stay."""
-    first = ngram_join.ngram_join(docs, GRAM, SHARE).where("doc_id = component_id").select(F.col("doc_id").alias("_of")).distinct()
-    kept = docs.join(first, F.col("doc_id") == F.col("_of"), "left_semi")
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """Of documents that are alike, the one of the smallest doc_id stays, with all its rows; rows without a doc_id stay."""
+    first = ngram_join.ngram_join(docs, GRAM, SHARE).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.select(F.struct("*").alias("row")).join(first, F.col("row.doc_id") == F.col("doc_id"), "left_semi").select("row.*")
+    return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
