@@ -3,17 +3,19 @@
 Hits belong to a file row and to a rule: two rows may share a path and two rules a name, and each is judged by itself. A
 rule is known by `rule_id` where its table has one, else by its name. A file is known by `file_key`: the source's own column of that
 name, or a hash of path and content, which is the same whenever and wherever it is computed. Rows that share it are equal, have the
-same hits, and come out as often as they came in. Two plans find the same rows:
+same hits, and come out as often as they came in. Three plans find the same rows:
 
 * a few strings are tested as literals in one narrow pass over the files (no join, no shuffle);
-* more are looked up by a token each, an equi-join with the tokens of each file, and verified where the content is. Contents are
+* more, up to session.TASK_BYTES, are held by every task, which looks them up by the tokens of each file where it was read (no join,
+  no shuffle); pieces of large files may be spread over tasks, then only what they hold is brought together;
+* still more are looked up by a token each, an equi-join with the tokens of each file, and verified where the content is. Contents are
   taken in overlapping pieces; those of large files may be spread over tasks.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from sigward import session
 from sigward.functions import fixed
 from sigward.functions import scalars as X
-from sigward.operators import filters
+from sigward.operators import filters, needles
 
 HIT_COLUMNS = ["path", "file_key", "rule_key", "rule_name", "string_id"]
 RULE_KEYS = ["rule_key", "rule_name", "string_id"]
@@ -30,7 +32,7 @@ TOKEN = "[A-Za-z0-9_]"
 BREAKS = "".join(c for c in map(chr, range(256)) if c != " " and not (c.isascii() and c.isalnum()) and c != "_")
 # A content is looked up in pieces of this many bytes.
 PIECE_BYTES = 1 << 20
-GRAMS = [1, 2, 3, 5, 8, 12, 20, 32]
+GRAMS = needles.GRAMS
 # Modifiers that change nothing for a text that is compared as it stands.
 KNOWN_MODIFIERS = ["ascii", "private"]
 
@@ -220,8 +222,34 @@ def look_up_table(strings: DataFrame, common: DataFrame | None = None) -> Keyed:
     return Keyed(strings, lengths, max((r["longest"] for r in measured), default=0), sum(r["bytes"] for r in measured))
 
 
-def pieces(files: DataFrame, overlap: int, piece_bytes: int = PIECE_BYTES, spread: bool = False) -> DataFrame:
-    """path, file_key, piece and its content, one character per byte. A piece goes on for `overlap` bytes into the next one.
+@dataclass(frozen=True)
+class Held:
+    """Strings that every task may hold: distinct needles, and for each the (rule_key, rule_name, string_id) that have it."""
+
+    needles: list[bytes]
+    owners: list[list[tuple]]
+
+
+def held(rows) -> Held:
+    """Rows of prepared strings by needle."""
+    owners: dict[bytes, list[tuple]] = {}
+    for r in rows:
+        owners.setdefault(bytes(r["needle"]), []).append(tuple(r[c] for c in RULE_KEYS))
+    return Held(list(owners), list(owners.values()))
+
+
+def held_rows(df: DataFrame, *cols: str) -> list | None:
+    """All rows of a table, or None when the named columns take more than session.TASK_BYTES (then no row travels)."""
+    return df.collect() if df.agg(session.text_bytes(*cols).alias("b")).first()["b"] <= session.TASK_BYTES else None
+
+
+def held_strings(strings: DataFrame) -> Held | None:
+    rows = held_rows(strings, "needle", *RULE_KEYS)
+    return None if rows is None else held(rows)
+
+
+def byte_pieces(files: DataFrame, overlap: int, piece_bytes: int = PIECE_BYTES, spread: bool = False) -> DataFrame:
+    """path, file_key, piece and its `_bytes`. A piece goes on for `overlap` bytes into the next one.
 
     With `spread`, pieces are dealt to all tasks by file and piece.
     """
@@ -234,10 +262,27 @@ def pieces(files: DataFrame, overlap: int, piece_bytes: int = PIECE_BYTES, sprea
     whole = F.array(F.struct(F.lit(0).alias("piece"), F.col("_bytes")))
     each = raw.select("path", "file_key", F.inline(F.when(size <= piece_bytes, whole).otherwise(cut)))
     if spread:
-        each = each.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_key", "piece")
+        each = each.repartition(session.shuffles(files.sparkSession), "file_key", "piece")
+    return each
+
+
+def pieces(files: DataFrame, overlap: int, piece_bytes: int = PIECE_BYTES, spread: bool = False) -> DataFrame:
+    """The same with the content as `_content`, one character per byte."""
+    each = byte_pieces(files, overlap, piece_bytes, spread)
     return each.select("path", "file_key", "piece", F.decode("_bytes", "ISO-8859-1").alias("_content"))
 
 
+def found_by_file(files: DataFrame, strings: Held, piece_bytes: int, spread: bool) -> DataFrame:
+    """path, file_key, the places of the needles that a file holds (`_found`) and how many equal rows this stands for (`_times`)."""
+    find = needles.finder(strings.needles)
+    if not spread:
+        return files.select("path", "file_key", find(F.col("content").cast("binary")).alias("_found"), F.lit(1).alias("_times"))
+    each = byte_pieces(files, max(map(len, strings.needles), default=1) - 1, piece_bytes, True)
+    each = each.select("path", "file_key", "piece", find("_bytes").alias("_found"))
+    whole = F.array_distinct(F.flatten(F.collect_set("_found"))).alias("_found")
+    return each.groupBy("path", "file_key").agg(whole, F.count_if(F.col("piece") == 0).cast("int").alias("_times"))
+
+
 def pieces_with_hits(contents: DataFrame, keys: Keyed) -> DataFrame:
     """(path, file_key, piece, rule_key, rule_name, string_id, text), once for each string and piece of a file row; contents are read
     once and stay in their task.
@@ -274,6 +319,11 @@ def as_often(df: DataFrame, times: str) -> DataFrame:
 
 def hits_by_token(files: DataFrame, strings: DataFrame, piece_bytes: int = PIECE_BYTES, spread: bool = False) -> DataFrame:
     """Hits of any number of prepared strings on files with a `file_key`."""
+    own = held_strings(strings)
+    if own is not None:
+        rows = found_by_file(files, own, piece_bytes, spread)
+        hits = rows.withColumn("_hits", needles.describer(own.owners)("_found")).select("path", "file_key", F.inline("_hits"), "_times")
+        return as_often(hits, "_times") if spread else hits.drop("_times")
     keys = look_up_table(strings)
     if not keys.lengths:
         return no_hits(files)
@@ -345,17 +395,29 @@ def eval_conditions(hits: DataFrame, rules: DataFrame) -> DataFrame:
 
 def conditions_met(per_rule: DataFrame, rules: DataFrame) -> DataFrame:
     """The rows of found string ids (`ids`) of a file and a rule for which the rule's condition holds, with its name."""
-    conditions = rules.select(rule_key(rules), "rule_name", "min_hits", "only_id")
+    conditions = rules.select(*rule_columns(rules))
     return per_rule.join(conditions, "rule_key").where(condition_met("ids", "min_hits", "only_id"))
 
 
 @dataclass(frozen=True)
 class RuleSet:
-    """Rules ready for scans: as rows where there are few, else as look-ups. Made once, used by any number of scans."""
+    """Rules ready for scans: as literals where there are few, as strings and rules that tasks hold, or else as look-ups. Made once, used
+    by any number of scans.
+    """
 
     rules: DataFrame
     literal: tuple[list, list] | None
-    keys: Keyed | None
+    held: tuple[Held, list] | None = None
+    strings: DataFrame | None = None
+    common: DataFrame | None = None
+
+    @cached_property
+    def keys(self) -> Keyed:
+        return look_up_table(self.strings, self.common)
+
+
+def rule_columns(rules: DataFrame) -> list[Column]:
+    return [rule_key(rules), F.col("rule_name"), F.col("min_hits"), F.col("only_id")]
 
 
 def rule_set(rules: DataFrame, rule_strings: DataFrame, common: DataFrame | None = None) -> RuleSet:
@@ -363,8 +425,15 @@ def rule_set(rules: DataFrame, rule_strings: DataFrame, common: DataFrame | None
     if ("rule_id" in rules.columns) != ("rule_id" in rule_strings.columns):
         raise ValueError("rules and their strings must both have rule_id, or neither")
     literal = bounded_rules(rules, rule_strings)
+    if literal is not None:
+        return RuleSet(rules, literal)
     wanted = prepared(rule_strings).join(rules.select(rule_key(rules)).distinct(), "rule_key", "left_semi")
-    return RuleSet(rules, literal, look_up_table(wanted, common) if literal is None else None)
+    strings = held_strings(wanted)
+    rows = None if strings is None else held_rows(rules.select(*rule_columns(rules)), "rule_key", "rule_name", "only_id")
+    ready = RuleSet(rules, None, None if rows is None else (strings, rows), wanted, common)
+    if ready.held is None:
+        ready.keys  # measured here, not by each scan
+    return ready
 
 
 def scan(
@@ -379,15 +448,17 @@ def scan(
     """Full scan: exclude, match, evaluate. One (rule_name, path) row per rule that fires on a file row.
 
     Deny-listed rules are left to the caller (filters.deny_rules). With few strings the whole scan is one narrow pass
-    without a shuffle; otherwise string hits are looked up and grouped per file and rule. Files of more than `large_bytes`, where
-    given, are cut into pieces that all tasks share.
+    without a shuffle, and so it is with strings that tasks may hold; otherwise string hits are looked up and grouped per file and rule.
+    Files of more than `large_bytes`, where given, are cut into pieces that all tasks share.
     """
     ready = rules if isinstance(rules, RuleSet) else rule_set(rules, rule_strings)
     wanted = filters.exclude_names(filters.exclude_dirs(files, excluded_dirs), excluded_names)
     if large_bytes is not None:
         small, large = split_by_size(wanted, large_bytes)
-        by_piece = fired_by_token(with_file_key(large), with_look_ups(ready, rule_strings), piece_bytes, True)
+        by_piece = fired_by_token(with_file_key(large), with_held(ready), piece_bytes, True)
         return scan(small, ready, None, [], []).unionByName(as_often(by_piece, "_times").select("rule_name", "path"))
+    if ready.held is not None:
+        return with_held_rules(wanted, ready, "_names").select(F.explode("_names").alias("rule_name"), "path")
     if ready.literal is None:
         return as_often(fired_by_token(with_file_key(wanted), ready), "_times").select("rule_name", "path")
     # The outer form keeps the planner from testing all needles a second time in a filter below.
@@ -398,11 +469,15 @@ def scan(
 def matched_files(files: DataFrame, rules: DataFrame | RuleSet, rule_strings: DataFrame | None = None) -> DataFrame:
     """Files on which a rule fires, all columns kept, with `rule_names` (sorted). For sinks that need the content.
 
-    With few strings the contents stay where they were read; otherwise the rules found are joined back to the files by file_key.
+    With strings that tasks may hold the contents stay where they were read; otherwise the rules found are joined back to the files by
+    file_key.
     """
     ready = rules if isinstance(rules, RuleSet) else rule_set(rules, rule_strings)
     if ready.literal is not None:
         return with_fired_rules(files, *ready.literal).where(F.size("rule_names") > 0)
+    if ready.held is not None:
+        fired = with_held_rules(files, ready, "_names").where(F.size("_names") > 0)
+        return fired.select(*files.columns, F.sort_array(F.array_compact("_names")).alias("rule_names"))
     known = with_file_key(files)
     fired = fired_by_token(known, ready)
     names = fired.groupBy("file_key").agg(F.sort_array(F.collect_list("rule_name")).alias("rule_names"))
@@ -411,7 +486,7 @@ def matched_files(files: DataFrame, rules: DataFrame | RuleSet, rule_strings: Da
 
 def bounded_rules(rules: DataFrame, rule_strings: DataFrame) -> tuple[list, list] | None:
     """Rules and their strings as rows, or None when either has more than LITERAL_STRINGS."""
-    rule_rows = bounded_rows(rules.select(rule_key(rules), "rule_name", "min_hits", "only_id"), session.LITERAL_STRINGS)
+    rule_rows = bounded_rows(rules.select(*rule_columns(rules)), session.LITERAL_STRINGS)
     if rule_rows is None:
         return None
     mine = rule_strings.where(rule_key(rule_strings).isin([r["rule_key"] for r in rule_rows]))
@@ -419,23 +494,32 @@ def bounded_rules(rules: DataFrame, rule_strings: DataFrame) -> tuple[list, list
     return None if rows is None else (rule_rows, rows)
 
 
-def with_look_ups(ready: RuleSet, rule_strings: DataFrame | None) -> RuleSet:
-    """The same rules with look-ups, also where there are few strings."""
-    if ready.keys is not None:
-        return ready
-    rows = ready.rules.sparkSession.createDataFrame(ready.literal[1], "rule_key STRING, rule_name STRING, string_id STRING, needle BINARY")
-    return RuleSet(ready.rules, ready.literal, look_up_table(rows))
+def with_held(ready: RuleSet) -> RuleSet:
+    """The same rules as strings that tasks hold, also where there are few strings."""
+    return ready if ready.literal is None else RuleSet(ready.rules, None, (held(ready.literal[1]), ready.literal[0]))
+
+
+def with_held_rules(files: DataFrame, ready: RuleSet, name: str) -> DataFrame:
+    """The files with the names of the rules that fire on them, in no order; one narrow pass."""
+    strings, rules = ready.held
+    found = needles.finder(strings.needles)(F.col("content").cast("binary"))
+    return files.withColumn(name, needles.judge(strings.owners, [tuple(r) for r in rules])(found))
 
 
 def fired_by_token(files: DataFrame, ready: RuleSet, piece_bytes: int = PIECE_BYTES, spread: bool = False) -> DataFrame:
-    """(path, file_key, rule_key, rule_name, _times) of the rules that fire on a file, which came `_times` times."""
+    """(path, file_key, rule_name, _times) of the rules that fire on a file, which came `_times` times."""
+    if ready.held is not None:
+        strings, rules = ready.held
+        rows = found_by_file(files, strings, piece_bytes, spread)
+        named = rows.withColumn("_names", needles.judge(strings.owners, [tuple(r) for r in rules])("_found"))
+        return named.select("path", "file_key", F.explode("_names").alias("rule_name"), "_times")
     if not ready.keys.lengths:
-        return no_hits(files).select("path", "file_key", "rule_key", "rule_name", F.lit(1).alias("_times"))
+        return no_hits(files).select("path", "file_key", "rule_name", F.lit(1).alias("_times"))
     found = pieces_with_hits(pieces(files, ready.keys.longest - 1, piece_bytes, spread), ready.keys)
     per_rule = found.groupBy("path", "file_key", "rule_key").agg(
         F.collect_set("string_id").alias("ids"), times_found("string_id", "text", "piece").alias("_times")
     )
-    return conditions_met(per_rule, ready.rules).select("path", "file_key", "rule_key", "rule_name", "_times")
+    return conditions_met(per_rule, ready.rules).select("path", "file_key", "rule_name", "_times")
 
 
 def with_fired_rules(files: DataFrame, rules, rows) -> DataFrame:

@@ -1,0 +1,150 @@
+"""Which of many needles a content holds: small helpers of tasks, over Arrow batches.
+
+A needle is looked for by one of its tokens: a whole token of the content where it has other characters on both sides, else the
+end, the start or any part of one. What a token may stand for is worked out when a task first meets it.
+"""
+
+from __future__ import annotations
+
+import re
+
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+TOKEN = re.compile(rb"[A-Za-z0-9_]+")
+SPACED = bytes(c if TOKEN.fullmatch(bytes([c])) else 32 for c in range(256))
+# Parts of tokens are cut to few lengths, so that a token is looked up few times.
+GRAMS = [1, 2, 3, 5, 8, 12, 20, 32]
+# Tokens are taken from so many bytes at a time, and so many of them are remembered, up to a length.
+PIECE_BYTES, KNOWN_TOKENS, KNOWN_LENGTH = 1 << 20, 400_000, 64
+
+
+class Needles:
+    def __init__(self, needles: list[bytes]):
+        self.needles = needles
+        self.longest = max(map(len, needles), default=0)
+        self.untold: list[int] = []
+        self.whole: dict[bytes, list[int]] = {}
+        self.parts: dict[bytes, list[tuple[int, bytes, bool, bool]]] = {}
+        for i, needle in enumerate(needles):
+            tokens = TOKEN.findall(needle)
+            opens, closes = bool(TOKEN.match(needle)), bool(TOKEN.match(needle[-1:]))
+            inner = tokens[opens : len(tokens) - closes]
+            if not tokens:
+                self.untold.append(i)
+            elif inner:
+                self.whole.setdefault(max(inner, key=len), []).append(i)
+            else:
+                # The first token of a needle ends one of the content, the last one starts one; a bare token may be inside of one.
+                first = opens and (not closes or len(tokens[0]) >= len(tokens[-1]))
+                key = tokens[0] if first else tokens[-1]
+                bare = opens and closes and len(tokens) == 1
+                part = key[: max(g for g in GRAMS if g <= len(key))]
+                self.parts.setdefault(part, []).append((i, key, first and not bare, not first))
+        self.lengths = sorted({len(p) for p in self.parts})
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, tuple[int, ...]] = {}
+        self.doubtful: dict[bytes, tuple[int, ...]] = {}
+        self.dull: set[bytes] = set()
+
+    def look_up(self, token: bytes) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        """The needles that a token holds, and those it may be a part of."""
+        sure, perhaps = set(), set(self.whole.get(token, ()))
+        for n in self.lengths:
+            for at in range(len(token) - n + 1):
+                for i, key, ends, starts in self.parts.get(token[at : at + n], ()):
+                    if token.endswith(key) if ends else token.startswith(key) if starts else key in token:
+                        (sure if self.needles[i] == key else perhaps).add(i)
+        return tuple(sure), tuple(perhaps)
+
+    def learn(self, token: bytes) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        """Looks a token up and remembers it."""
+        hits = sure, perhaps = self.look_up(token)
+        if len(self.known) + len(self.doubtful) + len(self.dull) >= KNOWN_TOKENS:
+            self.forget()
+        if len(token) <= KNOWN_LENGTH:
+            if perhaps:
+                self.doubtful[token] = perhaps
+            if sure or perhaps:
+                self.known[token] = sure
+            else:
+                self.dull.add(token)
+        return hits
+
+    def found(self, content: bytes) -> list[int]:
+        """The places of the needles that the content holds, ascending."""
+        sure, perhaps = set(), set(self.untold)
+        for at in range(0, len(content), PIECE_BYTES):
+            piece = content if len(content) <= PIECE_BYTES else content[at : at + PIECE_BYTES + self.longest - 1]
+            for token in set(piece.translate(SPACED).split()) - self.dull:
+                holds = self.known.get(token)
+                if holds is None:
+                    holds, part = self.learn(token)
+                    perhaps.update(part)
+                elif token in self.doubtful:
+                    perhaps.update(self.doubtful[token])
+                sure.update(holds)
+        sure.update(i for i in perhaps - sure if self.needles[i] in content)
+        return sorted(sure)
+
+
+def finder(needles: list[bytes]):
+    """Function of a binary column: the places of the needles that each content holds."""
+    own = Needles(needles)
+
+    def find(contents: pa.Array) -> pa.Array:
+        return pa.array([own.found(c.as_py()) if c.is_valid else [] for c in contents], pa.list_(pa.int32()))
+
+    # A plan would move a deterministic function into filters and run it twice.
+    return F.arrow_udf(find, "array<int>").asNondeterministic()
+
+
+HIT = "struct<rule_key:string,rule_name:string,string_id:string>"
+
+
+def describer(owners: list[list[tuple]]):
+    """Function of a column of places: the distinct (rule_key, rule_name, string_id) that have those needles."""
+    kinds = list(dict.fromkeys(o for own in owners for o in own))
+    at = {o: i for i, o in enumerate(kinds)}
+    places = [[at[o] for o in own] for own in owners]
+    table = [[o[k] for o in kinds] for k in range(3)]
+
+    def describe(found: pa.Array) -> pa.Array:
+        values = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in table], ["rule_key", "rule_name", "string_id"])
+        return taken(values, [sorted({p for i in ids for p in places[i]}) for ids in found.to_pylist()])
+
+    return F.arrow_udf(describe, f"array<{HIT}>").asNondeterministic()
+
+
+def judge(owners: list[list[tuple]], rules: list[tuple]):
+    """Function of a column of places: the names of the rules (rule_key, rule_name, min_hits, only_id) whose condition holds."""
+    of: dict[str, list[int]] = {}
+    for r, rule in enumerate(rules):
+        of.setdefault(rule[0], []).append(r)
+    names = [rule[1] for rule in rules]
+
+    def fired(ids: list[int]) -> list[int]:
+        strings: dict[str, set] = {}
+        for i in ids:
+            for key, _, string_id in owners[i]:
+                strings.setdefault(key, set()).add(string_id)
+        out = []
+        for key, own in strings.items():
+            own.discard(None)
+            for r in of.get(key, ()):
+                _, _, needed, only = rules[r]
+                if only in own if only is not None else needed is not None and len(own) >= needed:
+                    out.append(r)
+        return out
+
+    def judged(found: pa.Array) -> pa.Array:
+        return taken(pa.array(names, pa.string()), [fired(ids) for ids in found.to_pylist()])
+
+    return F.arrow_udf(judged, "array<string>").asNondeterministic()
+
+
+def taken(values: pa.Array, lists: list[list[int]]) -> pa.Array:
+    places = pa.array(lists, pa.list_(pa.int32()))
+    return pa.ListArray.from_arrays(places.offsets, values.take(places.values))

@@ -192,7 +192,8 @@ def files_twice(t: Tables):
 @query("m4_matched_files_many", f"WITH {LETTERS} SELECT path, rules, sha256(content) AS sha256 FROM matched")
 def m4_matched_files_many(t: Tables):
     """Contents of the files that match one of many strings, behind an exchange."""
-    found = matching.matched_files(files_twice(t).repartition(4), *letter_rules(t))
+    files = files_twice(t)
+    found = matching.matched_files(files.repartition(session.shuffles(t.spark)), *letter_rules(t))
     return found.select("path", F.array_join("rule_names", ",").alias("rules"), X.sha256_hex("content").alias("sha256"))
 
 

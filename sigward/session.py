@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 # A side is broadcast on request only below this many bytes; beyond it the join shuffles.
 BROADCAST_BYTES = 128 * 1024 * 1024
+# Strings and rules that every task may hold as a list.
+TASK_BYTES = 16 * 1024 * 1024
 # Rule strings tested as literals in one pass over the files.
 LITERAL_STRINGS = 64
 
@@ -54,6 +56,11 @@ def fits_broadcast(df: DataFrame, *cols: str) -> bool:
     return df.agg(text_bytes(*cols).alias("b")).first()["b"] <= BROADCAST_BYTES
 
 
+def shuffles(spark: SparkSession) -> int:
+    """Partitions that a shuffle has in this session."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 SPREAD_BELOW = 32
 
 

@@ -1,0 +1,72 @@
+"""Many strings that tasks hold: the same hits as brute force, in one narrow pass; the join takes over beyond the bound."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+
+from sigward import session
+from sigward.operators import matching, needles
+
+WORDS = ["ab", "abc", "bcde", "zz_9", "Word", "é", "-", "longertoken", "x"]
+
+
+def contents(rng, n):
+    out = ["".join(rng.choice([*WORDS, " ", ".", "\n", "_"]) for _ in range(rng.randrange(12))) for _ in range(n)]
+    return [None if i % 37 == 5 else c for i, c in enumerate(out)]
+
+
+def make(spark, rows):
+    return spark.createDataFrame([(p, "f", None if c is None else len(c.encode()), c) for p, c in rows], "path STRING, name STRING, size_bytes BIGINT, content STRING")
+
+
+def many(spark, rng):
+    strings = [(f"R{i % 7}" if i % 11 else None, f"${i % 5}" if i % 13 else None, "text", "".join(rng.choice([*WORDS, " ", "."]) for _ in range(rng.randint(1, 3)))) for i in range(90)]
+    rules = [(f"R{i}", (1, 2, 3, None, 0, 4, 5)[i], "$1" if i in (2, 3) else None) for i in range(7)] + [("R1", 1, None)]
+    return (
+        spark.createDataFrame(rules, "rule_name STRING, min_hits INT, only_id STRING"),
+        spark.createDataFrame(strings, "rule_name STRING, string_id STRING, kind STRING, pattern STRING"),
+    )
+
+
+def test_needles_are_found_as_by_brute_force(monkeypatch):
+    rng = random.Random(1)
+    monkeypatch.setattr(needles, "PIECE_BYTES", 5)
+    monkeypatch.setattr(needles, "KNOWN_TOKENS", 20)
+    own = list({"".join(rng.choice([*WORDS, " ", "."]) for _ in range(rng.randint(1, 3))).encode() for _ in range(150)} | {b"\xff", b"\xc3"})
+    table = needles.Needles(own)
+    for c in contents(rng, 400):
+        content = (c or "").encode() + rng.choice([b"", b"\xff ab"])
+        assert table.found(content) == [i for i, n in enumerate(own) if n in content]
+
+
+@pytest.mark.parametrize("how", [{}, {"large_bytes": 9, "piece_bytes": 4}])
+def test_scans_agree_with_the_join(spark, monkeypatch, how):
+    rng = random.Random(2)
+    rows = [(f"/f{i % 50}" if i % 31 else None, c) for i, c in enumerate(contents(rng, 120))]
+    files = make(spark, rows + rows[:20])
+    rules, strings = many(spark, rng)
+
+    def results():
+        scanned = matching.scan(files, rules, strings, [], [], **how)
+        hits = matching.match_strings(files, strings, **how)
+        stored = matching.matched_files(files, rules, strings)
+        return [sorted(map(repr, df.collect())) for df in (scanned, hits, stored)]
+
+    ready = matching.rule_set(rules, strings)
+    assert ready.literal is None and ready.held is not None
+    by_list = results()
+    monkeypatch.setattr(session, "TASK_BYTES", 0)
+    assert matching.rule_set(rules, strings).held is None
+    assert by_list == results() and all(len(r) > 20 for r in by_list)
+
+
+def test_many_strings_move_no_content(spark):
+    """Neither hits nor contents are shuffled or joined, as their number grows with the files."""
+    rules, strings = many(spark, random.Random(3))
+    files = make(spark, [("/a", "abc Word")])
+    for df in (matching.matched_files(files, rules, strings), matching.scan(files, rules, strings, [], []), matching.match_strings(files, strings)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+        assert 1 <= plan.count("ArrowEvalPython") <= 2
