@@ -31,6 +31,8 @@ def quarantine_matches(files: DataFrame, rules: DataFrame, q_time, path: str, mo
     """
     working, _ = matching.validate_rules(rules)
     active, _ = filters.deny_rules(working)
+    # Rules are parsed and checked once, not by each job that measures them.
+    active = session.written(active, "active-rules")
     wanted = filters.exclude_names(filters.exclude_dirs(files))
     matched = matching.matched_files(wanted, active, readers.rule_strings(active))
     items = matched.withColumn("rule_name", F.try_element_at("rule_names", F.lit(-1)))
