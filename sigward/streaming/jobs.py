@@ -107,6 +107,20 @@ def stream_scan(
     return start_batches(files, write, checkpoint, **trigger)
 
 
+def stream_hits(files: DataFrame, rule_strings: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """The hits of every arriving file below `out` (path, rule_key, rule_name, string_id), for conditions over several files.
+
+    Files are excluded by folder and name as in stream_scan.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        wanted = filters.exclude_names(filters.exclude_dirs(batch))
+        hits = matching.match_strings(wanted, rule_strings).drop("file_key").distinct()
+        hits.write.mode("overwrite").parquet(batch_folder(out, batch_id))
+
+    return start_batches(files, write, checkpoint, **trigger)
+
+
 # ---- windowed counts
 
 
