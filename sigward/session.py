@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 # A side is broadcast on request only below this many bytes; beyond it the join shuffles.
 BROADCAST_BYTES = 128 * 1024 * 1024
-# Strings and rules that every task may hold as a list.
-TASK_BYTES = 16 * 1024 * 1024
 # Rule strings tested as literals in one pass over the files.
 LITERAL_STRINGS = 64
 
