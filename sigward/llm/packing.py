@@ -82,6 +82,23 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
+def pair_sums(own: list[int], size: list[int], capacity: int) -> dict[int, tuple[int, int]]:
+    """A pair of pieces for each sum below the capacity that two pieces of a bin have. Distinct lengths of a bin are few: k of them fill k * k / 2."""
+    by_size: dict[int, list[int]] = {}
+    for i in own:
+        by_size.setdefault(size[i], []).append(i)
+    kinds = sorted(by_size)
+    out: dict[int, tuple[int, int]] = {}
+    for at, low in enumerate(kinds):
+        if len(by_size[low]) > 1 and 2 * low < capacity:
+            out.setdefault(2 * low, (by_size[low][0], by_size[low][1]))
+        for high in kinds[at + 1 :]:
+            if low + high >= capacity:
+                break
+            out.setdefault(low + high, (by_size[low][0], by_size[high][0]))
+    return out
+
+
 def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Moves and exchanges between underfull bins that raise the sum of squared fills, until none is found."""
     size = lengths.tolist()
@@ -153,14 +170,14 @@ def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[l
                         best = (size[y] - size[x], x, None, y)
                         if best[0] == gap:
                             break
-                # Two for one: two pieces of this bin for a longer one.
+                # Two for one: two pieces of this bin for a longer one. Pairs of one sum are alike, so all pairs are tried by trying all sums.
                 if best is None or best[0] < gap:
-                    for a in range(min(len(own), 24)):
-                        for c in range(a + 1, min(len(own), 24)):
-                            both = size[own[a]] + size[own[c]]
-                            y = largest(both, both + gap, b, fill[b])
-                            if y is not None and (best is None or size[y] - both > best[0]):
-                                best = (size[y] - both, own[a], own[c], y)
+                    for both, (x, x2) in pair_sums(own, size, capacity).items():
+                        y = largest(both, both + gap, b, fill[b])
+                        if y is not None and (best is None or size[y] - both > best[0]):
+                            best = (size[y] - both, x, x2, y)
+                            if best[0] == gap:
+                                break
                 if best is None:
                     break
                 _, x, x2, y = best
