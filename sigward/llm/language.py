@@ -38,7 +38,7 @@ STEPS = 64
 TEMPER = 0.25
 UND_PRIOR = 1e-4
 SMOOTH, HOST_PRIOR = 1.0, 20.0
-RUN_BYTES = 4 << 20
+RUN_BYTES = 1 << 20
 UND = "und"
 
 
