@@ -8,12 +8,13 @@ with, so a key gives a row for each set and no pairs.
 
 Large sets are met through inverted lists. Where each set would scan the lists of all corpus, lists are first cut into families. Elements
 are dealt by hash into more parts than sets of that size can differ by, so linked sets agree in a whole part, and the
-parts' contents are keys. Under a key, sets are held against each other by sketches: elements dealt into twice as many places as sets can differ
-by, one byte for each place. Linked sets differ in no more places than they may in elements, so a pair that differs in more is
-no link, and families, the components of the pairs left, hold all links. Chance agreement in one part joins no families. Within one, a set
+parts' contents are keys. Under a key, sets are held against each other by sketches: elements dealt into PLACES times as many places as sets
+can differ by, one bit for each place, which tells odd numbers of elements from even ones. Linked sets differ in no more places than they may in
+elements, so a pair that differs in more is no link, and families, the components of the pairs left, hold all links. Chance agreement in one part joins no families. Within one, a set
 scans the inverted lists of its elements and counts overlaps exactly, until all sets that have not scanned are in one component.
 To hold few sets against each other, each set first meets the smallest set of the key it has most keys in common with; then only keys whose
 sets are not in one component are walked, and keys of the same sets once. More than FAMILY sets under a key or in a family are scanned in pairs of blocks.
+The table of all keys goes as soon as the keys that sets share are written.
 
 The boundary between small and large is the one of the least cost: subsets to enumerate against parts and elements to
 send, summed over the sizes there are.
@@ -45,6 +46,10 @@ MOST_SMALL = 30
 FAMILY = 4_000
 # Documents of families found by a hash join against this many ids at most (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+# Copies of sets that every task may hold (40 bytes each); more are met by a shuffle.
+BROADCAST_COPIES = 400_000
+# Places of a sketch for each element that sets may differ by, in whole words of 64 bits.
+PLACES, WORD = 4, 64
 RUN_BYTES = 8 << 20
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -143,17 +148,22 @@ def part_keys(sets: np.ndarray, sizes: np.ndarray, share: int = SHARE) -> tuple[
 
 
 def sketches(sets: np.ndarray, sizes: np.ndarray, back: int, share: int = SHARE) -> list[bytes]:
-    """For each set a byte for each place of its size class (back = 0) or of the class below (back = 1); empty where there is no such class."""
+    """For each set a bit for each place of its size class (back = 0) or of the class below (back = 1); empty where there is no such class."""
     starts = size_classes(int(sizes.max(initial=0)), share)
     scheme = np.searchsorted(starts, sizes, side="right") - 1 - back
-    places = np.where(scheme >= 0, 2 * differ(starts[np.maximum(scheme, 0) + 1] - 1, share), 0)
+    places = np.where(scheme >= 0, -(-PLACES * differ(starts[np.maximum(scheme, 0) + 1] - 1, share) // WORD) * WORD, 0)
     ends = np.cumsum(places)
     owner = np.repeat(np.arange(len(sizes)), np.where(places > 0, sizes, 0))
     element = sets[np.repeat(places > 0, sizes)]
     at = (ends - places)[owner] + ((mix(element * A) >> np.uint64(33)).astype(np.int64) % np.maximum(places, 1)[owner])
-    sums = np.bincount(at, (mix(element + C) >> np.uint64(56)).astype(np.float64), int(ends[-1]) if len(ends) else 0)
-    flat = (sums.astype(np.int64) & 255).astype(np.uint8)
-    return [flat[e - n : e].tobytes() for e, n in zip(ends.tolist(), places.tolist(), strict=True)]
+    held = np.bincount(at, minlength=int(ends[-1]) if len(ends) else 0)
+    flat = np.packbits((held & 1).astype(np.uint8))
+    return [flat[(e - n) // 8 : e // 8].tobytes() for e, n in zip(ends.tolist(), places.tolist(), strict=True)]
+
+
+def places_apart(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Places in which sketches (words of bits in the last dimension) differ."""
+    return np.bitwise_count(one ^ other).sum(axis=-1, dtype=np.int64)
 
 
 def ragged(values: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -309,7 +319,7 @@ def plausible_pairs(pairs: DataFrame, share: int = SHARE) -> DataFrame:
                 starts = size_classes(m, share)
                 apart = np.diff(np.searchsorted(starts, [n, m], side="right"))[0]
                 other = larger if apart == 0 else below
-                gap = apart > 1 or np.count_nonzero(np.frombuffer(own, np.uint8) != np.frombuffer(other, np.uint8)) > differ(n, share)
+                gap = apart > 1 or places_apart(np.frombuffer(own, np.uint64), np.frombuffer(other, np.uint64)) > differ(n, share)
                 held.append(not gap)
             yield batch.select(["a", "b"]).filter(pa.array(held, pa.bool_()))
 
@@ -323,7 +333,7 @@ def plausible_groups(members: DataFrame, share: int = SHARE) -> DataFrame:
 
     def joined(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, sketch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         wide = max(map(len, sketch))
-        table = np.stack([np.frombuffer(x.ljust(wide, b"\0"), np.uint8) for x in sketch])
+        table = np.stack([np.frombuffer(x.ljust(wide, b"\0"), np.uint64) for x in sketch])
         _, component = np.unique(labels, return_inverse=True)
         bound = np.array([differ(int(n), share) for n in sizes])
         waiting = np.ones(len(ids), dtype=bool)
@@ -335,7 +345,7 @@ def plausible_groups(members: DataFrame, share: int = SHARE) -> DataFrame:
                 break
             x = left[component[left] != values[np.argmax(counts)]][0]
             waiting[x] = False
-            near = np.flatnonzero((component != component[x]) & (np.count_nonzero(table != table[x], axis=1) <= np.minimum(bound, bound[x])))
+            near = np.flatnonzero((component != component[x]) & (places_apart(table, table[x]) <= np.minimum(bound, bound[x])))
             for y in near:
                 if component[y] != component[x]:
                     a.append(x)
@@ -368,13 +378,17 @@ def plausible_groups(members: DataFrame, share: int = SHARE) -> DataFrame:
     return members.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long")
 
 
-def families(sets: DataFrame, share: int = SHARE) -> DataFrame:
-    """node and component of the sets (doc_id, n, keys, kind, own, below) that a link may join to another."""
+def shared_keys(sets: DataFrame) -> DataFrame:
+    """key, weight and doc_id of the keys that several of the sets (doc_id, keys) have; keys of the same sets are one, of their number as weight."""
     # Both uses of the keys read one shuffle.
     keys = sets.select("doc_id", F.explode("keys").alias("key")).where("key IS NOT NULL").repartition("key")
     groups = keys.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"))
     of_sets = groups.where("c > 1").groupBy("c", "x", "y").agg(F.min("key").alias("key"), F.count("*").alias("weight"))
-    members = session.written(keys.join(of_sets.select("key", "weight"), "key").select("key", "weight", "doc_id"), "members")
+    return session.written(keys.join(of_sets.select("key", "weight"), "key").select("key", "weight", "doc_id"), "members")
+
+
+def families(sets: DataFrame, members: DataFrame, share: int = SHARE) -> DataFrame:
+    """node and component of the sets (doc_id, n, kind, own, below) that a link may join to another, by the keys that they share."""
     first = members.groupBy("key").agg(F.min("doc_id").alias("hub"))
     common_keys = members.join(first, "key").where("doc_id <> hub").groupBy("doc_id", "hub").agg(F.sum("weight").alias("w"))
     best = common_keys.groupBy("doc_id").agg(F.min(F.struct((-F.col("w")).alias("w"), "hub"))["hub"].alias("hub"))
@@ -389,12 +403,13 @@ def families(sets: DataFrame, share: int = SHARE) -> DataFrame:
     made_for = F.col("key").bitwiseAND(255)
     sketch = F.when(F.pmod("kind", F.lit(256)) == made_for, F.col("own")).when(F.pmod(F.col("kind") - 1, F.lit(256)) == made_for, F.col("below"))
     rest = rest.join(sets.select("doc_id", "n", "kind", "own", "below"), "doc_id").select("block", "doc_id", "component", "n", sketch.alias("sketch")).where("sketch IS NOT NULL")
-    return graph.components(near.unionByName(plausible_groups(rest, share)))
+    # The pairs are read in both directions.
+    return graph.components(near.unionByName(session.written(plausible_groups(rest, share), "plausible")))
 
 
-def large_links(docs: DataFrame, sets: DataFrame, first_large: int, gram: int = GRAM, share: int = SHARE) -> DataFrame:
-    """Edges between large sets. `sets` holds one document for each distinct set."""
-    found = families(sets.where(F.col("n") >= first_large), share)
+def large_links(docs: DataFrame, sets: DataFrame, members: DataFrame, gram: int = GRAM, share: int = SHARE) -> DataFrame:
+    """Edges between large sets. `sets` holds one document for each distinct set, `members` the keys that these share."""
+    found = families(sets, members, share)
     sizes = found.groupBy("component").agg(F.count("*").alias("g"))
     members = in_blocks(found.join(sizes, "component"), "component", "node", "g").select(F.col("node").alias("doc_id"), "blocks")
     members = session.written(members, "families")
@@ -404,20 +419,26 @@ def large_links(docs: DataFrame, sets: DataFrame, first_large: int, gram: int =
 
 def ngram_join(docs: DataFrame, gram: int = GRAM, share: int = SHARE) -> DataFrame:
     """doc_id, n_shingles and component_id of each document, by shingles of `gram` words and a likeness of `share` hundredths."""
-    table = session.written(described(docs, gram, share), "sets")
+    whole, folder = session.written_at(described(docs, gram, share), "sets")
+    table = session.written(whole.drop("keys"), "sketches")
     some = table.where("n > 0 AND doc_id IS NOT NULL")
     kinds = session.written(some.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "kinds")
     few = [(r["n"], r["c"]) for r in kinds.where(F.col("n") <= MOST_SMALL).groupBy("n").agg(F.count("*").alias("c")).collect()]
     first_large = boundary(few, share)
-    on_kind = [F.col(c) == F.col(f"k_{c}") for c in ("n", "f1", "f2")]
-    k = kinds.select(*[F.col(c).alias(f"k_{c}") for c in ("n", "f1", "f2")], "rep")
+    set_of = ["n", "f1", "f2"]
+    copies = session.written(some.select("doc_id", *set_of).join(kinds, set_of).where("doc_id <> rep").distinct(), "copies")
     # Copies of a set have the same keys, so only the first document of each set brings them.
-    sets = some.join(k, [*on_kind, F.col("doc_id") == F.col("rep")], "left_semi")
+    gone = copies.select("doc_id", *set_of)
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_COPIES else gone
+    firsts_of = lambda rows: rows.where("n > 0 AND doc_id IS NOT NULL").join(gone, ["doc_id", *set_of], "left_anti")
+    sets = firsts_of(table)
+    members = shared_keys(firsts_of(whole.select("doc_id", *set_of, "keys").where(F.col("n") >= first_large)))
+    session.remove_folders(docs.sparkSession, [folder])
     small = small_links(sets.where((F.col("n") >= smallest_large(share)) & (F.col("n") <= (first_large - 1) * OF // share)), share)
-    firsts = docs.where("doc_id IS NOT NULL")
-    edges = session.written(small.unionByName(large_links(firsts, sets, first_large, gram, share)), "links")
+    large = large_links(docs.where("doc_id IS NOT NULL"), sets.where(F.col("n") >= first_large), members, gram, share)
+    edges = session.written(small.unionByName(large), "links")
     # Rows of one doc_id with different sets hang together.
-    same = some.join(k, on_kind).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
+    same = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     found = graph.components(edges.unionByName(same))
     out = table.select("doc_id", F.col("n").alias("n_shingles"), "n").join(found, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))

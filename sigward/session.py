@@ -38,11 +38,16 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the scratch folder: work done once, read often, and safe from lost executors."""
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows as a table in the scratch folder, and its folder, for tables that go before the job ends."""
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the scratch folder: work done once, read often, and safe from lost executors."""
+    return written_at(df, name)[0]
 
 
 def text_bytes(*cols: str):
