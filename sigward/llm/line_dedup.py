@@ -31,6 +31,8 @@ LONG_TOKENS, LONG_DOCS = 50, 2
 GENERAL_TOKENS, CONSTANT = 8, 0.7
 # Lines of such leaves (some 60 bytes each) that every task may hold; more are met by a shuffle.
 BROADCAST_LEAVES = 500_000
+# Hashes of wide leaves (16 bytes each) that every task may hold.
+BROADCAST_WIDE = 1_000_000
 SPACE = "[\\x20\\x09-\\x0D]+"
 FIELD = "<*>"
 
@@ -58,18 +60,19 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def generalised(texts: DataFrame) -> DataFrame:
-    """own and leaf of the distinct lines that have their leaf's template."""
-    tokens = texts.select("own", "leaf", "n", F.posexplode(F.split("masked", " ")).alias("at", "token"))
+    """own, leaf and n of the distinct lines that have their leaf's template."""
+    tokens = texts.select("leaf", F.posexplode(F.split("masked", " ")).alias("at", "token"))
     held = tokens.groupBy("leaf", "at", "token").agg(F.count("*").alias("lines"))
     place = held.groupBy("leaf", "at").agg(F.max_by("token", "lines").alias("common"), F.max("lines").alias("most"), F.sum("lines").alias("all"))
-    constant = place.where(F.col("most") * 2 > F.col("all")).select("leaf", "at", "common")
-    leaves = constant.groupBy("leaf").agg(F.count("*").alias("constants"))
-    agree = tokens.join(constant, ["leaf", "at"]).where(F.col("token") == F.col("common")).groupBy("own", "leaf", "n").agg(F.count("*").alias("agree"))
-    return agree.join(leaves, "leaf").where((F.col("agree") == F.col("constants")) & (F.col("constants") >= F.lit(CONSTANT) * F.col("n"))).select("own", F.col("leaf").alias("as_leaf"))
+    # A leaf's lines have one number of tokens, so its constants are no more than the tokens of a line.
+    fixed = place.where(F.col("most") * 2 > F.col("all")).groupBy("leaf").agg(F.collect_list(F.struct("at", "common")).alias("fixed"))
+    rows = texts.select("own", "leaf", "n", F.split("masked", " ").alias("tokens")).join(fixed, "leaf").where(F.size("fixed") >= F.lit(CONSTANT) * F.col("n"))
+    return rows.where(F.forall("fixed", lambda f: F.get("tokens", f["at"]) == f["common"])).select("own", "leaf", "n")
 
 
 def lines_of(docs: DataFrame, rows: DataFrame, wide: DataFrame) -> DataFrame:
     """own, leaf, n and masked text of the distinct lines in the wide leaves, each taken from one document that has it."""
+    wide = F.broadcast(wide) if wide.count() <= BROADCAST_WIDE else wide
     own = rows.where(F.col("n") >= GENERAL_TOKENS).join(wide, "leaf", "left_semi").groupBy("own", "leaf", "n").agg(F.min("doc_id").alias("of"), F.min_by("place", "doc_id").alias("place"))
     spots = session.written(own.groupBy("of").agg(F.collect_list(F.struct("own", "leaf", "n", "place")).alias("spots")), "spots")
     side = F.broadcast(spots) if spots.agg(F.coalesce(F.sum(F.size("spots")), F.lit(0))).first()[0] <= BROADCAST_LEAVES else spots
@@ -87,17 +90,18 @@ def dropped(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     # Only leaves of several distinct lines that reach min_docs together can gain from generalisation.
     wide = texts.where(F.col("n") >= GENERAL_TOKENS).groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("docs"))
     wide = session.written(wide.where((F.col("kinds") > 1) & (F.col("docs") >= min_docs)).select("leaf"), "wide")
-    wider = session.written(generalised(lines_of(docs, rows, wide)), "generalised")
-    named = texts.join(wider, "own", "left").withColumn("template", F.coalesce("as_leaf", "own"))
+    general = session.written(generalised(lines_of(docs, rows, wide)), "generalised")
+    needed = F.when(F.col("n") >= LONG_TOKENS, min(LONG_DOCS, min_docs)).otherwise(min_docs)
+    alone = texts.where(F.col("docs") >= needed).join(general, "own", "left_anti").select("own", "n", F.lit(None).cast("binary").alias("template"), "first")
+    # All lines of either kind of template are met in one pass over the rows.
+    chosen = alone.unionByName(general.select("own", "n", F.col("leaf").alias("template"), F.lit(None).cast("long").alias("first")))
+    hits = session.written(rows.select("own", "doc_id", "place").join(chosen, "own").drop("own"), "hits")
     # A leaf's template is held by documents of several lines; each document counts once.
-    general = named.where("as_leaf IS NOT NULL").select("own", "n", "template")
-    held = rows.select("own", "doc_id").join(general.select("own", "template"), "own").select("template", "doc_id").distinct()
+    held = hits.where("template IS NOT NULL").select("template", "doc_id").distinct()
     counts = held.groupBy("template").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
-    held = general.join(counts, "template").select("own", "n", "docs", "first")
-    recurring = named.where("as_leaf IS NULL").select("own", "n", "docs", "first").unionByName(held)
-    needed = F.when(F.col("n") >= LONG_TOKENS, min(LONG_DOCS, min_docs)).otherwise(min_docs)
-    recurring = recurring.where(F.col("docs") >= needed).select("own", "first")
-    return rows.select("own", "doc_id", "place").join(recurring, "own").where(F.col("doc_id") > F.col("first")).select("doc_id", "place").distinct()
+    of_leaves = hits.where("template IS NOT NULL").drop("first").join(counts, "template").where(F.col("docs") >= needed)
+    recurring = hits.where("template IS NULL").select("doc_id", "place", "first").unionByName(of_leaves.select("doc_id", "place", "first"))
+    return recurring.where(F.col("doc_id") > F.col("first")).select("doc_id", "place").distinct()
 
 
 def with_kept(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
