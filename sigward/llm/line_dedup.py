@@ -33,6 +33,8 @@ GENERAL_TOKENS, CONSTANT = 8, 0.7
 BROADCAST_LEAVES = 500_000
 # Hashes of wide leaves (16 bytes each) that every task may hold.
 BROADCAST_WIDE = 1_000_000
+# Places to drop (80 bytes each at most) that every task may hold; more meet the texts by a shuffle of these.
+BROADCAST_PLACES = 500_000
 SPACE = "[\\x20\\x09-\\x0D]+"
 FIELD = "<*>"
 
@@ -107,6 +109,8 @@ def dropped(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 def with_kept(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """row (a document with all its columns, as a struct, so no name can clash), kept (the remaining text), lines and dropped (numbers of lines)."""
     places = dropped(docs, min_docs).groupBy("doc_id").agg(F.collect_set("place").alias("places")).withColumnRenamed("doc_id", "of")
+    places = session.written(places, "places")
+    places = F.broadcast(places) if places.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0] <= BROADCAST_PLACES else places
     joined = docs.select(F.struct("*").alias("row")).join(places, F.col("row.doc_id") == F.col("of"), "left")
     text = F.col("row.text")
     left = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(F.coalesce("places", F.array().cast("array<int>")), i))
